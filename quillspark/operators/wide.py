@@ -14,7 +14,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspark.shared import checkpoint_root
 from quillspark.tables import current_pages, page_key, read
@@ -90,18 +89,22 @@ def cell_stats(props: DataFrame, entity: str, attribute: str, value: str) -> Dat
     that fit differ exactly if least and greatest do.
     """
     v = F.when(F.col(value) != "", F.col(value))
+    rows = props.filter(F.col(attribute).isNotNull()).select(
+        page_key(entity).alias("entity"), F.col(attribute).alias("col"), v.alias("v"), as_number(v).alias("num")
+    )
+    rows = rows.select(
+        "entity", "col", "v", "num",
+        *[F.when(F.col("v").isNotNull(), F.col("num").isNotNull() if k == "number" else fits(F.col("v"), k)).alias(f"{k}_ok") for k in CLASSES if k != "text"],
+    )
     aggs = []
     for kind in CLASSES:
-        ok = fits(v, kind)
-        shown = as_number(v) if kind == "number" else v
-        aggs += [
-            F.min(F.when(ok, shown)).alias(f"{kind}_min"),
-            F.max(F.when(ok, shown)).alias(f"{kind}_max"),
-            F.coalesce(F.max(~ok), F.lit(False)).alias(f"{kind}_bad"),
-        ]
-    return props.filter(F.col(attribute).isNotNull()).groupBy(
-        page_key(entity).alias("entity"), F.col(attribute).alias("col")
-    ).agg(*aggs)
+        if kind == "text":
+            shown, bad = F.col("v"), F.lit(False)
+        else:
+            shown = F.col("num") if kind == "number" else F.when(F.col(f"{kind}_ok"), F.col("v"))
+            bad = F.coalesce(F.max(~F.col(f"{kind}_ok")), F.lit(False))
+        aggs += [F.min(shown).alias(f"{kind}_min"), F.max(shown).alias(f"{kind}_max"), bad.alias(f"{kind}_bad")]
+    return rows.groupBy("entity", "col").agg(*aggs)
 
 
 @dataclass
@@ -231,6 +234,3 @@ def p2_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_id",
         F.transform(F.filter(F.array(*cells), lambda x: x.isNotNull()), lambda x: F.to_json(x)).alias("cells"),
     ).select("page_id", "source_id", F.array_join("cells", "\n").alias("cells"), F.size("cells").alias("n_cells"))
-
-
-SCHEMA_ROWS = T.StructType([T.StructField(n, T.StringType()) for n in ("source_id", "col", "class")])
