@@ -1,11 +1,11 @@
 """Queries of the subpackage and their DuckDB statements."""
 
-from quillspark.llm import lookalike
+from quillspark.llm import lookalike, markup
 
 
 def queries():
-    return {"p10_found": lookalike.p10_found, "p10_classes": lookalike.p10_classes}
+    return {"p7_found": markup.p7_found, "p7_clean": markup.p7_clean, "p10_found": lookalike.p10_found, "p10_classes": lookalike.p10_classes}
 
 
 def oracle_sql():
-    return {"p10_found": lookalike.P10_SQL}
+    return {"p7_found": markup.p7_found, "p7_clean": markup.p7_clean, "p10_found": lookalike.P10_SQL}
