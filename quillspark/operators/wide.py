@@ -1,9 +1,9 @@
 """Attribute-value rows into wide tables with typed columns (p2).
 
-Method: column-block pivoting. The attributes are divided into blocks; the cells, bucketed
-once by entity and kept in the shared checkpoint folder, are pivoted block by block without
+Method: column-block pivoting. The attributes are divided into blocks; the cells are written
+once as a table bucketed by entity in the shared folder, pivoted block by block without
 another exchange, and the blocks are joined on the entity, again without one, because all of
-them have the same hash partitioning.
+them have the same bucketing.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.shared import checkpoint_root
+from quillspark.shared import Scratch
 from quillspark.tables import current_pages, page_key, read
 
 NUMBER = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -144,7 +144,6 @@ def widen(
     give no cell; empty tables give an empty result; other columns of the inputs are ignored.
     """
     spark = props.sparkSession
-    checkpoint_root(spark)
     n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     columns = sorted((r["col"], r["class"]) for r in schema.select("col", "class").distinct().collect())
     index = spark.createDataFrame(
@@ -152,8 +151,7 @@ def widen(
     )
     slots = schema.join(F.broadcast(index), ["col", "class"])
     stats = cell_stats(props, entity, attribute, value)
-    bucketed = entities.select("entity", "source_id").repartition(n, "entity")
-    cells = stats.repartition(n, "entity").join(bucketed, "entity").join(slots, ["source_id", "col"], "left")
+    cells = entities.select("entity", "source_id").join(stats, "entity", "left").join(slots, ["source_id", "col"], "left")
 
     def pick(what: str) -> Column:
         out = F.lit(None)
@@ -166,6 +164,7 @@ def widen(
         differ = F.when(F.col("class") == kind, F.col(f"{kind}_min") != F.col(f"{kind}_max")).otherwise(differ)
     cells = cells.select(
         "entity",
+        "source_id",
         "slot",
         F.when(F.col("class") == "number", F.col("number_max")).alias("num"),
         F.when(F.col("class") != "number", pick("max")).alias("txt"),
@@ -173,9 +172,10 @@ def widen(
         F.coalesce(differ, F.lit(False)).alias("differ"),
         F.when(F.col("slot").isNull(), F.col("col")).alias("stray"),
     )
-    kept = cells.checkpoint()
-    wide = bucketed
+    kept = Scratch(spark).bucket(cells, "entity", n)
     entry = "array<struct<col:string,kind:string>>"
+    # the first block also carries what there is once per entity, so that it reads every row
+    wide = kept.groupBy("entity").agg(F.max("source_id").alias("source_id"), F.collect_list("stray").alias("_stray"))
     for at in range(0, len(columns), block):
         names = columns[at : at + block]
         aggs = [
@@ -185,8 +185,6 @@ def widen(
         found = F.collect_list(F.when(F.col("bad") | F.col("differ"), F.struct("slot", "bad", "differ"))).alias(f"_f{at}")
         part = kept.filter((F.col("slot") >= at) & (F.col("slot") < at + block)).groupBy("entity").agg(*aggs, found)
         wide = wide.join(part, "entity", "left")
-    stray = kept.filter("stray IS NOT NULL").groupBy("entity").agg(F.collect_list("stray").alias("_stray"))
-    wide = wide.join(stray, "entity", "left")
     labels = F.array(*[F.lit(c) for c, _ in columns]) if columns else F.array().cast("array<string>")
 
     def kinds(x: Column) -> Column:

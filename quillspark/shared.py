@@ -37,6 +37,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{checkpoint_root(spark).rstrip('/')}/quillspark-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.tables: list[str] = []
         atexit.register(self.clear)
 
     def _delete(self, path: str) -> None:
@@ -53,12 +54,21 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def bucket(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Write ``df`` as a table bucketed and sorted by ``key``: aggregates and joins on the key need no exchange."""
+        name = f"quillspark_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", f"{self.root}/{name}").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
     def drop(self, df: DataFrame | None) -> None:
         if df is not None and (path := self.paths.pop(id(df), None)):
             self._delete(path)
 
     def clear(self) -> None:
         try:
+            for name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             self._delete(self.root)
         except Exception:  # noqa: BLE001 - the session may be gone
             pass
