@@ -1,10 +1,10 @@
 """Queries of the subpackage and their DuckDB statements."""
 
-from quillspark.llm import lookalike, markup
+from quillspark.llm import lookalike, markup, neighbours
 
 
 def queries():
-    return {"p7_found": markup.p7_found, "p7_clean": markup.p7_clean, "p10_found": lookalike.p10_found, "p10_classes": lookalike.p10_classes}
+    return {"p3_found": neighbours.p3_found, "p3_knn": neighbours.p3_knn, "p7_found": markup.p7_found, "p7_clean": markup.p7_clean, "p10_found": lookalike.p10_found, "p10_classes": lookalike.p10_classes}
 
 
 def oracle_sql():
