@@ -1,11 +1,11 @@
 """Queries of the subpackage and their DuckDB statements."""
 
-from quillspark.llm import lookalike, markup, neighbours
+from quillspark.llm import lookalike, markup, neighbours, outranking
 
 
 def queries():
-    return {"p3_found": neighbours.p3_found, "p3_knn": neighbours.p3_knn, "p7_found": markup.p7_found, "p7_clean": markup.p7_clean, "p10_found": lookalike.p10_found, "p10_classes": lookalike.p10_classes}
+    return {"p3_found": neighbours.p3_found, "p3_knn": neighbours.p3_knn, "p4_found": outranking.p4_found, "p4_ranking": outranking.p4_ranking, "p7_found": markup.p7_found, "p7_clean": markup.p7_clean, "p10_found": lookalike.p10_found, "p10_classes": lookalike.p10_classes}
 
 
 def oracle_sql():
-    return {"p10_found": lookalike.P10_SQL}
+    return {"p4_found": outranking.P4_SQL, "p4_ranking": outranking.P4_RANKING_SQL, "p10_found": lookalike.P10_SQL}
