@@ -1,10 +1,10 @@
 """Queries of the subpackage and their DuckDB statements."""
 
-from quillspark.llm import lookalike, markup, neighbours, outranking
+from quillspark.llm import lookalike, markup, mixing, neighbours, outranking, packing
 
 
 def queries():
-    return {"p3_found": neighbours.p3_found, "p3_knn": neighbours.p3_knn, "p4_found": outranking.p4_found, "p4_ranking": outranking.p4_ranking, "p7_found": markup.p7_found, "p7_clean": markup.p7_clean, "p10_found": lookalike.p10_found, "p10_classes": lookalike.p10_classes}
+    return {"p3_found": neighbours.p3_found, "p3_knn": neighbours.p3_knn, "p4_found": outranking.p4_found, "p4_ranking": outranking.p4_ranking, "p7_found": markup.p7_found, "p7_clean": markup.p7_clean, "p8_packed": packing.p8_packed, "p8_report": packing.p8_report, "p9_selection": mixing.p9_selection, "p9_shares": mixing.p9_shares, "p10_found": lookalike.p10_found, "p10_classes": lookalike.p10_classes}
 
 
 def oracle_sql():
