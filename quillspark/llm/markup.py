@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.shared import Scratch
 from quillspark.tables import current_pages, read
 
 FAMILIES = ("html", "latex", "markdown", "wiki")
@@ -374,7 +375,7 @@ def clean(documents: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     text is parsed, however long. The templates of a host number at most (items per page) /
     ``min_share``; they are joined by (host, hash), broadcast only if Spark finds them small.
     """
-    parsed = elements(documents.withColumn("host", F.coalesce("host", F.lit(""))))
+    parsed = Scratch(documents.sparkSession).put(elements(documents.withColumn("host", F.coalesce("host", F.lit("")))))
     hit = templates(parsed, min_pages, min_share)
     drops = (
         parsed.select("page_id", "host", F.posexplode("hashes").alias("pos", "hash"))
@@ -407,9 +408,14 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of markup met outside of code, one row per page and family."""
+    """Families of markup met outside of code, one row per page and family.
+
+    The cleaned pages are written first: the families of a page are those of its whole content,
+    removed templates included, and without the table Spark would plan the removal away.
+    """
+    cleaned = Scratch(spark).put(clean(page_texts(spark, sf_dir)))
     names = F.array(*[F.when(F.col("families").bitwiseAND(1 << k) != 0, f) for k, f in enumerate(("html", "latex", "markdown", "wiki"))])
-    return clean(page_texts(spark, sf_dir)).select("page_id", F.explode(F.array_compact(names)).alias("family"))
+    return cleaned.select("page_id", F.explode(F.array_compact(names)).alias("family"))
 
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
