@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.shared import Scratch
 from quillspark.tables import read
 
 # Letters of the same shape.
@@ -195,14 +196,20 @@ def unify(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return keyed.mapInPandas(rewrite, schema)
 
 
+def looks(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc_id, look, exact``: digests of form and text, distinct; written, so that texts are rewritten once."""
+    rows = unify(documents, key, text).filter("form IS NOT NULL").select(
+        F.col(key).alias("doc_id"), F.unhex(F.md5("form")).alias("look"), F.unhex(F.md5("text")).alias("exact")
+    )
+    return Scratch(documents.sparkSession).put(rows.dropDuplicates())
+
+
 def look_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its class (least id of equal form), the representative of its exact text, its form's digest.
 
     Null texts are left out; repeated ids count once.
     """
-    hashed = unify(documents, key, text).filter("form IS NOT NULL").select(
-        F.col(key).alias("doc_id"), F.unhex(F.md5("form")).alias("look"), F.unhex(F.md5("text")).alias("exact")
-    ).dropDuplicates()
+    hashed = looks(documents, key, text)
     reps = hashed.groupBy("look", "exact").agg(F.min("doc_id").alias("rep"))
     classes = reps.groupBy("look").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
     return hashed.join(reps, ["look", "exact"]).join(classes, "look")
@@ -215,9 +222,7 @@ def look_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     so all pairs of different texts come out, and copies are joined to each of them without
     being expanded against each other.
     """
-    hashed = unify(documents, key, text).filter("form IS NOT NULL").select(
-        F.col(key).alias("doc_id"), F.unhex(F.md5("form")).alias("look"), F.unhex(F.md5("text")).alias("exact")
-    ).dropDuplicates()
+    hashed = looks(documents, key, text)
     reps = hashed.groupBy("look", "exact").agg(F.min("doc_id").alias("rep"))
     mixed = reps.groupBy("look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo <> hi").select("look")
     reps = reps.join(mixed, "look")
