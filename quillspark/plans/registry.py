@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillspark.operators import hierarchy, incremental, orphans, wide
 from quillspark.plans import pipeline_sql as sql
+from quillspark.plans import reference, reference_sql, relational
 
 
 def queries():
@@ -16,7 +17,7 @@ def queries():
         "p5_descendants": hierarchy.p5_descendants,
         "p6_found": orphans.p6_found,
         "p6_report": orphans.p6_report,
-    }
+    } | reference.QUERIES | relational.QUERIES
 
 
 def oracle_sql():
@@ -28,8 +29,8 @@ def oracle_sql():
         "p5_descendants": sql.P5_DESCENDANTS,
         "p6_found": sql.P6,
         "p6_report": sql.P6_REPORT,
-    }
+    } | reference_sql.SQL | relational.SQL
 
 
 def flagship(spark, sf_dir):
-    return incremental.p1_found(spark, sf_dir)
+    return reference.bm25_topk(spark, sf_dir)
