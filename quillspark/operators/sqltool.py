@@ -38,8 +38,15 @@ def check_text(sql: str) -> str:
 
 def check_plan(spark: SparkSession, sql: str) -> None:
     """Refuse a statement whose parsed plan has a writing node anywhere: ``WITH .. INSERT`` parses like a query."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     jvm = spark.sparkContext._jvm
+    sessions = jvm.org.apache.spark.sql.classic.SparkSession
+    active = sessions.getActiveSession()
+    sessions.setActiveSession(spark._jsparkSession)  # the parser reads the active session's settings
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    finally:
+        if active.isDefined():
+            sessions.setActiveSession(active.get())
     todo = [plan]
     while todo:
         node = todo.pop()
