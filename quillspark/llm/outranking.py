@@ -18,80 +18,78 @@ from pyspark.sql import functions as F
 from quillspark.shared import Scratch
 from quillspark.tables import page_key, read
 
-#: Splits per group; a group of N rows is sorted in about N / SPLITS rows at a time.
-SPLITS = 64
+#: A group of more rows than this is sorted in SPLITS ranges instead of in one task.
+BLOCK, SPLITS = 100_000, 256
 
 
 def number_or_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c.cast("double") + F.lit(0.0))
 
 
-def prefix_sums(df: DataFrame, group: list[str], value: str, sums: list[str], splits: int = SPLITS) -> DataFrame:
-    """``df`` (one row per group and value) with, for each of ``sums``, its sum over smaller values (``below_``) and up to this one (``upto_``).
+def prefix_sums(df: DataFrame, group: list[str], value: str, sums: list[str], block: int = BLOCK, splits: int = SPLITS) -> DataFrame:
+    """``df`` with, for each of ``sums``, its sum over the rows of the group up to this value, ties included (``upto_``).
 
-    Exact. No group is sorted in one task: ranges are cut at approximate quantiles, which
-    affect only the balance.
+    Exact. A group of more than ``block`` rows is cut into ranges at approximate quantiles, which
+    affect only the balance; equal values never part. Such groups number fewer than rows / ``block``; where
+    there is none, the ranges are left out of the plan. ``df`` should be a written table, it is read more than once.
     """
+    plain = Window.partitionBy(*group).orderBy(value)
+    large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block).select(*group)
+    if large.isEmpty():
+        return df.select("*", *[F.sum(s).over(plain).alias(f"upto_{s}") for s in sums])
     marks = [i / splits for i in range(1, splits)]
-    cuts = df.groupBy(*group).agg(F.percentile_approx(value, marks, 1000).alias("_cuts"))
-    ranged = df.join(cuts, group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    totals = ranged.groupBy(*group, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select(*group, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    within = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.select("*", *[F.sum(s).over(within).alias(f"_w_{s}") for s in sums]).join(shifts, [*group, "_range"])
-    return out.select(
-        *df.columns,
-        *[(F.col(f"_o_{s}") + F.col(f"_w_{s}") - F.col(s)).alias(f"below_{s}") for s in sums],
-        *[(F.col(f"_o_{s}") + F.col(f"_w_{s}")).alias(f"upto_{s}") for s in sums],
+    cuts = df.join(large, group, "left_semi").groupBy(*group).agg(F.percentile_approx(value, marks, 10_000).alias("_cuts"))
+    ranged = df.join(cuts, group, "left").withColumn(
+        "_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
     )
+    totals = ranged.filter("_cuts IS NOT NULL").groupBy(*group, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(*group, "_range", *[F.sum(f"_t_{s}").over(before).alias(f"_o_{s}") for s in sums])
+    within = Window.partitionBy(*group, "_range").orderBy(value)
+    out = ranged.select("*", *[F.sum(s).over(within).alias(f"_w_{s}") for s in sums]).join(shifts, [*group, "_range"], "left")
+    return out.select(*df.columns, *[(F.col(f"_w_{s}") + F.coalesce(f"_o_{s}", F.lit(0))).alias(f"upto_{s}") for s in sums])
 
 
-def percentiles(values: DataFrame, group: str, value: str) -> DataFrame:
-    """``group, value, n, rank, pct``: per distinct value how many items have it, the best rank of them (1 = highest) and the percentile.
+def percentiles(counts: DataFrame, group: list[str], value: str, block: int = BLOCK) -> DataFrame:
+    """``counts`` (group, distinct value, ``n`` items) with ``all``, ``rank`` (1 = highest, ties share the best) and ``pct``.
 
-    The percentile is the share of the other items below, ties counting half: (below + (n - 1) / 2) / (N - 1),
+    The percentile is the share of the other items below, ties counting half: (below + (n - 1) / 2) / (all - 1),
     and 0.5 for a single item.
     """
-    counts = values.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(group).agg(F.sum("n").alias("all"))
-    ranked = prefix_sums(counts, [group], value, ["n"]).join(totals, group)
+    totals = counts.groupBy(*group).agg(F.sum("n").alias("all"))
+    ranked = prefix_sums(counts, group, value, ["n"], block).join(totals, group)
+    below = F.col("upto_n") - F.col("n")
     return ranked.select(
-        group, value, "n", "all",
+        *group, value, "n", "all",
         (F.col("all") - F.col("upto_n") + 1).alias("rank"),
-        F.when(F.col("all") > 1, (F.col("below_n") + (F.col("n") - 1) / 2) / (F.col("all") - 1)).otherwise(0.5).alias("pct"),
+        F.when(F.col("all") > 1, (below + (F.col("n") - 1) / 2) / (F.col("all") - 1)).otherwise(0.5).alias("pct"),
     )
 
 
-def net_flow(pcts: DataFrame, group: str, threshold: float) -> DataFrame:
-    """``pcts`` with ``flow``: the mean over the other items of P(x - y) - P(y - x), P(d) = min(1, max(0, d) / threshold).
+def net_flow(pcts: DataFrame, group: list[str], threshold: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """``group, pct, flow``: the mean over the other items of P(x - y) - P(y - x), P(d) = min(1, max(0, d) / threshold).
 
     With C(t) and S(t), count and sum of the percentiles up to t, the sum of P(x - y) is
     C(x - p) + ((C(x) - C(x - p)) x - (S(x) - S(x - p))) / p; likewise for P(y - x) above. The three
     positions are looked up by sorting them in among the values, with weight nothing.
     """
     x = F.col("pct")
-    at = {"low": x - threshold, "own": x, "high": x + threshold}
-    probes = pcts.select(group, "pct", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("probe"), v.alias("t")) for k, v in at.items()])).alias("q"))
-    probes = probes.select(group, F.col("q.t").alias("t"), F.col("q.probe").alias("probe"), F.col("pct").alias("of"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("s"))
-    values = pcts.select(group, F.col("pct").alias("t"), F.lit(None).cast("string").alias("probe"), F.lit(None).cast("double").alias("of"), F.col("n").alias("c"), (F.col("n") * x).alias("s"))
-    both = values.unionByName(probes)
-    points = Scratch(pcts.sparkSession).put(both.groupBy(group, "t").agg(F.sum("c").alias("c"), F.sum("s").alias("s")))
-    sums = prefix_sums(points, [group], "t", ["c", "s"])
-    found = probes.select(group, "t", "probe", "of").join(sums.select(group, "t", F.col("upto_c").alias("uc"), F.col("upto_s").alias("us")), [group, "t"])
-    wide = found.groupBy(group, F.col("of").alias("pct")).agg(
-        *[F.max(F.when(F.col("probe") == k, F.col(v))).alias(f"{k}_{v}") for k in at for v in ("uc", "us")]
-    )
+    probe = lambda k, t: F.struct(F.lit(k).alias("probe"), t.alias("t"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("s"))
+    own = F.struct(F.lit("own").alias("probe"), x.alias("t"), F.col("n").alias("c"), (F.col("n") * x).alias("s"))
+    points = pcts.select(
+        *group, "pct", "all", F.explode(F.array(own, probe("low", x - threshold), probe("high", x + threshold))).alias("q")
+    ).select(*group, "pct", "all", "q.*")
+    sums = prefix_sums(scratch.put(points), group, "t", ["c", "s"], block)
+    at = {f"{k}_{v}": F.max(F.when(F.col("probe") == k, F.col(f"upto_{v}"))).alias(f"{k}_{v}") for k in ("own", "low", "high") for v in ("c", "s")}
+    wide = sums.groupBy(*group, "pct").agg(F.max("all").alias("all"), *at.values())
     p = F.lit(threshold)
-    above = F.col("low_uc") + ((F.col("own_uc") - F.col("low_uc")) * x - (F.col("own_us") - F.col("low_us"))) / p
-    below = (F.col("all") - F.col("high_uc")) + ((F.col("high_us") - F.col("own_us")) - (F.col("high_uc") - F.col("own_uc")) * x) / p
-    return pcts.join(wide, [group, "pct"]).withColumn(
-        "flow", F.when(F.col("all") > 1, (above - below) / (F.col("all") - 1)).otherwise(0.0)
-    ).select(*pcts.columns, "flow")
+    above = F.col("low_c") + ((F.col("own_c") - F.col("low_c")) * x - (F.col("own_s") - F.col("low_s"))) / p
+    below = (F.col("all") - F.col("high_c")) + ((F.col("high_s") - F.col("own_s")) - (F.col("high_c") - F.col("own_c")) * x) / p
+    return wide.select(*group, "pct", F.when(F.col("all") > 1, (above - below) / (F.col("all") - 1)).otherwise(0.0).alias("flow"))
 
 
 def rank_items(
-    items: DataFrame, group: str, item: str, scores: dict[str, float], threshold: float = 0.25
+    items: DataFrame, group: str, item: str, scores: dict[str, float], threshold: float = 0.25, block: int = BLOCK
 ) -> DataFrame:
     """One row per (group, item), ranked by net flow.
 
@@ -100,40 +98,40 @@ def rank_items(
     score is the least preferred outcome: the item's flow there is -1 (0 in a group in which no
     item has the score), so an item one branch never returned doesn't profit from it. Rows
     with a null group or item are left out; repeated rows count once. Output: ``group, item``,
-    per score its greatest value, ``<score>_rank`` (1 = highest, ties share the best) and
-    ``<score>_flow``, and ``flow`` and ``position`` (1 = first; ties by the scores' ranks, then the item).
-    Positions are numbered from sorted ranges of each group, never in one task per group.
+    per score ``<score>_rank`` (1 = highest, ties share the best) and ``<score>_flow``, and ``flow`` and
+    ``position`` (1 = first; ties by the scores' ranks, then the item). All scores go through one
+    plan, as rows of (group, score); no group is sorted in one task once it has more than ``block`` rows.
     """
     scratch = Scratch(items.sparkSession)
-    best = items.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(
-        *[F.max(number_or_null(F.col(s))).alias(s) for s in scores]
+    best = scratch.put(
+        items.filter(F.col(group).isNotNull() & F.col(item).isNotNull())
+        .groupBy(F.col(group).alias("g"), F.col(item).alias("i"))
+        .agg(*[F.max(number_or_null(F.col(s))).alias(f"s{k}") for k, s in enumerate(scores)])
     )
-    best = out = scratch.put(best)
-    for s in scores:
-        pcts = scratch.put(percentiles(best.filter(F.col(s).isNotNull()).select(group, s), group, s))
-        flows = net_flow(pcts, group, threshold)
-        table = flows.select(F.col(group).alias("_g"), F.col(s).alias("_v"), F.col("rank").alias(f"{s}_rank"), F.col("flow").alias(f"{s}_flow"))
-        out = out.join(table, (F.col(group) == F.col("_g")) & (F.col(s) == F.col("_v")), "left").drop("_g", "_v")
-    any_score = out.groupBy(F.col(group).alias("_g")).agg(*[F.count(s).alias(f"_n_{s}") for s in scores])
-    out = out.join(any_score, F.col(group) == F.col("_g")).drop("_g")
-    total = sum(scores.values())
-    parts = [w * F.coalesce(f"{s}_flow", F.when(F.col(f"_n_{s}") > 0, -1.0).otherwise(0.0)) for s, w in scores.items()]
-    flow = parts[0]
-    for p in parts[1:]:
-        flow = flow + p
-    out = scratch.put(out.withColumn("flow", F.round(flow / total, 12)).drop(*[f"_n_{s}" for s in scores]))
-    # position: items with a greater flow are counted by prefix sums, ties by a window over the tie only
-    same = out.groupBy(group, "flow").agg(F.count(F.lit(1)).alias("n"))
-    totals = same.groupBy(group).agg(F.sum("n").alias("all"))
-    place = prefix_sums(same, [group], "flow", ["n"]).join(totals, group).select(
-        F.col(group).alias("_g"), F.col("flow").alias("_f"), (F.col("all") - F.col("upto_n")).alias("_ahead")
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"s{k}").alias("v")) for k in range(len(scores))])
+    long = best.select("g", "i", F.explode(each).alias("x")).select("g", "i", "x.k", "x.v").filter("v IS NOT NULL")
+    counts = scratch.put(long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n")))
+    pcts = scratch.put(percentiles(counts, ["g", "k"], "v", block))
+    flows = net_flow(pcts, ["g", "k"], threshold, scratch, block)
+    valued = pcts.select("g", "k", "v", "rank", "pct").join(flows, ["g", "k", "pct"]).select("g", "k", "v", "rank", "flow")
+    scored = long.join(valued, ["g", "k", "v"]).groupBy("g", "i").agg(
+        *[F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(len(scores)) for c in ("rank", "flow")]
     )
-    tie = Window.partitionBy(group, "flow").orderBy(*[F.col(f"{s}_rank").asc_nulls_last() for s in scores], item)
-    return (
-        out.withColumn("_tie", F.row_number().over(tie))
-        .join(place, (F.col(group) == F.col("_g")) & (F.col("flow") == F.col("_f")))
-        .withColumn("position", F.col("_ahead") + F.col("_tie"))
-        .drop("_g", "_f", "_tie", "_ahead")
+    has = counts.groupBy("g").agg(*[F.count_if(F.col("k") == k).alias(f"n{k}") for k in range(len(scores))])
+    out = best.select("g", "i").join(scored, ["g", "i"], "left").join(has, "g", "left")
+    flow = F.lit(0.0)
+    for k, w in enumerate(scores.values()):
+        flow = flow + w * F.coalesce(f"flow{k}", F.when(F.col(f"n{k}") > 0, -1.0).otherwise(0.0))
+    out = scratch.put(out.withColumn("flow", F.round(flow / sum(scores.values()), 12)).drop(*[f"n{k}" for k in range(len(scores))]))
+    # position: items with a greater flow are counted by prefix sums, ties by a window over the tie only
+    same = scratch.put(out.groupBy("g", "flow").agg(F.count(F.lit(1)).alias("n")))
+    totals = same.groupBy("g").agg(F.sum("n").alias("all"))
+    place = prefix_sums(same, ["g"], "flow", ["n"], block).join(totals, "g").select("g", "flow", (F.col("all") - F.col("upto_n")).alias("ahead"))
+    tie = Window.partitionBy("g", "flow").orderBy(*[F.col(f"rank{k}").asc_nulls_last() for k in range(len(scores))], "i")
+    return out.withColumn("tie", F.row_number().over(tie)).join(place, ["g", "flow"]).select(
+        F.col("g").alias(group), F.col("i").alias(item),
+        *[F.col(f"{c}{k}").alias(f"{s}_{c}") for k, s in enumerate(scores) for c in ("rank", "flow")],
+        "flow", (F.col("ahead") + F.col("tie")).alias("position"),
     )
 
 
