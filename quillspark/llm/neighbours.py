@@ -4,11 +4,12 @@ Method: a hierarchical k-means tree with best-bin-first traversal, widening the
 a query visits until the recall on calibration queries reaches the target.
 
 * The tree is fitted on a bounded sample (``sample_rows``); every row is indexed in its leaf.
-* Best-bin-first pops the most promising node from a priority queue, descends, and goes on until
-  enough leaves are visited. With a node's similarity to its centre as priority, leaves leave
-  the queue in order of the least similarity on their path, so a whole batch of queries is
-  traversed by sorting these bottlenecks; :func:`visit_with_queue` is the literal queue and the
-  tests hold one against the other.
+* Best-bin-first pops the most promising node from a priority queue, pushes its children, and goes
+  on until enough leaves are visited. A node's priority is the least similarity to a centre on its
+  path, at equal priority inner nodes come first and then the nearer leaf. As priorities never rise
+  on the way down, leaves leave the queue in order of their priority, so a whole batch of
+  queries is traversed by sorting; :func:`visit_with_queue` is the literal queue and the tests
+  hold one against the other.
 * Calibration compares a bounded set of queries with all rows and takes the fewest leaves at
   which the target share of true neighbours lies in visited leaves.
 * Exact copies are grouped first, so that however many copies a vector has, it is searched once.
@@ -30,6 +31,8 @@ from quillspark.shared import Scratch
 from quillspark.tables import read
 
 DIM = 64
+#: Weight of what decides between equal priorities.
+TIE = 1e-10
 
 
 @dataclass
@@ -63,12 +66,13 @@ class Tree:
 
     def order(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The first ``visits`` leaves of each unit row in best-bin-first order."""
-        s = x @ self.centres.T
+        near = (x @ self.centres.T).astype(float)
+        s = near.copy()
         for node in range(1, len(self.parent)):  # parents come before their children
             if self.parent[node]:
                 np.minimum(s[:, node], s[:, self.parent[node]], out=s[:, node])
         at = np.flatnonzero(self.leaf >= 0)
-        s = s[:, at]
+        s = s[:, at] + TIE * near[:, at]
         visits = min(visits, len(at))
         if visits < len(at):
             top = np.argpartition(-s, visits - 1, axis=1)[:, :visits]
@@ -80,13 +84,15 @@ class Tree:
 
 def visit_with_queue(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
     """Best-bin-first traversal of one query with a priority queue."""
-    queue, out = [(-2.0, 0)], []
+    near = (q[None, :] @ tree.centres.T).astype(float)[0]
+    queue, out = [(-2.0, 0, 2.0)], []
     while queue and len(out) < visits:
-        _, node = heapq.heappop(queue)
+        _, node, least = heapq.heappop(queue)
         if tree.leaf[node] >= 0:
             out.append(int(tree.leaf[node]))
         for kid in tree.children[node]:
-            heapq.heappush(queue, (-float(q @ tree.centres[kid]), kid))
+            low = min(least, near[kid])
+            heapq.heappush(queue, (-(low + TIE * (near[kid] if tree.leaf[kid] >= 0 else 1.0)), kid, low))
     return out
 
 
@@ -260,8 +266,8 @@ def search(index: Index, queries: DataFrame, k: int, floor: float, visits: int,
 
     def traverse(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
                 order = tree.order(unit(_matrix(part["vec"])), visits)
                 n = order.shape[1]
                 yield pd.DataFrame(
