@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.encoder import Embedder
-from quillspark.operators import flatten, postings, search, sqltool
+from quillspark.operators import flatten, search, sqltool
 from quillspark.plans import reference
 from quillspark.session import sql_session
 from quillspark.streaming import sync
@@ -23,7 +23,7 @@ class Engine:
         self.pages, self.chunks = reference.pages(spark, path), reference.chunks(spark, path)
         self.relations, self.sources = reference.relations(spark, path), reference.sources(spark, path)
         self.vectors = vectors if vectors is not None else reference.vectors(spark, path)
-        self.index = postings.postings(self.chunks.join(self.pages.select("page_id", "title"), "page_id", "left"))
+        self.index = reference.keyword_index(spark, path)
         self._sql: SparkSession | None = None
 
     def search(self, query: str, mode: str = "hybrid", limit: int = search.LIMIT, expand_relations: bool = False, **filters) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import scalars as X
 from quillspark.operators import blocks, chunking, evaluate, flatten, postings, search
+from quillspark.shared import Scratch
 from quillspark.streaming import sync
 from quillspark.tables import current_pages, page_key, read
 
@@ -55,22 +56,27 @@ def props(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "page_props").select(page_key("page_id").alias("page_id"), "col", "value")
 
 
+def keyword_index(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of all chunks, written once: a search reads them for statistics, dictionary and hits."""
+    return Scratch(spark).put(postings.postings(titled(spark, d)))
+
+
 def bm25_topk(spark, d):
     """Ten best pages of each query by keyword."""
-    index = postings.postings(titled(spark, d))
+    index = keyword_index(spark, d)
     ranked = search.keyword_ranking(index, chunks(spark, d), search.page_filter(slim(spark, d)), postings.query_terms(spark, TEXTS), 10)
     return ranked.select("qid", "page_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_scores(spark, d):
     """Scores of all matching chunks."""
-    return postings.bm25(postings.postings(titled(spark, d)), postings.query_terms(spark, TEXTS))
+    return postings.bm25(keyword_index(spark, d), postings.query_terms(spark, TEXTS))
 
 
 def bm25_filtered(spark, d):
     """Keyword ranking with a time range; statistics stay those of the whole index."""
     allowed = search.page_filter(slim(spark, d), since="2025-01-01", until="2026-01-01")
-    index = postings.postings(titled(spark, d))
+    index = keyword_index(spark, d)
     return search.keyword_ranking(index, chunks(spark, d), allowed, postings.query_terms(spark, TEXTS), 10).select("qid", "page_id", "chunk_id", "score")
 
 
@@ -91,7 +97,7 @@ def knn_int8(spark, d):
 
 def hybrid_search(spark, d):
     """Fused search with relation expansion."""
-    index = postings.postings(titled(spark, d))
+    index = keyword_index(spark, d)
     return search.search(
         spark, TEXTS, example_vectors(spark, d), index, chunks(spark, d), pages(spark, d), vectors(spark, d), relations(spark, d), expand_relations=True
     ).select("qid", F.col("position").cast("long").alias("position"), "page_id", "via", F.round("score", 6).alias("score"))
@@ -99,7 +105,7 @@ def hybrid_search(spark, d):
 
 def keyword_only(spark, d):
     """Hybrid search without a model falls back to keywords."""
-    index = postings.postings(titled(spark, d))
+    index = keyword_index(spark, d)
     return search.search(spark, TEXTS, None, index, chunks(spark, d), pages(spark, d), vectors(spark, d)).select(
         "qid", F.col("position").cast("long").alias("position"), "page_id", "via", F.round("score", 6).alias("score")
     )
@@ -195,8 +201,8 @@ def stale_pages(spark, d):
 
 
 def known_minus_live(spark, d):
-    """Pages of a source that a listing without the properties' pages would bury."""
-    return sync.tombstones(slim(spark, d), props(spark, d).select("page_id")).select("page_id")
+    """Pages of a source that a listing of the pages with relations would bury."""
+    return sync.tombstones(slim(spark, d), relations(spark, d).select(F.col("from_id").alias("page_id"))).select("page_id")
 
 
 def upsert_latest(spark, d):
@@ -310,8 +316,6 @@ def markdown_render(spark, d):
 
 def stream_upsert(spark, d):
     """Batches of page versions through the streaming mirror until all are read; the pages it then holds."""
-    from quillspark.shared import Scratch
-
     schema = T.StructType([T.StructField(n, T.IntegerType() if n == "in_trash" else T.StringType()) for n in ("page_id", "data_source_id", "last_edited_time", "synced_at", "in_trash")])
     src = read(spark, d, "pages").select(page_key("id").alias("page_id"), page_key("data_source_id").alias("data_source_id"), "last_edited_time", "synced_at", "in_trash")
     scratch = Scratch(spark)

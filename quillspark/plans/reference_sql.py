@@ -1,6 +1,6 @@
 """DuckDB statements for the queries of the mirror's own operators."""
 
-from quillspark.functions.scalars import LATIN, LATIN_BASE, match_terms
+from quillspark.functions.scalars import LATIN, LATIN_BASE, keyword_weight, match_terms
 from quillspark.plans.pipeline_sql import CURRENT, key, us
 from quillspark.plans.reference import MODEL, TEXTS
 
@@ -65,6 +65,8 @@ SQL = {
     "bm25_scores": f"WITH {BM25} SELECT qid::BIGINT AS qid, chunk_id, score FROM sc",
     "bm25_topk": bm25_pages("") + " SELECT qid::BIGINT AS qid, page_id, chunk_id, score, rank FROM ranked WHERE rank <= 10",
     "bm25_filtered": bm25_pages(" AND last_edited_time >= '2025-01-01' AND last_edited_time <= '2026-01-01'") + " SELECT qid::BIGINT AS qid, page_id, chunk_id, score FROM ranked WHERE rank <= 10",
+    "keyword_only": bm25_pages("") + """, w AS (SELECT * FROM (VALUES """ + ", ".join(f"({q}, {keyword_weight(t)}::DOUBLE)" for q, t in TEXTS.items()) + """) v(qid, w))
+SELECT ranked.qid::BIGINT AS qid, rank AS position, page_id, 'keyword' AS via, round(round(w / (60 + rank), 9), 6) AS score FROM ranked JOIN w USING (qid) WHERE rank <= 10""",
     "rrf_fusion": f"""WITH {BEST},
 k AS (SELECT qid, page_id, row_number() OVER (PARTITION BY qid ORDER BY k DESC, page_id) AS r FROM best WHERE k IS NOT NULL),
 v AS (SELECT qid, page_id, row_number() OVER (PARTITION BY qid ORDER BY v DESC, page_id) AS r FROM best WHERE v IS NOT NULL)
@@ -97,7 +99,7 @@ SELECT new.page_id, count(*) AS n, count(old.k) AS n_reused FROM new LEFT JOIN o
     "pending_vectors": f"""WITH {CURRENT}, {CHUNKS} SELECT DISTINCT chunk_id, ch.page_id, content_runes FROM ch JOIN cur ON cur.pid = ch.page_id
 WHERE coalesce(in_trash,0) = 0 AND chunk_id NOT IN (SELECT chunk_id FROM vectors WHERE model = '{MODEL}')""",
     "stale_pages": f"WITH {CURRENT} SELECT pid AS page_id, last_edited_time, content_synced FROM cur WHERE coalesce(in_trash,0) = 0 AND (coalesce(content_synced,'') = '' OR content_synced <> last_edited_time)",
-    "known_minus_live": f"""WITH {CURRENT} SELECT pid AS page_id FROM cur WHERE {DS} <> '' AND coalesce(in_trash,0) = 0 AND pid NOT IN (SELECT {key('page_id')} FROM page_props)""",
+    "known_minus_live": f"""WITH {CURRENT}, {RELATIONS} SELECT pid AS page_id FROM cur WHERE {DS} <> '' AND coalesce(in_trash,0) = 0 AND pid NOT IN (SELECT from_id FROM rel)""",
     "upsert_latest": f"""WITH v AS (SELECT {key('id')} AS pid, {DS} AS ds, last_edited_time, synced_at, {us('last_edited_time')} AS t FROM pages),
 f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY pid ORDER BY t, last_edited_time, synced_at, ds) = 1),
 l AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY pid ORDER BY t DESC, last_edited_time DESC, synced_at DESC, ds DESC) = 1)

@@ -20,7 +20,7 @@ FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey
 EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'""",
     "sql_recursive": """WITH RECURSIVE steps(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 20) SELECT n, total FROM steps""",
     "sql_correlated": """SELECT p_partkey, p_brand, p_retailprice FROM part p WHERE p_retailprice > (SELECT avg(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)""",
-    "sql_exists": """SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""",
+    "sql_exists": """SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')""",
     "sql_filter_distinct": """SELECT user_id, count(DISTINCT event_type) AS kinds, count(*) FILTER (WHERE value > 50) AS n_large FROM events GROUP BY user_id""",
     "sql_full_join": """SELECT coalesce(a.user_id, b.custkey) AS id, a.n AS n_events, b.n AS n_orders FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) a
 FULL JOIN (SELECT o_custkey AS custkey, count(*) AS n FROM orders GROUP BY o_custkey) b ON a.user_id = b.custkey""",
