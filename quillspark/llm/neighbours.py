@@ -5,11 +5,12 @@ a query visits until the recall on calibration queries reaches the target.
 
 * The tree is fitted on a bounded sample (``sample_rows``); every row is indexed in its leaf.
 * Best-bin-first pops the most promising node from a priority queue, pushes its children, and goes
-  on until enough leaves are visited. A node's priority is the least similarity to a centre on its
-  path, at equal priority inner nodes come first and then the nearer leaf. As priorities never rise
-  on the way down, leaves leave the queue in order of their priority, so a whole batch of
-  queries is traversed by sorting; :func:`visit_with_queue` is the literal queue and the tests
-  hold one against the other.
+  on until enough leaf centres are reached; the nearest of them are the leaves visited. A node's
+  priority is the least similarity to a centre on its path, at equal priority inner nodes come
+  first and then the nearer leaf. As priorities never rise on the way down, leaves leave the queue
+  in order of their priority, so a whole batch of queries is traversed by sorting;
+  :func:`visit_with_queue` is the literal queue and the tests hold one against the other.
+* A row is indexed in its ``SPILL`` nearest leaves, so that neighbours on two sides of a border meet.
 * Calibration compares a bounded set of queries with all rows and takes the fewest leaves at
   which the target share of true neighbours lies in visited leaves.
 * Exact copies are grouped first, so that however many copies a vector has, it is searched once.
@@ -33,6 +34,10 @@ from quillspark.tables import read
 DIM = 64
 #: Weight of what decides between equal priorities.
 TIE = 1e-10
+#: Leaves each row is indexed in; leaf centres a traversal reaches (or REACH_FACTOR per visited leaf); visits stored with a row.
+SPILL, REACH, REACH_FACTOR, STORED = 2, 128, 4, 16
+#: Widths tried in calibration.
+WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 
 
 @dataclass
@@ -48,52 +53,42 @@ class Tree:
     def leaves(self) -> int:
         return int(self.leaf.max()) + 1
 
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of each unit row: descend to the nearest child."""
-        out = np.zeros(len(x), np.int32)
-        todo = [(0, np.arange(len(x)))]
-        while todo:
-            node, rows = todo.pop()
-            if not len(rows):
-                continue
-            kids = self.children[node]
-            if not kids:
-                out[rows] = self.leaf[node]
-                continue
-            nearest = (x[rows] @ self.centres[kids].T).argmax(1)
-            todo += [(kid, rows[nearest == i]) for i, kid in enumerate(kids)]
-        return out
-
     def order(self, x: np.ndarray, visits: int) -> np.ndarray:
-        """The first ``visits`` leaves of each unit row in best-bin-first order."""
-        near = (x @ self.centres.T).astype(float)
+        """The ``visits`` leaves of each unit row, nearest first, among those best-bin-first reaches first."""
+        near = x @ self.centres.T
         s = near.copy()
-        for node in range(1, len(self.parent)):  # parents come before their children
-            if self.parent[node]:
-                np.minimum(s[:, node], s[:, self.parent[node]], out=s[:, node])
+        depth = np.zeros(len(self.parent), int)
+        for node in range(1, len(depth)):  # parents come before their children
+            depth[node] = depth[self.parent[node]] + 1
+        for level in range(2, depth.max(initial=0) + 1):
+            kids = np.flatnonzero(depth == level)
+            s[:, kids] = np.minimum(s[:, kids], s[:, self.parent[kids]])
         at = np.flatnonzero(self.leaf >= 0)
-        s = s[:, at] + TIE * near[:, at]
+        own = near[:, at]
         visits = min(visits, len(at))
-        if visits < len(at):
-            top = np.argpartition(-s, visits - 1, axis=1)[:, :visits]
+        reach = min(len(at), max(REACH, REACH_FACTOR * visits))
+        if reach < len(at):
+            key = s[:, at].astype(float) + TIE * own
+            top = np.argpartition(-key, reach - 1, axis=1)[:, :reach]
+            own = np.take_along_axis(own, top, 1)
         else:
-            top = np.broadcast_to(np.arange(len(at)), s.shape)
-        by = np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable")
+            top = np.broadcast_to(np.arange(len(at)), own.shape)
+        by = np.argsort(-own, axis=1, kind="stable")[:, :visits]
         return self.leaf[at][np.take_along_axis(top, by, 1)]
 
 
 def visit_with_queue(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
     """Best-bin-first traversal of one query with a priority queue."""
-    near = (q[None, :] @ tree.centres.T).astype(float)[0]
-    queue, out = [(-2.0, 0, 2.0)], []
-    while queue and len(out) < visits:
+    near = (q[None, :] @ tree.centres.T)[0]
+    reach, queue, reached = max(REACH, REACH_FACTOR * visits), [(-2.0, 0, np.float32(2))], []
+    while queue and len(reached) < reach:
         _, node, least = heapq.heappop(queue)
         if tree.leaf[node] >= 0:
-            out.append(int(tree.leaf[node]))
+            reached.append(node)
         for kid in tree.children[node]:
             low = min(least, near[kid])
-            heapq.heappush(queue, (-(low + TIE * (near[kid] if tree.leaf[kid] >= 0 else 1.0)), kid, low))
-    return out
+            heapq.heappush(queue, (-(float(low) + TIE * (float(near[kid]) if tree.leaf[kid] >= 0 else 1.0)), kid, low))
+    return [int(tree.leaf[n]) for n in sorted(reached, key=lambda n: -near[n])[:visits]]
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -158,7 +153,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """``members``: ``id, vid``; ``items``: distinct vectors ``vid, model, vec, leaf``, written to the shared folder."""
+    """``members``: ``id, vid``; ``items``: distinct vectors ``vid, model, vec, near`` (their first leaves), written to the shared folder."""
 
     members: DataFrame
     items: DataFrame
@@ -180,11 +175,12 @@ def build(vectors: DataFrame, leaf_rows: int = 400, sample_rows: int = 40_000) -
 
     def assign(batches):
         for pdf in batches:
-            pdf["leaf"] = tree.assign(unit(_matrix(pdf["vec"]))) if len(pdf) else np.zeros(0, np.int32)
-            yield pdf
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                yield part.assign(near=list(tree.order(unit(_matrix(part["vec"])), STORED)))
 
     items = scratch.put(
-        groups.select("vid", "model", "vec").mapInPandas(assign, "vid long, model string, vec binary, leaf int")
+        groups.select("vid", "model", "vec").mapInPandas(assign, "vid long, model string, vec binary, near array<int>")
     )
     members = vectors.join(groups, ["model", "vec"]).select("id", "vid")
     return Index(members, items, tree, rows, scratch)
@@ -224,7 +220,7 @@ def _best(q: np.ndarray, qid, qmodel, x: np.ndarray, xid, xmodel, k: int, floor:
 
 
 def brute_force(index: Index, queries: pd.DataFrame, k: int, floor: float) -> pd.DataFrame:
-    """Exact neighbours ``vid, nid, cosine, leaf`` of a bounded set of query rows against all rows, in blocks."""
+    """Exact neighbours ``vid, nid, cosine, homes`` (their leaves) of a bounded set of query rows against all rows, in blocks."""
     q, qid, qmodel = _matrix(queries["vec"]), queries["vid"].to_numpy(), queries["model"].to_numpy()
 
     def scan(batches):
@@ -232,13 +228,14 @@ def brute_force(index: Index, queries: pd.DataFrame, k: int, floor: float) -> pd
         for pdf in batches:
             if len(pdf) and len(q):
                 x = _best(q, qid, qmodel, _matrix(pdf["vec"]), pdf["vid"].to_numpy(), pdf["model"].to_numpy(), k, floor)
-                best.append(x.merge(pdf[["vid", "leaf"]].rename(columns={"vid": "nid"}), on="nid"))
+                homes = pd.DataFrame({"nid": pdf["vid"], "homes": [n[:SPILL] for n in pdf["near"]]})
+                best.append(x.merge(homes, on="nid"))
             if len(best) > 8:
                 best = [pd.concat(best).sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)]
         if best:
-            yield pd.concat(best).sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)[["vid", "nid", "cosine", "leaf"]]
+            yield pd.concat(best).sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)[["vid", "nid", "cosine", "homes"]]
 
-    part = index.items.mapInPandas(scan, "vid long, nid long, cosine double, leaf int")
+    part = index.items.mapInPandas(scan, "vid long, nid long, cosine double, homes array<int>")
     w = Window.partitionBy("vid").orderBy(F.desc("cosine"), "nid")
     return part.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r").toPandas()
 
@@ -250,14 +247,16 @@ def calibrate(index: Index, k: int, floor: float, recall: float, queries: int =
     true = brute_force(index, sample, k, floor)
     if not len(true):
         return index.tree.leaves, 1.0
-    order = index.tree.order(unit(_matrix(sample["vec"])), index.tree.leaves)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
-    row = pd.Series(np.arange(len(sample)), index=sample["vid"])
-    at = np.sort(place[row[true["vid"]].to_numpy(), true["leaf"].to_numpy()])
-    need = max(0, math.ceil(recall * len(at)) - 1)
-    visits = int(at[need]) + 1
-    return visits, float((at < visits).mean())
+    x = unit(_matrix(sample["vec"]))
+    row = pd.Series(np.arange(len(sample)), index=sample["vid"])[true["vid"]].to_numpy()
+    homes = [np.asarray(h) for h in true["homes"]]
+    share, width = 0.0, 0
+    for width in (*(w for w in WIDTHS if w < index.tree.leaves), index.tree.leaves):
+        seen = index.tree.order(x, width)
+        share = float(np.mean([np.isin(h, seen[r]).any() for r, h in zip(row, homes)]))
+        if share >= recall:
+            break
+    return width, share
 
 
 def search(index: Index, queries: DataFrame, k: int, floor: float, visits: int, block: int = 4000, chunk: int = 20_000) -> DataFrame:
@@ -265,6 +264,7 @@ def search(index: Index, queries: DataFrame, k: int, floor: float, visits: int,
     tree = index.tree
 
     def traverse(batches):
+        """For more visits than are stored with the rows."""
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
@@ -280,32 +280,38 @@ def search(index: Index, queries: DataFrame, k: int, floor: float, visits: int,
                 )
 
     asked = index.items if queries is index.items else index.items.join(queries.select("vid").distinct(), "vid", "left_semi")
-    probes = asked.select("vid", "model", "vec").mapInPandas(traverse, "leaf int, vid long, model string, vec binary")
+    if visits <= STORED:
+        probes = asked.select(F.explode(F.slice("near", 1, visits)).alias("leaf"), "vid", "model", "vec")
+    else:
+        probes = asked.select("vid", "model", "vec").mapInPandas(traverse, "leaf int, vid long, model string, vec binary")
+    housed = index.items.select(F.explode(F.slice("near", 1, SPILL)).alias("leaf"), "vid", "model", "vec")
     # the number of leaves is bounded by the sample, so are these counts
-    size = {r["leaf"]: r["n"] for r in index.items.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size = {r["leaf"]: r["n"] for r in housed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     asked_rows = asked.count()
     parts = {leaf: -(-n // block) for leaf, n in size.items()}
     chunks = {leaf: max(1, -(-int(asked_rows * visits * n / max(index.rows, 1)) // chunk)) for leaf, n in size.items()}
     plan = index.items.sparkSession.createDataFrame([(x, parts[x], chunks[x]) for x in parts], "leaf int, parts int, chunks int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = index.items.join(F.broadcast(plan), "leaf").select(
+    rows = housed.join(F.broadcast(plan), "leaf").select(
         "leaf", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"), every("chunks").alias("chunk"), "vid", "model", "vec"
     )
     probes = probes.join(F.broadcast(plan), "leaf").select(
-        "leaf", every("parts").alias("part"), F.pmod(F.xxhash64("vid", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), "vid", "model", "vec"
+        "leaf", every("parts").alias("part"), F.pmod(F.xxhash64("vid", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"),
+        F.col("vid").alias("q_vid"), F.col("model").alias("q_model"), F.col("vec").alias("q_vec"),
     )
 
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"vid": np.zeros(0, np.int64), "nid": np.zeros(0, np.int64), "cosine": np.zeros(0)})
         return _best(
-            _matrix(q["vec"]), q["vid"].to_numpy(), q["model"].to_numpy(), _matrix(x["vec"]), x["vid"].to_numpy(), x["model"].to_numpy(), k, floor
+            _matrix(q["q_vec"]), q["q_vid"].to_numpy(), q["q_model"].to_numpy(), _matrix(x["vec"]), x["vid"].to_numpy(), x["model"].to_numpy(), k, floor
         )
 
     keys = ("leaf", "part", "chunk")
     found = probes.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(compare, "vid long, nid long, cosine double")
+    once = found.groupBy("vid", "nid").agg(F.max("cosine").alias("cosine"))  # a pair may meet in several leaves
     w = Window.partitionBy("vid").orderBy(F.desc("cosine"), "nid")
-    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+    return once.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
 
 def expand(index: Index, near: DataFrame, k: int, floor: float) -> DataFrame:
@@ -332,7 +338,7 @@ def expand(index: Index, near: DataFrame, k: int, floor: float) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks with a cosine of at least 0.90, one among the five most similar of the other."""
     index = build(usable(read(spark, sf_dir, "vectors")))
-    visits, _ = calibrate(index, 5, 0.90, recall=0.99)
+    visits, _ = calibrate(index, 5, 0.90, recall=0.998)
     near = search(index, index.items, 5, 0.90, visits)
     return expand(index, near, 5, 0.90).select(
         F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")

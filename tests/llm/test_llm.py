@@ -49,7 +49,7 @@ def test_neighbours(spark):
     data = table(np.random.default_rng(1))
     bad = [(5000, 32, 0.1, b"\x01" * 32, "m1"), (5001, 64, 0.1, bytes(64), "m1"), (5002, 64, 0.1, b"\x01" * 10, "m1"), (None, 64, 0.1, b"\x01" * 64, "m1"), (5003, None, None, None, None)]
     df = spark.createDataFrame(data + data[:50] + bad, "chunk_id long, dim int, scale float, vec binary, model string")
-    index = neighbours.build(neighbours.usable(df.withColumn("vid", F.lit(1)).withColumn("leaf", F.lit(2))), leaf_rows=60, sample_rows=500)
+    index = neighbours.build(neighbours.usable(df.withColumn("vid", F.lit(1)).withColumn("near", F.lit(2))), leaf_rows=60, sample_rows=500)
     assert index.tree.leaves > 4
     visits, recall = neighbours.calibrate(index, 5, 0.9, recall=1.0)
     near = neighbours.search(index, index.items, 5, 0.9, visits, block=50, chunk=80)
@@ -70,14 +70,15 @@ def test_neighbours_empty(spark):
     assert neighbours.expand(index, neighbours.search(index, index.items, 5, 0.9, visits), 5, 0.9).count() == 0
 
 
-def test_best_bin_first_equals_queue():
+def test_best_bin_first_equals_queue(monkeypatch):
     rng = np.random.default_rng(2)
     x = neighbours.unit(rng.normal(size=(600, 64)))
+    monkeypatch.setattr(neighbours, "REACH", 12)
     tree = neighbours.fit(x, 20_000, 200, branching=4)
     q = neighbours.unit(rng.normal(size=(20, 64)))
-    order = tree.order(q, 9)
+    order = tree.order(q, 5)
     for i in range(20):
-        assert order[i].tolist() == neighbours.visit_with_queue(tree, q[i], 9)
+        assert order[i].tolist() == neighbours.visit_with_queue(tree, q[i], 5)
 
 
 # -- p4 -----------------------------------------------------------------------------------------
