@@ -243,10 +243,14 @@ def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep", "n_texts")
 
 
-P10_SQL = f"""WITH shown AS (
+_SHOWN = f"""WITH shown AS (
   SELECT doc_id, text, translate(nfc_normalize(regexp_replace(translate(text,
     '{"".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) != "＇")}＇　{NON_BREAKING}', '{"".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if chr(c) != "＇")}''    '),
-    '[\\p{{Cf}}{UNSEEN}]', '', 'g')), '{CYRILLIC}{GREEK}ѐёїЀЁЇӑӓӗӧӱ', '{CYRILLIC_AS}{GREEK_AS}èëïÈËÏăäĕöÿ') AS look FROM documents),
+    '[\\p{{Cf}}{UNSEEN}]', '', 'g')), '{CYRILLIC}{GREEK}ѐёїЀЁЇӑӓӗӧӱ', '{CYRILLIC_AS}{GREEK_AS}èëïÈËÏăäĕöÿ') AS look FROM documents)"""
+P10_SQL = f"""{_SHOWN},
 classes AS (SELECT look, text, min(doc_id) AS rep FROM shown GROUP BY look, text)
 SELECT DISTINCT least(s.doc_id, c.rep) AS doc_id_a, greatest(s.doc_id, c.rep) AS doc_id_b
 FROM shown s JOIN classes c ON c.look = s.look AND c.text <> s.text"""
+P10_CLASSES_SQL = f"""{_SHOWN},
+n AS (SELECT look, count(DISTINCT text) AS n_texts, min(doc_id) AS class_id FROM shown WHERE text IS NOT NULL GROUP BY look)
+SELECT DISTINCT doc_id, class_id, min(doc_id) OVER (PARTITION BY shown.look, text) AS rep, n_texts FROM shown JOIN n ON n.look = shown.look"""

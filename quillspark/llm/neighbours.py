@@ -338,7 +338,7 @@ def expand(index: Index, near: DataFrame, k: int, floor: float) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks with a cosine of at least 0.90, one among the five most similar of the other."""
     index = build(usable(read(spark, sf_dir, "vectors")))
-    visits, _ = calibrate(index, 5, 0.90, recall=0.998)
+    visits, _ = calibrate(index, 5, 0.90, recall=0.99, queries=4096)
     near = search(index, index.items, 5, 0.90, visits)
     return expand(index, near, 5, 0.90).select(
         F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")
