@@ -11,15 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.shared import hot_keys, salt_of
+from quillspark.shared import hot_keys, salt_of, salts_for
 from quillspark.tables import current_pages, flag, instant_us, month_of_us, page_key, read
 
 
-def merge_parents(refs: DataFrame, parents: DataFrame, key: str, hot: DataFrame, prefix: str, salts: int = 32) -> DataFrame:
+def merge_parents(refs: DataFrame, parents: DataFrame, key: str, hot: DataFrame, prefix: str, salts: int | None = None) -> DataFrame:
     """``refs`` with the columns of ``parents`` (one row per ``key``) under ``prefix``, null if there is none.
 
     ``hot`` has the keys to salt; see :func:`quillspark.shared.hot_keys` for its bound.
     """
+    salts = salts or salts_for(refs.sparkSession)
     h = F.broadcast(hot.select(F.col(key).alias("_hot")))
     left = refs.join(h, refs[key] == F.col("_hot"), "left").withColumn(
         "_salt", F.when(F.col("_hot").isNotNull(), salt_of(*[c for c in refs.columns if c != key], salts=salts)).otherwise(0)

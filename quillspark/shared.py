@@ -74,18 +74,23 @@ class Scratch:
             pass
 
 
+def salts_for(spark: SparkSession) -> int:
+    """Blocks a hot group is cut into: four per shuffle partition, whose number is set to suit the data."""
+    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def salt_of(*cols: Column | str, salts: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 
 
-def running_totals(df: DataFrame, group: list[str], order: list[str], weight: Column, name: str, salts: int = 256) -> DataFrame:
+def running_totals(df: DataFrame, group: list[str], order: list[str], weight: Column, name: str, salts: int | None = None) -> DataFrame:
     """The sum of ``weight`` over the rows before each row of its group, exact, without putting a group into one task.
 
     The order within a group is by (hash salt of ``order``, ``order``): deterministic where
     ``order`` is unique, and balanced for a group that holds a third of all rows. ``df`` is
     read twice: once for the totals per (group, salt), at most groups x salts rows.
     """
-    salted = df.withColumn("_salt", salt_of(*order, salts=salts)).withColumn("_w", weight)
+    salted = df.withColumn("_salt", salt_of(*order, salts=salts or salts_for(df.sparkSession))).withColumn("_w", weight)
     totals = salted.groupBy(*group, "_salt").agg(F.sum("_w").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -94,7 +99,7 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], weight: Co
     return ranked.join(offsets, [*group, "_salt"]).withColumn(name, F.col("_off") + F.col("_rn")).drop("_salt", "_rn", "_off", "_w")
 
 
-def dense_numbers(df: DataFrame, group: list[str], order: list[str], name: str, salts: int = 256) -> DataFrame:
+def dense_numbers(df: DataFrame, group: list[str], order: list[str], name: str, salts: int | None = None) -> DataFrame:
     """Numbers 0..n-1 within each group; see :func:`running_totals`."""
     return running_totals(df, group, order, F.lit(1).cast("long"), name, salts)
 
