@@ -35,7 +35,7 @@ DIM = 64
 #: Weight of what decides between equal priorities.
 TIE = 1e-10
 #: Leaves each row is indexed in; leaf centres a traversal reaches (or REACH_FACTOR per visited leaf); visits stored with a row.
-SPILL, REACH, REACH_FACTOR, STORED = 2, 128, 4, 16
+SPILL, REACH, REACH_FACTOR, STORED = 2, 256, 8, 16
 #: Widths tried in calibration.
 WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 
@@ -241,7 +241,10 @@ def brute_force(index: Index, queries: pd.DataFrame, k: int, floor: float) -> pd
 
 
 def calibrate(index: Index, k: int, floor: float, recall: float, queries: int = 2048) -> tuple[int, float]:
-    """(leaves to visit, recall on the calibration queries at that width)."""
+    """(leaves to visit, recall on the calibration queries at that width).
+
+    The width is one step above the first that reaches ``recall``, as the queries are a sample.
+    """
     share = min(1.0, queries / max(index.rows, 1))
     sample = index.items.filter(F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(1 << 24)) < int((1 << 24) * share)).limit(2 * queries).toPandas()
     true = brute_force(index, sample, k, floor)
@@ -250,11 +253,11 @@ def calibrate(index: Index, k: int, floor: float, recall: float, queries: int =
     x = unit(_matrix(sample["vec"]))
     row = pd.Series(np.arange(len(sample)), index=sample["vid"])[true["vid"]].to_numpy()
     homes = [np.asarray(h) for h in true["homes"]]
-    share, width = 0.0, 0
+    share = 0.0
     for width in (*(w for w in WIDTHS if w < index.tree.leaves), index.tree.leaves):
-        seen = index.tree.order(x, width)
+        enough, seen = share >= recall, index.tree.order(x, width)
         share = float(np.mean([np.isin(h, seen[r]).any() for r, h in zip(row, homes)]))
-        if share >= recall:
+        if enough:
             break
     return width, share
 
