@@ -194,3 +194,14 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.descendants(h.nodes.filter("depth = 0").select("id")).select(
         F.col("ancestor").alias("ancestor_id"), F.col("id").alias("page_id")
     )
+
+
+def p5_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All (ancestor, descendant) pairs of the page trees, inner pages as ancestors too.
+
+    Most ranges are short, so the blocks are small and few points beside a range are tried.
+    """
+    h = build(page_links(spark, sf_dir))
+    return h.descendants(h.nodes.filter("depth >= 0").select("id"), bits=6).select(
+        F.col("ancestor").alias("ancestor_id"), F.col("id").alias("page_id")
+    )
