@@ -111,20 +111,40 @@ def keyword_only(spark, d):
     )
 
 
-def rrf_fusion(spark, d):
-    """Reciprocal rank fusion of the two stored scores of every query, keyword weight by the query's literals."""
-    rows = read(spark, d, "search_results").select(F.col("query_id").alias("qid"), page_key("page_id").alias("page_id"), "query_text", "keyword_score", "vector_score")
+def fused_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Reciprocal rank fusion of the two stored scores of every query; ``weights``: ``qid, w`` of the keyword branch."""
     ok = lambda c: F.when(~F.isnan(c), F.col(c))
     best = rows.groupBy("qid", "page_id").agg(F.max(ok("keyword_score")).alias("k"), F.max(ok("vector_score")).alias("v"))
     rank = lambda c: best.filter(F.col(c).isNotNull()).select(
         "qid", "page_id", F.lit(0).cast("long").alias("chunk_id"), F.col(c).alias("score"),
         F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(c), "page_id")).alias("rank"),
     )
-    w = rows.groupBy("qid").agg(F.lit(X.KEYWORD_WEIGHT).alias("w"))
-    f = search.fuse(rank("k"), rank("v"), w)
+    f = search.fuse(rank("k"), rank("v"), weights)
     return f.select("qid", "page_id", "score", "via")
 
 
+def stored_results(spark, d):
+    return read(spark, d, "search_results").select(F.col("query_id").alias("qid"), page_key("page_id").alias("page_id"), "query_text", "keyword_score", "vector_score")
+
+
+def rrf_fusion(spark, d):
+    """Reciprocal rank fusion of the two stored scores of every query, with the flat keyword weight."""
+    rows = stored_results(spark, d)
+    return fused_scores(rows, rows.groupBy("qid").agg(F.lit(X.KEYWORD_WEIGHT).alias("w")))
+
+
+def rrf_weighted(spark, d):
+    """Reciprocal rank fusion of the two stored scores of every query, keyword weight by the query's literals."""
+    rows = stored_results(spark, d)
+
+    def weigh(batches):
+        for pdf in batches:
+            yield pdf.assign(w=[X.keyword_weight(t) for t in pdf["query_text"]])[["qid", "w"]]
+
+    asked = rows.select("qid", F.coalesce("query_text", F.lit("")).alias("query_text")).distinct()
+    return fused_scores(rows, asked.mapInPandas(weigh, "qid long, w double").groupBy("qid").agg(F.max("w").alias("w")))
+
+
 def page_collapse(spark, d):
     """Best chunk per page and rank of every stored result list, by vector score."""
     rows = read(spark, d, "search_results").filter("vector_score IS NOT NULL AND NOT isnan(vector_score)")
@@ -328,7 +348,7 @@ def stream_upsert(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_scores, bm25_filtered, knn_int8, hybrid_search, keyword_only, rrf_fusion, page_collapse, relation_expand, related_out,
+        bm25_topk, bm25_scores, bm25_filtered, knn_int8, hybrid_search, keyword_only, rrf_fusion, rrf_weighted, page_collapse, relation_expand, related_out,
         recall_linked, catalog_counts, eav_pivot_view, digest_lines, section_chunks, chunk_hash, hash_reuse, pending_vectors, stale_pages,
         known_minus_live, upsert_latest, watermark_slack, canonical_id, accent_fold, json_props_extract, eav_flatten, log_tail, mirror_status,
         knn_exact, quantize_vectors, hit_mrr, markdown_render, stream_upsert,

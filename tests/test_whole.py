@@ -1,6 +1,8 @@
 """Queries that must cover all of their input, against counts in plain Python."""
 
+from quillspark.functions.scalars import carries_literal
 from quillspark.operators import hierarchy
+from quillspark.plans import registry
 
 from .conftest import SMALL
 
@@ -18,3 +20,23 @@ def test_all_descendants(spark):
     got = [tuple(r) for r in hierarchy.p5_all_descendants(spark, SMALL).select("ancestor_id", "page_id").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(parents[a] in parents for a, _ in got)
+
+
+def test_rrf_weights(spark):
+    texts, ranks = {}, {}
+    for r in spark.read.parquet(f"{SMALL}/search_results.parquet").collect():
+        texts[r["query_id"]] = r["query_text"]
+        page = "".join(c for c in r["page_id"].strip().lower() if c != "-")
+        for branch in ("keyword_score", "vector_score"):
+            x = r[branch]
+            if x is not None and x == x:
+                best = ranks.setdefault((r["query_id"], branch), {})
+                best[page] = max(best.get(page, x), x)
+    want = {}
+    for (q, branch), best in ranks.items():
+        w = 1.0 if branch == "vector_score" or carries_literal(texts[q]) else 0.2
+        for n, page in enumerate(sorted(best, key=lambda p: (-best[p], p)), 1):
+            want[q, page] = want.get((q, page), 0) + w / (60 + n)
+    got = {(r["qid"], r["page_id"].replace("-", "")): r["score"] for r in registry.queries()["rrf_weighted"](spark, SMALL).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
+    assert {carries_literal(t) for t in texts.values()} == {True, False}
