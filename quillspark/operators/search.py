@@ -92,6 +92,58 @@ def vector_ranking(
     return collapse(owned.select("qid", "page_id", "chunk_id", "score"), candidates)
 
 
+def block_ranking(
+    vectors: DataFrame, chunks: DataFrame, pages: DataFrame, asked: DataFrame, dim: int, candidates: int, size: int = 1024, part_rows: int = 16384
+) -> DataFrame:
+    """:func:`vector_ranking` for a table of queries (``qid, query``: array of numbers) that grows with the data.
+
+    The stored vectors are divided by page, so that a page's best chunk is found within one part; each block of
+    ``size`` queries meets each part once and keeps its ``candidates`` best pages there.
+    """
+
+    def prepare(batches):
+        for pdf in batches:
+            kept = [(q, *quantize_query(v)) for q, v in zip(pdf["qid"], pdf["query"]) if len(v) == dim]
+            yield pd.DataFrame([(q, s, x.astype(np.int8).tobytes()) for q, s, x in kept], columns=["qid", "q_scale", "q_vec"])
+
+    owners = chunks.select("chunk_id", "page_id").distinct().join(pages.select("page_id").distinct(), "page_id")
+    stored = vectors.filter((F.col("dim") == dim) & (F.octet_length("vec") == dim) & F.col("scale").isNotNull()).select("chunk_id", "scale", "vec")
+    blocks, parts = max(1, -(-asked.count() // size)), max(1, -(-stored.count() // part_rows))
+    queries = asked.mapInPandas(prepare, "qid long, q_scale double, q_vec binary").select(
+        F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "qid", "q_scale", "q_vec"
+    )
+    rows = stored.join(owners, "chunk_id").select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("page_id"), F.lit(parts)).alias("part"),
+        "page_id", "chunk_id", "scale", "vec",
+    )
+
+    def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(x):
+            x = x.sort_values(["page_id", "chunk_id"], ignore_index=True)
+            page, chunk, scale = x["page_id"].to_numpy(), x["chunk_id"].to_numpy(), x["scale"].to_numpy().astype(float)
+            starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+            ends = np.r_[starts[1:], len(page)]
+            # products of int8 are exact as doubles
+            matrix = np.frombuffer(b"".join(x["vec"]), np.int8).reshape(-1, dim).astype(float).T
+            n = min(candidates, len(starts))
+            for at in range(0, len(q), 64):
+                own = q.iloc[at : at + 64]
+                s = np.frombuffer(b"".join(own["q_vec"]), np.int8).reshape(-1, dim).astype(float) @ matrix
+                s = (s * scale[None, :] * own["q_scale"].to_numpy()[:, None]).round(6)
+                top = np.maximum.reduceat(s, starts, axis=1)
+                least = np.partition(top, len(starts) - n, axis=1)[:, len(starts) - n]
+                for i, qid in enumerate(own["qid"]):
+                    pages_ = np.flatnonzero(top[i] >= least[i])
+                    chunks_ = np.array([chunk[starts[p] + s[i, starts[p] : ends[p]].argmax()] for p in pages_])
+                    pick = np.lexsort((chunks_, -top[i, pages_]))[:n]
+                    out.append(pd.DataFrame({"qid": qid, "page_id": page[starts[pages_[pick]]], "chunk_id": chunks_[pick], "score": top[i, pages_[pick]]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": np.zeros(0, np.int64), "page_id": np.zeros(0, str), "chunk_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+    found = queries.groupBy("b", "part").cogroup(rows.groupBy("b", "part")).applyInPandas(best, "qid long, page_id string, chunk_id long, score double")
+    return collapse(found, candidates)
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted reciprocal ranks of two rankings; ``weights``: ``qid, w`` of the keyword branch.
 

@@ -1,8 +1,8 @@
 """Queries that must cover all of their input, against counts in plain Python."""
 
 from quillspark.functions.scalars import carries_literal
-from quillspark.operators import hierarchy
-from quillspark.plans import registry
+from quillspark.operators import hierarchy, search
+from quillspark.plans import reference, registry
 
 from .conftest import SMALL
 
@@ -40,3 +40,16 @@ def test_rrf_weights(spark):
     got = {(r["qid"], r["page_id"].replace("-", "")): r["score"] for r in registry.queries()["rrf_weighted"](spark, SMALL).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
     assert {carries_literal(t) for t in texts.values()} == {True, False}
+
+
+def test_knn_int8_asks_all(spark):
+    stored, owned = reference.vectors(spark, SMALL), reference.chunks(spark, SMALL)
+    allowed = search.page_filter(reference.slim(spark, SMALL))
+    asked = {r["qid"]: r["query"] for r in reference.asked_vectors(stored).collect()}
+    assert asked.keys() == {r["chunk_id"] for r in stored.collect() if r["chunk_id"] % 100 == 0} != set()
+    want = {tuple(r) for r in search.vector_ranking(stored, owned, allowed, asked, reference.DIM, 10).select("qid", "page_id", "chunk_id", "score", "rank").collect()}
+    table = spark.createDataFrame(list(asked.items()), "qid long, query array<double>")
+    for blocks in ({}, {"size": 2, "part_rows": 50}):
+        got = search.block_ranking(stored, owned, allowed, table, reference.DIM, 10, **blocks).select("qid", "page_id", "chunk_id", "score", "rank").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {r["qid"] for r in registry.queries()["knn_int8"](spark, SMALL).collect()} == asked.keys()
