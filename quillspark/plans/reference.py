@@ -187,15 +187,37 @@ def catalog_counts(spark, d):
 
 
 def eav_pivot_view(spark, d):
-    """The generated view of the largest source, as counts per column of the row and property columns."""
-    live = slim(spark, d)
-    top = live.filter("data_source_id <> ''").groupBy("data_source_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "data_source_id").first()[0]
-    schema = sources(spark, d).filter(F.col("source_id") == top).first()["schema_json"]
+    """The generated views of all sources in long form: every non-null cell of the row and property columns.
+
+    ``number`` holds the cells of columns declared as numbers, ``value`` all others. Pages and properties are written
+    once, divided by source, so that each view reads its own only.
+    """
     own = spark.newSession()
     own.conf.set("spark.sql.caseSensitive", "true")
-    view = flatten.wide_view(pages(own, d), props(own, d), top, [(c, "text") for c, _ in flatten.schema_columns(schema)])
-    titles = view.select(F.col("id").alias("page_id"), F.col(view.columns[-1]).alias("last_column"))
-    return titles
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    schemas = sorted(tuple(r) for r in sources(own, d).groupBy("source_id").agg(F.max("schema_json")).collect())
+    number = own.createDataFrame([(s, i) for i, (s, _) in enumerate(schemas)], "data_source_id string, s int")
+    root = Scratch(own).root
+
+    def divided(df: DataFrame, name: str) -> DataFrame:
+        df.repartition("s", F.pmod(F.xxhash64("page_id"), F.lit(4))).write.partitionBy("s").parquet(f"{root}/{name}")
+        return own.read.parquet(f"{root}/{name}")
+
+    rows = divided(pages(own, d).join(F.broadcast(number), "data_source_id"), "pages")
+    cells = divided(props(own, d).join(rows.select("page_id", "s"), "page_id"), "cells")
+    out = None
+    for i, (source, schema) in enumerate(schemas):
+        columns = flatten.schema_columns(schema)
+        kinds = dict(columns)
+        view = flatten.wide_view(rows.filter(F.col("s") == i), cells.filter(F.col("s") == i), source, columns)
+        of = lambda c, numeric, kind: (F.col(flatten.quote(c)) if numeric else F.lit(None)).cast(kind)
+        cell = [
+            F.struct(F.lit(c).alias("col"), of(c, kinds.get(c) != "number", "string").alias("value"), of(c, kinds.get(c) == "number", "double").alias("number"))
+            for c in view.columns
+        ]
+        long = view.select(F.lit(source).alias("source_id"), F.col("id").alias("page_id"), F.explode(F.array(*cell)).alias("c"))
+        out = long if out is None else out.unionByName(long)
+    return out.select("source_id", "page_id", "c.*").filter("value IS NOT NULL OR number IS NOT NULL")
 
 
 def digest_lines(spark, d):

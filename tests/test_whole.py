@@ -1,7 +1,7 @@
 """Queries that must cover all of their input, against counts in plain Python."""
 
 from quillspark.functions.scalars import carries_literal
-from quillspark.operators import hierarchy, search
+from quillspark.operators import flatten, hierarchy, search
 from quillspark.plans import reference, registry
 
 from .conftest import SMALL
@@ -53,3 +53,29 @@ def test_knn_int8_asks_all(spark):
         got = search.block_ranking(stored, owned, allowed, table, reference.DIM, 10, **blocks).select("qid", "page_id", "chunk_id", "score", "rank").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert {r["qid"] for r in registry.queries()["knn_int8"](spark, SMALL).collect()} == asked.keys()
+
+
+def test_eav_pivot_all_sources(spark):
+    schemas = {r["source_id"]: dict(flatten.schema_columns(r["schema_json"])) for r in reference.sources(spark, SMALL).collect()}
+    live = {r["page_id"]: r for r in reference.pages(spark, SMALL).collect() if not r["in_trash"] and not r["archived"] and r["data_source_id"] in schemas}
+    want = {}
+    for p, r in live.items():
+        for c in flatten.ROW_COLUMNS:
+            x = p if c == "id" else r[c]
+            if x is not None and c not in schemas[r["data_source_id"]]:
+                want[p, c] = x
+    for r in reference.props(spark, SMALL).collect():
+        kind = schemas[live[r["page_id"]]["data_source_id"]].get(r["col"]) if r["page_id"] in live else None
+        if kind and r["value"] is not None:
+            x = r["value"]
+            if kind == "number":
+                try:
+                    x = float(x)
+                except ValueError:
+                    continue
+            at = (r["page_id"], r["col"])
+            want[at] = max(want.get(at, x), x)
+    got = registry.queries()["eav_pivot_view"](spark, SMALL).collect()
+    assert {(r["page_id"], r["col"]): r["value"] if r["number"] is None else r["number"] for r in got} == want and len(got) == len(want)
+    assert all(live[r["page_id"]]["data_source_id"] == r["source_id"] for r in got)
+    assert any(r["number"] is not None for r in got) and len({r["source_id"] for r in got}) > 1
