@@ -11,29 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.shared import hot_keys, salt_of, salts_for
+from quillspark.shared import heavy_keys, spread_join
 from quillspark.tables import current_pages, flag, instant_us, month_of_us, page_key, read
 
 
-def merge_parents(refs: DataFrame, parents: DataFrame, key: str, hot: DataFrame, prefix: str, salts: int | None = None) -> DataFrame:
+def merge_parents(refs: DataFrame, parents: DataFrame, key: str, heavy: DataFrame, prefix: str) -> DataFrame:
     """``refs`` with the columns of ``parents`` (one row per ``key``) under ``prefix``, null if there is none.
 
-    ``hot`` has the keys to salt; see :func:`quillspark.shared.hot_keys` for its bound.
+    ``heavy`` has the keys to spread; see :func:`quillspark.shared.heavy_keys` for its bound.
     """
-    salts = salts or salts_for(refs.sparkSession)
-    h = F.broadcast(hot.select(F.col(key).alias("_hot")))
-    left = refs.join(h, refs[key] == F.col("_hot"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), salt_of(*[c for c in refs.columns if c != key], salts=salts)).otherwise(0)
-    ).drop("_hot")
-    right = parents.join(h, parents[key] == F.col("_hot"), "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("_hot")
-    right = right.select(
-        F.col(key).alias("_key"), F.col("_salt").alias("_psalt"), *[F.col(c).alias(prefix + c) for c in parents.columns if c != key]
-    )
-    return left.join(right.hint("merge"), (left[key] == right["_key"]) & (left["_salt"] == right["_psalt"]), "left").drop(
-        "_key", "_salt", "_psalt"
-    )
+    named = parents.select(key, *[F.col(c).alias(prefix + c) for c in parents.columns if c != key])
+    return spread_join(refs, named, key, heavy, "left", "merge")
 
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -47,11 +35,11 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     Empty tables give an empty result, or all references as missing.
     """
     spelled = refs.select(page_key("from_id").alias("from_id"), "prop", page_key("to_id").alias("to_id")).filter("to_id <> ''").distinct()
-    total = refs.count()
+    total = refs.count()  # of the file's footers
     p = parents.select("page_id", "valid_from", "deleted", "edited", F.lit(True).alias("known"))
     from_side = p.select(F.col("page_id").alias("from_id"), "known", "deleted", "edited")
     to_side = p.select(F.col("page_id").alias("to_id"), "known", "deleted", "valid_from")
-    hot_from, hot_to = (hot_keys(refs.select(page_key(k).alias(k)), k, total) for k in ("from_id", "to_id"))
+    hot_from, hot_to = (heavy_keys(refs.select(page_key(k).alias(k)), k, total) for k in ("from_id", "to_id"))
     both = merge_parents(merge_parents(spelled, from_side, "from_id", hot_from, "f_"), to_side, "to_id", hot_to, "t_")
 
     def state(prefix: str) -> Column:

@@ -63,7 +63,8 @@ below AS (SELECT ancestor, count(*) - 1 AS n FROM up GROUP BY ancestor)
 SELECT t.pid AS page_id, t.path, b.n AS n_descendants FROM tree t JOIN below b ON b.ancestor = t.pid"""
 
 P5_DESCENDANTS = f"""{_FOREST}
-SELECT root_id AS ancestor_id, pid AS page_id FROM tree WHERE depth > 0"""
+, up AS (SELECT pid, unnest(string_split(path,'/')) AS ancestor FROM tree)
+SELECT ancestor AS ancestor_id, pid AS page_id FROM up WHERE ancestor <> pid"""
 
 NUMBER = r"\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(T([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.,][0-9]+)?)?(Z|[+-]([01][0-9]|2[0-3]):?[0-5][0-9]))?"

@@ -15,7 +15,6 @@ def queries():
         "p5_found": hierarchy.p5_found,
         "p5_paths": hierarchy.p5_paths,
         "p5_descendants": hierarchy.p5_descendants,
-        "p5_all_descendants": hierarchy.p5_all_descendants,
         "p6_found": orphans.p6_found,
         "p6_report": orphans.p6_report,
     } | reference.QUERIES | relational.QUERIES

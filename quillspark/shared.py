@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,10 +54,20 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
-    def bucket(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
-        """Write ``df`` as a table bucketed and sorted by ``key``: aggregates and joins on the key need no exchange."""
+    def put_counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """:meth:`put` and the number of rows, counted while they are written."""
+        seen = Observation()
+        out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, seen.get["n"]
+
+    def bucket(self, df: DataFrame, key: str, buckets: int, by: str | None = None) -> DataFrame:
+        """Write ``df`` as a table bucketed and sorted by ``key``: aggregates and joins on the key need no exchange.
+
+        ``by`` divides it into folders besides, so that a filter on it reads only its own files.
+        """
         name = f"quillspark_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", f"{self.root}/{name}").saveAsTable(name)
+        writer = df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", f"{self.root}/{name}")
+        (writer.partitionBy(by) if by else writer).saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name)
 
@@ -104,9 +114,28 @@ def dense_numbers(df: DataFrame, group: list[str], order: list[str], name: str,
     return running_totals(df, group, order, F.lit(1).cast("long"), name, salts)
 
 
-def hot_keys(df: DataFrame, key: str, total: int, share: float = 0.001, least: int = 50_000) -> DataFrame:
-    """Keys that hold more than ``share`` of ``total`` rows (and more than ``least``).
+def heavy_keys(df: DataFrame, key: str, total: int, pieces: int | None = None) -> DataFrame:
+    """``_hot, _parts``: the keys that hold more than 1 / ``pieces`` of ``total`` rows, and into how many parts they are cut.
+
+    Fewer than ``pieces`` keys can, and their parts sum up to less than twice ``pieces``; it follows the number of
+    shuffle partitions (:func:`salts_for`), so the table may be broadcast at every size of the data.
+    """
+    size = max(total / (pieces or salts_for(df.sparkSession)), 1)
+    counts = df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+    return counts.filter("_hot IS NOT NULL").select("_hot", F.ceil(F.col("_n") / size).cast("int").alias("_parts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, how: str = "inner", hint: str | None = None) -> DataFrame:
+    """``left`` joined with ``right`` (one row per ``key``, no other column in common) on ``key``, heavy keys in parts.
 
-    Fewer than ``1 / share`` keys can, which bounds the result whatever the data's size.
+    ``heavy`` is what :func:`heavy_keys` says of ``left``. The rows of a heavy key spread over its parts by their
+    other columns, and the one right row is copied to each part, so no task gets a whole hot key.
     """
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(total * share, least)).select(key)
+    h = F.broadcast(heavy)
+    rest = [c for c in left.columns if c != key] or [key]
+    spread = left.join(h, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*rest), "_parts"), F.lit(0)).cast("int"))
+    copies = right.join(h, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    )
+    copies = copies.drop("_hot", "_parts")
+    return spread.drop("_hot", "_parts").join(copies.hint(hint) if hint else copies, [key, "_part"], how).drop("_part")

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from quillspark.operators import hierarchy, incremental, orphans, wide
-from quillspark.shared import dense_numbers, hot_keys
+from quillspark.shared import dense_numbers, heavy_keys, spread_join
 
 from .conftest import rows
 
@@ -167,12 +167,18 @@ def test_orphans(spark):
 
 
 def test_salted_merge(spark):
-    refs = spark.createDataFrame([(f"r{i}", "hot" if i % 3 else f"k{i}") for i in range(60)], "ref string, key string")
+    refs = spark.createDataFrame([(f"r{i}", "hot" if i % 3 else f"k{i}") for i in range(60)] + [("n", None)], "ref string, key string")
     parents = spark.createDataFrame([("hot", 1), ("k3", 2)], "key string, w int")
-    hot = hot_keys(refs, "key", 60, share=0.1, least=5)
-    assert rows(hot) == [("hot",)]
-    got = orphans.merge_parents(refs, parents, "key", hot, "p_", salts=4)
-    assert got.count() == 60 and got.filter("p_w IS NULL").count() == 19
+    heavy = heavy_keys(refs, "key", 60, pieces=10)
+    assert rows(heavy) == [("hot", 7)]
+    got = orphans.merge_parents(refs, parents, "key", heavy, "p_")
+    assert got.count() == 61 and got.filter("p_w IS NULL").count() == 20
+    inner = spread_join(refs, parents, "key", heavy)
+    assert inner.count() == 41
+    # a key of two thirds of the rows is spread over its parts
+    parts = inner.select("ref", "key").filter("key = 'hot'").count() / 7
+    salted = refs.join(heavy, refs["key"] == heavy["_hot"]).selectExpr("pmod(xxhash64(ref), _parts) AS p").groupBy("p").count()
+    assert salted.count() > 3 and salted.agg({"count": "max"}).collect()[0][0] < 3 * parts
 
 
 def test_dense_numbers(spark):
