@@ -1,9 +1,10 @@
 """Attribute-value rows into wide tables with typed columns (p2).
 
 Method: column-block pivoting. The attributes are divided into blocks; the cells are written
-once as a table bucketed by entity in the shared folder, pivoted block by block without
-another exchange, and the blocks are joined on the entity, again without one, because all of
-them have the same bucketing.
+once in the shared folder as a table divided by block and bucketed by entity, so that each block
+reads its own files only; it is pivoted without another exchange, and the blocks are joined on
+the entity, again without one, because all of them have the same bucketing. Next to the value of a
+cell its flag is pivoted, which says whether a value didn't fit and whether values differ.
 """
 
 from __future__ import annotations
@@ -81,39 +82,52 @@ def fits(c: Column, kind: str) -> Column:
     return F.lit(True)
 
 
-def cell_stats(props: DataFrame, entity: str, attribute: str, value: str) -> DataFrame:
+def cell_stats(props: DataFrame, entity: str, attribute: str, value: str, may: DataFrame) -> DataFrame:
     """One row per (entity, attribute): per class the least and greatest value that fits, and whether one doesn't.
 
-    Everything is a minimum or maximum, so repeated rows and hot attributes or entities are
-    combined before the shuffle. An empty or null value leaves all of them null. Two values
-    that fit differ exactly if least and greatest do.
+    ``may`` (``col, classes``: bits in the order of CLASSES) says which classes an attribute has anywhere; the others
+    stay null, and an attribute it doesn't name has none. Everything is a minimum or maximum, so repeated rows and
+    hot attributes or entities are combined before the shuffle. An empty or null value leaves all of them null. Two
+    values that fit differ exactly if least and greatest do.
     """
     v = F.when(F.col(value) != "", F.col(value))
-    rows = props.filter(F.col(attribute).isNotNull()).select(
-        page_key(entity).alias("entity"), F.col(attribute).alias("col"), v.alias("v"), as_number(v).alias("num")
-    )
-    rows = rows.select(
-        "entity", "col", "v", "num",
-        *[F.when(F.col("v").isNotNull(), F.col("num").isNotNull() if k == "number" else fits(F.col("v"), k)).alias(f"{k}_ok") for k in CLASSES if k != "text"],
-    )
+    rows = props.filter(F.col(attribute).isNotNull()).select(page_key(entity).alias("entity"), F.col(attribute).alias("col"), v.alias("v"))
+    rows = rows.join(F.broadcast(may), "col", "left")
+    of = {k: F.coalesce(F.col("classes").bitwiseAND(1 << i) != 0, F.lit(False)) & F.col("v").isNotNull() for i, k in enumerate(CLASSES)}
+    rows = rows.select("entity", "col", "v", F.when(of["text"], F.col("v")).alias("text_v"), F.when(of["number"], as_number(F.col("v"))).alias("num"), *[
+        F.when(of[k], F.lit(True) if k == "number" else fits(F.col("v"), k)).alias(f"{k}_ok") for k in CLASSES if k != "text"
+    ])
     aggs = []
     for kind in CLASSES:
         if kind == "text":
-            shown, bad = F.col("v"), F.lit(False)
+            shown, bad = F.col("text_v"), F.lit(False)
+        elif kind == "number":
+            shown, bad = F.col("num"), F.coalesce(F.max(F.col("number_ok") & F.col("num").isNull()), F.lit(False))
         else:
-            shown = F.col("num") if kind == "number" else F.when(F.col(f"{kind}_ok"), F.col("v"))
-            bad = F.coalesce(F.max(~F.col(f"{kind}_ok")), F.lit(False))
+            shown, bad = F.when(F.col(f"{kind}_ok"), F.col("v")), F.coalesce(F.max(~F.col(f"{kind}_ok")), F.lit(False))
         aggs += [F.min(shown).alias(f"{kind}_min"), F.max(shown).alias(f"{kind}_max"), bad.alias(f"{kind}_bad")]
     return rows.groupBy("entity", "col").agg(*aggs)
 
 
 @dataclass
 class WideTable:
-    """``rows``: ``entity, source_id, c0 .. cN, issues``; ``columns``: the (col, class) of each ``c``."""
+    """``rows``: ``entity, source_id, c0 .. cN, f0 .. fN, strays``; ``columns``: the (col, class) of each ``c``.
+
+    ``f``: 1 if some value of the cell didn't fit, 2 if values that do differ, 3 if both; null or 0 if neither.
+    """
 
     rows: DataFrame
     columns: list[tuple[str, str]]
 
+    def issues(self) -> DataFrame:
+        """``entity, col, kind`` of the cells with a flag and of the attributes the source doesn't declare."""
+        flagged = F.array(*[F.struct(F.lit(c).alias("col"), F.coalesce(f"f{i}", F.lit(0)).alias("flag")) for i, (c, _) in enumerate(self.columns)])
+        kinds = F.array(F.struct(F.lit(1).alias("bit"), F.lit("mistyped").alias("kind")), F.struct(F.lit(2).alias("bit"), F.lit("conflict").alias("kind")))
+        cells = self.rows.select("entity", F.explode(F.filter(flagged, lambda x: x["flag"] > 0)).alias("x")).select("entity", "x.col", "x.flag", F.explode(kinds).alias("k"))
+        found = cells.filter(F.col("flag").bitwiseAND(F.col("k.bit")) != 0).select("entity", "col", F.col("k.kind").alias("kind"))
+        strays = self.rows.select("entity", F.explode("strays").alias("col"), F.lit("undeclared").alias("kind"))
+        return found.unionByName(strays) if self.columns else strays
+
     def of_source(self, source_id: str, names: list[tuple[str, str]]) -> DataFrame:
         """The table of one source with its own column names (exact in letter case)."""
         at = {x: k for k, x in enumerate(self.columns)}
@@ -137,11 +151,11 @@ def widen(
     ``entities``: ``entity, source_id``; an entity without rows still comes out, with nulls.
     ``schema``: ``source_id, col, class`` (its distinct (col, class) pairs are the columns of
     the wide table and must fit the driver, as they must fit one row). A cell holds the
-    greatest value that fits, as double for numbers and as text else. ``issues`` lists
-    (col, kind): ``mistyped`` if some value doesn't fit, ``conflict`` if two different ones
-    do, ``undeclared`` for attributes the source doesn't declare; these never become columns,
-    however many there are. Rows of unknown entities, null attributes, null and empty values
-    give no cell; empty tables give an empty result; other columns of the inputs are ignored.
+    greatest value that fits, as double for numbers and as text else, and its flag tells values
+    that don't fit and values that differ (:class:`WideTable`). ``strays`` lists the attributes the source
+    doesn't declare; these never become columns, however many there are. Rows of unknown entities, null
+    attributes, null and empty values give no cell; empty tables give an empty result; other columns of the
+    inputs are ignored.
     """
     spark = props.sparkSession
     n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -150,8 +164,12 @@ def widen(
         [(c, k, i) for i, (c, k) in enumerate(columns)], "col string, class string, slot int"
     )
     slots = schema.join(F.broadcast(index), ["col", "class"])
-    stats = cell_stats(props, entity, attribute, value)
-    cells = entities.select("entity", "source_id").join(stats, "entity", "left").join(slots, ["source_id", "col"], "left")
+    classes: dict[str, int] = {}
+    for c, k in columns:
+        classes[c] = classes.get(c, 0) | 1 << CLASSES.index(k)
+    may = spark.createDataFrame(sorted(classes.items()), "col string, classes int")
+    stats = cell_stats(props, entity, attribute, value, may)
+    cells = entities.select("entity", "source_id").join(stats, "entity").join(slots, ["source_id", "col"], "left")
 
     def pick(what: str) -> Column:
         out = F.lit(None)
@@ -162,45 +180,31 @@ def widen(
     differ = F.lit(False)
     for kind in CLASSES:
         differ = F.when(F.col("class") == kind, F.col(f"{kind}_min") != F.col(f"{kind}_max")).otherwise(differ)
-    cells = cells.select(
+    flag = F.when(F.coalesce(pick("bad"), F.lit(False)), 1).otherwise(0) + F.when(F.coalesce(differ, F.lit(False)), 2).otherwise(0)
+    filled = cells.select(
         "entity",
-        "source_id",
+        F.lit(None).cast("string").alias("source_id"),
         "slot",
         F.when(F.col("class") == "number", F.col("number_max")).alias("num"),
         F.when(F.col("class") != "number", pick("max")).alias("txt"),
-        F.coalesce(pick("bad"), F.lit(False)).alias("bad"),
-        F.coalesce(differ, F.lit(False)).alias("differ"),
+        F.when(F.col("slot").isNotNull(), flag).alias("flag"),
         F.when(F.col("slot").isNull(), F.col("col")).alias("stray"),
+        F.coalesce(F.floor(F.col("slot") / block), F.lit(-1)).cast("int").alias("block"),
     )
-    kept = Scratch(spark).bucket(cells, "entity", n)
-    entry = "array<struct<col:string,kind:string>>"
-    # the first block also carries what there is once per entity, so that it reads every row
-    wide = kept.groupBy("entity").agg(F.max("source_id").alias("source_id"), F.collect_list("stray").alias("_stray"))
+    # block -1 has one row for every entity, and its strays
+    own = entities.select(
+        "entity", "source_id", *[F.lit(None).cast(t).alias(c) for c, t in (("slot", "int"), ("num", "double"), ("txt", "string"), ("flag", "int"), ("stray", "string"))], F.lit(-1).alias("block")
+    )
+    kept = Scratch(spark).bucket(filled.unionByName(own).repartition(n, "entity"), "entity", n, by="block")
+    wide = kept.filter("block = -1").groupBy("entity").agg(F.max("source_id").alias("source_id"), F.collect_list("stray").alias("strays"))
     for at in range(0, len(columns), block):
         names = columns[at : at + block]
-        aggs = [
-            F.max(F.when(F.col("slot") == at + i, F.col("num" if kind == "number" else "txt"))).alias(f"c{at + i}")
-            for i, (_, kind) in enumerate(names)
-        ]
-        found = F.collect_list(F.when(F.col("bad") | F.col("differ"), F.struct("slot", "bad", "differ"))).alias(f"_f{at}")
-        part = kept.filter((F.col("slot") >= at) & (F.col("slot") < at + block)).groupBy("entity").agg(*aggs, found)
-        wide = wide.join(part, "entity", "left")
-    labels = F.array(*[F.lit(c) for c, _ in columns]) if columns else F.array().cast("array<string>")
-
-    def kinds(x: Column) -> Column:
-        name = F.get(labels, x["slot"])
-        return F.concat(
-            F.when(x["bad"], F.array(F.struct(name.alias("col"), F.lit("mistyped").alias("kind")))).otherwise(F.array().cast(entry)),
-            F.when(x["differ"], F.array(F.struct(name.alias("col"), F.lit("conflict").alias("kind")))).otherwise(F.array().cast(entry)),
-        )
-
-    none = F.array().cast(entry)
-    parts = [F.coalesce(F.flatten(F.transform(f"_f{at}", kinds)), none) for at in range(0, len(columns), block)]
-    parts.append(
-        F.coalesce(F.transform("_stray", lambda c: F.struct(c.alias("col"), F.lit("undeclared").alias("kind"))), none)
-    )
-    rows = wide.select("entity", "source_id", *[f"c{i}" for i in range(len(columns))], F.concat(*parts).alias("issues"))
-    return WideTable(rows, columns)
+        aggs = []
+        for i, (_, kind) in enumerate(names):
+            here = F.col("slot") == at + i
+            aggs += [F.max(F.when(here, F.col("num" if kind == "number" else "txt"))).alias(f"c{at + i}"), F.max(F.when(here, F.col("flag"))).alias(f"f{at + i}")]
+        wide = wide.join(kept.filter(F.col("block") == at // block).groupBy("entity").agg(*aggs), "entity", "left")
+    return WideTable(wide.select("entity", "source_id", *[f"{x}{i}" for x in "cf" for i in range(len(columns))], "strays"), columns)
 
 
 def wide_pages(spark: SparkSession, sf_dir: str, block: int = 16) -> WideTable:
@@ -215,20 +219,16 @@ def wide_pages(spark: SparkSession, sf_dir: str, block: int = 16) -> WideTable:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of pages of a source that are undeclared, mistyped or in conflict with themselves."""
-    return wide_pages(spark, sf_dir).rows.select(F.col("entity").alias("page_id"), F.explode("issues").alias("x")).select(
-        "page_id", "x.col", "x.kind"
-    )
+    return wide_pages(spark, sf_dir).issues().withColumnRenamed("entity", "page_id")
 
 
 def p2_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per page of a source: its declared, filled cells as JSON text in order of column."""
+    """One row per page of a source: its filled text cells as ``column=value`` lines in order of column, the number of
+    filled number cells and the greatest of them."""
     w = wide_pages(spark, sf_dir)
-    cells = [
-        F.when(F.col(f"c{i}").isNotNull(), F.struct(F.lit(c).alias("col"), F.col(f"c{i}").cast("string").alias("value")))
-        for i, (c, _) in enumerate(w.columns)
-    ]
+    texts = [F.concat(F.lit(c + "="), f"c{i}") for i, (c, k) in enumerate(w.columns) if k != "number"]
+    numbers = F.array_compact(F.array(F.lit(None).cast("double"), *[F.col(f"c{i}") for i, (_, k) in enumerate(w.columns) if k == "number"]))
     return w.rows.select(
-        F.col("entity").alias("page_id"),
-        "source_id",
-        F.transform(F.filter(F.array(*cells), lambda x: x.isNotNull()), lambda x: F.to_json(x)).alias("cells"),
-    ).select("page_id", "source_id", F.array_join("cells", "\n").alias("cells"), F.size("cells").alias("n_cells"))
+        F.col("entity").alias("page_id"), "source_id", F.concat_ws("\n", *texts).alias("texts"),
+        F.size(numbers).cast("long").alias("n_numbers"), F.array_max(numbers).alias("greatest"),
+    )

@@ -94,3 +94,9 @@ P2 = f"""{_CELLS}
 SELECT DISTINCT pid AS page_id, col, 'undeclared' AS kind FROM tv WHERE NOT declared
 UNION ALL SELECT DISTINCT pid, col, 'mistyped' FROM tv WHERE declared AND value IS NOT NULL AND NOT ok
 UNION ALL SELECT pid, col, 'conflict' FROM tv WHERE declared AND value IS NOT NULL AND ok GROUP BY pid, col HAVING count(DISTINCT shown) > 1"""
+
+P2_WIDE = f"""{_CELLS},
+fit AS (SELECT pid, col, t = 'number' AS n, max(CASE WHEN t = 'number' THEN try_cast(trim(value) AS double) END) AS num, max(value) AS txt
+  FROM tv WHERE declared AND value IS NOT NULL AND ok GROUP BY pid, col, t)
+SELECT cur.pid AS page_id, {key('data_source_id')} AS source_id, coalesce(string_agg(col || '=' || txt, chr(10) ORDER BY encode(col)) FILTER (NOT n), '') AS texts,
+  count(num) AS n_numbers, max(num) AS greatest FROM cur LEFT JOIN fit ON fit.pid = cur.pid WHERE {key('data_source_id')} <> '' GROUP BY ALL"""

@@ -24,6 +24,7 @@ def oracle_sql():
     return {
         "p1_found": sql.P1,
         "p2_found": sql.P2,
+        "p2_wide": sql.P2_WIDE,
         "p5_found": sql.P5,
         "p5_paths": sql.P5_PATHS,
         "p5_descendants": sql.P5_DESCENDANTS,
