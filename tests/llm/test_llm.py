@@ -93,13 +93,13 @@ def flows_by_pairs(values, p):
     return [sum(pref(a - b) - pref(b - a) for b in pct) / (n - 1) for a in pct]
 
 
-@pytest.mark.parametrize("block", [5, 100_000])
-def test_outranking(spark, block):
+@pytest.mark.parametrize("pieces", [1, 30])
+def test_outranking(spark, pieces):
     rng = random.Random(4)
     data = [(q, f"i{k}", rng.choice([None, float("nan"), rng.randrange(6) * 1.0]), rng.choice([None, rng.random() ** 4 * 1e6])) for q in (1, 2) for k in range(25)]
     data += [(3, "only", 1.0, None), (4, "none", None, None), (None, "x", 1.0, 1.0), (1, None, 1.0, 1.0), data[0]]
     df = spark.createDataFrame(data, "q long, item string, a double, b double").withColumn("flow", F.lit(9)).withColumn("n", F.lit(9))
-    got = {(r["q"], r["item"]): r for r in outranking.rank_items(df, "q", "item", {"a": 1.0, "b": 3.0}, block=block).collect()}
+    got = {(r["q"], r["item"]): r for r in outranking.rank_items(df, "q", "item", {"a": 1.0, "b": 3.0}, pieces=pieces).collect()}
     assert len(got) == 52
     for q in (1, 2, 3, 4):
         items = sorted({i for x, i, *_ in data if x == q and i})
