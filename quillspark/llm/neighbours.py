@@ -1,142 +1,148 @@
 """Most similar vectors for every vector (p3).
 
-Method: a hierarchical k-means tree with best-bin-first traversal, widening the number of leaves
-a query visits until the recall on calibration queries reaches the target.
-
-* The tree is fitted on a bounded sample (``sample_rows``); every row is indexed in its leaf.
-* Best-bin-first pops the most promising node from a priority queue, pushes its children, and goes
-  on until enough leaf centres are reached; the nearest of them are the leaves visited. A node's
-  priority is the least similarity to a centre on its path, at equal priority inner nodes come
-  first and then the nearer leaf. As priorities never rise on the way down, leaves leave the queue
-  in order of their priority, so a whole batch of queries is traversed by sorting;
-  :func:`visit_with_queue` is the literal queue and the tests hold one against the other.
-* A row is indexed in its ``SPILL`` nearest leaves, so that neighbours on two sides of a border meet.
-* Calibration compares a bounded set of queries with all rows and takes the fewest leaves at
-  which the target share of true neighbours lies in visited leaves.
+Method: a hierarchical k-means tree with best-bin-first traversal through a priority queue, widening the
+visits until calibrated recall is reached.
+
+* The upper levels of the tree are fitted on a bounded sample (``sample_rows``) and sent to all tasks; their
+  leaves are buckets. Within a bucket the tree goes on over all of its rows, built where the bucket is
+  searched, down to leaves of ``LEAF_ROWS`` rows, so leaves don't grow with the data.
+* Best-bin-first: a query goes down to the nearest leaf and puts the branches it passes by into its priority
+  queue; the nearest branch in the queue is gone down next, until enough leaves are visited. A batch of queries
+  is traversed at once, each with a queue of its own; a node's centres are compared only with the queries that open it.
+* Rows are stored in their ``homes`` nearest buckets and queries visit their ``visits`` nearest ones, by the same
+  traversal. The widths are calibrated on a bounded set of queries that are compared with all rows; within a bucket
+  on a bounded set of its queries that are compared with all rows of the bucket.
 * Exact copies are grouped first, so that however many copies a vector has, it is searched once.
-* Rows of a leaf are split into blocks of bounded size, and so are the queries that visit it.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.shared import Scratch
 from quillspark.tables import read
 
 DIM = 64
-#: Weight of what decides between equal priorities.
-TIE = 1e-10
-#: Leaves each row is indexed in; leaf centres a traversal reaches (or REACH_FACTOR per visited leaf); visits stored with a row.
-SPILL, REACH, REACH_FACTOR, STORED = 2, 256, 8, 16
+#: Rows of a bucket and of a leaf that the tree aims at; smallest ids kept of a group of copies (one more than are asked for).
+BUCKET_ROWS, LEAF_ROWS, LOW_IDS = 8_000, 64, 6
 #: Widths tried in calibration.
 WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 
 
-@dataclass
-class Tree:
-    """Nodes in breadth-first order: centre, parent, leaf number (-1 for an inner node)."""
-
-    centres: np.ndarray
-    parent: np.ndarray
-    leaf: np.ndarray
-    children: list[list[int]] = field(default_factory=list)
-
-    @property
-    def leaves(self) -> int:
-        return int(self.leaf.max()) + 1
-
-    def order(self, x: np.ndarray, visits: int) -> np.ndarray:
-        """The ``visits`` leaves of each unit row, nearest first, among those best-bin-first reaches first."""
-        near = x @ self.centres.T
-        s = near.copy()
-        depth = np.zeros(len(self.parent), int)
-        for node in range(1, len(depth)):  # parents come before their children
-            depth[node] = depth[self.parent[node]] + 1
-        for level in range(2, depth.max(initial=0) + 1):
-            kids = np.flatnonzero(depth == level)
-            s[:, kids] = np.minimum(s[:, kids], s[:, self.parent[kids]])
-        at = np.flatnonzero(self.leaf >= 0)
-        own = near[:, at]
-        visits = min(visits, len(at))
-        reach = min(len(at), max(REACH, REACH_FACTOR * visits))
-        if reach < len(at):
-            key = s[:, at].astype(float) + TIE * own
-            top = np.argpartition(-key, reach - 1, axis=1)[:, :reach]
-            own = np.take_along_axis(own, top, 1)
-        else:
-            top = np.broadcast_to(np.arange(len(at)), own.shape)
-        by = np.argsort(-own, axis=1, kind="stable")[:, :visits]
-        return self.leaf[at][np.take_along_axis(top, by, 1)]
-
-
-def visit_with_queue(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
-    """Best-bin-first traversal of one query with a priority queue."""
-    near = (q[None, :] @ tree.centres.T)[0]
-    reach, queue, reached = max(REACH, REACH_FACTOR * visits), [(-2.0, 0, np.float32(2))], []
-    while queue and len(reached) < reach:
-        _, node, least = heapq.heappop(queue)
-        if tree.leaf[node] >= 0:
-            reached.append(node)
-        for kid in tree.children[node]:
-            low = min(least, near[kid])
-            heapq.heappush(queue, (-(float(low) + TIE * (float(near[kid]) if tree.leaf[kid] >= 0 else 1.0)), kid, low))
-    return [int(tree.leaf[n]) for n in sorted(reached, key=lambda n: -near[n])[:visits]]
-
-
 def unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float32)
-    n = np.linalg.norm(x, axis=1, keepdims=True)
+    n = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     return x / np.where(n == 0, 1, n)
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    centres = x[rng.choice(len(x), k, replace=False)]
-    at = np.zeros(len(x), int)
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit centres, centre of each row) of spherical k-means, moved by at most ``most`` of the rows."""
+    own = x if len(x) <= most else x[rng.choice(len(x), most, replace=False)]
+    centres = own[rng.choice(len(own), k, replace=False)]
     for _ in range(rounds):
-        at = (x @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, x)
-        n = np.linalg.norm(sums, axis=1, keepdims=True)
+        at = (own @ centres.T).argmax(1)
+        member = np.zeros((len(own), k), np.float32)
+        member[np.arange(len(own)), at] = 1
+        sums = member.T @ own
+        n = np.sqrt(np.einsum("ij,ij->i", sums, sums))[:, None]
         centres = np.where(n > 0, sums / np.where(n == 0, 1, n), centres)
     return centres, (x @ centres.T).argmax(1)
 
 
-def fit(sample: np.ndarray, rows: int, leaf_rows: int, branching: int = 16, least: int = 8, seed: int = 7) -> Tree:
-    """Tree over unit rows of a sample, for ``rows`` rows in leaves of about ``leaf_rows``.
+@dataclass
+class Tree:
+    """Nodes by number, the children of a node in a row: centre, first child and number of children, leaf number (-1 inside)."""
+
+    centres: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    leaf: np.ndarray
 
-    A leaf keeps at least about ``least`` sample rows, so the tree never outgrows the sample.
+    @property
+    def leaves(self) -> int:
+        return int(self.leaf.max()) + 1
+
+    def visit(self, x: np.ndarray, visits: int) -> np.ndarray:
+        """The ``visits`` leaves best-bin-first reaches for each unit row, in order; -1 where the tree has fewer."""
+        out = np.full((len(x), min(visits, self.leaves)), -1, np.int32)
+        all_rows = np.arange(len(x))
+        slots = 0
+        queue, node = np.full((len(x), 0), -np.inf, np.float32), np.zeros((len(x), 0), np.int32)
+        at = np.zeros(len(x), np.int32)  # the branch each row goes down
+        live = all_rows
+        for step in range(out.shape[1]):
+            if step:  # pop the best branch
+                best = queue.argmax(1)
+                live = np.flatnonzero(queue[all_rows, best] > -np.inf)
+                at = np.where(queue[all_rows, best] > -np.inf, node[all_rows, best], -1)
+                queue[all_rows, best] = -np.inf
+            going = live[self.leaf[at[live]] < 0]
+            while len(going):
+                order = going[np.argsort(at[going], kind="stable")]
+                nodes, starts = np.unique(at[order], return_index=True)
+                wide = int(self.count[nodes].max())
+                pushed = np.full((len(x), wide), -np.inf, np.float32)
+                kids = np.zeros((len(x), wide), np.int32)
+                for n, rows in zip(nodes, np.split(order, starts[1:])):
+                    a, k = self.first[n], self.count[n]
+                    s = x[rows] @ self.centres[a : a + k].T
+                    top = s.argmax(1)
+                    at[rows] = a + top
+                    s[np.arange(len(rows)), top] = -np.inf
+                    pushed[rows, :k] = s
+                    kids[rows, :k] = np.arange(a, a + k)
+                if out.shape[1] > 1:
+                    queue, node = np.hstack([queue, pushed]), np.hstack([node, kids])
+                    slots += wide
+                    if slots > 4 * out.shape[1] + 64:  # no more branches than visits are left can ever be popped
+                        keep = min(out.shape[1], queue.shape[1] - 1)
+                        pick = np.argpartition(-queue, keep, axis=1)[:, :keep]
+                        queue, node = np.take_along_axis(queue, pick, 1), np.take_along_axis(node, pick, 1)
+                        slots = keep
+                going = going[self.leaf[at[going]] < 0]
+            out[live, step] = self.leaf[at[live]]
+        return out
+
+
+def fit(x: np.ndarray, leaves: float, branching: int = 16, least: int = 8, seed: int = 7, rounds: int = 5, most: int = 4096) -> tuple[Tree, np.ndarray]:
+    """(tree over unit rows with about so many leaves, the leaf of each row).
+
+    Rows are divided until a part holds a share of 1 / ``leaves`` or fewer than 2 x ``least`` rows. Equal rows can't be divided.
     """
     rng = np.random.default_rng(seed)
-    scale = rows / max(len(sample), 1)
-    centres, parent, leaf, children = [np.zeros(DIM if not len(sample) else sample.shape[1], np.float32)], [0], [-1], [[]]
-    queue, leaves = [(0, sample)], 0
-    while queue:
-        node, x = queue.pop(0)
-        want = min(branching, math.ceil(len(x) * scale / leaf_rows), len(x) // least)
-        parts = []
+    dim = x.shape[1] if x.ndim == 2 else DIM
+    centres, first, count, leaf = [np.zeros(dim, np.float32)], [0], [0], [-1]
+    home = np.zeros(len(x), np.int32)
+    queue, made, at = [(0, np.arange(len(x)))], 0, 0
+    share = max(len(x), 1) / max(leaves, 1)
+    while at < len(queue):
+        n, own = queue[at]
+        at += 1
+        want = min(branching, math.ceil(len(own) / share), len(own) // least)
+        parts: list[np.ndarray] = []
         if want >= 2:
-            found, at = _kmeans(x, want, rng)
-            parts = [(found[i], x[at == i]) for i in range(want) if (at == i).any()]
-        if len(parts) < 2:
-            leaf[node] = leaves
-            leaves += 1
+            found, near = _kmeans(x[own], want, rng, rounds, most)
+            parts = [np.flatnonzero(near == i) for i in range(want)]
+            used = [i for i in range(want) if len(parts[i])]
+        if want < 2 or len(used) < 2:
+            leaf[n] = made
+            home[own] = made
+            made += 1
             continue
-        for c, own in parts:
-            children[node].append(len(centres))
-            centres.append(c)
-            parent.append(node)
+        first[n], count[n] = len(centres), len(used)
+        for i in used:
+            centres.append(found[i])
+            first.append(0)
+            count.append(0)
             leaf.append(-1)
-            children.append([])
-            queue.append((len(centres) - 1, own))
-    return Tree(np.asarray(centres, np.float32), np.asarray(parent), np.asarray(leaf), children)
+            queue.append((len(centres) - 1, own[parts[i]]))
+    return Tree(np.asarray(centres, np.float32), np.asarray(first), np.asarray(count), np.asarray(leaf, np.int32)), home
 
 
 def _matrix(vecs) -> np.ndarray:
@@ -144,188 +150,244 @@ def _matrix(vecs) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``id, model, vec`` of comparable vectors: a dimension of 64, 64 bytes, not all zero, no nulls; distinct."""
+    """``id, model, vec`` of comparable vectors: a dimension of 64, 64 bytes, not all zero, no nulls; repeated rows stay."""
     v = vectors.filter(
         (F.col("dim") == DIM) & (F.octet_length("vec") == DIM) & (F.col("vec") != F.lit(bytes(DIM)))
     ).filter("chunk_id IS NOT NULL AND model IS NOT NULL")
-    return v.select(F.col("chunk_id").alias("id"), "model", "vec").dropDuplicates()
+    return v.select(F.col("chunk_id").alias("id"), "model", "vec")
 
 
 @dataclass
 class Index:
-    """``members``: ``id, vid``; ``items``: distinct vectors ``vid, model, vec, near`` (their first leaves), written to the shared folder."""
+    """``items``: distinct vectors ``vid, model, vec, h1, h2, ids`` (the smallest ids), ``copies``; ``ids``: all ``h1, h2, id``."""
 
-    members: DataFrame
     items: DataFrame
+    ids: DataFrame
     tree: Tree
     rows: int
     scratch: Scratch
 
 
-def build(vectors: DataFrame, leaf_rows: int = 400, sample_rows: int = 40_000) -> Index:
-    """Index of ``id, model, vec`` rows. ``sample_rows`` bounds what the tree is fitted on, nothing else."""
+def build(vectors: DataFrame, bucket_rows: int = BUCKET_ROWS, sample_rows: int = 20_000) -> Index:
+    """Index of ``id, model, vec`` rows. ``sample_rows`` bounds what the upper levels are fitted on, nothing else.
+
+    A vector is known by 128 bits of hash, under which its ids are gathered without moving it; of a group of copies only
+    the smallest ids are kept with it, cut before the shuffle.
+    """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    groups = scratch.put(vectors.groupBy("model", "vec").agg(F.count(F.lit(1)).alias("copies")).withColumn("vid", F.monotonically_increasing_id()))
-    rows = groups.count()
+    keyed = vectors.select("id", "model", "vec", F.xxhash64("model", "vec").alias("h1"), F.xxhash64("vec", F.lit(7), "model").alias("h2"))
+    ids = keyed.select("h1", "h2", "id").distinct()
+    first = Window.partitionBy("h1", "h2").orderBy("id")
+    low = ids.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= LOW_IDS).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    each = keyed.groupBy("h1", "h2").agg(F.first("model").alias("model"), F.first("vec").alias("vec"), F.min("id").alias("a"), F.max("id").alias("b"))
+    items, rows = scratch.put_counted(
+        each.join(low, ["h1", "h2"]).select(F.monotonically_increasing_id().alias("vid"), "model", "vec", "h1", "h2", "ids", F.get("ids", F.size("ids") - 1).alias("last"), "b")
+    )
     slots = 1 << 24
     cut = slots if rows <= sample_rows else int(slots * sample_rows / rows * 0.98)
-    picked = groups.filter(F.pmod(F.xxhash64("model", "vec"), F.lit(slots)) < cut).select("vec").limit(sample_rows).toPandas()
-    tree = fit(unit(_matrix(picked["vec"])), rows, leaf_rows)
-
-    def assign(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                yield part.assign(near=list(tree.order(unit(_matrix(part["vec"])), STORED)))
-
-    items = scratch.put(
-        groups.select("vid", "model", "vec").mapInPandas(assign, "vid long, model string, vec binary, near array<int>")
-    )
-    members = vectors.join(groups, ["model", "vec"]).select("id", "vid")
-    return Index(members, items, tree, rows, scratch)
+    picked = items.filter(F.pmod("h1", F.lit(slots)) < cut).select("vec", "h1").limit(sample_rows).toPandas().sort_values(["h1", "vec"])
+    tree, _ = fit(unit(_matrix(picked["vec"])), rows / bucket_rows, most=sample_rows)
+    return Index(items, ids, tree, rows, scratch)
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of paired int8 rows in double precision."""
-    x, y = a.astype(np.int64), b.astype(np.int64)
-    return (x * y).sum(1) / np.sqrt((x * x).sum(1).astype(float) * (y * y).sum(1))
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+
+
+def _candidates(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the similarities that may be among the k greatest of their row and reach the floor."""
+    if floor > -1:
+        return np.nonzero(s >= floor - 1e-4)
+    n = min(k + 1, s.shape[1])  # one may be the row itself
+    c = np.argpartition(-s, n - 1, axis=1)[:, :n]
+    return np.repeat(np.arange(len(c)), n), c.ravel()
 
 
-def _best(q: np.ndarray, qid, qmodel, x: np.ndarray, xid, xmodel, k: int, floor: float) -> pd.DataFrame:
-    """The k most similar rows of ``x`` for each row of ``q``: same model, another id, cosine of at least ``floor``."""
+def _best(qid: np.ndarray, xid: np.ndarray, cosine: np.ndarray, k: int, floor: float) -> pd.DataFrame:
+    """The k greatest cosines (at least ``floor``) of each query, another row each time, every row once."""
+    ok = (cosine >= floor) & (qid != xid)
+    found = pd.DataFrame({"vid": qid[ok], "nid": xid[ok], "cosine": cosine[ok]})
+    found = found.drop_duplicates(["vid", "nid"]).sort_values(["vid", "cosine", "nid"], ascending=[True, False, True])
+    return found[found.groupby("vid").cumcount() < k]
+
+
+def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, floor: float, size: int = 1024) -> pd.DataFrame:
+    """``vid, nid, cosine`` of int8 queries against int8 rows, all compared."""
     uq, ux, out = unit(q), unit(x).T, []
-    for at in range(0, len(q), 1024):
-        s = uq[at : at + 1024] @ ux
-        s[(qmodel[at : at + 1024, None] != xmodel[None, :]) | (qid[at : at + 1024, None] == xid[None, :])] = -2
-        if floor > -1:
-            r, c = np.nonzero(s >= floor - 1e-4)
-            if not len(r):
-                continue
-            v = _exact(q[at + r], x[c])
-            r, c, v = r[v >= floor], c[v >= floor], v[v >= floor]
-        else:
-            n = min(k, s.shape[1])
-            c = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            r = np.repeat(np.arange(len(c)), n)
-            c = c.ravel()
-            ok = s[r, c] > -1.5
-            r, c = r[ok], c[ok]
-            v = _exact(q[at + r], x[c])
-        found = pd.DataFrame({"vid": qid[at + r], "nid": xid[c], "cosine": v})
-        out.append(found.sort_values(["vid", "cosine", "nid"], ascending=[True, False, True]).groupby("vid").head(k))
-    if not out:
-        return pd.DataFrame({"vid": np.zeros(0, np.int64), "nid": np.zeros(0, np.int64), "cosine": np.zeros(0)})
-    return pd.concat(out)
+    for a in range(0, len(q) if len(x) else 0, size):
+        r, c = _candidates(uq[a : a + size] @ ux, k, floor)
+        out.append(_best(qid[a + r], xid[c], _exact(q[a + r], x[c]), k, floor))
+    return pd.concat(out) if out else _best(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), k, floor)
+
+
+def search_bucket(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, floor: float, recall: float, sample: int = 256, leaf_rows: int = LEAF_ROWS) -> pd.DataFrame:
+    """:func:`scan` by the tree of the bucket, of as many leaves a query as bring ``recall`` on ``sample`` of its queries.
+
+    The width is one step above the first that does, as the queries are a sample.
+    """
+    ux, uq = unit(x), unit(q)
+    tree, home = fit(ux, max(len(x) / leaf_rows, 1))
+    if not len(q) or not len(x):
+        return scan(q[:0], qid[:0], x, xid, k, floor)
+    rng = np.random.default_rng(11)
+    tried = np.arange(len(q)) if len(q) <= sample else rng.choice(len(q), sample, replace=False)
+    true = scan(q[tried], qid[tried], x, xid, k, floor)
+    width = 2
+    if len(true):
+        row = {v: i for i, v in enumerate(qid[tried])}
+        where = dict(zip(xid, home))
+        row, leaf = np.array([row[v] for v in true["vid"]]), np.array([where[v] for v in true["nid"]])
+        reached = False
+        widths = (*(w for w in WIDTHS if 1 < w < tree.leaves), tree.leaves)
+        seen = tree.visit(uq[tried], min(16, tree.leaves))
+        for width in widths:
+            if reached:
+                break
+            if width > seen.shape[1]:
+                seen = tree.visit(uq[tried], min(4 * width, tree.leaves))
+            reached = (seen[row, :width] == leaf[:, None]).any(1).mean() >= recall
+    visited = tree.visit(uq, min(width, tree.leaves))
+    # rows by leaf, and the queries that visit it
+    by = np.argsort(home, kind="stable")
+    ends = np.searchsorted(home[by], np.arange(tree.leaves + 1))
+    flat = visited.ravel()
+    who = np.argsort(flat, kind="stable")
+    begins = np.searchsorted(flat[who], np.arange(tree.leaves + 1))
+    who = who // visited.shape[1]
+    rs, cs, vs = [], [], []
+    kth = np.full(len(q), floor - 1e-4 if floor > -1 else -np.inf, np.float32)  # what a row must reach to be among the k of a query, so far
+    best = np.full((len(q), k + 1 if floor <= -1 else 0), -np.inf, np.float32)  # one may be the query itself
+    for leaf in range(tree.leaves):
+        own, asks = by[ends[leaf] : ends[leaf + 1]], who[begins[leaf] : begins[leaf + 1]]
+        for a in range(0, len(asks) if len(own) else 0, 4096):
+            part = asks[a : a + 4096]
+            s = uq[part] @ ux[own].T
+            if best.shape[1]:
+                n = min(k + 1, s.shape[1])
+                near = np.hstack([best[part], np.partition(s, s.shape[1] - n, axis=1)[:, -n:]])
+                best[part] = np.partition(near, near.shape[1] - k - 1, axis=1)[:, -k - 1 :]
+                kth[part] = best[part].min(1) - 1e-4
+            r, c = np.nonzero(s >= kth[part][:, None])
+            rs.append(part[r])
+            cs.append(own[c])
+            vs.append(s[r, c])
+    r, c, v = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rs, int), (cs, int), (vs, np.float32)))
+    last = v >= kth[r]
+    r, c = r[last], c[last]
+    return _best(qid[r], xid[c], _exact(q[r], x[c]), k, floor)
+
+
+def _searched(records: DataFrame, groups: list[str], compare) -> DataFrame:
+    """``vid, nid, cosine`` of groups of ``vid, vec, is_row, is_query`` rows; a pair may come from several groups."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        raw, vid = _matrix(pdf["vec"]), pdf["vid"].to_numpy()
+        asks, rows = pdf["is_query"].to_numpy(bool), pdf["is_row"].to_numpy(bool)
+        return compare(raw[asks], vid[asks], raw[rows], vid[rows])
+
+    return records.groupBy(*groups).applyInPandas(one, "vid long, nid long, cosine double")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    once = found.groupBy("vid", "nid").agg(F.max("cosine").alias("cosine"))
+    w = Window.partitionBy("vid").orderBy(F.desc("cosine"), "nid")
+    return once.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
 
 def brute_force(index: Index, queries: pd.DataFrame, k: int, floor: float) -> pd.DataFrame:
-    """Exact neighbours ``vid, nid, cosine, homes`` (their leaves) of a bounded set of query rows against all rows, in blocks."""
-    q, qid, qmodel = _matrix(queries["vec"]), queries["vid"].to_numpy(), queries["model"].to_numpy()
+    """Exact ``vid, nid, cosine, vec`` (of the neighbour) for a bounded set of query rows against all rows, in blocks."""
+    asked = {m: (_matrix(own["vec"]), own["vid"].to_numpy()) for m, own in queries.groupby("model")}
 
-    def scan(batches):
-        best = []
+    def run(batches):
+        kept = None
         for pdf in batches:
-            if len(pdf) and len(q):
-                x = _best(q, qid, qmodel, _matrix(pdf["vec"]), pdf["vid"].to_numpy(), pdf["model"].to_numpy(), k, floor)
-                homes = pd.DataFrame({"nid": pdf["vid"], "homes": [n[:SPILL] for n in pdf["near"]]})
-                best.append(x.merge(homes, on="nid"))
-            if len(best) > 8:
-                best = [pd.concat(best).sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)]
-        if best:
-            yield pd.concat(best).sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)[["vid", "nid", "cosine", "homes"]]
-
-    part = index.items.mapInPandas(scan, "vid long, nid long, cosine double, homes array<int>")
+            for m, own in pdf.groupby("model"):
+                if m in asked:
+                    found = scan(*asked[m], _matrix(own["vec"]), own["vid"].to_numpy(), k, floor).merge(own[["vid", "vec"]].rename(columns={"vid": "nid"}), on="nid")
+                    kept = found if kept is None else pd.concat([kept, found])
+                    if len(kept) > 8 * k * len(queries):
+                        kept = kept.sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)
+        if kept is not None:
+            yield kept.sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)[["vid", "nid", "cosine", "vec"]]
+
+    part = index.items.select("vid", "model", "vec").mapInPandas(run, "vid long, nid long, cosine double, vec binary")
     w = Window.partitionBy("vid").orderBy(F.desc("cosine"), "nid")
     return part.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r").toPandas()
 
 
-def calibrate(index: Index, k: int, floor: float, recall: float, queries: int = 2048) -> tuple[int, float]:
-    """(leaves to visit, recall on the calibration queries at that width).
+def calibrate(index: Index, k: int, floor: float, recall: float, queries: int = 1024, homes: int | None = None) -> tuple[int, int, float]:
+    """(homes, visits, recall of the buckets on the calibration queries): the least widths that bring ``recall``.
 
-    The width is one step above the first that reaches ``recall``, as the queries are a sample.
+    ``homes`` None: rows are stored in as many buckets as queries visit.
     """
+    buckets = index.tree.leaves
+    if buckets == 1:
+        return 1, 1, 1.0
     share = min(1.0, queries / max(index.rows, 1))
-    sample = index.items.filter(F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(1 << 24)) < int((1 << 24) * share)).limit(2 * queries).toPandas()
+    sample = index.items.filter(F.pmod(F.col("h2"), F.lit(1 << 24)) < int((1 << 24) * share)).select("vid", "model", "vec").limit(2 * queries).toPandas()
     true = brute_force(index, sample, k, floor)
     if not len(true):
-        return index.tree.leaves, 1.0
-    x = unit(_matrix(sample["vec"]))
+        return homes or buckets, buckets, 1.0
     row = pd.Series(np.arange(len(sample)), index=sample["vid"])[true["vid"]].to_numpy()
-    homes = [np.asarray(h) for h in true["homes"]]
-    share = 0.0
-    for width in (*(w for w in WIDTHS if w < index.tree.leaves), index.tree.leaves):
-        enough, seen = share >= recall, index.tree.order(x, width)
-        share = float(np.mean([np.isin(h, seen[r]).any() for r, h in zip(row, homes)]))
-        if enough:
+    asked = index.tree.visit(unit(_matrix(sample["vec"])), buckets)
+    near = index.tree.visit(unit(_matrix(true["vec"])), homes or buckets)
+    for width in (*(w for w in WIDTHS if w < buckets), buckets):
+        h = homes or width
+        met = (asked[row, :width, None] == near[:, None, :h]).any((1, 2)).mean()
+        if met >= recall:
             break
-    return width, share
+    return h, width, float(met)
 
 
-def search(index: Index, queries: DataFrame, k: int, floor: float, visits: int, block: int = 4000, chunk: int = 20_000) -> DataFrame:
-    """``vid, nid, cosine``: up to k neighbours among distinct vectors for the items in ``queries`` (``vid``)."""
+def search(index: Index, asked: DataFrame | None, k: int, floor: float, homes: int, visits: int, recall: float = 0.99) -> DataFrame:
+    """``vid, nid, cosine``: up to k neighbours among distinct vectors for the items in ``asked`` (``vid``; None: all)."""
     tree = index.tree
 
-    def traverse(batches):
-        """For more visits than are stored with the rows."""
+    def place(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                order = tree.order(unit(_matrix(part["vec"])), visits)
-                n = order.shape[1]
-                yield pd.DataFrame(
-                    {
-                        "leaf": order.ravel(),
-                        "vid": np.repeat(part["vid"].to_numpy(), n),
-                        "model": np.repeat(part["model"].to_numpy(), n),
-                        "vec": np.repeat(part["vec"].to_numpy(), n),
-                    }
-                )
-
-    asked = index.items if queries is index.items else index.items.join(queries.select("vid").distinct(), "vid", "left_semi")
-    if visits <= STORED:
-        probes = asked.select(F.explode(F.slice("near", 1, visits)).alias("leaf"), "vid", "model", "vec")
+            near = tree.visit(unit(_matrix(pdf["vec"])), max(homes, visits))
+            n = near.shape[1]
+            rank = np.tile(np.arange(n), len(pdf))
+            asks = np.repeat(pdf["asked"].to_numpy(bool), n) & (rank < visits)
+            keep = (near.ravel() >= 0) & (asks | (rank < homes))
+            at = np.repeat(np.arange(len(pdf)), n)[keep]
+            yield pd.DataFrame(
+                {
+                    "bucket": near.ravel()[keep], "model": pdf["model"].to_numpy()[at], "vid": pdf["vid"].to_numpy()[at],
+                    "vec": pdf["vec"].to_numpy()[at], "is_row": (rank < homes)[keep], "is_query": asks[keep],
+                }
+            )
+
+    if asked is None:
+        items = index.items.select("vid", "model", "vec", F.lit(True).alias("asked"))
     else:
-        probes = asked.select("vid", "model", "vec").mapInPandas(traverse, "leaf int, vid long, model string, vec binary")
-    housed = index.items.select(F.explode(F.slice("near", 1, SPILL)).alias("leaf"), "vid", "model", "vec")
-    # the number of leaves is bounded by the sample, so are these counts
-    size = {r["leaf"]: r["n"] for r in housed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
-    asked_rows = asked.count()
-    parts = {leaf: -(-n // block) for leaf, n in size.items()}
-    chunks = {leaf: max(1, -(-int(asked_rows * visits * n / max(index.rows, 1)) // chunk)) for leaf, n in size.items()}
-    plan = index.items.sparkSession.createDataFrame([(x, parts[x], chunks[x]) for x in parts], "leaf int, parts int, chunks int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = housed.join(F.broadcast(plan), "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int").alias("part"), every("chunks").alias("chunk"), "vid", "model", "vec"
-    )
-    probes = probes.join(F.broadcast(plan), "leaf").select(
-        "leaf", every("parts").alias("part"), F.pmod(F.xxhash64("vid", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"),
-        F.col("vid").alias("q_vid"), F.col("model").alias("q_model"), F.col("vec").alias("q_vec"),
-    )
+        items = index.items.select("vid", "model", "vec").join(asked.select("vid", F.lit(True).alias("asked")).distinct(), "vid", "left").fillna({"asked": False})
+    records = items.mapInPandas(place, "bucket int, model string, vid long, vec binary, is_row boolean, is_query boolean")
+    return _top(_searched(records, ["model", "bucket"], lambda q, qid, x, xid: search_bucket(q, qid, x, xid, k, floor, recall)), k)
 
-    def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"vid": np.zeros(0, np.int64), "nid": np.zeros(0, np.int64), "cosine": np.zeros(0)})
-        return _best(
-            _matrix(q["q_vec"]), q["q_vid"].to_numpy(), q["q_model"].to_numpy(), _matrix(x["vec"]), x["vid"].to_numpy(), x["model"].to_numpy(), k, floor
-        )
 
-    keys = ("leaf", "part", "chunk")
-    found = probes.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(compare, "vid long, nid long, cosine double")
-    once = found.groupBy("vid", "nid").agg(F.max("cosine").alias("cosine"))  # a pair may meet in several leaves
-    w = Window.partitionBy("vid").orderBy(F.desc("cosine"), "nid")
-    return once.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
+def exact(index: Index, asked: DataFrame, k: int, floor: float, block: int = 20_000, part_rows: int = 50_000) -> DataFrame:
+    """:func:`search` by comparing the items in ``asked`` with all rows, in blocks of queries and parts of rows."""
+    own = asked.select("vid", F.lit(True).alias("asked")).distinct()
+    blocks, parts = max(1, -(-own.count() // block)), max(1, -(-index.rows // part_rows))
+    items = index.items.select("vid", "model", "vec").join(own, "vid", "left")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hashed = lambda n, seed: F.pmod(F.xxhash64("vid", F.lit(seed)), F.lit(n)).cast("int")
+    rows = items.select("model", "vid", "vec", F.lit(True).alias("is_row"), F.lit(False).alias("is_query"), hashed(parts, 1).alias("part"), every(blocks).alias("block"))
+    queries = items.filter("asked").select("model", "vid", "vec", F.lit(False).alias("is_row"), F.lit(True).alias("is_query"), every(parts).alias("part"), hashed(blocks, 2).alias("block"))
+    return _top(_searched(rows.unionByName(queries), ["model", "part", "block"], lambda q, qid, x, xid: scan(q, qid, x, xid, k, floor)), k)
 
 
-def expand(index: Index, near: DataFrame, k: int, floor: float) -> DataFrame:
-    """``id, other, cosine``: the up to k most similar ids of every id whose vector is in ``near`` or has copies.
+def expand(index: Index, near: DataFrame, k: int, floor: float, keep: Column | None = None) -> DataFrame:
+    """``id, other, cosine``: the up to k most similar ids of every id (that ``keep`` allows) whose vector is in ``near`` or has copies.
 
     Copies have cosine 1; ties go to the smaller id. Only the k + 1 smallest ids of a group of
     copies can be anyone's neighbour, so a group is never expanded into all its pairs.
     """
-    w = Window.partitionBy("vid").orderBy("id")
-    first = index.members.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
-    low = first.groupBy("vid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    low = index.items.select("vid", "ids")
     others = near.join(low.withColumnRenamed("vid", "nid"), "nid").select("vid", "cosine", F.explode("ids").alias("other"))
     own = low.filter(F.size("ids") > 1).select("vid", F.lit(1.0).alias("cosine"), F.explode("ids").alias("other"))
     ranked = others.unionByName(own).filter(F.col("cosine") >= floor)
@@ -333,17 +395,38 @@ def expand(index: Index, near: DataFrame, k: int, floor: float) -> DataFrame:
         F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))).alias("near")
     )
     best = F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)
-    return index.members.join(lists, "vid").select("id", F.explode(best).alias("x")).select(
+    few = index.items.select("vid", F.explode("ids").alias("id"))
+    # groups with more ids than are kept with the vector
+    large = index.scratch.put(index.items.filter("last < b").select("vid", "h1", "h2", "last"))
+    more = index.ids.join(large, ["h1", "h2"]).filter("id > last").select("vid", "id")
+    members = few.unionByName(more)
+    members = members.filter(keep) if keep is not None else members
+    return members.join(lists, "vid").select("id", F.explode(best).alias("x")).select(
         "id", F.col("x.other").alias("other"), (-F.col("x.far")).alias("cosine")
     )
 
 
+FLOOR, ASKED = 0.90, "id % 100 = 0"
+
+
+def _near_found(index: Index) -> DataFrame:
+    homes, visits, _ = calibrate(index, 5, FLOOR, recall=0.99)
+    return search(index, None, 5, FLOOR, homes, visits)
+
+
+def _asked(index: Index) -> DataFrame:
+    return index.ids.filter(ASKED).join(index.items.select("h1", "h2", "vid"), ["h1", "h2"]).select("vid").distinct()
+
+
+def _near_asked(index: Index, asked: DataFrame) -> DataFrame:
+    homes, visits, _ = calibrate(index, 5, -1.0, recall=0.97, queries=512, homes=1)
+    return search(index, asked, 5, -1.0, homes, visits, recall=0.97)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks with a cosine of at least 0.90, one among the five most similar of the other."""
     index = build(usable(read(spark, sf_dir, "vectors")))
-    visits, _ = calibrate(index, 5, 0.90, recall=0.99, queries=4096)
-    near = search(index, index.items, 5, 0.90, visits)
-    return expand(index, near, 5, 0.90).select(
+    return expand(index, _near_found(index), 5, FLOOR).select(
         F.least("id", "other").alias("chunk_id_a"), F.greatest("id", "other").alias("chunk_id_b")
     ).filter("chunk_id_a < chunk_id_b").distinct()
 
@@ -351,9 +434,35 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar chunks of every chunk whose id is divisible by 100, whatever the cosine."""
     index = build(usable(read(spark, sf_dir, "vectors")))
-    asked = index.members.filter("id % 100 = 0").select("vid").distinct()
-    visits, _ = calibrate(index, 5, -1.0, recall=0.95, queries=512)
-    near = search(index, asked, 5, -1.0, visits)
-    return expand(index, near, 5, -1.0).filter("id % 100 = 0").select(
+    near = _near_asked(index, _asked(index))
+    return expand(index, near, 5, -1.0, F.expr(ASKED)).select(
         F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine")
     )
+
+
+def recalls(index: Index) -> DataFrame:
+    """``search, true_pairs, found_pairs, recall`` of both searches against the exact neighbours of the chunks whose id is divisible by 100."""
+    asked = index.scratch.put(_asked(index))
+    out = None
+    for name, near, floor in (("found", _near_found(index), FLOOR), ("knn", _near_asked(index, asked), -1.0)):
+        true = exact(index, asked, 5, floor).select("vid", "nid")
+        both = true.join(near.select("vid", "nid", F.lit(1).alias("hit")), ["vid", "nid"], "left")
+        part = both.agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("found_pairs")).select(F.lit(name).alias("search"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("recall", F.when(F.col("true_pairs") > 0, F.col("found_pairs") / F.col("true_pairs")).otherwise(1.0))
+
+
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of ``p3_found`` and ``p3_knn``, measured; below 0.9 it raises."""
+    out = recalls(build(usable(read(spark, sf_dir, "vectors"))))
+    return out.withColumn("recall", F.when(F.col("recall") >= 0.9, F.col("recall")).otherwise(F.raise_error(F.concat(F.lit("recall of "), "search", F.lit(" is "), F.col("recall").cast("string"))).cast("double")))
+
+
+_BYTES = "list_transform(range(64), lambda i: (CASE WHEN h[2*i+1] >= '8' THEN -256 ELSE 0 END + ('0x' || h[2*i+1:2*i+2])::INT)::DOUBLE)"
+P3_SQL = f"""WITH v AS (SELECT DISTINCT chunk_id, model, hex(vec) AS h FROM vectors WHERE dim = 64 AND octet_length(vec) = 64 AND chunk_id IS NOT NULL AND model IS NOT NULL),
+u AS (SELECT chunk_id, model, {_BYTES} AS x FROM v),
+w AS (SELECT *, sqrt(list_dot_product(x, x)) AS n FROM u WHERE list_dot_product(x, x) > 0),
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, max(list_dot_product(a.x, b.x) / (a.n * b.n)) AS c FROM w a JOIN w b ON a.model = b.model AND a.chunk_id <> b.chunk_id
+  WHERE list_dot_product(a.x, b.x) >= 0.8999999 * a.n * b.n GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS k FROM p WHERE round(c, 12) >= 0.9)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE k <= 5"""

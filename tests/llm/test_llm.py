@@ -1,5 +1,6 @@
 """Training-data operators: brute force, round trips, held-out accuracy and hard cases."""
 
+import heapq
 import random
 import unicodedata
 
@@ -49,36 +50,72 @@ def test_neighbours(spark):
     data = table(np.random.default_rng(1))
     bad = [(5000, 32, 0.1, b"\x01" * 32, "m1"), (5001, 64, 0.1, bytes(64), "m1"), (5002, 64, 0.1, b"\x01" * 10, "m1"), (None, 64, 0.1, b"\x01" * 64, "m1"), (5003, None, None, None, None)]
     df = spark.createDataFrame(data + data[:50] + bad, "chunk_id long, dim int, scale float, vec binary, model string")
-    index = neighbours.build(neighbours.usable(df.withColumn("vid", F.lit(1)).withColumn("near", F.lit(2))), leaf_rows=60, sample_rows=500)
-    assert index.tree.leaves > 4
-    visits, recall = neighbours.calibrate(index, 5, 0.9, recall=1.0)
-    near = neighbours.search(index, index.items, 5, 0.9, visits, block=50, chunk=80)
+    index = neighbours.build(neighbours.usable(df.withColumn("vid", F.lit(1)).withColumn("ids", F.lit(2))), bucket_rows=150, sample_rows=500)
+    assert index.tree.leaves > 4 and index.rows == 961
+    homes, visits, recall = neighbours.calibrate(index, 5, 0.9, recall=1.0)
+    near = neighbours.search(index, None, 5, 0.9, homes, visits)
     got = {(min(a, b), max(a, b)) for a, b, _ in rows(neighbours.expand(index, near, 5, 0.9))}
     want = exact(data, 5, 0.9)
     assert recall == 1.0 and len(got & want) >= 0.97 * len(want) and got <= want
-    # all leaves: the general search is exact
-    asked = index.members.filter("id % 100 = 0").select("vid").distinct()
-    full = neighbours.search(index, asked, 3, -1.0, index.tree.leaves)
-    found = {(a, b) for a, b, _ in rows(neighbours.expand(index, full, 3, -1.0)) if a % 100 == 0}
-    assert len(found) == 3 * len([r for r in data if r[0] % 100 == 0])
+    # all buckets and leaves: the general search is exact, and so is the comparison in blocks
+    asked = neighbours._asked(index)
+    full = rows(neighbours.search(index, asked, 3, -1.0, 1, index.tree.leaves, recall=1.0).select("vid", "nid"))
+    true = rows(neighbours.exact(index, asked, 3, -1.0, block=3, part_rows=100).select("vid", "nid"))
+    assert len(set(full) & set(true)) >= 0.97 * len(true) and len(true) == 3 * asked.count()
+    found = {(a, b) for a, b, _ in rows(neighbours.expand(index, neighbours.exact(index, asked, 3, -1.0), 3, -1.0, F.expr("id % 100 = 0")))}
+    assert len(found) == 3 * len([r for r in data if r[0] % 100 == 0]) and all(a % 100 == 0 for a, _ in found)
 
 
 def test_neighbours_empty(spark):
     df = spark.createDataFrame([], "chunk_id long, dim int, scale float, vec binary, model string")
     index = neighbours.build(neighbours.usable(df))
-    visits, _ = neighbours.calibrate(index, 5, 0.9, recall=0.9)
-    assert neighbours.expand(index, neighbours.search(index, index.items, 5, 0.9, visits), 5, 0.9).count() == 0
+    homes, visits, _ = neighbours.calibrate(index, 5, 0.9, recall=0.9)
+    assert neighbours.expand(index, neighbours.search(index, None, 5, 0.9, homes, visits), 5, 0.9).count() == 0
+    assert {r["recall"] for r in neighbours.recalls(index).collect()} == {1.0}
+
+
+def one_queue(tree, q, visits):
+    """Best-bin-first for one query, with a heap."""
+    queue, out = [(-np.inf, 0)], []
+    while queue and len(out) < visits:
+        node = heapq.heappop(queue)[1]
+        while tree.leaf[node] < 0:
+            kids = range(tree.first[node], tree.first[node] + tree.count[node])
+            near = sorted(kids, key=lambda n: -float(tree.centres[n] @ q))
+            for n in near[1:]:
+                heapq.heappush(queue, (-float(tree.centres[n] @ q), n))
+            node = near[0]
+        out.append(int(tree.leaf[node]))
+    return out
 
 
-def test_best_bin_first_equals_queue(monkeypatch):
+@pytest.mark.parametrize("visits", [1, 5, 40, 200])
+def test_best_bin_first(visits):
     rng = np.random.default_rng(2)
-    x = neighbours.unit(rng.normal(size=(600, 64)))
-    monkeypatch.setattr(neighbours, "REACH", 12)
-    tree = neighbours.fit(x, 20_000, 200, branching=4)
+    x = neighbours.unit(rng.normal(size=(900, 64)))
+    tree, home = neighbours.fit(x, 90, branching=4, least=2)
+    assert sorted(set(home)) == list(range(tree.leaves)) and tree.leaves > 60
     q = neighbours.unit(rng.normal(size=(20, 64)))
-    order = tree.order(q, 5)
-    for i in range(20):
-        assert order[i].tolist() == neighbours.visit_with_queue(tree, q[i], 5)
+    got = tree.visit(q, visits)
+    assert got.shape == (20, min(visits, tree.leaves)) and all(len(set(r)) == len(r) for r in got.tolist())
+    assert all(got[i].tolist() == one_queue(tree, q[i], visits) for i in range(20))
+
+
+@pytest.mark.parametrize("floor", [0.9, -1.0])
+def test_search_bucket(floor):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-127, 128, (1500, 64))
+    x = np.concatenate([base, np.clip(base[:200] + rng.integers(-9, 10, (200, 64)), -127, 127)]).astype(np.int8)
+    vid = np.arange(len(x)) * 3
+    pairs = lambda d: set(zip(d["vid"], d["nid"]))
+    want = pairs(neighbours.scan(x, vid, x, vid, 4, floor))
+    assert len(want & pairs(neighbours.search_bucket(x, vid, x, vid, 4, floor, 0.95))) >= 0.9 * len(want)
+    assert pairs(neighbours.search_bucket(x[:9], vid[:9], x[:1], vid[:1], 4, floor, 0.95)) == pairs(neighbours.scan(x[:9], vid[:9], x[:1], vid[:1], 4, floor))
+
+
+def test_equal_vectors_end_the_tree():
+    tree, home = neighbours.fit(neighbours.unit(np.ones((500, 64))), 20)
+    assert tree.leaves == 1 and set(home) == {0}
 
 
 # -- p4 -----------------------------------------------------------------------------------------
@@ -337,5 +374,5 @@ def test_pairs(spark):
 
 
 def test_small_queries_run(spark):
-    for name in ("p3_found", "p7_found", "p8_report", "p9_shares"):
+    for name in ("p3_found", "p3_recall", "p7_found", "p8_report", "p9_shares"):
         assert queries.queries()[name](spark, SMALL).count() > 0
