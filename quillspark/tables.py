@@ -15,15 +15,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PLAIN = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
 def page_key(c: Column | str) -> Column:
     """Lower-case hyphenated form of an id; other strings are only trimmed and lowered, null becomes ''."""
     c = F.col(c) if isinstance(c, str) else c
     raw = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    bare = F.translate(raw, "-", "")
-    hyphened = F.concat_ws(
-        "-", bare.substr(1, 8), bare.substr(9, 4), bare.substr(13, 4), bare.substr(17, 4), bare.substr(21, 12)
-    )
-    return F.when(bare.rlike("^[0-9a-f]{32}$"), hyphened).otherwise(raw)
+    bare = F.replace(raw, F.lit("-"), F.lit(""))
+    # most ids are plain already: one pattern and no copy
+    return F.when(raw.rlike(_PLAIN), raw).when(
+        bare.rlike("^[0-9a-f]{32}$"), F.regexp_replace(bare, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    ).otherwise(raw)
 
 
 def instant_us(c: Column | str) -> Column:
@@ -33,9 +36,10 @@ def instant_us(c: Column | str) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     s = F.trim(c)
-    zoned = F.when(s.rlike(r"(?i)(z|[+-]\d{2}:?(\d{2})?)$") & s.rlike("[Tt ]"), s).otherwise(
-        F.concat(F.when(F.length(s) == 10, F.concat(s, F.lit("T00:00:00"))).otherwise(s), F.lit("Z"))
-    )
+    # most times end in Z after a T: no pattern is needed for them
+    zoned = F.when((F.substring(s, 11, 1) == "T") & s.endswith("Z"), s).when(
+        s.rlike(r"(?i)(z|[+-]\d{2}:?(\d{2})?)$") & s.rlike("[Tt ]"), s
+    ).otherwise(F.concat(F.when(F.length(s) == 10, F.concat(s, F.lit("T00:00:00"))).otherwise(s), F.lit("Z")))
     return F.unix_micros(zoned.try_cast("timestamp"))
 
 
