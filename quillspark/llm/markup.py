@@ -1,9 +1,13 @@
 """Markup residue in text documents (p7).
 
-Method: site template removal. Each document is parsed into a tree of elements (blocks and
-their items), each subtree is hashed, the hashes are counted per host in Spark, and subtrees
+Method: site template removal. Each document is parsed into a tree of sections, blocks and
+items, each subtree is hashed, the hashes are counted per host in Spark, and subtrees
 that recur on many pages of a host are deleted; the rest is written as clean text that keeps
-headings, lists, code and formulas. The parser also reports the families of markup it met.
+headings, lists, code and formulas. The parser also reports the families of markup it met in each item.
+
+A heading counts only together with its whole section, and code and formulas only within one, so none of
+them is torn out of a page for recurring alone. Pages are parsed where they are read; only numbers
+(hashes, positions, families) are shuffled to choose versions and to count.
 
 Output conventions of the clean text: headings as ``# ..``, list items as ``- ..`` (indented by
 two blanks per level), quotes as ``> ..``, table rows as cells joined by `` | ``, code blocks
@@ -22,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.shared import Scratch
-from quillspark.tables import current_pages, read
+from quillspark.tables import instant_us, page_key, read
 
 FAMILIES = ("html", "latex", "markdown", "wiki")
 HTML, LATEX, MARKDOWN, WIKI = (1, 2, 4, 8)
-#: A subtree is a template if it is on at least this many pages and this share of the host's pages.
-MIN_PAGES, MIN_SHARE = 25, 0.01
+#: A subtree is a template if it is on more pages than 2 and this share of the host's pages besides.
+MIN_SHARE = 0.01
 
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})([^\n]*)$")
@@ -76,20 +80,33 @@ class _Page:
 
     def __init__(self, text: str):
         self.families = 0
-        self.held: list[str] = []
-        self.elements: list[tuple[str, list[str]]] = []
+        self.held: list[tuple[str, int]] = []
+        self.elements: list[tuple[str, list[tuple[str, int]]]] = []
         self.definitions: set[str] = set()
         self._blocks(_CONTROL.sub("", text.replace("\r\n", "\n").replace("\r", "\n")))
 
-    def hold(self, text: str) -> str:
+    def hold(self, text: str, family: int) -> str:
         """A placeholder that no later pattern touches."""
-        self.held.append(text)
+        self.held.append((text, family))
         return f"\x00{len(self.held) - 1}\x01"
 
-    def shown(self, text: str) -> str:
+    def shown(self, text: str, families: int) -> tuple[str, int]:
+        def put(m: re.Match) -> str:
+            nonlocal families
+            held, family = self.held[int(m[1])]
+            families |= family
+            return held
+
         while "\x00" in text:
-            text = _HELD.sub(lambda m: self.held[int(m[1])], text)
-        return text
+            text = _HELD.sub(put, text)
+        return text, families
+
+    def own(self, family: int, make) -> tuple[str, int]:
+        """What ``make`` returns, with the families met in it."""
+        before, self.families = self.families, family
+        text = make()
+        found, self.families = self.families, before | self.families
+        return text, found
 
     # -- code and formulas are set aside first ------------------------------------------------
 
@@ -101,7 +118,7 @@ class _Page:
             m = _FENCE.match(line)
             if mark:
                 if m and m[1].startswith(mark) and not m[2].strip():
-                    out += ["", self.hold("```" + info + "\n" + "\n".join(code) + "\n```"), ""]
+                    out += ["", self.hold("```" + info + "\n" + "\n".join(code) + "\n```", MARKDOWN), ""]
                     mark, code = "", []
                 else:
                     code.append(line)
@@ -111,12 +128,12 @@ class _Page:
             else:
                 out.append(line)
         if mark:  # an open fence runs to the end
-            out += ["", self.hold("```" + info + "\n" + "\n".join(code) + "\n```"), ""]
+            out += ["", self.hold("```" + info + "\n" + "\n".join(code) + "\n```", MARKDOWN), ""]
         return "\n".join(out)
 
     def _set(self, family: int, text: str) -> str:
         self.families |= family
-        return self.hold(text)
+        return self.hold(text, family)
 
     def _aside(self, text: str) -> str:
         text = self._fences(text)
@@ -196,27 +213,21 @@ class _Page:
             if "://" in text or "[mailto:" in text:
                 text = self._sub(WIKI, _WIKI_EXTERNAL, lambda m: m[2] or m[1], text)
         if "''" in text:
-            for _ in range(3):
-                text, n = _WIKI_EMPHASIS.subn(r"\2", text)
-                if not n:
-                    break
+            while (hit := _WIKI_EMPHASIS.subn(r"\2", text))[1]:  # every pass is shorter
+                text = hit[0]
                 self.families |= WIKI
         if "\\" in text:
             text = self._sub(LATEX, _TEX_DROPPED, "", text)
-            for _ in range(4):
-                text, n = _TEX_WRAP.subn(r"\1", text)
-                if not n:
-                    break
+            while (hit := _TEX_WRAP.subn(r"\1", text))[1]:
+                text = hit[0]
                 self.families |= LATEX
             text = self._sub(LATEX, _TEX_BARE, "", text)
         if "~~" in text:
             text = self._sub(MARKDOWN, _STRIKE, r"\1", text)
         for mark, pattern in (("*", _STARS), ("_", _BARS)):
             if mark in text:
-                for _ in range(3):
-                    text, n = pattern.subn(r"\2", text)
-                    if not n:
-                        break
+                while (hit := pattern.subn(r"\2", text))[1]:
+                    text = hit[0]
                     self.families |= MARKDOWN
         if "&" in text:
             text = _ENTITY.sub(self._entity, text)
@@ -230,8 +241,8 @@ class _Page:
 
     # -- blocks -------------------------------------------------------------------------------
 
-    def _add(self, kind: str, items: list[str]) -> None:
-        items = [x for x in items if x.strip()]
+    def _add(self, kind: str, items: list[tuple[str, int]]) -> None:
+        items = [x for x in items if x[0].strip()]
         if items:
             self.elements.append((kind, items))
 
@@ -250,18 +261,22 @@ class _Page:
         def close():
             nonlocal kind, items, para
             if para:
-                self._add("text", [self.inline("\n".join(para))])
+                self._add("text", [self.own(0, lambda: self.inline("\n".join(para)))])
             if items:
                 self._add(kind, items)
             kind, items, para = "", [], []
 
-        def item(k: str, x: str):
+        def item(k: str, x: tuple[str, int]):
             nonlocal kind
             if para or kind != k:
                 close()
                 kind = k
             items.append(x)
 
+        def heading(family: int, level: int, title: str):
+            close()
+            self._add("heading", [self.own(family, lambda: "#" * level + " " + self.inline(title))])
+
         lines = text.split("\n")
         for at, line in enumerate(lines):
             bare = line.strip()
@@ -270,152 +285,221 @@ class _Page:
                 continue
             c = bare[0]
             if c == "\x02":
-                close()
-                level = len(bare) - len(bare.lstrip("\x02"))
-                self._add("heading", ["#" * level + " " + self.inline(bare.strip("\x02"))])
+                heading(0, len(bare) - len(bare.lstrip("\x02")), bare.strip("\x02"))
             elif c == "\x03":
-                item("list", "- " + self.inline(bare[1:]))
+                item("list", self.own(0, lambda: "- " + self.inline(bare[1:])))
             elif "\x04" in bare:
-                item("table", " | ".join(self.inline(x) for x in bare.split("\x04") if x.strip()))
+                item("table", self.own(0, lambda: " | ".join(self.inline(x) for x in bare.split("\x04") if x.strip())))
             elif c == "=" and (m := _WIKI_HEADING.match(line)):
-                self.families |= WIKI
-                close()
-                self._add("heading", ["#" * len(m[1]) + " " + self.inline(m[2])])
+                heading(WIKI, len(m[1]), m[2])
             elif c in "=-" and para and (m := _SETEXT.match(line)):
-                self.families |= MARKDOWN
                 last = para.pop()
-                close()
-                self._add("heading", ["#" * (1 if m[1][0] == "=" else 2) + " " + self.inline(last)])
+                heading(MARKDOWN, 1 if m[1][0] == "=" else 2, last)
             elif c == "#" and (m := _ATX.match(line)):
-                self.families |= MARKDOWN
-                close()
-                self._add("heading", [m[1] + " " + self.inline(m[2])])
+                heading(MARKDOWN, len(m[1]), m[2])
             elif c in "-*_" and _RULE.match(line):
                 self.families |= MARKDOWN
                 close()
             elif c == ">" and (m := _QUOTE.match(line)):
-                self.families |= MARKDOWN
-                item("quote", "> " + self.inline(m[1]))
+                item("quote", self.own(MARKDOWN, lambda: "> " + self.inline(m[1])))
             elif c in "-*+" and (m := _BULLET.match(line)) or c.isdigit() and (m := _NUMBERED.match(line)):
-                self.families |= MARKDOWN
-                item("list", "  " * len(m[1].replace("    ", "\t").replace("  ", "\t")) + "- " + self.inline(m[2]))
+                indent = "  " * len(m[1].replace("    ", "\t").replace("  ", "\t"))
+                item("list", self.own(MARKDOWN, lambda: indent + "- " + self.inline(m[2])))
             elif c == "|" and bare.count("|") > 1 and (kind == "table" or at + 1 < len(lines) and _TABLE_RULE.match(lines[at + 1])):
                 self.families |= MARKDOWN
                 if _TABLE_RULE.match(line):
                     continue
-                item("table", " | ".join(self.inline(x) for x in bare.strip("|").split("|")))
+                item("table", self.own(MARKDOWN, lambda: " | ".join(self.inline(x) for x in bare.strip("|").split("|"))))
             else:
                 if kind:
                     close()
                 para.append(line)
         close()
-        self.elements = [(k, [self.shown(x) for x in xs]) for k, xs in self.elements]
+        self.elements = [(k, [self.shown(*x) for x in xs]) for k, xs in self.elements]
 
 
 def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def parse(text: str | None) -> tuple[int, list[str], list[int], list[int]]:
-    """(family bits, item texts, number of the element of each item, hashes) of a text.
+def level_of(item: str) -> int:
+    return len(item) - len(item.lstrip("#"))
+
+
+def indent_of(item: str) -> int:
+    return len(item) - len(item.lstrip(" "))
 
-    Hashes come in pairs per item: of the item's own subtree and of its element's subtree.
+
+def subtrees(elements: list[tuple[str, list[tuple[str, int]]]]) -> list[tuple[int, int, int]]:
+    """(hash, first item, item after the last) of every subtree that can be a template.
+
+    Sections: a heading with all up to the next heading that isn't deeper. Blocks, but for headings, code and
+    formulas. Items of lists with what is nested below them, rows of tables, lines of quotes.
+    """
+    out: list[tuple[int, int, int]] = []
+    open_: list[tuple[int, int, list[str]]] = []  # level, first item, parts
+
+    def close(level: int, end: int) -> None:
+        while open_ and open_[-1][0] >= level:
+            _, first, parts = open_.pop()
+            out.append((digest("section\x00" + "\x00".join(parts)), first, end))
+
+    at = 0
+    for kind, items in elements:
+        texts = [x for x, _ in items]
+        if kind == "heading":
+            close(level_of(texts[0]), at)
+            open_.append((level_of(texts[0]), at, []))
+        whole = kind + "\x00" + "\x00".join(texts)
+        for _, _, parts in open_:
+            parts.append(whole)
+        if kind != "heading" and not (len(texts) == 1 and texts[0].startswith(("```", "$$"))):
+            out.append((digest(whole), at, at + len(texts)))
+            if len(texts) > 1:
+                ends: list[int] = [len(texts)] * len(texts)
+                above: list[int] = []
+                for i, x in enumerate(texts):
+                    while above and (kind != "list" or indent_of(texts[above[-1]]) >= indent_of(x)):
+                        ends[above.pop()] = i
+                    above.append(i)
+                out += [(digest("item\x00" + "\x00".join(texts[i : ends[i]])), at + i, at + ends[i]) for i in range(len(texts)) if ends[i] - i < len(texts)]
+        at += len(texts)
+    close(0, at)
+    return out
+
+
+def parse(text: str | None) -> tuple[int, list[str], list[int], list[int], list[tuple[int, int, int]]]:
+    """(families of no item, item texts, number of the element of each item, families of each item, subtrees) of a text.
+
+    Families are bits. What belongs to no item (a comment, a tag between blocks, a rule) is the page's own.
     """
     if not text:
-        return 0, [], [], []
+        return 0, [], [], [], []
     page = _Page(text)
-    items, element, hashes = [], [], []
-    for n, (kind, xs) in enumerate(page.elements):
-        whole = digest(kind + "\x00" + "\x00".join(xs))
-        for x in xs:
-            items.append(x)
-            element.append(n)
-            hashes += [whole if len(xs) == 1 else digest("item\x00" + x), whole]
-    return page.families, items, element, hashes
+    items = [x for _, xs in page.elements for x, _ in xs]
+    element = [n for n, (_, xs) in enumerate(page.elements) for _ in xs]
+    families = [f for _, xs in page.elements for _, f in xs]
+    rest = page.families
+    for f in families:
+        rest &= ~f
+    return rest, items, element, families, subtrees(page.elements)
+
+
+def families_of(text: str | None) -> int:
+    """All families of a text, as bits."""
+    rest, _, _, each, _ = parse(text)
+    for f in each:
+        rest |= f
+    return rest
+
+
+_PARSED = "rest int, items array<string>, element array<int>, families array<int>, hash array<long>, first array<int>, after array<int>"
 
 
 def elements(documents: DataFrame) -> DataFrame:
-    """``page_id, host, text`` rows parsed to ``page_id, host, families, items, element, hashes``."""
+    """``text`` parsed where the rows are; the other columns are kept."""
 
     def run(batches):
         for pdf in batches:
             parsed = [parse(t) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {
-                    "page_id": pdf["page_id"],
-                    "host": pdf["host"],
-                    "families": [p[0] for p in parsed],
-                    "items": [p[1] for p in parsed],
-                    "element": [p[2] for p in parsed],
-                    "hashes": [p[3] for p in parsed],
-                }
-            )
+            out = pdf.drop(columns="text")
+            for i, name in enumerate(("rest", "items", "element", "families")):
+                out[name] = [p[i] for p in parsed]
+            for i, name in enumerate(("hash", "first", "after")):
+                out[name] = [[x[i] for x in p[4]] for p in parsed]
+            yield out
 
-    return documents.select("page_id", "host", "text").mapInPandas(
-        run, "page_id string, host string, families int, items array<string>, element array<int>, hashes array<long>"
-    )
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in documents.schema if f.name != "text")
+    return documents.mapInPandas(run, f"{schema}, {_PARSED}")
 
 
-def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, hash`` of the subtrees that recur on many pages of their host.
+def templates(parsed: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """``host, hash`` of the subtrees that recur on more than 2 + ``min_share`` x pages of their host.
 
     A page counts once per hash. Both counts combine before the shuffle, and the keys are
     (host, hash), so one large host spreads over all tasks.
     """
-    seen = parsed.select("host", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    seen = parsed.select("host", F.explode(F.array_distinct("hash")).alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
     pages = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return seen.filter(F.col("n") >= min_pages).join(pages, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    return seen.filter("n > 2").join(pages, "host").filter(F.col("n") > 2 + F.col("pages") * min_share).select("host", "hash")
 
 
-def clean(documents: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``page_id, host, text`` (one row per page) to ``page_id, families, clean_text, n_items, n_removed``.
+def removal(documents: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """``page_id, host, version, text`` to the current version of each page, parsed, with the items to be removed as ``gone``.
+
+    ``version`` is whatever orders the versions of a page; the greatest counts, of equal ones one of the greatest text.
+    Output: ``page_id, rest, items, element, families, gone``. Pages are parsed where they are read and written once; the current
+    version is chosen by number, and whether an item's text is read at all is left to what is selected from the result.
+    The templates of a host number at most (subtrees per page) / ``min_share``; they are written and joined by
+    (host, hash), broadcast only if Spark finds the file small.
+    """
+    scratch = Scratch(documents.sparkSession)
+    numbered = documents.select(
+        "page_id", F.coalesce("host", F.lit("")).alias("host"), "version", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"), F.monotonically_increasing_id().alias("uid"), "text"
+    )
+    parsed = scratch.put(elements(numbered))
+    chosen = parsed.groupBy("page_id").agg(F.max(F.struct("version", "tie", "uid")).alias("v")).select(F.col("v.uid").alias("uid"))
+    live = parsed.join(chosen, "uid", "left_semi")
+    hit = scratch.put(templates(live, min_share))
+    spans = live.select("uid", "host", F.explode(F.arrays_zip("hash", "first", "after")).alias("s")).select("uid", "host", "s.*")
+    drops = spans.join(hit, ["host", "hash"]).groupBy("uid").agg(F.collect_set(F.struct("first", "after")).alias("spans"))
+    gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["after"] - 1))))
+    return live.join(drops, "uid", "left").select(
+        "page_id", "rest", "items", "element", "families", F.coalesce(gone, F.array().cast("array<int>")).alias("gone")
+    )
+
+
+def clean(documents: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """``page_id, host, text[, version]`` to ``page_id, families, clean_text, n_items, n_removed``, one row per page.
 
     Null and empty texts give an empty clean text without families; a null host is a host of its
     own, ''. Items of one element are joined by line breaks, elements by blank lines. The whole
-    text is parsed, however long. The templates of a host number at most (items per page) /
-    ``min_share``; they are joined by (host, hash), broadcast only if Spark finds them small.
+    text is parsed, however long. Of repeated pages the greatest version counts.
     """
-    parsed = Scratch(documents.sparkSession).put(elements(documents.withColumn("host", F.coalesce("host", F.lit("")))))
-    hit = templates(parsed, min_pages, min_share)
-    drops = (
-        parsed.select("page_id", "host", F.posexplode("hashes").alias("pos", "hash"))
-        .join(hit, ["host", "hash"])
-        .groupBy("page_id")
-        .agg(F.collect_set((F.col("pos") / 2).cast("int")).alias("gone"))
-    )
+    rows = documents if "version" in documents.columns else documents.withColumn("version", F.lit(0))
+    found = removal(rows.select("page_id", "host", "version", "text"), min_share)
     kept = F.filter(
-        F.arrays_zip(F.col("items"), F.col("element"), F.sequence(F.lit(0), F.greatest(F.size("items") - 1, F.lit(0))).alias("at")),
-        lambda x: x["items"].isNotNull() & ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), x["at"]),
+        F.transform(F.arrays_zip("items", "element"), lambda x, i: F.struct(x["items"].alias("t"), x["element"].alias("e"), i.alias("i"))),
+        lambda x: ~F.array_contains("gone", x["i"]),
     )
     joined = F.aggregate(
         kept,
         F.struct(F.lit("").alias("t"), F.lit(-1).alias("e")),
         lambda acc, x: F.struct(
-            F.concat(acc["t"], F.when(acc["e"] == -1, "").when(acc["e"] == x["element"], "\n").otherwise("\n\n"), x["items"]).alias("t"),
-            x["element"].alias("e"),
+            F.concat(acc["t"], F.when(acc["e"] == -1, "").when(acc["e"] == x["e"], "\n").otherwise("\n\n"), x["t"]).alias("t"),
+            x["e"].alias("e"),
         ),
         lambda acc: acc["t"],
     )
-    return parsed.join(drops, "page_id", "left").select(
-        "page_id", "families", joined.alias("clean_text"), F.size("items").alias("n_items"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
-    )
+    return found.select("page_id", union_of("families", "rest").alias("families"), joined.alias("clean_text"), F.size("items").alias("n_items"), F.size("gone").alias("n_removed"))
+
+
+def union_of(families: str, start: str | Column) -> Column:
+    start = F.col(start) if isinstance(start, str) else start
+    return F.aggregate(families, start, lambda a, x: a.bitwiseOR(x))
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cur = current_pages(read(spark, sf_dir, "pages"), {"url": F.col("url"), "text": F.col("content_markdown")})
-    return cur.select("page_id", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z]+://([^/:?#]+)", 1)).alias("host"), "text")
+    """All versions of all pages; a page's host is that of its address."""
+    early = F.lit(-(2**62))
+    version = F.struct(F.coalesce(instant_us("last_edited_time"), early).alias("edited"), F.coalesce(instant_us("synced_at"), early).alias("synced"))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z]+://([^/:?#]+)", 1))
+    rows = read(spark, sf_dir, "pages").select(page_key("id").alias("page_id"), host.alias("host"), version.alias("version"), F.col("content_markdown").alias("text"))
+    return rows.filter("page_id <> ''")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of markup met outside of code, one row per page and family.
 
-    The cleaned pages are written first: the families of a page are those of its whole content,
-    removed templates included, and without the table Spark would plan the removal away.
+    The families of a page are those of its whole content: of the items that stay after template removal, of the items
+    removed as templates, and of what belongs to no item.
     """
-    cleaned = Scratch(spark).put(clean(page_texts(spark, sf_dir)))
-    names = F.array(*[F.when(F.col("families").bitwiseAND(1 << k) != 0, f) for k, f in enumerate(("html", "latex", "markdown", "wiki"))])
-    return cleaned.select("page_id", F.explode(F.array_compact(names)).alias("family"))
+    found = removal(page_texts(spark, sf_dir))
+    part = lambda gone: F.filter(F.transform("families", lambda f, i: F.when(F.array_contains("gone", i) == gone, f)), lambda f: f.isNotNull())
+    split = found.select("page_id", "rest", part(False).alias("stay"), part(True).alias("removed"))
+    bits = split.select("page_id", union_of("removed", union_of("stay", "rest")).alias("bits"))
+    names = F.array(*[F.when(F.col("bits").bitwiseAND(1 << k) != 0, f) for k, f in enumerate(("html", "latex", "markdown", "wiki"))])
+    return bits.select("page_id", F.explode(F.array_compact(names)).alias("family"))
 
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.llm import lookalike, markup, mixing, neighbours, outranking, packing, queries, tokens
-from quillspark.llm.markup import HTML, LATEX, MARKDOWN, WIKI, parse
+from quillspark.llm.markup import HTML, LATEX, MARKDOWN, WIKI, families_of, parse
 
 from ..conftest import SMALL, rows
 from ..test_entry import duck, same  # noqa: F401
@@ -173,22 +173,25 @@ def test_outranking(spark, pieces):
     ],
 )
 def test_families(text, family):
-    assert parse(text)[0] == family
+    assert families_of(text) == family
 
 
 def test_clean_text():
     text = "# T\n\nAn *em* &amp; <b>bold</b> [link](u) {{gone}}\n\n== W ==\n''i'' [[a|b]]\n\n\\section{S}\n\\begin{itemize}\n\\item one $x^2$\n\\end{itemize}\n\n```py\na = '<b>'\n```\n\n| a | b |\n| - | - |\n| 1 | 2 |\n<ul><li>x</li><li>y</li></ul>\n\\begin{equation}\nE = mc\n\\end{equation}"
-    families, items, element, hashes = parse(text)
-    assert families == HTML | WIKI | LATEX | MARKDOWN
+    rest, items, element, families, trees = parse(text)
+    assert families_of(text) == HTML | WIKI | LATEX | MARKDOWN and rest == 0
     assert items == ["# T", "An em & bold link", "## W", "i b", "# S", "- one $x^2$", "```py\na = '<b>'\n```", "a | b", "1 | 2", "- x", "- y", "$$E = mc$$"]
-    assert len(hashes) == 2 * len(items) and element == sorted(element)
+    assert families[items.index("i b")] == WIKI and families[items.index("- one $x^2$")] == LATEX and families[0] == MARKDOWN
+    assert len(families) == len(items) and element == sorted(element)
+    # sections: S, of the level of T, ends T and W
+    assert {(0, 4), (2, 4), (4, len(items))} <= {t[1:] for t in trees}
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab \n\t*_`~[](){}<>&;$\\'=#-|!/:.0\x00")), max_size=80))
 def test_parse_never_fails(text):
-    families, items, _, _ = parse(text)
-    assert 0 <= families < 16 and all(isinstance(x, str) and "\x00" not in x for x in items)
+    _, items, _, _, trees = parse(text)
+    assert 0 <= families_of(text) < 16 and all(0 <= a < b <= len(items) for _, a, b in trees) and all(isinstance(x, str) and "\x00" not in x for x in items)
 
 
 def test_long_text_is_linear():
@@ -200,10 +203,27 @@ def test_templates(spark):
     pages = [(f"p{i}", "h", f"# Page {i}\n\nShared banner text\n\nBody {i}\n\n- nav one\n- own {i}") for i in range(30)]
     pages += [("q", "other", "Shared banner text\n\nBody"), ("e", "h", ""), ("n", None, None)]
     df = spark.createDataFrame(pages, "page_id string, host string, text string").withColumn("hash", F.lit(1)).withColumn("items", F.lit(2))
-    got = {r["page_id"]: r for r in markup.clean(df, min_pages=10, min_share=0.5).collect()}
+    got = {r["page_id"]: r for r in markup.clean(df, min_share=0.5).collect()}
     assert got["p3"]["clean_text"] == "# Page 3\n\nBody 3\n\n- own 3" and got["p3"]["n_removed"] == 2
     assert got["q"]["clean_text"] == "Shared banner text\n\nBody" and got["e"]["clean_text"] == got["n"]["clean_text"] == ""
     assert len(got) == len(pages) and markup.clean(df.limit(0)).count() == 0
+    # what is removed keeps its families
+    assert got["p3"]["families"] == MARKDOWN
+
+
+def test_templates_keep_structure(spark):
+    """By default shares: a recurring section goes whole; a recurring heading, code block or formula alone stays."""
+    pages = [(f"p{i}", "h", f"# Agenda\n\nTalk {i}\n\n```\nmake\n```\n\n$$x$$\n\n## Imprint\n\nAll rights **reserved**\n\n- a\n  - b") for i in range(8)]
+    got = {r["page_id"]: r for r in markup.clean(spark.createDataFrame(pages, "page_id string, host string, text string")).collect()}
+    assert got["p5"]["clean_text"] == "# Agenda\n\nTalk 5\n\n```\nmake\n```\n\n$$x$$" and got["p5"]["n_removed"] == 4
+    two = {r["page_id"]: r for r in markup.clean(spark.createDataFrame(pages[:2], "page_id string, host string, text string")).collect()}
+    assert two["p1"]["n_removed"] == 0  # two pages are not many
+
+
+def test_current_version(spark):
+    pages = [("p", "h", 1, "old"), ("p", "h", 3, "**new**"), ("p", "h", 3, "**new**"), ("p", "h", 2, None)]
+    got = markup.clean(spark.createDataFrame(pages, "page_id string, host string, version int, text string")).collect()
+    assert [(r["clean_text"], r["families"]) for r in got] == [("new", MARKDOWN)]
 
 
 # -- p8 -----------------------------------------------------------------------------------------
