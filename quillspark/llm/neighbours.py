@@ -9,9 +9,9 @@ visits until calibrated recall is reached.
 * Best-bin-first: a query goes down to the nearest leaf and puts the branches it passes by into its priority
   queue; the nearest branch in the queue is gone down next, until enough leaves are visited. A batch of queries
   is traversed at once, each with a queue of its own; a node's centres are compared only with the queries that open it.
-* Rows are stored in their ``homes`` nearest buckets and queries visit their ``visits`` nearest ones, by the same
-  traversal. The widths are calibrated on a bounded set of queries that are compared with all rows; within a bucket
-  on a bounded set of its queries that are compared with all rows of the bucket.
+* A row is stored in its nearest bucket and a query visits its ``visits`` nearest ones, by the same traversal. Where
+  every row is a query, a pair that one side finds counts for both. The width is calibrated on a bounded set of queries
+  that are compared with all rows; within a bucket on a bounded set of its queries that are compared with all rows of it.
 * Exact copies are grouped first, so that however many copies a vector has, it is searched once.
 """
 
@@ -30,7 +30,7 @@ from quillspark.tables import read
 
 DIM = 64
 #: Rows of a bucket and of a leaf that the tree aims at; smallest ids kept of a group of copies (one more than are asked for).
-BUCKET_ROWS, LEAF_ROWS, LOW_IDS = 8_000, 64, 6
+BUCKET_ROWS, LEAF_ROWS, LOW_IDS = 8_000, 128, 6
 #: Widths tried in calibration.
 WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
 
@@ -224,10 +224,7 @@ def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int,
 
 
 def search_bucket(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, floor: float, recall: float, sample: int = 256, leaf_rows: int = LEAF_ROWS) -> pd.DataFrame:
-    """:func:`scan` by the tree of the bucket, of as many leaves a query as bring ``recall`` on ``sample`` of its queries.
-
-    The width is one step above the first that does, as the queries are a sample.
-    """
+    """:func:`scan` by the tree of the bucket, of as many leaves a query as bring ``recall`` on ``sample`` of its queries."""
     ux, uq = unit(x), unit(q)
     tree, home = fit(ux, max(len(x) / leaf_rows, 1))
     if not len(q) or not len(x):
@@ -240,15 +237,12 @@ def search_bucket(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray
         row = {v: i for i, v in enumerate(qid[tried])}
         where = dict(zip(xid, home))
         row, leaf = np.array([row[v] for v in true["vid"]]), np.array([where[v] for v in true["nid"]])
-        reached = False
-        widths = (*(w for w in WIDTHS if 1 < w < tree.leaves), tree.leaves)
         seen = tree.visit(uq[tried], min(16, tree.leaves))
-        for width in widths:
-            if reached:
-                break
+        for width in (*(w for w in WIDTHS if 1 < w < tree.leaves), tree.leaves):
             if width > seen.shape[1]:
                 seen = tree.visit(uq[tried], min(4 * width, tree.leaves))
-            reached = (seen[row, :width] == leaf[:, None]).any(1).mean() >= recall
+            if (seen[row, :width] == leaf[:, None]).any(1).mean() >= recall:
+                break
     visited = tree.visit(uq, min(width, tree.leaves))
     # rows by leaf, and the queries that visit it
     by = np.argsort(home, kind="stable")
@@ -318,46 +312,47 @@ def brute_force(index: Index, queries: pd.DataFrame, k: int, floor: float) -> pd
     return part.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r").toPandas()
 
 
-def calibrate(index: Index, k: int, floor: float, recall: float, queries: int = 1024, homes: int | None = None) -> tuple[int, int, float]:
-    """(homes, visits, recall of the buckets on the calibration queries): the least widths that bring ``recall``.
+def calibrate(index: Index, k: int, floor: float, recall: float, queries: int = 1024, mutual: bool = False) -> tuple[int, float]:
+    """(visits, recall of the buckets on the calibration queries): the least width that brings ``recall``.
 
-    ``homes`` None: rows are stored in as many buckets as queries visit.
+    ``mutual``: a pair counts if either side visits the other's bucket.
     """
     buckets = index.tree.leaves
     if buckets == 1:
-        return 1, 1, 1.0
+        return 1, 1.0
     share = min(1.0, queries / max(index.rows, 1))
     sample = index.items.filter(F.pmod(F.col("h2"), F.lit(1 << 24)) < int((1 << 24) * share)).select("vid", "model", "vec").limit(2 * queries).toPandas()
     true = brute_force(index, sample, k, floor)
     if not len(true):
-        return homes or buckets, buckets, 1.0
+        return buckets, 1.0
     row = pd.Series(np.arange(len(sample)), index=sample["vid"])[true["vid"]].to_numpy()
-    asked = index.tree.visit(unit(_matrix(sample["vec"])), buckets)
-    near = index.tree.visit(unit(_matrix(true["vec"])), homes or buckets)
+    asked = index.tree.visit(unit(_matrix(sample["vec"])), buckets)[row]
+    near = index.tree.visit(unit(_matrix(true["vec"])), buckets if mutual else 1)
     for width in (*(w for w in WIDTHS if w < buckets), buckets):
-        h = homes or width
-        met = (asked[row, :width, None] == near[:, None, :h]).any((1, 2)).mean()
-        if met >= recall:
+        met = (asked[:, :width] == near[:, :1]).any(1)
+        if mutual:
+            met |= (near[:, :width] == asked[:, :1]).any(1)
+        if met.mean() >= recall:
             break
-    return h, width, float(met)
+    return width, float(met.mean())
 
 
-def search(index: Index, asked: DataFrame | None, k: int, floor: float, homes: int, visits: int, recall: float = 0.99) -> DataFrame:
+def search(index: Index, asked: DataFrame | None, k: int, floor: float, visits: int, recall: float = 0.99) -> DataFrame:
     """``vid, nid, cosine``: up to k neighbours among distinct vectors for the items in ``asked`` (``vid``; None: all)."""
     tree = index.tree
 
     def place(batches):
         for pdf in batches:
-            near = tree.visit(unit(_matrix(pdf["vec"])), max(homes, visits))
+            near = tree.visit(unit(_matrix(pdf["vec"])), visits)
             n = near.shape[1]
-            rank = np.tile(np.arange(n), len(pdf))
-            asks = np.repeat(pdf["asked"].to_numpy(bool), n) & (rank < visits)
-            keep = (near.ravel() >= 0) & (asks | (rank < homes))
+            first = np.tile(np.arange(n), len(pdf)) == 0
+            asks = np.repeat(pdf["asked"].to_numpy(bool), n)
+            keep = (near.ravel() >= 0) & (asks | first)
             at = np.repeat(np.arange(len(pdf)), n)[keep]
             yield pd.DataFrame(
                 {
                     "bucket": near.ravel()[keep], "model": pdf["model"].to_numpy()[at], "vid": pdf["vid"].to_numpy()[at],
-                    "vec": pdf["vec"].to_numpy()[at], "is_row": (rank < homes)[keep], "is_query": asks[keep],
+                    "vec": pdf["vec"].to_numpy()[at], "is_row": first[keep], "is_query": asks[keep],
                 }
             )
 
@@ -366,7 +361,12 @@ def search(index: Index, asked: DataFrame | None, k: int, floor: float, homes: i
     else:
         items = index.items.select("vid", "model", "vec").join(asked.select("vid", F.lit(True).alias("asked")).distinct(), "vid", "left").fillna({"asked": False})
     records = items.mapInPandas(place, "bucket int, model string, vid long, vec binary, is_row boolean, is_query boolean")
-    return _top(_searched(records, ["model", "bucket"], lambda q, qid, x, xid: search_bucket(q, qid, x, xid, k, floor, recall)), k)
+    found = _searched(records, ["model", "bucket"], lambda q, qid, x, xid: search_bucket(q, qid, x, xid, k, floor, recall))
+    if asked is None:
+        pair = F.struct("vid", "nid", "cosine")
+        both = F.array(pair, F.struct(F.col("nid").alias("vid"), F.col("vid").alias("nid"), "cosine"))
+        found = found.select(F.explode(both).alias("p")).select("p.*")
+    return _top(found, k)
 
 
 def exact(index: Index, asked: DataFrame, k: int, floor: float, block: int = 20_000, part_rows: int = 50_000) -> DataFrame:
@@ -410,8 +410,8 @@ FLOOR, ASKED = 0.90, "id % 100 = 0"
 
 
 def _near_found(index: Index) -> DataFrame:
-    homes, visits, _ = calibrate(index, 5, FLOOR, recall=0.99)
-    return search(index, None, 5, FLOOR, homes, visits)
+    visits, _ = calibrate(index, 5, FLOOR, recall=0.99, mutual=True)
+    return search(index, None, 5, FLOOR, visits)
 
 
 def _asked(index: Index) -> DataFrame:
@@ -419,8 +419,8 @@ def _asked(index: Index) -> DataFrame:
 
 
 def _near_asked(index: Index, asked: DataFrame) -> DataFrame:
-    homes, visits, _ = calibrate(index, 5, -1.0, recall=0.97, queries=512, homes=1)
-    return search(index, asked, 5, -1.0, homes, visits, recall=0.97)
+    visits, _ = calibrate(index, 5, -1.0, recall=0.97, queries=512)
+    return search(index, asked, 5, -1.0, visits, recall=0.97)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

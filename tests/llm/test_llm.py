@@ -52,14 +52,14 @@ def test_neighbours(spark):
     df = spark.createDataFrame(data + data[:50] + bad, "chunk_id long, dim int, scale float, vec binary, model string")
     index = neighbours.build(neighbours.usable(df.withColumn("vid", F.lit(1)).withColumn("ids", F.lit(2))), bucket_rows=150, sample_rows=500)
     assert index.tree.leaves > 4 and index.rows == 961
-    homes, visits, recall = neighbours.calibrate(index, 5, 0.9, recall=1.0)
-    near = neighbours.search(index, None, 5, 0.9, homes, visits)
+    visits, recall = neighbours.calibrate(index, 5, 0.9, recall=1.0, mutual=True)
+    near = neighbours.search(index, None, 5, 0.9, visits)
     got = {(min(a, b), max(a, b)) for a, b, _ in rows(neighbours.expand(index, near, 5, 0.9))}
     want = exact(data, 5, 0.9)
     assert recall == 1.0 and len(got & want) >= 0.97 * len(want) and got <= want
     # all buckets and leaves: the general search is exact, and so is the comparison in blocks
     asked = neighbours._asked(index)
-    full = rows(neighbours.search(index, asked, 3, -1.0, 1, index.tree.leaves, recall=1.0).select("vid", "nid"))
+    full = rows(neighbours.search(index, asked, 3, -1.0, index.tree.leaves, recall=1.0).select("vid", "nid"))
     true = rows(neighbours.exact(index, asked, 3, -1.0, block=3, part_rows=100).select("vid", "nid"))
     assert len(set(full) & set(true)) >= 0.97 * len(true) and len(true) == 3 * asked.count()
     found = {(a, b) for a, b, _ in rows(neighbours.expand(index, neighbours.exact(index, asked, 3, -1.0), 3, -1.0, F.expr("id % 100 = 0")))}
@@ -69,8 +69,8 @@ def test_neighbours(spark):
 def test_neighbours_empty(spark):
     df = spark.createDataFrame([], "chunk_id long, dim int, scale float, vec binary, model string")
     index = neighbours.build(neighbours.usable(df))
-    homes, visits, _ = neighbours.calibrate(index, 5, 0.9, recall=0.9)
-    assert neighbours.expand(index, neighbours.search(index, None, 5, 0.9, homes, visits), 5, 0.9).count() == 0
+    visits, _ = neighbours.calibrate(index, 5, 0.9, recall=0.9)
+    assert neighbours.expand(index, neighbours.search(index, None, 5, 0.9, visits), 5, 0.9).count() == 0
     assert {r["recall"] for r in neighbours.recalls(index).collect()} == {1.0}
 
 
