@@ -223,8 +223,11 @@ def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int,
     return pd.concat(out) if out else _best(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), k, floor)
 
 
-def search_bucket(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, floor: float, recall: float, sample: int = 256, leaf_rows: int = LEAF_ROWS) -> pd.DataFrame:
-    """:func:`scan` by the tree of the bucket, of as many leaves a query as bring ``recall`` on ``sample`` of its queries."""
+def search_bucket(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, floor: float, recall: float, sample: int = 512, leaf_rows: int = LEAF_ROWS) -> pd.DataFrame:
+    """:func:`scan` by the tree of the bucket, of as many leaves a query as bring ``recall`` on ``sample`` of its queries.
+
+    The width is one step above the first that does, as the queries are a sample.
+    """
     ux, uq = unit(x), unit(q)
     tree, home = fit(ux, max(len(x) / leaf_rows, 1))
     if not len(q) or not len(x):
@@ -237,12 +240,13 @@ def search_bucket(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray
         row = {v: i for i, v in enumerate(qid[tried])}
         where = dict(zip(xid, home))
         row, leaf = np.array([row[v] for v in true["vid"]]), np.array([where[v] for v in true["nid"]])
-        seen = tree.visit(uq[tried], min(16, tree.leaves))
+        seen, reached = tree.visit(uq[tried], min(16, tree.leaves)), False
         for width in (*(w for w in WIDTHS if 1 < w < tree.leaves), tree.leaves):
+            if reached:
+                break
             if width > seen.shape[1]:
                 seen = tree.visit(uq[tried], min(4 * width, tree.leaves))
-            if (seen[row, :width] == leaf[:, None]).any(1).mean() >= recall:
-                break
+            reached = (seen[row, :width] == leaf[:, None]).any(1).mean() >= recall
     visited = tree.visit(uq, min(width, tree.leaves))
     # rows by leaf, and the queries that visit it
     by = np.argsort(home, kind="stable")
