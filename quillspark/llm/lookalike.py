@@ -2,26 +2,33 @@
 
 Method: transitive look-alike classes over code points and short strings by union-find; the
 most frequent member of a class in the corpus represents it; texts are rewritten greedily,
-longest match first, by a multi-pattern automaton. Canonical composition before and after each
-pass puts combining marks into one order.
+longest match first, by a multi-pattern automaton.
+
+A text is rewritten in two steps, neither of which is repeated. First every character is brought to the key of its
+class: invisible ones are dropped, the rest is decomposed canonically, letters take the key letter of their class, and
+the result is composed again. Two texts look the same exactly if these keys are equal. Then the automaton
+replaces the keys by the representatives, the members that are most frequent in the corpus.
 
 The classes come from rules over the alphabet, so their number does not grow with the data;
-only the frequencies of their members are counted, over all documents.
+only the frequencies of their members are counted, over all documents. Texts without any character that the rewriting
+touches are told by one native pattern and never leave the JVM.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import sys
 import unicodedata
 from collections import Counter
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.shared import Scratch
+from quillspark.shared import Scratch, heavy_keys, spread_join
 from quillspark.tables import read
 
 # Letters of the same shape.
@@ -29,9 +36,8 @@ CYRILLIC = "аеорсухіѕјһԁԛԝАВЕКМНОРСТХІЅЈԌԚԜ"
 CYRILLIC_AS = "aeopcyxisjhdqwABEKMHOPCTXISJGQW"
 GREEK = "οΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 GREEK_AS = "oABEZHIKMNOPTYX"
-# Spaces that only forbid a line break; characters that show nothing besides format characters.
-NON_BREAKING = "\u00a0\u2007\u202f"
-UNSEEN = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
+# Default-ignorable characters besides format characters, first and last of each run.
+IGNORABLE = ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF))
 
 LETTERS = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS))
 
@@ -60,30 +66,56 @@ class UnionFind:
         return [g for g in groups.values() if len(g) > 1]
 
 
+def _ruled() -> list[str]:
+    """All characters but ideographs, Hangul syllables, surrogates, empty planes and private use, which no rule touches."""
+    blank = ((0x3400, 0x9FFF), (0xAC00, 0xDFFF), (0x20000, 0xDFFFF), (0xF0000, sys.maxunicode))
+    at, out = 0, []
+    for a, b in blank:
+        out += map(chr, range(at, a))
+        at = b + 1
+    return out
+
+
+@functools.cache
+def alphabet() -> tuple[frozenset[str], dict[str, str], dict[str, tuple[str, str]]]:
+    """(invisible characters; character -> ordinary one; composed character -> base and mark).
+
+    Ordinary forms are told by the kind of decomposition: wide forms and spaces that only forbid a break.
+    """
+    unseen, plain, composed = set(), dict(LETTERS), {}
+    ignorable = {chr(c) for a, b in IGNORABLE for c in range(a, b + 1)}
+    for c in _ruled():
+        if unicodedata.category(c) == "Cf" or c in ignorable:
+            unseen.add(c)
+            continue
+        kind, _, parts = unicodedata.decomposition(c).rpartition("> ")
+        codes = [chr(int(x, 16)) for x in parts.split()]
+        if kind == "<wide" or kind == "<noBreak" and codes == [" "]:
+            plain[c] = plain.get(codes[0], codes[0])
+        elif not kind and len(codes) == 2:
+            composed[c] = (codes[0], codes[1])
+    return frozenset(unseen), plain, composed
+
+
+def key_of(t: str) -> str:
+    """The text in the keys of its characters' classes; equal exactly for texts that look the same."""
+    unseen, plain, _ = alphabet()
+    bare = "".join(c for c in t if c not in unseen)
+    return unicodedata.normalize("NFC", "".join(plain.get(c, c) for c in unicodedata.normalize("NFD", bare)))
+
+
 @functools.cache
 def look_alikes() -> list[list[str]]:
     """All classes of strings that look the same; the empty string is the look of an invisible character."""
     uf = UnionFind()
-    for a, b in LETTERS.items():
+    unseen, plain, composed = alphabet()
+    for c in unseen:
+        uf.union(c, "")
+    for a, b in plain.items():
         uf.union(a, b)
-    for c in range(0xFF01, 0xFF5F):
-        uf.union(chr(c), chr(c - 0xFEE0))
-    uf.union("　", " ")
-    for c in NON_BREAKING:
-        uf.union(c, " ")
-    alike = {x: group for group in uf.classes() for x in group}
-    marked: list[tuple[str, str, str]] = []
-    for code in range(0xA0, 0x30000):
-        c = chr(code)
-        if unicodedata.category(c) == "Cf" or c in UNSEEN or 0xFE00 <= code <= 0xFE0F:
-            uf.union(c, "")
-            continue
-        parts = unicodedata.decomposition(c)
-        if parts and not parts.startswith("<") and " " in parts:
-            base, mark = (chr(int(x, 16)) for x in parts.split())
-            marked.append((c, base, mark))
+    alike = {x: group for group in uf.classes() for x in group if "" not in group}
     # shorter decompositions first, so that a base that is composed itself has its class by then
-    for c, base, mark in sorted(marked, key=lambda x: len(unicodedata.normalize("NFD", x[0]))):
+    for c, (base, mark) in sorted(composed.items(), key=lambda x: len(unicodedata.normalize("NFD", x[0]))):
         group = [c, unicodedata.normalize("NFD", c), *(other + mark for other in alike.get(base, [base]))]
         for other in group:
             uf.union(c, other)
@@ -92,93 +124,116 @@ def look_alikes() -> list[list[str]]:
 
 
 @functools.cache
-def sequences():
-    """Automaton over the members of more than one code point."""
-    a = ahocorasick.Automaton()
-    for m in (m for group in look_alikes() for m in group if len(m) > 1):
-        a.add_word(m, m)
-    a.make_automaton()
-    return a
+def members() -> tuple[np.ndarray, object, re.Pattern]:
+    """(code points that are members; automaton over longer members; pattern of a character with its marks)."""
+    own = [m for group in look_alikes() for m in group]
+    longer = ahocorasick.Automaton()
+    for m in own:
+        if len(m) > 1:
+            longer.add_word(m, m)
+    longer.make_automaton()
+    marks = "".join(sorted({c for m in own for c in m[1:]}))
+    return np.array(sorted(ord(m) for m in own if len(m) == 1)), longer, re.compile(f"[^{marks}][{marks}]+")
 
 
 def count_members(texts) -> Counter:
-    """Occurrences of class members, longest match first; single characters are counted by C code."""
+    """Occurrences of class members, longest match first, over whole texts.
+
+    Characters are counted as an array of code points; longer members are looked for where there are marks only.
+    """
+    single, longer, cluster = members()
+    joined = "\n".join(t for t in texts if t)
     seen: Counter = Counter()
-    auto = sequences()
-    for t in texts:
-        if t:
-            seen.update(t)
-            if not t.isascii():
-                for _, m in auto.iter_long(t):
-                    seen[m] += 1
-                    seen.subtract(m)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.bincount(codes, minlength=int(single.max()) + 1)[single]
+    for code, times in zip(single[n > 0], n[n > 0]):
+        seen[chr(code)] += int(times)
+    if not joined.isascii():
+        for found in cluster.findall(joined):
+            for _, m in longer.iter_long(found):
+                seen[m] += 1
+                seen.subtract(c for c in m if c in seen)
     return seen
 
 
 def representatives(frequency: dict[str, int]) -> dict[str, str]:
-    """member -> representative: the most frequent member, the composed and then the smallest on a tie.
+    """key -> representative where they differ: the most frequent member, the composed and then the smallest on a tie.
 
     Invisible characters always give way to nothing.
     """
     out = {}
     for group in look_alikes():
-        if "" in group:
-            best = ""
-        else:
+        if "" not in group:
             best = min(group, key=lambda m: (-frequency.get(m, 0), len(m), m))
-        for m in group:
-            if m and m != best:
-                out[m] = best
+            key = key_of(best)
+            if best != key:
+                out[key] = best
     return out
 
 
 def rewriter(frequency: dict[str, int]):
     """Function that brings a text to its one form; applying it twice changes nothing more."""
     reps = representatives(frequency)
+    unseen, plain, _ = alphabet()
+    drop = re.compile("[" + "".join(map(re.escape, sorted(unseen))) + "]")
+    letters = str.maketrans(plain)
     shown = ahocorasick.Automaton()
-    for m, r in reps.items():
-        if r:
-            shown.add_word(m, (len(m), r))
+    for group in look_alikes():  # keys that stay are patterns too, so that no part of them is replaced
+        if "" not in group:
+            key = key_of(group[0])
+            shown.add_word(key, (len(key), reps.get(key, key)))
     shown.make_automaton()
-    unseen = re.compile("[" + "".join(re.escape(m) for m, r in reps.items() if r == "" and len(m) == 1) + "]")
-    touched = re.compile("[" + "".join(re.escape(c) for c in sorted({m[0] for m in reps})) + "]")
 
-    def once(t: str) -> str:
-        t = unicodedata.normalize("NFC", unseen.sub("", t))
+    def rewrite(t: str | None) -> str | None:
+        if t is None:
+            return None
+        t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", drop.sub("", t)).translate(letters))
+        if not reps:
+            return t
         out, at = [], 0
         for end, (n, r) in shown.iter_long(t):
             out += (t[at : end + 1 - n], r)
             at = end + 1
-        return unicodedata.normalize("NFC", "".join([*out, t[at:]])) if at else t
-
-    def rewrite(t: str | None) -> str | None:
-        if t is None or (t.isascii() and not touched.search(t)):
-            return t
-        for _ in range(4):
-            new = once(t)
-            if new == t:
-                break
-            t = new
-        return t
+        return "".join([*out, t[at:]])
 
     return rewrite
 
 
+def touched(frequency: dict[str, int]) -> str:
+    """Pattern (of Java) of the characters that rewriting may change, alone or with their neighbours.
+
+    These are the characters that aren't their own key, those that compose with the one before, and the first ones of
+    keys with another representative. A text without any of them is its own form.
+    """
+    unseen, plain, composed = alphabet()
+    hit = set(unseen) | set(plain) | {key[0] for key in representatives(frequency)} | {mark for _, mark in composed.values()}
+    for c in [*_ruled(), *map(chr, range(0xF900, 0xFB00)), *map(chr, range(0x2F800, 0x2FA20))]:
+        jamo = 0x1100 <= ord(c) <= 0x11FF
+        if unicodedata.combining(c) or jamo or unicodedata.decomposition(c)[:1] not in ("", "<") and key_of(c) != c:
+            hit.add(c)
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, hit)):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+
+
 def unify(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, text`` rows with the canonical form as ``form``.
 
     A null text has a null form, an empty one an empty form; repeated rows stay; other columns
-    are dropped. Member frequencies are counted per partition and summed, so at most one row per
-    member of the alphabet and partition is shuffled. The number of members is fixed by Unicode.
+    are dropped. Member frequencies are counted per batch and summed, so at most one row per
+    member of the alphabet and task is shuffled. The number of members is fixed by Unicode.
     """
     keyed = documents.select(F.col(key), F.col(text).alias("text"))
 
     def count(batches):
-        wanted = {m for group in look_alikes() for m in group}
         seen: Counter = Counter()
         for pdf in batches:
             seen.update(count_members(pdf["text"]))
-        yield pd.DataFrame(sorted((m, n) for m, n in seen.items() if m in wanted), columns=["member", "n"])
+        yield pd.DataFrame(sorted((m, n) for m, n in seen.items() if n), columns=["member", "n"])
 
     counted = keyed.select("text").mapInPandas(count, "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
     frequency = {r["member"]: r["n"] for r in counted.collect()}
@@ -192,27 +247,31 @@ def unify(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             pdf["form"] = [f(t) for t in pdf["text"]]
             yield pdf
 
-    schema = f"{keyed.schema[key].simpleString()}, text string, form string"
-    return keyed.mapInPandas(rewrite, schema)
+    changes = F.coalesce(F.col("text").rlike(touched(frequency)), F.lit(False))
+    same = keyed.filter(~changes).select(key, "text", F.col("text").alias("form"))
+    kind = keyed.schema[key].dataType.simpleString()
+    return same.unionByName(keyed.filter(changes).mapInPandas(rewrite, f"`{key}` {kind}, text string, form string"))
 
 
-def looks(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc_id, look, exact``: digests of form and text, distinct; written, so that texts are rewritten once."""
+def looks(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
+    """(``doc_id, look, exact``: digests of form and text, distinct; their number); written, so that texts are rewritten once."""
     rows = unify(documents, key, text).filter("form IS NOT NULL").select(
         F.col(key).alias("doc_id"), F.unhex(F.md5("form")).alias("look"), F.unhex(F.md5("text")).alias("exact")
     )
-    return Scratch(documents.sparkSession).put(rows.dropDuplicates())
+    return Scratch(documents.sparkSession).put_counted(rows.dropDuplicates())
 
 
 def look_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its class (least id of equal form), the representative of its exact text, its form's digest.
+    """One row per document: its class (least id of equal form), the representative of its exact text, and the class's number of texts.
 
-    Null texts are left out; repeated ids count once.
+    Null texts are left out; repeated ids count once. A text that many documents share is one row of the classes, and
+    its documents are cut into parts.
     """
-    hashed = looks(documents, key, text)
+    hashed, total = looks(documents, key, text)
     reps = hashed.groupBy("look", "exact").agg(F.min("doc_id").alias("rep"))
     classes = reps.groupBy("look").agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
-    return hashed.join(reps, ["look", "exact"]).join(classes, "look")
+    known = spread_join(reps, classes, "look", heavy_keys(reps, "look", total)).select("exact", "rep", "class_id", "n_texts")
+    return spread_join(hashed.select("exact", "doc_id"), known, "exact", heavy_keys(hashed, "exact", total)).select("doc_id", "class_id", "rep", "n_texts")
 
 
 def look_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,15 +279,18 @@ def look_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Every document is paired with the representative (least id) of every other text of its class,
     so all pairs of different texts come out, and copies are joined to each of them without
-    being expanded against each other.
+    being expanded against each other. Only classes of several texts are joined, and their documents in parts, so that
+    a class of many documents isn't one task.
     """
-    hashed = looks(documents, key, text)
+    hashed, total = looks(documents, key, text)
     reps = hashed.groupBy("look", "exact").agg(F.min("doc_id").alias("rep"))
     mixed = reps.groupBy("look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo <> hi").select("look")
-    reps = reps.join(mixed, "look")
-    docs = hashed.join(reps.select("look", "exact", F.col("rep").alias("own")), ["look", "exact"])
-    other = reps.select(F.col("look").alias("o_look"), F.col("exact").alias("o_exact"), "rep")
-    pairs = docs.join(other, (F.col("look") == F.col("o_look")) & (F.col("exact") != F.col("o_exact")))
+    texts = reps.join(mixed, "look")
+    docs = spread_join(hashed.select("exact", "doc_id"), texts.select("exact", "look", F.col("rep").alias("own")), "exact", heavy_keys(hashed, "exact", total))
+    parts = 16
+    other = texts.select(F.col("look").alias("o_look"), F.col("exact").alias("o_exact"), "rep", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("o_part"))
+    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    pairs = docs.join(other, (F.col("look") == F.col("o_look")) & (F.col("part") == F.col("o_part")) & (F.col("exact") != F.col("o_exact")))
     return pairs.filter("doc_id <> own OR doc_id < rep").select(
         F.least("doc_id", "rep").alias("doc_id_a"), F.greatest("doc_id", "rep").alias("doc_id_b")
     )
@@ -240,13 +302,29 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document by look."""
-    return look_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep", "n_texts")
-
-
-_SHOWN = f"""WITH shown AS (
-  SELECT doc_id, text, translate(nfc_normalize(regexp_replace(translate(text,
-    '{"".join(chr(c) for c in range(0xFF01, 0xFF5F) if chr(c) != "＇")}＇　{NON_BREAKING}', '{"".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if chr(c) != "＇")}''    '),
-    '[\\p{{Cf}}{UNSEEN}]', '', 'g')), '{CYRILLIC}{GREEK}ѐёїЀЁЇӑӓӗӧӱ', '{CYRILLIC_AS}{GREEK_AS}èëïÈËÏăäĕöÿ') AS look FROM documents)"""
+    return look_classes(read(spark, sf_dir, "documents"))
+
+
+def _shown_sql(c: str) -> str:
+    """The look of a text in SQL, by its own reading of the task: DuckDB composes but can't decompose, so composed letters are listed by rule."""
+    single, several = dict(LETTERS), {}
+    for code in range(0x370, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and parts[0] in LETTERS:
+            latin = unicodedata.normalize("NFC", LETTERS[parts[0]] + parts[1:])
+            (single if len(latin) == 1 else several)[unicodedata.normalize("NFC", chr(code))] = latin
+    wide = [chr(x) for x in (*range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7), 0x3000)]
+    narrow = [unicodedata.normalize("NFKC", x) if x != "\uffe3" else "\u00af" for x in wide]
+    quote = lambda x: x.replace("'", "''")
+    out = f"translate({c}, '{''.join(wide)}\u00a0\u2007\u202f', '{quote(''.join(narrow))}   ')"
+    unseen = "\\p{Cf}" + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)))
+    out = f"translate(nfc_normalize(regexp_replace({out}, '[{unseen}]', '', 'g')), '{''.join(single)}', '{''.join(single.values())}')"
+    for x, y in several.items():
+        out = f"replace({out}, '{x}', '{y}')"
+    return f"nfc_normalize({out})"
+
+
+_SHOWN = f"WITH shown AS (SELECT doc_id, text, {_shown_sql('text')} AS look FROM documents)"
 P10_SQL = f"""{_SHOWN},
 classes AS (SELECT look, text, min(doc_id) AS rep FROM shown GROUP BY look, text)
 SELECT DISTINCT least(s.doc_id, c.rep) AS doc_id_a, greatest(s.doc_id, c.rep) AS doc_id_b

@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -357,14 +358,14 @@ def test_rates_meet_targets(spark):
 
 
 def look(t):
-    """Brute force: decomposed, without invisible characters, letter by letter."""
-    t = "".join(c for c in t if unicodedata.category(c) != "Cf")
-    t = unicodedata.normalize("NFD", t)
-    t = "".join(chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) <= 0xFF5E else " " if c in "\u3000\u00a0\u2007\u202f" else c for c in t)
+    """Brute force: without invisible characters, decomposed, letter by letter."""
+    hidden = lambda c: unicodedata.category(c) == "Cf" or c in "\u034f\u115f\u180b" or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0000 <= ord(c) <= 0xE0FFF
+    t = unicodedata.normalize("NFD", "".join(c for c in t if not hidden(c)))
+    t = "".join(unicodedata.normalize("NFKC", c) if 0xFF01 <= ord(c) <= 0xFF5E or ord(c) in (0xFFE1, 0xFFE5) else " " if c in "\u3000\u00a0\u2007\u202f" else c for c in t)
     return unicodedata.normalize("NFC", "".join(lookalike.LETTERS.get(c, c) for c in t))
 
 
-ALPHABET = list("ae oOx1.²") + list("аеоії\u0301\u0308\u0323éëïệ\u200b\u00ad\u00a0\u3000ｅΟο\nＡй")
+ALPHABET = list("ae oOx1.²£¥") + list("\uffe1\uffe5\u180b\U000e0100\U000e0020\u034fўуὀο\u0313аеоії\u0301\u0308\u0323éëïệ\u200b\u00ad\u00a0\u3000ｅΟο\nＡй")
 
 
 @settings(max_examples=300, deadline=None)
@@ -375,6 +376,26 @@ def test_forms(texts):
         assert f(f(t)) == f(t)
         for u in texts:
             assert (f(t) == f(u)) == (look(t) == look(u))
+    # a text that no touched character is in is its own form
+    pattern = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", lookalike.touched(lookalike.count_members(texts))))
+    assert all(f(t) == t for t in texts if not pattern.search(t))
+
+
+def test_most_frequent_represents():
+    """Stress marks on Cyrillic letters are the most frequent spelling: Latin ones follow them, in one step."""
+    f = lookalike.rewriter({"\u0435\u0301": 9, "\u0435": 1, "e": 5, "\u00e9": 2})
+    assert f("\u00e9") == f("e\u0301") == f("\u0435\u0301") == "\u0435\u0301" and f("\u0435") == "e"
+    assert f(f("\u00e9t\u00e9")) == f("\u00e9t\u00e9")
+
+
+def test_count_members():
+    seen = lookalike.count_members(["caf\u00e9 e\u0301", None, "", "\uff45 \u0435\u0301x", "\ud800"])
+    assert seen["\u00e9"] == 1 and seen["e\u0301"] == 1 and seen["\u0435\u0301"] == 1 and seen["\uff45"] == 1 and seen["e"] == 0 and seen["x"] == 1
+
+
+def test_keys_are_class_invariants():
+    for group in lookalike.look_alikes():
+        assert len({lookalike.key_of(m) for m in group}) == 1
 
 
 def test_forms_keep_differences():
