@@ -124,16 +124,17 @@ def look_alikes() -> list[list[str]]:
 
 
 @functools.cache
-def members() -> tuple[np.ndarray, object, re.Pattern]:
-    """(code points that are members; automaton over longer members; pattern of a character with its marks)."""
+def members() -> tuple[np.ndarray, object, np.ndarray]:
+    """(code points that are members; automaton over longer members; whether a code point is a mark of one)."""
     own = [m for group in look_alikes() for m in group]
     longer = ahocorasick.Automaton()
     for m in own:
         if len(m) > 1:
             longer.add_word(m, m)
     longer.make_automaton()
-    marks = "".join(sorted({c for m in own for c in m[1:]}))
-    return np.array(sorted(ord(m) for m in own if len(m) == 1)), longer, re.compile(f"[^{marks}][{marks}]+")
+    marks = np.zeros(sys.maxunicode + 1, bool)
+    marks[[ord(c) for m in own for c in m[1:]]] = True
+    return np.array(sorted(ord(m) for m in own if len(m) == 1)), longer, marks
 
 
 def count_members(texts) -> Counter:
@@ -141,31 +142,33 @@ def count_members(texts) -> Counter:
 
     Characters are counted as an array of code points; longer members are looked for where there are marks only.
     """
-    single, longer, cluster = members()
+    single, longer, marks = members()
     joined = "\n".join(t for t in texts if t)
     seen: Counter = Counter()
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = np.bincount(codes, minlength=int(single.max()) + 1)[single]
     for code, times in zip(single[n > 0], n[n > 0]):
         seen[chr(code)] += int(times)
-    if not joined.isascii():
-        for found in cluster.findall(joined):
-            for _, m in longer.iter_long(found):
-                seen[m] += 1
-                seen.subtract(c for c in m if c in seen)
+    at = np.flatnonzero(marks[codes])
+    starts = at[np.r_[True, at[1:] != at[:-1] + 1]] if len(at) else at
+    ends = at[np.r_[at[1:] != at[:-1] + 1, True]] if len(at) else at
+    for a, b in zip(starts, ends):  # a character with the marks that follow it
+        for _, m in longer.iter_long(joined[max(a - 1, 0) : b + 1]):
+            seen[m] += 1
+            seen.subtract(c for c in m if c in seen)
     return seen
 
 
 def representatives(frequency: dict[str, int]) -> dict[str, str]:
-    """key -> representative where they differ: the most frequent member, the composed and then the smallest on a tie.
+    """key -> representative where they differ: the most frequent member; on a tie the key, then the shortest and smallest.
 
     Invisible characters always give way to nothing.
     """
     out = {}
     for group in look_alikes():
         if "" not in group:
-            best = min(group, key=lambda m: (-frequency.get(m, 0), len(m), m))
-            key = key_of(best)
+            key = key_of(group[0])
+            best = min(group, key=lambda m: (-frequency.get(m, 0), m != key, len(m), m))
             if best != key:
                 out[key] = best
     return out
@@ -175,19 +178,19 @@ def rewriter(frequency: dict[str, int]):
     """Function that brings a text to its one form; applying it twice changes nothing more."""
     reps = representatives(frequency)
     unseen, plain, _ = alphabet()
-    drop = re.compile("[" + "".join(map(re.escape, sorted(unseen))) + "]")
-    letters = str.maketrans(plain)
+    letters = str.maketrans(plain | dict.fromkeys(unseen))
     shown = ahocorasick.Automaton()
-    for group in look_alikes():  # keys that stay are patterns too, so that no part of them is replaced
-        if "" not in group:
-            key = key_of(group[0])
+    parts = re.compile("|".join(map(re.escape, reps)) or "(?!)")
+    for group in look_alikes():
+        key = key_of(group[0])
+        if key in reps or parts.search(key):  # a key that stays is a pattern too where a part of it would be replaced
             shown.add_word(key, (len(key), reps.get(key, key)))
     shown.make_automaton()
 
     def rewrite(t: str | None) -> str | None:
         if t is None:
             return None
-        t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", drop.sub("", t)).translate(letters))
+        t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).translate(letters))
         if not reps:
             return t
         out, at = [], 0
@@ -202,11 +205,11 @@ def rewriter(frequency: dict[str, int]):
 def touched(frequency: dict[str, int]) -> str:
     """Pattern (of Java) of the characters that rewriting may change, alone or with their neighbours.
 
-    These are the characters that aren't their own key, those that compose with the one before, and the first ones of
+    These are the characters that aren't their own key, those that compose with the one before, and the last ones of
     keys with another representative. A text without any of them is its own form.
     """
     unseen, plain, composed = alphabet()
-    hit = set(unseen) | set(plain) | {key[0] for key in representatives(frequency)} | {mark for _, mark in composed.values()}
+    hit = set(unseen) | set(plain) | {key[-1] for key in representatives(frequency)} | {mark for _, mark in composed.values()}
     for c in [*_ruled(), *map(chr, range(0xF900, 0xFB00)), *map(chr, range(0x2F800, 0x2FA20))]:
         jamo = 0x1100 <= ord(c) <= 0x11FF
         if unicodedata.combining(c) or jamo or unicodedata.decomposition(c)[:1] not in ("", "<") and key_of(c) != c:
