@@ -112,7 +112,7 @@ class Engine:
         mirror.apply(rows)
         if page_id:
             return f"re-read {page_id}"
-        return f"sync pass: pages={rows.count()} buried={mirror.reconcile(rows) if full else 0}"
+        return f"sync pass: pages={rows.count()} buried={mirror.reconcile(rows).count() if full else 0}"
 
     def evaluate(self, cases: list[dict], modes=("hybrid", "keyword", "vector")) -> DataFrame:
         """Ranks ``qid, mode, rank`` of the cases' pages."""

@@ -374,9 +374,9 @@ def stream_upsert(spark, d):
     schema = T.StructType([T.StructField(n, T.IntegerType() if n == "in_trash" else T.StringType()) for n in ("page_id", "data_source_id", "last_edited_time", "synced_at", "in_trash")])
     src = read(spark, d, "pages").select(page_key("id").alias("page_id"), page_key("data_source_id").alias("data_source_id"), "last_edited_time", "synced_at", "in_trash")
     scratch = Scratch(spark)
-    src.repartition(3, "page_id").write.parquet(f"{scratch.root}/feed")
+    src.repartition(3).write.parquet(f"{scratch.root}/feed")
     mirror = sync.PageMirror(spark, f"{scratch.root}/mirror", schema)
-    mirror.follow(f"{scratch.root}/feed", f"{scratch.root}/progress").awaitTermination()
+    mirror.follow(f"{scratch.root}/feed", f"{scratch.root}/progress", files=1).awaitTermination()
     return mirror.pages().select("page_id", "data_source_id", F.col("in_trash"))
 
 

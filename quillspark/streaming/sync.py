@@ -1,25 +1,33 @@
 """Mirror maintenance as micro-batches: idempotent upserts, replaced children, deletions, queues.
 
-Plain Parquet has no MERGE, so state is a published snapshot: each batch writes the next version beside
-the current one and swaps a pointer (:class:`quillspark.operators.incremental.PublishedTable`).
-Re-reading a change (slack, replay after a crash) changes nothing, as an upsert depends on the rows only.
+Plain Parquet has no MERGE, so state is a table of deltas (:class:`quillspark.operators.incremental.PublishedTable`): each
+batch appends the rows that changed and publishes the next manifest. Re-reading a change (slack, replay after a crash)
+changes nothing, as only newer or differing rows are appended. Versions are ordered by instant, whatever their spelling and zone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.incremental import PublishedTable
+from quillspark.tables import instant_us
 
 LOG_ROWS, TREE_DEPTH, TREE_BLOCKS = 500, 6, 2999
+#: Deltas of a mirror after which it is compacted.
+DELTAS = 64
+
+
+def moment(c: str) -> Column:
+    """What orders times held as strings: the instant, then the spelling; unreadable ones come first."""
+    return F.struct(F.coalesce(instant_us(c), F.lit(-(2**62))), F.coalesce(F.col(c), F.lit("")))
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row per key by ``order`` (descending, nulls last)."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    """The last row per key by ``order`` (times as strings); equal ones by their fingerprint."""
+    w = Window.partitionBy(key).orderBy(*[moment(c).desc() for c in order], F.xxhash64(*rows.columns))
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -104,27 +112,41 @@ def block_trees(blocks: DataFrame, depth: int = TREE_DEPTH, most: int = TREE_BLO
 
 
 class PageMirror:
-    """The page snapshot as a published table, fed by batches or a stream."""
+    """The pages as a published table, fed by batches or a stream. ``schema`` has ``page_id, data_source_id, last_edited_time,
+    synced_at, in_trash`` and whatever else a page has."""
 
     def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.schema, self.table = spark, schema, PublishedTable(spark, path)
+        self.spark, self.schema, self.table = spark, schema, PublishedTable(spark, path, "page_id", schema)
         self.failed: list[tuple[str, str]] = []
 
     def pages(self) -> DataFrame:
-        return self.table.read(self.schema)
-
-    def apply(self, batch: DataFrame, _epoch: int = 0) -> None:
-        """Upsert one micro-batch; the latest row per page counts. A replayed batch changes nothing."""
-        new, _ = upsert_pages(self.pages(), latest(batch, "page_id", "last_edited_time", "synced_at"))
-        self.table.publish(self.table.write_version(new.select(*[f.name for f in self.schema])))
-
-    def reconcile(self, live: DataFrame) -> int:
-        """Full pass: bury what is gone; returns how many pages."""
-        gone = tombstones(self.pages(), live)
-        n = gone.count()
-        if n:
-            self.table.publish(self.table.write_version(bury(self.pages(), gone).select(*[f.name for f in self.schema])))
-        return n
+        return self.table.read()
+
+    def apply(self, batch: DataFrame, _epoch: int = 0) -> DataFrame:
+        """Upsert one batch; returns the rows appended.
+
+        The latest row per page counts. A row older than the stored one, or equal to it, changes nothing, so a replayed
+        batch doesn't either; an empty source id keeps the known one.
+        """
+        n = self.table.version()
+        when = lambda: F.struct(moment("last_edited_time").alias("e"), moment("synced_at").alias("s"))
+        content = F.xxhash64(*[F.col(f.name).cast("string") for f in self.schema if f.name != "data_source_id"])
+        known = self.table.state(when().alias("_when"), content.alias("_print"), F.col("data_source_id").alias("_ds"), version=n)
+        new = latest(batch.filter("page_id IS NOT NULL").select(*self.schema.names), "page_id", "last_edited_time", "synced_at")
+        joined = new.withColumn("_new", when()).withColumn("_own", content).join(known, "page_id", "left")
+        source = F.coalesce(F.nullif(F.col("data_source_id"), F.lit("")), F.col("_ds"), F.lit(""))
+        differs = (F.col("_own") != F.col("_print")) | (source != F.coalesce("_ds", F.lit("")))
+        fresh = joined.filter(F.col("_when").isNull() | (F.col("_new") > F.col("_when")) | ((F.col("_new") == F.col("_when")) & differs))
+        out = self.table.append(fresh.withColumn("data_source_id", source).select(*self.schema.names), n)
+        if len(self.table.deltas()) > DELTAS:
+            self.table.compact()
+        return out
+
+    def reconcile(self, live: DataFrame) -> DataFrame:
+        """Full pass: bury what a full listing of the sources no longer has; returns the buried rows. Only they are written."""
+        n = self.table.version()
+        gone = tombstones(self.table.state("data_source_id", "in_trash", version=n), live)
+        return self.table.append(self.table.read(n).join(gone.select("page_id"), "page_id", "left_semi").withColumn("in_trash", F.lit(1)), n)
 
     def pass_over(self, sources: dict[str, Callable[[], DataFrame]]) -> list[str]:
         """Apply each source's changes; one that fails is noted and skipped, the others go on."""
@@ -137,8 +159,8 @@ class PageMirror:
                 self.failed.append((name, str(e)[:300]))
         return done
 
-    def follow(self, path: str, checkpoint: str, once: bool = True, seconds: int = 30):
-        """Structured Streaming over Parquet files with page rows; ``once`` ends when all present files are read."""
-        stream = self.spark.readStream.schema(self.schema).parquet(path)
-        writer = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
+    def follow(self, path: str, checkpoint: str, once: bool = True, seconds: int = 30, files: int = 1000):
+        """Structured Streaming over Parquet files with page rows, ``files`` a batch; ``once`` ends when all present files are read."""
+        stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", files).parquet(path)
+        writer = stream.writeStream.foreachBatch(lambda batch, epoch: self.apply(batch, epoch) and None).option("checkpointLocation", checkpoint)
         return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=f"{seconds} seconds").start()

@@ -267,7 +267,31 @@ def test_sync(spark, tmp_path):
     assert rows(sync.watermarks(new, marks)) == [("", "1"), ("s", "5"), ("t", "9")]
     m = sync.PageMirror(spark, f"file://{tmp_path}/m", new.schema)
     assert m.pass_over({"ok": lambda: batch, "bad": lambda: 1 / 0}) == ["ok"] and m.failed[0][0] == "bad"
-    assert m.pages().count() == 3 and m.reconcile(batch.filter("page_id = 'b'")) == 1
+    assert m.pages().count() == 3 and rows(m.reconcile(batch.filter("page_id = 'b'")), "page_id", "in_trash") == [("c", 1)]
+
+
+def test_mirror_batches(spark, tmp_path):
+    schema = "page_id string, data_source_id string, last_edited_time string, synced_at string, in_trash int"
+    make = lambda *r: spark.createDataFrame(list(r), schema)
+    m = sync.PageMirror(spark, f"file://{tmp_path}/m", make(("", "", "", "", 0)).schema)
+    m.apply(make(("a", "s", "2025-01-01T12:00:00+03:00", "1", 0), ("a", "s", "2025-01-01T10:00:00Z", "1", 1), ("b", "s", "2025-01-01T00:00:00Z", "1", 0), (None, "s", "2", "1", 0)))
+    assert rows(m.pages(), "page_id", "in_trash") == [("a", 1), ("b", 0)]  # 12:00+03:00 is earlier than 10:00Z
+    older = make(("a", "t", "2025-01-01T09:59:59Z", "9", 0), ("b", "", "2025-01-02T00:00:00Z", "1", 0))
+    assert rows(m.apply(older), "page_id", "data_source_id") == [("b", "s")]  # an older version in a later batch changes nothing
+    assert m.apply(older).count() == 0 and rows(m.pages(), "page_id", "last_edited_time") == [("a", "2025-01-01T10:00:00Z"), ("b", "2025-01-02T00:00:00Z")]
+    assert len(m.table.deltas()) == 3
+
+
+def test_mirror_stream(spark, tmp_path):
+    """Files of two batches through the stream, the newer version first."""
+    schema = "page_id string, data_source_id string, last_edited_time string, synced_at string, in_trash int"
+    feed = f"file://{tmp_path}/feed"
+    first = spark.createDataFrame([("a", "s", "2025-02-01T00:00:00Z", "1", 0), ("b", "s", "2025-01-01T00:00:00Z", "1", 0)], schema)
+    m = sync.PageMirror(spark, f"file://{tmp_path}/m", first.schema)
+    for batch in (first, spark.createDataFrame([("a", "s", "2025-01-01T00:00:00Z", "2", 1), ("c", "s", "2025-01-01T00:00:00Z", "1", 0)], schema)):
+        batch.coalesce(1).write.mode("append").parquet(feed)
+        m.follow(feed, f"file://{tmp_path}/progress", files=1).awaitTermination()
+    assert rows(m.pages(), "page_id", "in_trash") == [("a", 0), ("b", 0), ("c", 0)] and m.table.version() == 2
 
 
 def test_block_trees(spark):

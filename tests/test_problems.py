@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.operators import hierarchy, incremental, orphans, wide
 from quillspark.shared import dense_numbers, heavy_keys, spread_join
@@ -51,27 +52,58 @@ def test_pending_nulls(spark):
 
 
 def test_published_runs(spark, tmp_path):
-    table = incremental.PublishedTable(spark, f"file://{tmp_path}/t")
-    src = spark.createDataFrame([("a", "1", "x"), ("b", "1", "y")], "k string, v string, t string")
+    src = spark.createDataFrame([("a", "1", "x"), ("b", "1", "y"), ("b", "1", "y")], "k string, v string, t string")
+    table = incremental.PublishedTable(spark, f"file://{tmp_path}/t", "k", src.schema)
     seen = []
 
     def work(df):
         seen.append(df.count())
         return df
 
-    incremental.run_increment(spark, src, table, "k", "v", work)
+    assert table.version() == 0 and table.read().count() == 0
+    incremental.run_increment(src, table, "v", work)
     changed = spark.createDataFrame([("a", "2", "x2"), ("b", "1", "y"), ("c", "1", "z")], "k string, v string, t string")
 
     def dies(df):
         raise RuntimeError
 
     with pytest.raises(RuntimeError):
-        incremental.run_increment(spark, changed, table, "k", "v", dies)
-    table.write_version(changed)  # written but never published
-    out = incremental.run_increment(spark, changed, table, "k", "v", work)
-    assert rows(out) == [("a", "2", "x2"), ("b", "1", "y"), ("c", "1", "z")]
-    incremental.run_increment(spark, changed, table, "k", "v", work)
-    assert seen == [2, 2, 0]
+        incremental.run_increment(changed, table, "v", dies)
+    table.write_delta(changed)  # written but never published
+    delta = incremental.run_increment(changed, table, "v", work)
+    assert rows(delta) == [("a", "2", "x2"), ("c", "1", "z")]
+    assert rows(table.read()) == [("a", "2", "x2"), ("b", "1", "y"), ("c", "1", "z")]
+    assert rows(table.read(1)) == [("a", "1", "x"), ("b", "1", "y")]
+    incremental.run_increment(changed, table, "v", work)
+    assert seen == [2, 2, 0] and table.version() == 3
+    # a key that goes back to an old version is pending again
+    assert rows(incremental.run_increment(src, table, "v", work)) == [("a", "1", "x")]
+    table.compact()
+    assert len(table.deltas()) == 1 and rows(table.read()) == [("a", "1", "x"), ("b", "1", "y"), ("c", "1", "z")]
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    src = spark.createDataFrame([("a", "1"), ("b", "1")], "k string, v string")
+    table = incremental.PublishedTable(spark, f"file://{tmp_path}/t", "k", src.schema)
+
+    def slow(df):  # another run publishes while this one works
+        incremental.run_increment(src, table, "v", lambda d: d)
+        return df
+
+    with pytest.raises(incremental.Conflict):
+        incremental.run_increment(src, table, "v", slow)
+    assert rows(table.read()) == [("a", "1"), ("b", "1")] and len(table.deltas()) == 1
+
+
+def test_random_transform_runs_once(spark, tmp_path):
+    """Keys and rows of a run come from one evaluation, so a transform that differs from call to call loses nothing."""
+    src = spark.range(200).selectExpr("CAST(id AS STRING) AS k", "'1' AS v")
+    table = incremental.PublishedTable(spark, f"file://{tmp_path}/t", "k", src.schema)
+    some = lambda df: df.filter(F.rand() < 0.5)
+    total = 0
+    for _ in range(4):
+        total += incremental.run_increment(src, table, "v", some).count()
+    assert total == table.read().count() == table.read().select("k").distinct().count() > 150
 
 
 SCHEMA = '{"Amount": {"type": "number"}, "Due": {"type": "date"}, "Done": {"type": "checkbox"}, "Tags": {"type": "multi_select"}, "url": {"type": "url"}, "score": {"type": "rich_text"}, "Score": {"type": "number"}}'
