@@ -138,17 +138,19 @@ def members() -> tuple[np.ndarray, object, np.ndarray]:
 
 
 def count_members(texts) -> Counter:
-    """Occurrences of class members, longest match first, over whole texts.
+    """Occurrences of class members, longest match first, over whole texts; also of every other character beyond ASCII.
 
-    Characters are counted as an array of code points; longer members are looked for where there are marks only.
+    Characters are counted as an array of code points; longer members are looked for where there are marks only. A
+    character that occurs inside longer members only is there with 0.
     """
     single, longer, marks = members()
     joined = "\n".join(t for t in texts if t)
-    seen: Counter = Counter()
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = np.bincount(codes, minlength=int(single.max()) + 1)[single]
-    for code, times in zip(single[n > 0], n[n > 0]):
-        seen[chr(code)] += int(times)
+    n = np.bincount(codes, minlength=int(single.max()) + 1)
+    n[0xD800:0xE000] = 0
+    own = np.zeros(len(n), bool)
+    own[single] = own[128:] = True
+    seen: Counter = Counter({chr(code): int(n[code]) for code in np.flatnonzero(own & (n > 0))})
     at = np.flatnonzero(marks[codes])
     starts = at[np.r_[True, at[1:] != at[:-1] + 1]] if len(at) else at
     ends = at[np.r_[at[1:] != at[:-1] + 1, True]] if len(at) else at
@@ -205,8 +207,9 @@ def rewriter(frequency: dict[str, int]):
 def touched(frequency: dict[str, int]) -> str:
     """Pattern (of Java) of the characters that rewriting may change, alone or with their neighbours.
 
-    These are the characters that aren't their own key, those that compose with the one before, and the last ones of
-    keys with another representative. A text without any of them is its own form.
+    These are, among the characters that occur, those that aren't their own key, those that compose with the one before,
+    and the last ones of keys with another representative. A text without any of them is its own form. The many ranges beyond
+    ASCII are tried for characters beyond ASCII only.
     """
     unseen, plain, composed = alphabet()
     hit = set(unseen) | set(plain) | {key[-1] for key in representatives(frequency)} | {mark for _, mark in composed.values()}
@@ -215,12 +218,14 @@ def touched(frequency: dict[str, int]) -> str:
         if unicodedata.combining(c) or jamo or unicodedata.decomposition(c)[:1] not in ("", "<") and key_of(c) != c:
             hit.add(c)
     runs: list[list[int]] = []
-    for code in sorted(map(ord, hit)):
+    for code in sorted(ord(c) for c in hit if c < "\x80" or c in frequency):
         if runs and code == runs[-1][1] + 1:
             runs[-1][1] = code
         else:
             runs.append([code, code])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
+    ranges = lambda low: "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in runs if (x < 128) == low)
+    plain_ones, others = ranges(True), ranges(False)
+    return "|".join([f"[{plain_ones}]"] * bool(plain_ones) + [f"[\\x{{80}}-\\x{{10FFFF}}&&[{others}]]"] * bool(others)) or "(?!)"
 
 
 def unify(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,7 +241,7 @@ def unify(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         seen: Counter = Counter()
         for pdf in batches:
             seen.update(count_members(pdf["text"]))
-        yield pd.DataFrame(sorted((m, n) for m, n in seen.items() if n), columns=["member", "n"])
+        yield pd.DataFrame(sorted(seen.items()), columns=["member", "n"])
 
     counted = keyed.select("text").mapInPandas(count, "member string, n long").groupBy("member").agg(F.sum("n").alias("n"))
     frequency = {r["member"]: r["n"] for r in counted.collect()}

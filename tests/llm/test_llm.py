@@ -377,7 +377,8 @@ def test_forms(texts):
         for u in texts:
             assert (f(t) == f(u)) == (look(t) == look(u))
     # a text that no touched character is in is its own form
-    pattern = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", lookalike.touched(lookalike.count_members(texts))))
+    java = lookalike.touched(lookalike.count_members(texts)).replace(r"\x{80}-\x{10FFFF}&&[", "").replace("]]", "]")
+    pattern = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", java))
     assert all(f(t) == t for t in texts if not pattern.search(t))
 
 
