@@ -8,7 +8,8 @@ are then rounded to whole copies with the domain totals kept.
 
 The classifier is multinomial naive Bayes on hashed words, counted over all labelled rows.
 Documents with equal posteriors and cap have equal gradients, hence equal rates, so the fit
-runs on groups of them; a labelled domain is one group, whatever its size.
+runs on groups of them; a labelled domain is one group, whatever its size. Texts are read where they are, once to train
+and once to count tokens and predict; only numbers are shuffled.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.tokens import VOCABULARY, token_counts
-from quillspark.shared import Scratch, running_totals
+from quillspark.shared import Scratch, dense_numbers, running_totals
 from quillspark.tables import read
 
 BUCKETS = 1 << 13
+#: Rounds after which a fit that neither meets the targets nor stands still is given up with an error.
+ROUNDS = 400
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 
@@ -115,38 +118,55 @@ def memberships(documents: DataFrame, model: Classifier, domains: list[str]) ->
     return documents.mapInPandas(run, f"{schema}, p array<double>")
 
 
-def fit_rates(groups: DataFrame, goal: np.ndarray, available: np.ndarray, rounds: int = 60, tolerance: float = 1e-5) -> list[np.ndarray]:
-    """Projected gradient on rates of ``groups`` (``p, cap, tokens``); returns the residuals of each round.
+@dataclass
+class Fit:
+    """``history``: residuals of the rounds; ``off``: greatest distance of a domain's total from its target, as a share of it;
+    ``met``: whether that is within the tolerance. If not, the rates stand still at the optimum, as the problem is convex."""
+
+    history: list[np.ndarray]
+    off: float
+    met: bool
+
+
+def fit_rates(groups: DataFrame, goal: np.ndarray, available: np.ndarray, tolerance: float = 1e-5, rounds: int = ROUNDS) -> Fit:
+    """Projected gradient on rates of ``groups`` (``p, cap, tokens``).
 
     Minimises the sum over domains of (total - goal)^2 / available. In the metric in which a group
     weighs its tokens the gradient of a rate is p . residual with residual = (total - goal) /
     available, and a step of 1 never overshoots, as memberships sum to at most 1. A group's rate
     follows from the residuals so far (see :func:`rate_of`), so a round is one pass over the
-    groups that sends one vector per partition, and nothing is stored between rounds.
+    groups that sends one vector per partition, and nothing is stored between rounds. It ends when all targets are
+    met or no rate moves any more; otherwise it raises.
     """
     history: list[np.ndarray] = []
     safe = np.where(available > 0, available, 1)
-    for _ in range(rounds):
+    while True:
         steps = [h.copy() for h in history]
 
         def total(batches, steps=steps):
-            out = np.zeros(len(goal))
+            out, moved = np.zeros(len(goal)), 0.0
             for pdf in batches:
                 if len(pdf):
-                    p = np.stack(pdf["p"].to_numpy())
-                    out += (rate_of(p, pdf["cap"].to_numpy(), steps) * pdf["tokens"].to_numpy()) @ p
-            yield pd.DataFrame({"k": np.arange(len(goal)), "v": out})
-
-        sums = groups.mapInPandas(total, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        now = np.zeros(len(goal))
-        for r in sums:
-            now[r["k"]] = r["v"]
-        residual = (now - goal) / safe
-        off = np.abs(now - goal)[goal > 0] / goal[goal > 0]
-        if not len(off) or off.max() < tolerance:
-            break
-        history.append(residual)
-    return history
+                    p, cap, tokens = np.stack(pdf["p"].to_numpy()), pdf["cap"].to_numpy(), pdf["tokens"].to_numpy()
+                    r = rate_of(p, cap, steps)
+                    out += (r * tokens) @ p
+                    if steps:
+                        moved += float((np.abs(r - rate_of(p, cap, steps[:-1])) * tokens).sum())
+            yield pd.DataFrame({"k": np.arange(-1, len(goal)), "v": np.append(moved, out)})
+
+        now, moved = np.zeros(len(goal)), 0.0
+        for r in groups.mapInPandas(total, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            if r["k"] < 0:
+                moved = r["v"]
+            else:
+                now[r["k"]] = r["v"]
+        off = float((np.abs(now - goal)[goal > 0] / goal[goal > 0]).max(initial=0))
+        met = off < tolerance
+        if met or history and moved < tolerance * 0.01 * max(goal.sum(), 1):
+            return Fit(history, off, met)
+        if len(history) >= rounds:
+            raise RuntimeError(f"the rates still move after {rounds} rounds; a target is missed by {off:.2%}")
+        history.append((now - goal) / safe)
 
 
 def rate_of(p: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
@@ -157,17 +177,50 @@ def rate_of(p: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -> np.nda
     return r
 
 
-def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, total: float | None = None) -> DataFrame:
-    """Selected documents: ``doc_id, source_name, n_tokens, rate, copies, p`` with ``copies >= 1``.
+def _measured(documents: DataFrame, model: Classifier, domains: list[str], vocabulary: str) -> DataFrame:
+    """``doc_id, label, n_tokens, p``, one row per id: of repeated ids the row of the least digest counts. No text is shuffled."""
+    rows = documents.filter("doc_id IS NOT NULL").select("doc_id", label_of("source").alias("label"), F.xxhash64("text", "source").alias("digest"), "text")
+    counted = token_counts(rows.withColumn("body", F.col("text")), "label", "digest", "body", vocabulary=vocabulary).withColumnRenamed("body", "text")
+    each = memberships(counted.select("doc_id", "label", "digest", "n_tokens", "text"), model, domains)
+    one = each.groupBy("doc_id").agg(F.min(F.struct("digest", "label", "n_tokens", "p")).alias("x"))
+    return one.select("doc_id", "x.label", "x.n_tokens", "x.p")
+
+
+def whole_copies(rated: DataFrame) -> DataFrame:
+    """``doc_id, label, n_tokens, rate, p, copies`` of labelled documents (``cap`` too): whole copies with the domain totals kept.
+
+    Each document gets the lower whole number. One more get first those in hashed order, as long as they fit into what
+    the domain still lacks, then, of the others, the shortest, until the next one would no longer fit: the total
+    falls short of the target by less than the shortest document left over, however long others are.
+    """
+    whole = F.floor(F.col("rate") + 1e-9)
+    base = rated.withColumn("whole", whole)
+    lacks = base.groupBy("label").agg(F.sum((F.col("rate") - F.col("whole")) * F.col("n_tokens")).alias("lack"))  # a row per domain
+    able = running_totals(base.filter("whole < cap"), ["label"], ["doc_id"], F.col("n_tokens"), "before").join(F.broadcast(lacks), "label")
+    first = Scratch(rated.sparkSession).put(able.withColumn("more", F.col("before") + F.col("n_tokens") <= F.col("lack")))
+    gaps = first.groupBy("label").agg(F.max("lack").alias("lack"), F.sum(F.when(F.col("more"), F.col("n_tokens")).otherwise(0)).alias("got"))
+    gaps = gaps.select("label", (F.col("lack") - F.col("got")).alias("gap"))
+    rest = first.filter("NOT more").join(F.broadcast(gaps), "label").filter("n_tokens <= gap").select("doc_id", "label", "n_tokens", "gap")
+    # how many of each size: all sizes that fit together, and of the next as many as there is room for
+    sizes = rest.groupBy("label", "n_tokens", "gap").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("label").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("gap") - F.coalesce(F.sum(F.col("n") * F.col("n_tokens")).over(before), F.lit(0))
+    taken = sizes.select("label", "n_tokens", F.greatest(F.least(F.floor(room / F.col("n_tokens")), F.col("n")), F.lit(0)).alias("take")).filter("take > 0")
+    second = dense_numbers(rest.join(taken, ["label", "n_tokens"]), ["label", "n_tokens"], ["doc_id"], "number").filter("number < take").select("doc_id", F.lit(1).alias("extra"))
+    more = first.filter("more").select("doc_id", F.lit(1).alias("extra")).unionByName(second)
+    return base.join(more, "doc_id", "left").select("doc_id", "label", "n_tokens", "rate", "p", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
+
+
+def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, total: float | None = None) -> tuple[DataFrame, Fit]:
+    """Selected documents ``doc_id, source_name, n_tokens, rate, copies, p`` with ``copies >= 1``, and how the fit ended.
 
     ``documents``: ``doc_id, text, source``; ``targets``: ``source_name, target_share, max_repeats``
     (few rows by nature). Targets without documents get nothing and the other shares are scaled up;
     documents of sources without target are not used. Documents without source enter by their
     posteriors, with the smallest of all caps. ``total`` is the size of the mix in tokens; by default
     the largest for which every target can be met within its repeats. Null ids and texts without
-    tokens are left out; repeated ids count once. Whole copies: each labelled domain gets the
-    lower whole number of copies everywhere, and one more for documents in hashed order until
-    its tokens are reached, which is exact to half a document.
+    tokens are left out; repeated ids count once. Whole copies: see :func:`whole_copies`; documents
+    without source get their fraction by chance (of their id's hash).
     """
     spark = documents.sparkSession
     scratch = Scratch(spark)
@@ -177,60 +230,49 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
         if r["s"] and (r["share"] or 0) > 0 and (r["cap"] or 0) > 0
     }
     domains = sorted(wanted)
-    rows = documents.filter("doc_id IS NOT NULL").select("doc_id", label_of("source").alias("label"), "text").dropDuplicates(["doc_id"])
-    empty = "doc_id long, source_name string, n_tokens long, rate double, copies long, p array<double>"
+    empty = spark.createDataFrame([], "doc_id long, source_name string, n_tokens long, rate double, copies long, p array<double>"), Fit([], 0.0, True)
     if not domains:
-        return spark.createDataFrame([], empty)
-    model = train(rows.filter("label <> ''").select("label", "text"))
-    counted = token_counts(rows.withColumn("body", F.col("text")), "label", "body", vocabulary=vocabulary).withColumnRenamed("body", "text")
+        return empty
+    model = train(documents.select(label_of("source").alias("label"), "text").filter("label <> ''"))
     least = min(c for _, c in wanted.values())
     caps = F.coalesce(*[F.when(F.col("label") == d, F.lit(float(c))) for d, (_, c) in wanted.items()], F.lit(float(least)))
     docs = scratch.put(
-        memberships(counted.select("doc_id", "label", "n_tokens", "text"), model, domains)
-        .filter(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) > 0)
-        .filter("n_tokens > 0")
-        .withColumn("cap", caps)
+        _measured(documents, model, domains, vocabulary).filter(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) > 0).filter("n_tokens > 0").withColumn("cap", caps)
     )
     groups = scratch.put(docs.groupBy("p", "cap").agg(F.sum("n_tokens").alias("tokens")))
     own = {r["label"]: r["n"] for r in docs.filter("label <> ''").groupBy("label").agg(F.sum("n_tokens").alias("n")).collect()}
     present = [d for d in domains if own.get(d)]
     if not present:
-        return spark.createDataFrame([], empty)
+        return empty
     scale = sum(wanted[d][0] for d in present)
     share = np.array([wanted[d][0] / scale if d in own else 0.0 for d in domains])
     size = total or min(own[d] * wanted[d][1] / (wanted[d][0] / scale) for d in present)
-    goal = share * size
     # available tokens per domain, for the scale of the steps; soft members add a little
     soft = docs.filter("label = ''").select(F.posexplode("p").alias("k", "x"), "n_tokens").groupBy("k").agg(F.sum(F.col("x") * F.col("n_tokens")).alias("v"))
     available = np.array([float(own.get(d, 0)) for d in domains])
     for r in soft.collect():
         available[r["k"]] += r["v"]
-    history = fit_rates(groups, goal, available)
+    fit = fit_rates(groups, share * size, available)
 
     def rate(batches):
         for pdf in batches:
             if len(pdf):
-                pdf["rate"] = rate_of(np.stack(pdf["p"].to_numpy()), pdf["cap"].to_numpy(), history)
+                pdf["rate"] = rate_of(np.stack(pdf["p"].to_numpy()), pdf["cap"].to_numpy(), fit.history)
             else:
                 pdf["rate"] = pd.Series(dtype=float)
             yield pdf
 
     rated = scratch.put(docs.mapInPandas(rate, "doc_id long, label string, n_tokens long, p array<double>, cap double, rate double"))
+    sure = whole_copies(rated.filter("label <> ''"))
     whole = F.floor(F.col("rate") + 1e-9)
-    # tokens a labelled domain still lacks when every document has its lower whole number of copies
-    lacks = rated.filter("label <> ''").groupBy("label").agg(F.sum((F.col("rate") - whole) * F.col("n_tokens")).alias("lack"))
-    labelled = running_totals(rated.filter("label <> ''"), ["label"], ["doc_id"], F.col("n_tokens"), "before").join(F.broadcast(lacks), "label")
-    more = (F.col("before") + F.col("n_tokens") / 2 <= F.col("lack")) & (whole < F.col("cap"))
-    sure = labelled.select("doc_id", "label", "n_tokens", "rate", "p", (whole + more.cast("long")).alias("copies"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000 < F.col("rate") - whole
     unsure = rated.filter("label = ''").select("doc_id", "label", "n_tokens", "rate", "p", (whole + chance.cast("long")).alias("copies"))
-    return sure.unionByName(unsure).filter("copies >= 1").select(
-        "doc_id", F.col("label").alias("source_name"), "n_tokens", "rate", "copies", "p"
-    )
+    rows = sure.unionByName(unsure).filter("copies >= 1").select("doc_id", F.col("label").alias("source_name"), "n_tokens", "rate", "copies", "p")
+    return rows, fit
 
 
-def shares(selected: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target: its share, the tokens and share reached by its own documents, and the share by expected membership.
+def shares(selected: DataFrame, targets: DataFrame, fit: Fit) -> DataFrame:
+    """Per target: its share, the tokens and share reached by its own documents, the share by expected membership, and how the fit ended.
 
     ``p`` is ordered like the sorted names of the targets with a positive share and cap.
     """
@@ -253,19 +295,21 @@ def shares(selected: DataFrame, targets: DataFrame) -> DataFrame:
             F.coalesce("tokens", F.lit(0)).alias("tokens"),
             F.round(F.coalesce(F.col("tokens") / F.lit(float(everything or 1)), F.lit(0.0)), 6).alias("actual_share"),
             F.round(F.coalesce(F.col("expected") / F.lit(float(everything or 1)), F.lit(0.0)), 6).alias("expected_share"),
+            F.lit(len(fit.history)).alias("fit_rounds"), F.lit(round(fit.off, 9)).alias("fit_off"), F.lit(fit.met).alias("fit_met"),
         )
     )
 
 
-def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def selection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Fit]:
     return mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), read(spark, sf_dir, "mix_targets"))
 
 
 def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected documents with their number of copies."""
-    return selection(spark, sf_dir).select("doc_id", "source_name", "n_tokens", "copies")
+    return selection(spark, sf_dir)[0].select("doc_id", "source_name", "n_tokens", "copies")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares aimed at and reached, per source."""
-    return shares(selection(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
+    selected, fit = selection(spark, sf_dir)
+    return shares(selected, read(spark, sf_dir, "mix_targets"), fit)

@@ -321,16 +321,18 @@ def test_mix(spark):
     odd = [(1000, docs[0][1], None), (1001, "red red blue", " "), (1002, None, "a"), (1003, "", "b"), (None, "x", "a"), (1004, "zzz", "other"), (1005, "one two", " B "), docs[3]]
     df = spark.createDataFrame(docs + odd, "doc_id long, text string, source string").withColumn("label", F.lit(1)).withColumn("p", F.lit(2)).withColumn("n_tokens", F.lit(3))
     targets = spark.createDataFrame([("A", 0.3, 2), ("b ", 0.4, 2), ("c", 0.2, 5), ("absent", 0.1, 3)], "source_name string, target_share double, max_repeats int")
-    got = mixing.mix(df, targets).collect()
+    mixed, fit = mixing.mix(df, targets)
+    got = mixed.collect()
+    assert fit.met and fit.off < 1e-5
     assert len({r["doc_id"] for r in got}) == len(got) and not {r["doc_id"] for r in got} & {None, 1002, 1003, 1004}
     caps, total = {"a": 2, "b": 2, "c": 5, "": 2}, sum(r["copies"] * r["n_tokens"] for r in got)
     assert all(1 <= r["copies"] <= caps[r["source_name"]] for r in got)
     for s, share in (("a", 0.3 / 0.9), ("b", 0.4 / 0.9), ("c", 0.2 / 0.9)):
         own = sum(r["copies"] * r["n_tokens"] for r in got if r["source_name"] == s)
         assert own / total == pytest.approx(share, abs=0.02), s
-    report = {r["source_name"]: r for r in mixing.shares(mixing.mix(df, targets), targets).collect()}
+    report = {r["source_name"]: r for r in mixing.shares(*mixing.mix(df, targets)[:1], targets, fit).collect()}
     assert set(report) == {"a", "b", "c", "absent"} and report["absent"]["actual_share"] == 0
-    assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
+    assert mixing.mix(df.limit(0), targets)[0].count() == 0 and mixing.mix(df, targets.limit(0))[0].count() == 0
 
 
 def test_classifier_held_out(spark):
@@ -349,11 +351,34 @@ def test_rates_meet_targets(spark):
     df = spark.createDataFrame([(x.tolist(), 3.0, float(n)) for x, n in zip(p, t)], "p array<double>, cap double, tokens double")
     available = t @ p
     goal = available * np.array([0.8, 1.1, 0.9])
-    history = mixing.fit_rates(df, goal, available)
-    r = mixing.rate_of(p, np.full(80, 3.0), history)
+    fit = mixing.fit_rates(df, goal, available)
+    r = mixing.rate_of(p, np.full(80, 3.0), fit.history)
+    assert fit.met
     assert np.allclose((r * t) @ p, goal, rtol=1e-3) and r.min() >= 0 and r.max() <= 3
 
 
+def test_targets_out_of_reach(spark):
+    """Where caps forbid a target the rates stand still at the optimum, and the fit says so; one that still moves raises."""
+    df = spark.createDataFrame([([1.0, 0.0], 1.0, 10.0), ([0.0, 1.0], 2.0, 10.0)], "p array<double>, cap double, tokens double")
+    fit = mixing.fit_rates(df, np.array([30.0, 15.0]), np.array([10.0, 10.0]))
+    assert not fit.met and fit.off == pytest.approx(2 / 3) and mixing.rate_of(np.eye(2), np.array([1.0, 2.0]), fit.history).tolist() == pytest.approx([1, 1.5])
+    with pytest.raises(RuntimeError, match="still move"):
+        mixing.fit_rates(df, np.array([30.0, 15.0]), np.array([1e6, 1e6]), rounds=2)
+
+
+def test_whole_copies(spark):
+    """One very long text can't spoil a domain's total: short ones fill the rest."""
+    rng = random.Random(12)
+    data = [(i, "a", rng.randrange(5, 90)) for i in range(300)] + [(900, "a", 28_000), (1, "b", 7)]
+    df = spark.createDataFrame([(i, s, n, [1.0], 3.0, 1.37) for i, s, n in data], "doc_id long, label string, n_tokens long, p array<double>, cap double, rate double")
+    got = {(r["label"], r["doc_id"]): r for r in mixing.whole_copies(df).collect()}
+    assert len(got) == len(data) and all(r["copies"] in (1, 2) for r in got.values())
+    total = sum(r["copies"] * r["n_tokens"] for (s, _), r in got.items() if s == "a")
+    want = 1.37 * sum(n for _, s, n in data if s == "a")
+    shortest = min((r["n_tokens"] for (s, _), r in got.items() if s == "a" and r["copies"] == 1), default=0)
+    assert want - shortest - 1 < total <= want + 1e-6 or got["a", 900]["copies"] == 1 and total == want
+
+
 # -- p10 ----------------------------------------------------------------------------------------
 
 
