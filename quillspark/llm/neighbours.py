@@ -317,7 +317,7 @@ def brute_force(index: Index, queries: pd.DataFrame, k: int, floor: float) -> pd
 
 
 def calibrate(index: Index, k: int, floor: float, recall: float, queries: int = 1024, mutual: bool = False) -> tuple[int, float]:
-    """(visits, recall of the buckets on the calibration queries): the least width that brings ``recall``.
+    """(visits, recall of the buckets on the calibration queries): one width above the least that brings ``recall``.
 
     ``mutual``: a pair counts if either side visits the other's bucket.
     """
@@ -332,12 +332,14 @@ def calibrate(index: Index, k: int, floor: float, recall: float, queries: int =
     row = pd.Series(np.arange(len(sample)), index=sample["vid"])[true["vid"]].to_numpy()
     asked = index.tree.visit(unit(_matrix(sample["vec"])), buckets)[row]
     near = index.tree.visit(unit(_matrix(true["vec"])), buckets if mutual else 1)
+    reached = False
     for width in (*(w for w in WIDTHS if w < buckets), buckets):
         met = (asked[:, :width] == near[:, :1]).any(1)
         if mutual:
             met |= (near[:, :width] == asked[:, :1]).any(1)
-        if met.mean() >= recall:
+        if reached:
             break
+        reached = met.mean() >= recall
     return width, float(met.mean())
 
 
