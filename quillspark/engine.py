@@ -27,12 +27,19 @@ class Engine:
         self._sql: SparkSession | None = None
 
     def search(self, query: str, mode: str = "hybrid", limit: int = search.LIMIT, expand_relations: bool = False, **filters) -> DataFrame:
-        vector = {0: list(map(float, self.embedder.embed_query(query)))} if self.embedder else None
         return search.search(
-            self.spark, {0: query}, vector, self.index, self.chunks, self.pages, self.vectors, self.relations, mode, limit, expand_relations,
+            *self._asked({0: query}), self.index, self.chunks, self.pages, self.vectors, self.relations, mode, limit, expand_relations,
             dim=self.embedder.dim if self.embedder else 0, filters=filters or None,
         ).drop("qid").orderBy("position")
 
+    def _asked(self, texts: dict[int, str]) -> tuple[DataFrame, DataFrame | None]:
+        """(``qid, text``; ``qid, query`` if there is an embedder) of the caller's queries."""
+        queries = self.spark.createDataFrame(list(texts.items()), "qid long, text string")
+        if self.embedder is None:
+            return queries, None
+        embedded = [(q, list(map(float, self.embedder.embed_query(t)))) for q, t in texts.items()]
+        return queries, self.spark.createDataFrame(embedded, "qid long, query array<double>")
+
     def why(self, mode: str = "hybrid") -> str | None:
         """Why a search runs by keyword only, if it does."""
         return "no embedding model is loaded" if self.embedder is None and mode in ("hybrid", "vector") else None
@@ -119,10 +126,10 @@ class Engine:
         from quillspark.operators.evaluate import rank_of
 
         texts = {k: c["q"] for k, c in enumerate(cases, 1)}
-        vec = {k: list(map(float, self.embedder.embed_query(t))) for k, t in texts.items()} if self.embedder else None
+        asked = self._asked(texts)
         out = None
         for mode in modes:
-            r = search.search(self.spark, texts, vec, self.index, self.chunks, self.pages, self.vectors, mode=mode, dim=self.embedder.dim if self.embedder else 0)
+            r = search.search(*asked, self.index, self.chunks, self.pages, self.vectors, mode=mode, dim=self.embedder.dim if self.embedder else 0)
             r = r.select("qid", F.lit(mode).alias("mode"), "page_id", "position")
             out = r if out is None else out.unionByName(r)
         wanted = self.spark.createDataFrame([(k, m, c["expect"]) for k, c in enumerate(cases, 1) for m in modes], "qid long, mode string, expect string")

@@ -277,3 +277,16 @@ def carries_literal(text: str) -> bool:
 
 def keyword_weight(text: str) -> float:
     return LITERAL_WEIGHT if carries_literal(text) else KEYWORD_WEIGHT
+
+
+def literal_weight(c: Column | str) -> Column:
+    """:func:`keyword_weight` of a column of query texts, natively; a null text weighs as one without literals."""
+    edges = "[" + re.escape(WORD_EDGES) + "]+"
+    words = F.transform(F.split(F.coalesce(col(c), F.lit("")), r"[\s\p{Z}]+"), lambda w: F.regexp_replace(w, f"^{edges}|{edges}$", ""))
+
+    def literal(w: Column) -> Column:
+        shouted = ~w.rlike("[a-z]") & (F.char_length(w) >= 4)
+        shape = w.rlike("[A-Za-z]") & (shouted | w.rlike(r"\p{Nd}") | w.contains("."))
+        return (F.char_length(w) >= 3) & (w.rlike("[_@]") | shape)
+
+    return F.when(F.exists(words, literal), LITERAL_WEIGHT).otherwise(KEYWORD_WEIGHT)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.scalars import match_terms, terms
+from quillspark.functions.scalars import terms
 
-# The ranking function's constants and the weights of text, heading and title.
+# The ranking function's constants, how many terms of a query count, and the weights of text, heading and title.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+MOST_TERMS = 32
 FIELD_WEIGHTS = {"text": 1.0, "heading": 1.5, "title": 3.0}
 
 
@@ -23,11 +24,14 @@ def lengths(index: DataFrame) -> DataFrame:
     return index.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("len"))
 
 
-def query_terms(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
-    """``qid, tno, j, m, token, prefix``: one row per token of every query term; a term of several tokens is a phrase."""
-    rows = [(q, t, w, p) for q, text in queries.items() for t, (w, p) in enumerate(match_terms(text))]
-    df = spark.createDataFrame(rows, "qid long, tno int, word string, prefix boolean")
-    split = df.withColumn("tokens", terms("word")).withColumn("m", F.size("tokens")).filter("m > 0")
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``qid, tno, j, m, token, prefix`` of ``qid, text`` rows: one row per token of every query term; a term of several tokens is a phrase.
+
+    Terms are words of at least two characters, prefixes from four on, the first ``MOST_TERMS`` of a query. Null texts have none.
+    """
+    words = F.filter(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0)), lambda w: F.char_length(w) >= 2)
+    each = queries.select("qid", F.posexplode(F.slice(words, 1, MOST_TERMS)).alias("tno", "word"))
+    split = each.select("qid", "tno", (F.char_length("word") >= 4).alias("prefix"), terms("word").alias("tokens")).withColumn("m", F.size("tokens")).filter("m > 0")
     out = split.select("qid", "tno", "m", "prefix", F.posexplode("tokens").alias("j", "token"))
     return out.withColumn("prefix", F.col("prefix") & (F.col("j") == F.col("m") - 1))
 
@@ -35,14 +39,16 @@ def query_terms(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
 def occurrences(index: DataFrame, asked: DataFrame) -> DataFrame:
     """``qid, tno, chunk_id, field, pos``: where a whole query term starts.
 
-    Tokens are first resolved against the dictionary of distinct terms, so the postings are joined by
-    equality; the tokens of a phrase are brought together by their common start.
+    Tokens are first resolved against the dictionary of distinct terms, so the postings are joined by equality. So are
+    the prefixes: each term of the dictionary offers all of its beginnings, and the distinct tokens are looked up among them. The
+    tokens of a phrase are brought together by their common start.
     """
     exact = asked.filter("NOT prefix").select("qid", "tno", "j", "m", F.col("token").alias("term"))
     begun = asked.filter("prefix").select("qid", "tno", "j", "m", "token")
     dictionary = index.select("term").distinct()
-    # the few query tokens are at most 32 per query
-    grown = dictionary.join(F.broadcast(begun), F.col("term").startswith(F.col("token"))).select("qid", "tno", "j", "m", "term")
+    beginnings = dictionary.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("term")), lambda n: F.left("term", n))).alias("token"))
+    known = beginnings.join(begun.select("token").distinct(), "token", "left_semi")
+    grown = begun.join(known, "token").select("qid", "tno", "j", "m", "term")
     hits = index.join(exact.unionByName(grown), "term")
     start = hits.select("qid", "tno", "chunk_id", "field", (F.col("pos") - F.col("j")).alias("pos"), "j", "m")
     single = start.filter("m = 1").select("qid", "tno", "chunk_id", "field", "pos")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.scalars import keyword_weight
+from quillspark.functions.scalars import literal_weight
 from quillspark.operators import postings
 
 # The fusion constant, defaults of a search and the share of a related page's score.
@@ -152,7 +152,7 @@ def fuse(keyword: DataFrame, vector: DataFrame, weights: DataFrame) -> DataFrame
     """
     k = keyword.select("qid", "page_id", F.col("chunk_id").alias("k_chunk"), F.col("rank").alias("kw_rank"), F.col("score").alias("keyword_score"))
     v = vector.select("qid", "page_id", F.col("chunk_id").alias("v_chunk"), F.col("rank").alias("vec_rank"), F.col("score").alias("vector_score"))
-    both = k.join(v, ["qid", "page_id"], "full").join(F.broadcast(weights), "qid")
+    both = k.join(v, ["qid", "page_id"], "full").join(weights, "qid")
     part = lambda r, w: F.coalesce(w / (RRF_K + F.col(r)), F.lit(0.0))
     scored = both.select(
         "qid", "page_id",
@@ -179,9 +179,9 @@ def expand(seeds: DataFrame, relations: DataFrame, pages: DataFrame, limit: int
     Edges between two seeds are skipped, so are pages in the trash; other filters don't apply here. At most
     ``min(limit, 10)`` rows per query, in order of (seed, property, page).
     """
-    near = edges_both_ways(relations).join(F.broadcast(seeds.select("qid", "page_id", "score", "position")), "page_id")
+    near = edges_both_ways(relations).join(seeds.select("qid", "page_id", "score", "position"), "page_id")
     known = seeds.select("qid", F.col("page_id").alias("other_id"))
-    fresh = near.join(F.broadcast(known), ["qid", "other_id"], "left_anti")
+    fresh = near.join(known, ["qid", "other_id"], "left_anti")
     live = pages.filter("coalesce(in_trash, 0) = 0").select(F.col("page_id").alias("other_id"), "title")
     best = fresh.join(live, "other_id").groupBy("qid", "other_id", "title").agg(
         F.min(F.struct("position", "prop")).alias("first"), F.max("score").alias("parent_score")
@@ -194,9 +194,8 @@ def expand(seeds: DataFrame, relations: DataFrame, pages: DataFrame, limit: int
 
 
 def search(
-    spark: SparkSession,
-    queries: dict[int, str],
-    vectors_of: dict[int, list[float]] | None,
+    queries: DataFrame,
+    vectors_of: DataFrame | None,
     index: DataFrame,
     chunks: DataFrame,
     pages: DataFrame,
@@ -208,20 +207,21 @@ def search(
     dim: int = 64,
     filters: dict | None = None,
 ) -> DataFrame:
-    """The whole search as one plan; without query vectors hybrid and vector modes fall back to keyword.
+    """The whole search of a table of queries (``qid, text``; one row per query) as one plan.
 
-    An unknown mode runs no branch. Output: ``qid, position, page_id, title, chunk_id, snippet, score, via``.
+    ``vectors_of`` (``qid, query``: array of numbers) has the queries' vectors; a query without one is ranked by keyword only,
+    and with no table at all hybrid and vector modes fall back to keyword. An unknown mode runs no branch. Output: ``qid, position, page_id, title, chunk_id, snippet, score, via``.
     """
     limit = limit if limit > 0 else LIMIT
     candidates = max(PER_RESULT * limit, LEAST_CANDIDATES)
-    mode = "keyword" if mode in ("hybrid", "vector") and not vectors_of else mode
+    mode = "keyword" if mode in ("hybrid", "vector") and vectors_of is None else mode
     allowed = page_filter(pages, **(filters or {}))
-    nothing = spark.createDataFrame([], "qid long, page_id string, chunk_id long, score double, rank int")
-    kw = keyword_ranking(index, chunks, allowed, postings.query_terms(spark, queries), candidates) if mode in ("hybrid", "keyword") else nothing
+    nothing = queries.sparkSession.createDataFrame([], "qid long, page_id string, chunk_id long, score double, rank int")
+    kw = keyword_ranking(index, chunks, allowed, postings.query_terms(queries), candidates) if mode in ("hybrid", "keyword") else nothing
     vec = nothing
     if mode in ("hybrid", "vector"):
-        vec = vector_ranking(vectors, chunks, allowed, vectors_of, dim, candidates)
-    weights = spark.createDataFrame([(q, keyword_weight(t)) for q, t in queries.items()], "qid long, w double")
+        vec = block_ranking(vectors, chunks, allowed, vectors_of, dim, candidates)
+    weights = queries.select("qid", literal_weight("text").alias("w"))
     fused = fuse(kw, vec, weights).filter(F.col("position") <= limit)
     texts = chunks.select("chunk_id", F.col("text").alias("snippet"))
     direct = fused.join(texts, "chunk_id").join(pages.select("page_id", "title"), "page_id").select(

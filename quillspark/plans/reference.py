@@ -12,7 +12,6 @@ from quillspark.shared import Scratch
 from quillspark.streaming import sync
 from quillspark.tables import current_pages, page_key, read
 
-TEXTS = {1: "sync pass review within days", 2: "Kesselstand prüft Gießplan", 3: "HOME_DIR archived journal", 4: "the pantry sheet UU6-775538"}
 MODEL, DIM = "tern-small-i8", 64
 
 
@@ -61,32 +60,40 @@ def keyword_index(spark: SparkSession, d: str) -> DataFrame:
     return Scratch(spark).put(postings.postings(titled(spark, d)))
 
 
+def query_texts(spark: SparkSession, d: str) -> DataFrame:
+    """``qid, text`` of every stored query."""
+    return read(spark, d, "search_results").filter("query_id IS NOT NULL").groupBy(F.col("query_id").alias("qid")).agg(F.max("query_text").alias("text"))
+
+
 def bm25_topk(spark, d):
-    """Ten best pages of each query by keyword."""
+    """Ten best pages of every stored query by keyword."""
     index = keyword_index(spark, d)
-    ranked = search.keyword_ranking(index, chunks(spark, d), search.page_filter(slim(spark, d)), postings.query_terms(spark, TEXTS), 10)
+    ranked = search.keyword_ranking(index, chunks(spark, d), search.page_filter(slim(spark, d)), postings.query_terms(query_texts(spark, d)), 10)
     return ranked.select("qid", "page_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_scores(spark, d):
-    """Scores of all matching chunks."""
-    return postings.bm25(keyword_index(spark, d), postings.query_terms(spark, TEXTS))
+    """Scores of all matching chunks of every stored query."""
+    return postings.bm25(keyword_index(spark, d), postings.query_terms(query_texts(spark, d)))
 
 
 def bm25_filtered(spark, d):
     """Keyword ranking with a time range; statistics stay those of the whole index."""
     allowed = search.page_filter(slim(spark, d), since="2025-01-01", until="2026-01-01")
     index = keyword_index(spark, d)
-    return search.keyword_ranking(index, chunks(spark, d), allowed, postings.query_terms(spark, TEXTS), 10).select("qid", "page_id", "chunk_id", "score")
+    return search.keyword_ranking(index, chunks(spark, d), allowed, postings.query_terms(query_texts(spark, d)), 10).select("qid", "page_id", "chunk_id", "score")
+
 
+def paired_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """``qid, query``: a stored vector for every stored query, as no model is at hand to embed the texts.
 
-def example_vectors(spark, d) -> dict[int, list[float]]:
-    """Vectors of the chunks with the smallest ids stand for embedded queries."""
-    rows = vectors(spark, d).orderBy("chunk_id").limit(len(TEXTS)).collect()
-    out = {}
-    for q, r in zip(TEXTS, rows):
-        out[q] = [(b - 256 if b > 127 else b) * r["scale"] for b in r["vec"]]
-    return out
+    The vectors of the chunks whose id is divisible by 100 are dealt out by the hundreds of their id, modulo the number of
+    queries; of several the smallest id counts, and a query that gets none is left to its keywords.
+    """
+    asked, queries = asked_vectors(vectors(spark, d)), query_texts(spark, d).select("qid")
+    n = max(queries.count(), 1)
+    dealt = asked.groupBy(F.pmod(F.col("qid") / 100, F.lit(n)).cast("long").alias("k")).agg(F.min_by("query", "qid").alias("query"))
+    return queries.withColumn("k", F.pmod(F.col("qid"), F.lit(n))).join(dealt, "k").select("qid", "query")
 
 
 def asked_vectors(stored: DataFrame) -> DataFrame:
@@ -105,21 +112,21 @@ def knn_int8(spark, d):
     """Ten best pages, by quantised dot product, of the vector of every chunk whose id is divisible by 100."""
     stored = vectors(spark, d)
     r = search.block_ranking(stored, chunks(spark, d), search.page_filter(slim(spark, d)), asked_vectors(stored), DIM, 10)
-    return r.select("qid", "page_id", "chunk_id", F.round("score", 4).alias("score"))
+    return r.select("qid", "page_id", "chunk_id", "score")
 
 
 def hybrid_search(spark, d):
-    """Fused search with relation expansion."""
+    """Fused search of every stored query, with relation expansion."""
     index = keyword_index(spark, d)
     return search.search(
-        spark, TEXTS, example_vectors(spark, d), index, chunks(spark, d), pages(spark, d), vectors(spark, d), relations(spark, d), expand_relations=True
-    ).select("qid", F.col("position").cast("long").alias("position"), "page_id", "via", F.round("score", 6).alias("score"))
+        query_texts(spark, d), paired_vectors(spark, d), index, chunks(spark, d), pages(spark, d), vectors(spark, d), relations(spark, d), expand_relations=True
+    ).select("qid", F.col("position").cast("long").alias("position"), "page_id", "via", "score")
 
 
 def keyword_only(spark, d):
-    """Hybrid search without a model falls back to keywords."""
+    """Hybrid search without a model falls back to keywords, for every stored query."""
     index = keyword_index(spark, d)
-    return search.search(spark, TEXTS, None, index, chunks(spark, d), pages(spark, d), vectors(spark, d)).select(
+    return search.search(query_texts(spark, d), None, index, chunks(spark, d), pages(spark, d), vectors(spark, d)).select(
         "qid", F.col("position").cast("long").alias("position"), "page_id", "via", F.round("score", 6).alias("score")
     )
 
@@ -141,21 +148,8 @@ def stored_results(spark, d):
 
 
 def rrf_fusion(spark, d):
-    """Reciprocal rank fusion of the two stored scores of every query, with the flat keyword weight."""
-    rows = stored_results(spark, d)
-    return fused_scores(rows, rows.groupBy("qid").agg(F.lit(X.KEYWORD_WEIGHT).alias("w")))
-
-
-def rrf_weighted(spark, d):
     """Reciprocal rank fusion of the two stored scores of every query, keyword weight by the query's literals."""
-    rows = stored_results(spark, d)
-
-    def weigh(batches):
-        for pdf in batches:
-            yield pdf.assign(w=[X.keyword_weight(t) for t in pdf["query_text"]])[["qid", "w"]]
-
-    asked = rows.select("qid", F.coalesce("query_text", F.lit("")).alias("query_text")).distinct()
-    return fused_scores(rows, asked.mapInPandas(weigh, "qid long, w double").groupBy("qid").agg(F.max("w").alias("w")))
+    return fused_scores(stored_results(spark, d), query_texts(spark, d).select("qid", X.literal_weight("text").alias("w")))
 
 
 def page_collapse(spark, d):
@@ -238,10 +232,17 @@ def chunk_hash(spark, d):
     return c.select("chunk_id", X.chunk_hash("heading", "text").alias("hash"), X.rune_count("text").cast("long").alias("runes")).distinct()
 
 
+def edited_again(stored: DataFrame) -> DataFrame:
+    """``page_id, ord, hash`` of chunks as a re-read would make them where the last chunk of every page was edited: hashed anew."""
+    last = F.max("ord").over(Window.partitionBy("page_id"))
+    text = F.when(F.col("ord") == last, F.concat(F.coalesce("text", F.lit("")), F.lit(" *"))).otherwise(F.col("text"))
+    return stored.select("page_id", "ord", "heading", text.alias("text")).select("page_id", "ord", X.chunk_hash("heading", "text").alias("hash")).distinct()
+
+
 def hash_reuse(spark, d):
-    """Chunks whose hash was stored before, paired copy by copy."""
-    old = chunks(spark, d).filter("chunk_id % 2 = 0").select("chunk_id", "page_id", "ord", "hash")
-    new = chunks(spark, d).select("page_id", "ord", "hash").distinct()
+    """Of every page's chunks after an edit, those whose hash was stored before, paired copy by copy."""
+    old = chunks(spark, d).select("chunk_id", "page_id", "ord", "hash")
+    new = edited_again(chunks(spark, d))
     return chunking.reuse(old, new).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("reused").alias("n_reused"))
 
 
@@ -383,7 +384,7 @@ def stream_upsert(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_scores, bm25_filtered, knn_int8, hybrid_search, keyword_only, rrf_fusion, rrf_weighted, page_collapse, relation_expand, related_out,
+        bm25_topk, bm25_scores, bm25_filtered, knn_int8, hybrid_search, keyword_only, rrf_fusion, page_collapse, relation_expand, related_out,
         recall_linked, catalog_counts, eav_pivot_view, digest_lines, section_chunks, chunk_hash, hash_reuse, pending_vectors, stale_pages,
         known_minus_live, upsert_latest, watermark_slack, canonical_id, accent_fold, json_props_extract, eav_flatten, log_tail, mirror_status,
         knn_exact, quantize_vectors, hit_mrr, markdown_render, stream_upsert,

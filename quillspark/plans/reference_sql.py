@@ -1,8 +1,8 @@
 """DuckDB statements for the queries of the mirror's own operators."""
 
-from quillspark.functions.scalars import LATIN, LATIN_BASE, keyword_weight, match_terms
+from quillspark.functions.scalars import LATIN, LATIN_BASE, WORD_EDGES
 from quillspark.plans.pipeline_sql import CURRENT, key, us
-from quillspark.plans.reference import MODEL, TEXTS
+from quillspark.plans.reference import MODEL
 
 
 def fold(c: str) -> str:
@@ -18,15 +18,17 @@ RELATIONS = f"rel AS (SELECT DISTINCT {key('from_id')} AS from_id, prop, {key('t
 DS = key("data_source_id")
 
 
-def _words() -> str:
-    rows = []
-    for q, text in TEXTS.items():
-        for t, (w, p) in enumerate(match_terms(text)):
-            rows.append(f"({q}, {t}, '{w}', {str(p).lower()})")
-    return ", ".join(rows)
+def weight(c: str) -> str:
+    """Weight of the keyword branch by a query's literals."""
+    edges = "[" + WORD_EDGES.replace("'", "''") + "]+"
+    words = f"list_transform(regexp_split_to_array(coalesce({c},''), '[\\s\\p{{Z}}]+'), lambda w: regexp_replace(w, '^{edges}|{edges}$', '', 'g'))"
+    shape = "(NOT regexp_matches(w, '[a-z]') AND length(w) >= 4) OR regexp_matches(w, '\\p{Nd}') OR contains(w, '.')"
+    literal = f"length(w) >= 3 AND (regexp_matches(w, '[_@]') OR (regexp_matches(w, '[A-Za-z]') AND ({shape})))"
+    return f"(CASE WHEN len(list_filter({words}, lambda w: {literal})) > 0 THEN 1.0 ELSE 0.2 END)::DOUBLE"
 
 
-BM25 = f"""{CURRENT}, {CHUNKS},
+QUERIES = "qs AS (SELECT query_id AS qid, max(query_text) AS text FROM search_results WHERE query_id IS NOT NULL GROUP BY 1)"
+BM25 = rf"""{CURRENT}, {CHUNKS},
 titled AS (SELECT ch.*, cur.title FROM ch LEFT JOIN cur ON cur.pid = ch.page_id),
 fields AS (SELECT chunk_id, 'text' AS field, 1.0 AS w, {terms('text')} AS ts FROM titled
   UNION ALL SELECT chunk_id, 'heading', 1.5, {terms('heading')} FROM titled
@@ -34,7 +36,9 @@ fields AS (SELECT chunk_id, 'text' AS field, 1.0 AS w, {terms('text')} AS ts FRO
 post AS (SELECT chunk_id, field, w, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM fields),
 lens AS (SELECT chunk_id, count(*) AS len FROM post GROUP BY 1),
 st AS (SELECT count(*) AS n_all, avg(len) AS avg_len FROM lens),
-asked AS (SELECT qid, tno, word, pre, {terms('word')} AS toks FROM (VALUES {_words()}) v(qid, tno, word, pre)),
+{QUERIES},
+asked AS (SELECT qid, tno, length(word) >= 4 AS pre, {terms('word')} AS toks FROM (SELECT qid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS tno FROM
+  (SELECT qid, list_filter(regexp_extract_all(coalesce(text,''), '[\p{{L}}\p{{Nd}}_]+'), lambda w: length(w) >= 2)[1:32] AS ws FROM qs))),
 one AS (SELECT a.qid, a.tno, p.chunk_id, p.w FROM asked a JOIN post p ON len(a.toks) = 1 AND (p.term = a.toks[1] OR (a.pre AND starts_with(p.term, a.toks[1])))),
 two AS (SELECT a.qid, a.tno, p.chunk_id, p.w FROM asked a JOIN post p ON len(a.toks) = 2 AND p.term = a.toks[1]
   JOIN post r ON r.chunk_id = p.chunk_id AND r.field = p.field AND r.pos = p.pos + 1 AND (r.term = a.toks[2] OR (a.pre AND starts_with(r.term, a.toks[2])))),
@@ -61,19 +65,44 @@ lines AS (SELECT shown.page_id, col, CASE WHEN regexp_full_match(col,'date:.*:st
   WHERE s <> '' AND s IS DISTINCT FROM title AND NOT regexp_full_match(col,'date:.*:is_datetime')
     AND NOT (starts_with(s,'["') AND contains(s,'-') AND len(list_filter(string_split(regexp_replace(s,'^[\\[\\]]+|[\\[\\]]+$','','g'),','), lambda p: strlen(regexp_replace(trim(p),'^"+|"+$','','g')) NOT IN (32,36))) = 0))"""
 
+BYTES = "list_transform(range(64), lambda i: (CASE WHEN h[2*i+1] >= '8' THEN -256 ELSE 0 END + ('0x' || h[2*i+1:2*i+2])::INT)::DOUBLE)"
+KNN = f"""vx AS (SELECT chunk_id, scale, {BYTES} AS x FROM (SELECT chunk_id, scale, hex(vec) AS h, row_number() OVER (PARTITION BY chunk_id ORDER BY dim DESC, scale DESC NULLS LAST, vec DESC) AS n
+  FROM vectors WHERE model = '{MODEL}' AND dim = 64 AND octet_length(vec) = 64) WHERE n = 1 AND scale IS NOT NULL),
+qf AS (SELECT chunk_id AS vq, list_transform(x, lambda v: (v * scale::DOUBLE)::FLOAT) AS f FROM vx WHERE chunk_id % 100 = 0),
+qc AS (SELECT vq, f, (list_max(list_transform(f, lambda v: abs(v))) / 127::FLOAT)::FLOAT AS s FROM qf),
+qv AS (SELECT vq, s, list_transform(f, lambda v: CASE WHEN s = 0 THEN 0.0 ELSE greatest(least(sign(v) * floor(abs((v::DOUBLE * (1.0::DOUBLE / s::DOUBLE)::FLOAT::DOUBLE)::FLOAT::DOUBLE) + 0.5), 127), -127) END::DOUBLE) AS q FROM qc),
+vs AS (SELECT vq, page_id, vx.chunk_id, round(list_dot_product(q, x) * scale::DOUBLE * s::DOUBLE, 6) AS score FROM qv, vx JOIN ch ON ch.chunk_id = vx.chunk_id JOIN cur ON cur.pid = ch.page_id WHERE coalesce(in_trash,0) = 0),
+vbest AS (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY vq, page_id ORDER BY score DESC, chunk_id) = 1),
+vranked AS (SELECT *, row_number() OVER (PARTITION BY vq ORDER BY score DESC, chunk_id) AS rank FROM vbest)"""
+
 SQL = {
     "bm25_scores": f"WITH {BM25} SELECT qid::BIGINT AS qid, chunk_id, score FROM sc",
     "bm25_topk": bm25_pages("") + " SELECT qid::BIGINT AS qid, page_id, chunk_id, score, rank FROM ranked WHERE rank <= 10",
     "bm25_filtered": bm25_pages(" AND last_edited_time >= '2025-01-01' AND last_edited_time <= '2026-01-01'") + " SELECT qid::BIGINT AS qid, page_id, chunk_id, score FROM ranked WHERE rank <= 10",
-    "keyword_only": bm25_pages("") + """, w AS (SELECT * FROM (VALUES """ + ", ".join(f"({q}, {keyword_weight(t)}::DOUBLE)" for q, t in TEXTS.items()) + """) v(qid, w))
+    "keyword_only": bm25_pages("") + f""", w AS (SELECT qid, {weight('text')} AS w FROM qs)
 SELECT ranked.qid::BIGINT AS qid, rank AS position, page_id, 'keyword' AS via, round(round(w / (60 + rank), 9), 6) AS score FROM ranked JOIN w USING (qid) WHERE rank <= 10""",
-    "rrf_fusion": f"""WITH {BEST},
+    "rrf_fusion": f"""WITH {QUERIES}, {BEST},
 k AS (SELECT qid, page_id, row_number() OVER (PARTITION BY qid ORDER BY k DESC, page_id) AS r FROM best WHERE k IS NOT NULL),
 v AS (SELECT qid, page_id, row_number() OVER (PARTITION BY qid ORDER BY v DESC, page_id) AS r FROM best WHERE v IS NOT NULL)
-SELECT coalesce(k.qid, v.qid) AS qid, coalesce(k.page_id, v.page_id) AS page_id, round(coalesce(1.0::DOUBLE / (60 + v.r), 0) + coalesce(0.2::DOUBLE / (60 + k.r), 0), 9) AS score,
+SELECT coalesce(k.qid, v.qid) AS qid, coalesce(k.page_id, v.page_id) AS page_id, round(coalesce(1.0::DOUBLE / (60 + v.r), 0) + coalesce({weight('text')} / (60 + k.r), 0), 9) AS score,
   CASE WHEN k.qid IS NULL THEN 'vector' WHEN v.qid IS NULL THEN 'keyword' ELSE 'both' END AS via
-FROM k FULL JOIN v ON k.qid = v.qid AND k.page_id = v.page_id""",
+FROM k FULL JOIN v ON k.qid = v.qid AND k.page_id = v.page_id JOIN qs ON qs.qid = coalesce(k.qid, v.qid)""",
     "page_collapse": f"WITH {BEST} SELECT qid, count(*) AS n_pages, max(v) AS best, count(*) AS last_rank FROM best WHERE v IS NOT NULL GROUP BY qid",
+    "knn_int8": f"""WITH {CURRENT}, {CHUNKS}, {KNN} SELECT vq AS qid, page_id, chunk_id, score FROM vranked WHERE rank <= 10""",
+    "hybrid_search": bm25_pages("") + f""", {KNN}, {RELATIONS},
+dealt AS (SELECT qs.qid, min(vq) AS vq FROM qs JOIN qv ON (vq // 100) % (SELECT count(*) FROM qs) = qs.qid % (SELECT count(*) FROM qs) GROUP BY 1),
+k AS (SELECT qid, page_id, chunk_id, rank AS r FROM ranked WHERE rank <= 50),
+v AS (SELECT dealt.qid, page_id, chunk_id, rank AS r FROM vranked JOIN dealt USING (vq) WHERE rank <= 50),
+both_ AS (SELECT coalesce(k.qid, v.qid) AS qid, coalesce(k.page_id, v.page_id) AS page_id, k.r AS kr, v.r AS vr,
+  CASE WHEN k.qid IS NULL THEN 'vector' WHEN v.qid IS NULL THEN 'keyword' ELSE 'both' END AS via FROM k FULL JOIN v ON k.qid = v.qid AND k.page_id = v.page_id),
+scored AS (SELECT both_.*, round(coalesce(1.0::DOUBLE / (60 + vr), 0) + coalesce({weight('text')} / (60 + kr), 0), 9) AS score FROM both_ JOIN qs USING (qid)),
+fused AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, kr NULLS LAST, vr NULLS LAST) AS position FROM scored QUALIFY position <= 10),
+near AS (SELECT qid, position, score, to_id AS other, prop FROM rel JOIN fused ON from_id = page_id UNION ALL SELECT qid, position, score, from_id, prop FROM rel JOIN fused ON to_id = page_id),
+fresh AS (SELECT near.qid, other, arg_min((position, prop), (position, prop)) AS first, max(score) AS parent FROM near JOIN cur ON cur.pid = other
+  WHERE coalesce(in_trash,0) = 0 AND NOT EXISTS (SELECT 1 FROM fused f WHERE f.qid = near.qid AND f.page_id = other) GROUP BY near.qid, other),
+more AS (SELECT qid, other, round(parent / 3, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY first, other) AS n FROM fresh QUALIFY n <= 10)
+SELECT qid::BIGINT AS qid, position::BIGINT AS position, page_id, via, score FROM fused
+UNION ALL SELECT qid::BIGINT, 10 + n, other, 'relation', score FROM more""",
     "relation_expand": f"""WITH {CURRENT}, {RELATIONS},
 seeds AS (SELECT pid, row_number() OVER (ORDER BY last_edited_time DESC, pid) AS position FROM cur WHERE coalesce(in_trash,0) = 0 QUALIFY position <= 5),
 near AS (SELECT position, to_id AS other, prop FROM rel JOIN seeds ON from_id = pid UNION ALL SELECT position, from_id, prop FROM rel JOIN seeds ON to_id = pid),
@@ -93,8 +122,10 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY coalesce(source, 'вн
 FROM data_sources s LEFT JOIN cur ON {key('cur.data_source_id')} = {key('s.id')} AND coalesce(cur.in_trash,0) = 0 WHERE coalesce(s.in_trash,0) = 0 GROUP BY {key('s.id')}""",
     "digest_lines": f"WITH {CURRENT}, {DIGEST} SELECT page_id, string_agg(line, chr(10) ORDER BY encode(col)) AS digest FROM lines GROUP BY page_id",
     "chunk_hash": f"WITH {CHUNKS} SELECT DISTINCT chunk_id, substr(sha256(coalesce(heading,'') || chr(0) || coalesce(text,'')),1,16) AS hash, length(text) AS runes FROM ch",
-    "hash_reuse": f"""WITH {CHUNKS}, old AS (SELECT page_id, hash, row_number() OVER (PARTITION BY page_id, hash ORDER BY ord) AS k FROM (SELECT DISTINCT chunk_id, page_id, ord, hash FROM ch WHERE chunk_id % 2 = 0)),
-new AS (SELECT page_id, hash, row_number() OVER (PARTITION BY page_id, hash ORDER BY ord) AS k FROM (SELECT DISTINCT page_id, ord, hash FROM ch))
+    "hash_reuse": f"""WITH {CHUNKS}, old AS (SELECT page_id, hash, row_number() OVER (PARTITION BY page_id, hash ORDER BY ord) AS k FROM ch),
+edited AS (SELECT page_id, ord, heading, CASE WHEN ord = max(ord) OVER (PARTITION BY page_id) THEN coalesce(text,'') || ' *' ELSE text END AS text FROM ch),
+new AS (SELECT page_id, hash, row_number() OVER (PARTITION BY page_id, hash ORDER BY ord) AS k FROM
+  (SELECT DISTINCT page_id, ord, substr(sha256(coalesce(heading,'') || chr(0) || coalesce(text,'')),1,16) AS hash FROM edited))
 SELECT new.page_id, count(*) AS n, count(old.k) AS n_reused FROM new LEFT JOIN old ON old.page_id = new.page_id AND old.hash = new.hash AND old.k = new.k GROUP BY new.page_id""",
     "pending_vectors": f"""WITH {CURRENT}, {CHUNKS} SELECT DISTINCT chunk_id, ch.page_id, content_runes FROM ch JOIN cur ON cur.pid = ch.page_id
 WHERE coalesce(in_trash,0) = 0 AND chunk_id NOT IN (SELECT chunk_id FROM vectors WHERE model = '{MODEL}')""",

@@ -76,15 +76,21 @@ def test_views_names_and_shadowing(spark):
 
 @pytest.mark.parametrize(
     ("text", "literal"),
-    [("NPS_TEST", True), ("ask @joe", True), ("AX6304IP price", True), ("docker-compose.yml", True), ("HTTP proxy", True), ("КАСКО", False), ("2024 12", False), ("the watering plan.", False), ("RAM", False)],
+    [("ZIM_FOO", True), ("mail @ida", True), ("QL77X price", True), ("plan-notes.toml", True), ("SMTP relay", True), ("ПОЛИС", False), ("2024 12", False), ("the watering plan.", False), ("RAM", False)],
 )
 def test_literal(text, literal):
     assert scalars.carries_literal(text) is literal
     assert scalars.keyword_weight(text) == (1.0 if literal else 0.2)
 
 
+def test_literal_weight(spark):
+    texts = ["ZIM_FOO", "mail @ida", "QL77X, price", "«plan-notes.toml»", "SMTP relay", "ПОЛИС", "2024 12", "the watering plan.", "RAM", "a.b.", "ab_", "x@y", "", None, "Haus№5", "(WORD)", "\u00a0QL77X"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.literal_weight("t").alias("w")).collect()
+    assert [r["w"] for r in got] == [scalars.keyword_weight(t or "") for t in texts]
+
+
 def test_match_expression():
-    assert scalars.match_expression("a To long-word nps_x") == '"to" OR "long"* OR "word"* OR "nps_x"*'
+    assert scalars.match_expression("a To long-word kel_x") == '"to" OR "long"* OR "word"* OR "kel_x"*'
 
 
 def test_scalars(spark):
@@ -104,7 +110,7 @@ def test_scalars(spark):
     spans = [{"plain_text": " bold ", "annotations": {"bold": True, "italic": True}, "href": "u"}, {"plain_text": "x", "annotations": {"code": True, "bold": True}}, {"type": "equation", "plain_text": "e", "equation": {"expression": "e^x"}}]
     native = one(spark, scalars.rich_markdown(F.from_json("v", scalars.SPAN)), json.dumps(spans))
     assert native == blocks.spans(spans) == " [_**bold**_](u) `x`$e^x$"
-    assert rows(spark.createDataFrame([("Ärger Straße, nps_x Й",)], "v string").select(scalars.terms("v").alias("t")))[0][0] == ["arger", "straße", "nps", "x", "й"]
+    assert rows(spark.createDataFrame([("Ärger Straße, kel_x Й",)], "v string").select(scalars.terms("v").alias("t")))[0][0] == ["arger", "straße", "kel", "x", "й"]
 
 
 def test_quantize(spark):
@@ -168,7 +174,7 @@ def test_render(spark):
 
 
 def corpus(spark):
-    chunks = [(1, "p1", 0, "", "memory RAM modules of the server"), (2, "p1", 1, "RAM", "thirty two gigabytes"), (3, "p2", 0, "", "watering the garden nps_x twice"), (4, "p3", 0, "", "money spent on garden tools"), (5, "p3", 1, None, None)]
+    chunks = [(1, "p1", 0, "", "memory RAM modules of the server"), (2, "p1", 1, "RAM", "thirty two gigabytes"), (3, "p2", 0, "", "watering the garden kel_x twice"), (4, "p3", 0, "", "money spent on garden tools"), (5, "p3", 1, None, None)]
     c = spark.createDataFrame(chunks, "chunk_id long, page_id string, ord int, heading string, text string")
     p = spark.createDataFrame(
         [("p1", "Memory", "s1", "2025-01-01", 0, 0, "u1"), ("p2", "Watering", "s1", "2025-02-01", 0, 0, "u2"), ("p3", "Money", "s2", "2025-03-01", 0, 0, "u3"), ("p4", "Gone", "s2", "2025-03-01", 1, 0, "u4")],
@@ -190,20 +196,34 @@ def bm25_by_hand(docs, terms_, weights):
     return [round(x, 6) for x in out]
 
 
+def asked(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
+
+
+def test_query_terms(spark):
+    texts = ["Garden RAM mem x", "kel_x Ünït", "", None, " ".join(f"w{i}" for i in range(50))]
+    got = {}
+    for r in postings.query_terms(asked(spark, *texts)).collect():
+        got.setdefault((r["qid"], r["tno"]), []).append((r["j"], r["token"], r["prefix"]))
+    want = {(q, t): w for q, text in enumerate(texts) for t, w in enumerate(scalars.match_terms(text or ""))}
+    assert got.keys() == want.keys() and len([k for k in got if k[0] == 4]) == 32
+    assert sorted(got[1, 0]) == [(0, "kel", False), (1, "x", True)] and got[1, 1] == [(0, "unit", True)] and all(any(x[2] for x in got[k]) == want[k][1] for k in got)
+
+
 def test_bm25(spark):
     c, p = corpus(spark)
     titled = c.join(p.select("page_id", "title"), "page_id")
     index = postings.postings(titled)
-    got = {r["chunk_id"]: r["score"] for r in postings.bm25(index, postings.query_terms(spark, {0: "garden ram mem"})).collect()}
+    got = {r["chunk_id"]: r["score"] for r in postings.bm25(index, postings.query_terms(asked(spark, "garden ram mem"))).collect()}
     docs = [
         {"text": "memory ram modules of the server".split(), "heading": [], "title": ["memory"]}, {"text": "thirty two gigabytes".split(), "heading": ["ram"], "title": ["memory"]},
-        {"text": "watering the garden nps x twice".split(), "heading": [], "title": ["watering"]}, {"text": "money spent on garden tools".split(), "heading": [], "title": ["money"]}, {"text": [], "heading": [], "title": ["money"]},
+        {"text": "watering the garden kel x twice".split(), "heading": [], "title": ["watering"]}, {"text": "money spent on garden tools".split(), "heading": [], "title": ["money"]}, {"text": [], "heading": [], "title": ["money"]},
     ]
     want = bm25_by_hand(docs, [("garden", True), ("ram", False), ("mem", False)], postings.FIELD_WEIGHTS)
     assert got == {i + 1: s for i, s in enumerate(want) if s}
-    phrase = postings.bm25(index, postings.query_terms(spark, {0: "nps_x"}))
+    phrase = postings.bm25(index, postings.query_terms(asked(spark, "kel_x")))
     assert [r["chunk_id"] for r in phrase.collect()] == [3]
-    assert postings.bm25(index, postings.query_terms(spark, {0: "nps_twice"})).count() == 0
+    assert postings.bm25(index, postings.query_terms(asked(spark, "kel_twice"))).count() == 0
 
 
 def test_search(spark):
@@ -213,7 +233,7 @@ def test_search(spark):
     index = postings.postings(c.join(p.select("page_id", "title"), "page_id"))
     rel = spark.createDataFrame([("p1", "Related", "p3"), ("p4", "Related", "p1"), ("p1", "Related", "p3")], "from_id string, prop string, to_id string")
     go = lambda mode="hybrid", v=True, limit=2, **k: search.search(
-        spark, {0: "RAM modules"}, {0: e.embed_query("RAM modules").tolist()} if v else None, index, c, p, vec, rel, mode, limit=limit, dim=32, **k
+        asked(spark, "RAM modules"), spark.createDataFrame([(0, e.embed_query("RAM modules").tolist())], "qid long, query array<double>") if v else None, index, c, p, vec, rel, mode, limit=limit, dim=32, **k
     )
     first = go().orderBy("position").collect()
     assert first[0]["page_id"] == "p1" and first[0]["via"] == "both" and len({r["page_id"] for r in first}) == len(first)

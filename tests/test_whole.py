@@ -37,7 +37,7 @@ def test_rrf_weights(spark):
         w = 1.0 if branch == "vector_score" or carries_literal(texts[q]) else 0.2
         for n, page in enumerate(sorted(best, key=lambda p: (-best[p], p)), 1):
             want[q, page] = want.get((q, page), 0) + w / (60 + n)
-    got = {(r["qid"], r["page_id"].replace("-", "")): r["score"] for r in registry.queries()["rrf_weighted"](spark, SMALL).collect()}
+    got = {(r["qid"], r["page_id"].replace("-", "")): r["score"] for r in registry.queries()["rrf_fusion"](spark, SMALL).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
     assert {carries_literal(t) for t in texts.values()} == {True, False}
 
