@@ -25,6 +25,7 @@ class Engine:
         self.vectors = vectors if vectors is not None else reference.vectors(spark, path)
         self.index = reference.keyword_index(spark, path)
         self._sql: SparkSession | None = None
+        self._views: dict[str, str] = {}
 
     def search(self, query: str, mode: str = "hybrid", limit: int = search.LIMIT, expand_relations: bool = False, **filters) -> DataFrame:
         return search.search(
@@ -81,13 +82,18 @@ class Engine:
         """The session with a view per source and the raw tables."""
         if self._sql is None:
             own = sql_session(self.spark)
-            flatten.register_views(own, reference.pages(own, self.path), reference.props(own, self.path), reference.sources(own, self.path))
             for t in ("pages", "page_props", "relations", "chunks", "vectors", "data_sources", "mirror_databases", "meta"):
                 read(own, self.path, t).createOrReplaceTempView(t)
             sqltool.register_shims(own)
             self._sql = own
+            self.refresh_views()
         return self._sql
 
+    def refresh_views(self) -> list[str]:
+        """Make the views whose source is new or has another schema than when its view was made; returns their names."""
+        own = self.sql()
+        return flatten.register_views(own, reference.pages(own, self.path), reference.props(own, self.path), reference.sources(own, self.path), self._views)
+
     def query(self, sql: str, params: list | None = None, limit: int = sqltool.CAP) -> dict:
         return sqltool.fetch(self.sql(), sql, params, limit)
 

@@ -177,7 +177,7 @@ def wide_view(pages: DataFrame, props: DataFrame, source_id: str, columns: list[
     )
     numeric = {c for c, k in columns if k == "number"}
     value = lambda c: F.col("value").try_cast("double") if c in numeric else F.col("value")
-    pivot = props.filter(F.col("col").isin(*own)).groupBy("page_id").agg(
+    pivot = props.filter(F.col("col").isin(*own)).join(live.select("page_id"), "page_id", "left_semi").groupBy("page_id").agg(
         *[F.max(F.when(F.col("col") == c, value(c))).alias(f"p{i}") for i, (c, _) in enumerate(columns)]
     ) if columns else props.select("page_id").distinct()
     joined = live.join(pivot, "page_id", "left")
@@ -185,14 +185,50 @@ def wide_view(pages: DataFrame, props: DataFrame, source_id: str, columns: list[
     return joined.select(*fixed, *[F.col(f"p{i}").alias(c) for i, (c, _) in enumerate(columns)])
 
 
-def register_views(spark: SparkSession, pages: DataFrame, props: DataFrame, sources: DataFrame) -> list[str]:
-    """(Re)create the view of every source in the session; returns the names. One source is one row of metadata."""
-    names = []
-    for r in sources.select("source_id", "schema_json").collect():
-        view = wide_view(pages, props, r["source_id"], schema_columns(r["schema_json"]))
-        spark.sql(f"DROP VIEW IF EXISTS {quote(view_name(r['source_id']))}")
-        view.createOrReplaceTempView(quote(view_name(r["source_id"])))
-        names.append(view_name(r["source_id"]))
+def all_views(pages: DataFrame, props: DataFrame, schemas: dict[str, str]) -> DataFrame:
+    """The views of all sources at once in long form: ``source_id, page_id, col, value, number``, every cell that isn't null.
+
+    ``schemas`` has the schema text of each source (a row of metadata per source). All declared columns are pivoted in one
+    pass, each as number or text, and a page takes those its source declares; the rules are those of :func:`wide_view`.
+    """
+    spark = pages.sparkSession
+    declared = {s: schema_columns(j) for s, j in schemas.items()}
+    columns = sorted({(c, k == "number") for own in declared.values() for c, k in own})
+    at = {x: i for i, x in enumerate(columns)}
+    taken = [(s, [at[c, k == "number"] for c, k in own], [c for c, _ in own]) for s, own in declared.items()]
+    own = spark.createDataFrame(taken, "data_source_id string, slots array<int>, names array<string>")
+    live = pages.filter("coalesce(in_trash, 0) = 0 AND coalesce(archived, 0) = 0").join(F.broadcast(own), "data_source_id")
+    value = lambda number: F.col("value").try_cast("double") if number else F.col("value")
+    pivot = props.filter(F.col("col").isin([c for c, _ in columns])).groupBy("page_id").agg(
+        *[F.max(F.when(F.col("col") == c, value(number))).alias(f"p{i}") for i, (c, number) in enumerate(columns)], F.lit(1).alias("has")
+    )
+    cell = lambda c, v, n: F.struct(F.lit(c).alias("col"), v.cast("string").alias("value"), n.cast("double").alias("number"))
+    nothing = F.lit(None)
+    fixed = [cell(c, F.when(~F.array_contains("names", c), F.col("page_id" if c == "id" else c)), nothing) for c in ROW_COLUMNS]
+    pivoted = [
+        cell(c, nothing if number else F.when(F.array_contains("slots", i), F.col(f"p{i}")), F.when(F.array_contains("slots", i), F.col(f"p{i}")) if number else nothing)
+        for i, (c, number) in enumerate(columns)
+    ]
+    kept = F.filter(F.array(*fixed, *pivoted), lambda x: x["value"].isNotNull() | x["number"].isNotNull())
+    return live.join(pivot, "page_id", "left").select(F.col("data_source_id").alias("source_id"), "page_id", F.explode(kept).alias("c")).select("source_id", "page_id", "c.*")
+
+
+def register_views(spark: SparkSession, pages: DataFrame, props: DataFrame, sources: DataFrame, known: dict[str, str] | None = None) -> list[str]:
+    """Create the view of every source in the session; returns the names of those that were made.
+
+    ``known`` (source id -> schema text) is what the session's views were made from, and is brought up to date: a view is made
+    again only if its source's schema text changed. One source is one row of metadata.
+    """
+    names, known = [], {} if known is None else known
+    for r in sources.groupBy("source_id").agg(F.max("schema_json").alias("schema_json")).collect():
+        source, text = r["source_id"], r["schema_json"] or ""
+        if source in known and known[source] == text:
+            continue
+        view = wide_view(pages, props, source, schema_columns(text))
+        spark.sql(f"DROP VIEW IF EXISTS {quote(view_name(source))}")
+        view.createOrReplaceTempView(quote(view_name(source)))
+        known[source] = text
+        names.append(view_name(source))
     return names
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import scalars as X
 from quillspark.operators import blocks, chunking, evaluate, flatten, postings, search
+from quillspark.operators.wide import STRING_ARRAY
 from quillspark.shared import Scratch
 from quillspark.streaming import sync
 from quillspark.tables import current_pages, page_key, read
@@ -180,38 +183,56 @@ def catalog_counts(spark, d):
     return flatten.catalog(sources(spark, d), slim(spark, d))
 
 
+def schemas(spark: SparkSession, d: str) -> dict[str, str]:
+    """Schema text by source; one row of metadata per source."""
+    return {r["source_id"]: r["schema_json"] or "" for r in sources(spark, d).groupBy("source_id").agg(F.max("schema_json").alias("schema_json")).collect()}
+
+
 def eav_pivot_view(spark, d):
     """The generated views of all sources in long form: every non-null cell of the row and property columns.
 
-    ``number`` holds the cells of columns declared as numbers, ``value`` all others. Pages and properties are written
-    once, divided by source, so that each view reads its own only.
+    ``number`` holds the cells of columns declared as numbers, ``value`` all others.
+    """
+    return flatten.all_views(pages(spark, d), props(spark, d), schemas(spark, d))
+
+
+def typed_properties(spark: SparkSession, d: str) -> DataFrame:
+    """``page_id, properties``: the stored cells of each page as the API's property JSON, by the types its source declares.
+
+    Of several values of a cell the greatest counts; lists that aren't JSON arrays of strings and types without a
+    stored form are left out. A date has its start, or nothing.
     """
-    own = spark.newSession()
-    own.conf.set("spark.sql.caseSensitive", "true")
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    schemas = sorted(tuple(r) for r in sources(own, d).groupBy("source_id").agg(F.max("schema_json")).collect())
-    number = own.createDataFrame([(s, i) for i, (s, _) in enumerate(schemas)], "data_source_id string, s int")
-    root = Scratch(own).root
-
-    def divided(df: DataFrame, name: str) -> DataFrame:
-        df.repartition("s", F.pmod(F.xxhash64("page_id"), F.lit(4))).write.partitionBy("s").parquet(f"{root}/{name}")
-        return own.read.parquet(f"{root}/{name}")
-
-    rows = divided(pages(own, d).join(F.broadcast(number), "data_source_id"), "pages")
-    cells = divided(props(own, d).join(rows.select("page_id", "s"), "page_id"), "cells")
-    out = None
-    for i, (source, schema) in enumerate(schemas):
-        columns = flatten.schema_columns(schema)
-        kinds = dict(columns)
-        view = flatten.wide_view(rows.filter(F.col("s") == i), cells.filter(F.col("s") == i), source, columns)
-        of = lambda c, numeric, kind: (F.col(flatten.quote(c)) if numeric else F.lit(None)).cast(kind)
-        cell = [
-            F.struct(F.lit(c).alias("col"), of(c, kinds.get(c) != "number", "string").alias("value"), of(c, kinds.get(c) == "number", "double").alias("number"))
-            for c in view.columns
-        ]
-        long = view.select(F.lit(source).alias("source_id"), F.col("id").alias("page_id"), F.explode(F.array(*cell)).alias("c"))
-        out = long if out is None else out.unionByName(long)
-    return out.select("source_id", "page_id", "c.*").filter("value IS NOT NULL OR number IS NOT NULL")
+    rows = [(s, n, p["type"], f"date:{n}:start" if p["type"] == "date" else f"userDefined:{n}" if n.lower() in ("id", "url") else n)
+            for s, text in schemas(spark, d).items() for n, p in json.loads(text or "{}").items()]
+    declared = spark.createDataFrame(rows, "data_source_id string, name string, type string, col string")
+    stored = props(spark, d).filter("value <> ''").groupBy("page_id", "col").agg(F.max("value").alias("v"))
+    cells = stored.join(slim(spark, d).select("page_id", "data_source_id"), "page_id").join(F.broadcast(declared), ["data_source_id", "col"])
+    kind, v = F.col("type"), F.col("v")
+    lists = F.from_json(v, "array<string>")
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    body = (
+        F.when(kind == "number", F.coalesce(v.try_cast("double").cast("string"), F.lit("null")))
+        .when(kind.isin("title", "rich_text"), F.to_json(F.array(F.struct(v.alias("plain_text")))))
+        .when(kind.isin("select", "status"), F.to_json(F.struct(v.alias("name"))))
+        .when(kind == "multi_select", F.when(v.rlike(STRING_ARRAY), F.to_json(F.transform(lists, lambda x: F.struct(x.alias("name"))))))
+        .when(kind.isin("relation", "people"), F.when(v.rlike(STRING_ARRAY), F.to_json(F.transform(lists, lambda x: F.struct(x.alias("id"))))))
+        .when(kind == "checkbox", F.when(v == "__YES__", "true").otherwise("false"))
+        .when(kind.isin("url", "email"), quoted(v))
+        .when(kind == "date", F.to_json(F.struct(v.alias("start"))))
+    )
+    entry = F.concat(quoted(F.col("name")), F.lit(':{"type":'), quoted(kind), F.lit(","), quoted(kind), F.lit(":"), body, F.lit("}"))
+    made = cells.select("page_id", entry.alias("entry")).filter("entry IS NOT NULL")
+    return made.groupBy("page_id").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("entry"), ","), F.lit("}")).alias("properties"))
+
+
+def props_flatten(spark, d):
+    """Property JSON of every page flattened to attribute-value rows."""
+    return flatten.flatten_properties(typed_properties(spark, d))
+
+
+def props_edges(spark, d):
+    """Edges of the relation properties of every page."""
+    return flatten.flatten_edges(typed_properties(spark, d))
 
 
 def digest_lines(spark, d):
@@ -293,7 +314,7 @@ def json_props_extract(spark, d):
 
 def eav_flatten(spark, d):
     """Source schemas to (source, column, type) rows."""
-    rows = [(r["source_id"], c, k) for r in sources(spark, d).select("source_id", "schema_json").distinct().collect() for c, k in flatten.schema_columns(r["schema_json"])]
+    rows = [(s, c, k) for s, text in schemas(spark, d).items() for c, k in flatten.schema_columns(text)]
     return spark.createDataFrame(rows, "source_id string, col string, type string").distinct()
 
 
@@ -385,7 +406,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_scores, bm25_filtered, knn_int8, hybrid_search, keyword_only, rrf_fusion, page_collapse, relation_expand, related_out,
-        recall_linked, catalog_counts, eav_pivot_view, digest_lines, section_chunks, chunk_hash, hash_reuse, pending_vectors, stale_pages,
+        recall_linked, catalog_counts, eav_pivot_view, props_flatten, props_edges, digest_lines, section_chunks, chunk_hash, hash_reuse, pending_vectors, stale_pages,
         known_minus_live, upsert_latest, watermark_slack, canonical_id, accent_fold, json_props_extract, eav_flatten, log_tail, mirror_status,
         knn_exact, quantize_vectors, hit_mrr, markdown_render, stream_upsert,
     )

@@ -1,7 +1,7 @@
 """DuckDB statements for the queries of the mirror's own operators."""
 
 from quillspark.functions.scalars import LATIN, LATIN_BASE, WORD_EDGES
-from quillspark.plans.pipeline_sql import CURRENT, key, us
+from quillspark.plans.pipeline_sql import CURRENT, LIST, key, us
 from quillspark.plans.reference import MODEL
 
 
@@ -75,7 +75,34 @@ vs AS (SELECT vq, page_id, vx.chunk_id, round(list_dot_product(q, x) * scale::DO
 vbest AS (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY vq, page_id ORDER BY score DESC, chunk_id) = 1),
 vranked AS (SELECT *, row_number() OVER (PARTITION BY vq ORDER BY score DESC, chunk_id) AS rank FROM vbest)"""
 
+DECLARED = f"""sj AS (SELECT {key('id')} AS sid, max(schema_json) AS j FROM data_sources GROUP BY 1),
+ds AS (SELECT sid, name, json_extract_string(j, '$."' || name || '".type') AS t FROM (SELECT sid, unnest(json_keys(j)) AS name, j FROM sj)),
+decl AS (SELECT sid, name, t AS type, unnest(CASE WHEN t = 'date' THEN ['date:'||name||':start','date:'||name||':end','date:'||name||':is_datetime'] WHEN lower(name) IN ('id','url') THEN ['userDefined:'||name] ELSE [name] END) AS col,
+  unnest(CASE WHEN t = 'date' THEN ['date','date','number'] ELSE [t] END) AS t FROM ds)"""
+STORED = f"""pv AS (SELECT {key('page_id')} AS pid, col, max(value) AS v FROM page_props WHERE value <> '' GROUP BY 1, 2),
+typed AS (SELECT pv.pid, pv.col, pv.v, decl.name, decl.type FROM pv JOIN cur USING (pid) JOIN decl ON decl.sid = {DS} AND decl.col = pv.col),
+items AS (SELECT * FROM typed WHERE type NOT IN ('multi_select','relation','people') OR regexp_full_match(v, '{LIST}'))"""
+FIXED = " UNION ALL ".join(
+    f"SELECT sid, pid, '{c}', {'pid' if c == 'id' else key('parent_id') if c == 'parent_id' else c}, NULL FROM live WHERE NOT EXISTS (SELECT 1 FROM decl WHERE decl.sid = live.sid AND decl.col = '{c}')"
+    for c in ("id", "url", "title", "icon", "created_time", "last_edited_time", "content_markdown", "parent_id")
+)
+
 SQL = {
+    "eav_pivot_view": f"""WITH {CURRENT}, {DECLARED},
+live AS (SELECT *, {DS} AS sid FROM cur WHERE coalesce(in_trash,0) = 0 AND coalesce(archived,0) = 0 AND {DS} IN (SELECT sid FROM sj)),
+cells AS (SELECT live.sid, live.pid, decl.col, max(CASE WHEN decl.t <> 'number' THEN value END) AS value, max(CASE WHEN decl.t = 'number' THEN try_cast(value AS double) END) AS number
+  FROM page_props pp JOIN live ON live.pid = {key('pp.page_id')} JOIN decl ON decl.sid = live.sid AND decl.col = pp.col GROUP BY ALL
+  UNION ALL {FIXED})
+SELECT sid AS source_id, pid AS page_id, col, value, number FROM cells WHERE value IS NOT NULL OR number IS NOT NULL""",
+    "props_flatten": f"""WITH {CURRENT}, {DECLARED}, {STORED},
+rows AS (SELECT pid AS page_id, CASE WHEN type = 'date' THEN 'date:' || name || ':start' ELSE col END AS col, CASE WHEN type = 'number' THEN NULL WHEN type = 'checkbox' THEN CASE WHEN v = '__YES__' THEN v ELSE '__NO__' END
+    WHEN type IN ('multi_select','relation','people') THEN to_json(from_json(v, '["VARCHAR"]'))::VARCHAR ELSE v END AS value_str, CASE WHEN type = 'number' THEN try_cast(v AS double) END AS value_num
+  FROM items WHERE type <> 'unique_id' AND (type <> 'date' OR col = 'date:' || name || ':start')
+  UNION ALL SELECT pid, 'date:' || name || ':end', NULL, NULL FROM items WHERE type = 'date' AND col = 'date:' || name || ':start'
+  UNION ALL SELECT pid, 'date:' || name || ':is_datetime', NULL, CASE WHEN contains(v, 'T') THEN 1.0 ELSE 0.0 END FROM items WHERE type = 'date' AND col = 'date:' || name || ':start')
+SELECT page_id, col, value_str, value_num FROM rows""",
+    "props_edges": f"""WITH {CURRENT}, {DECLARED}, {STORED}
+SELECT DISTINCT pid AS from_id, name AS prop, unnest(from_json(v, '["VARCHAR"]')) AS to_id FROM items WHERE type = 'relation'""",
     "bm25_scores": f"WITH {BM25} SELECT qid::BIGINT AS qid, chunk_id, score FROM sc",
     "bm25_topk": bm25_pages("") + " SELECT qid::BIGINT AS qid, page_id, chunk_id, score, rank FROM ranked WHERE rank <= 10",
     "bm25_filtered": bm25_pages(" AND last_edited_time >= '2025-01-01' AND last_edited_time <= '2026-01-01'") + " SELECT qid::BIGINT AS qid, page_id, chunk_id, score FROM ranked WHERE rank <= 10",
