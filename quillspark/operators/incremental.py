@@ -103,7 +103,7 @@ class PublishedTable:
     def write_delta(self, df: DataFrame) -> str:
         """Write a delta that nobody sees yet."""
         d = f"delta-{uuid.uuid4().hex}"
-        df.select(*self.schema.names).write.parquet(f"{self.path}/{d}")
+        df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.parquet(f"{self.path}/{d}")
         return d
 
     def delta(self, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from quillspark.functions import scalars as X
 from quillspark.operators import blocks, chunking, evaluate, flatten, postings, search
 from quillspark.operators.wide import STRING_ARRAY
 from quillspark.shared import Scratch
-from quillspark.streaming import sync
+from quillspark.streaming import passes, sync
 from quillspark.tables import current_pages, page_key, read
 
 MODEL, DIM = "tern-small-i8", 64
@@ -402,12 +402,58 @@ def stream_upsert(spark, d):
     return mirror.pages().select("page_id", "data_source_id", F.col("in_trash"))
 
 
+class TableApi:
+    """The test tables as the service a workspace is read from."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+
+    def sources(self) -> DataFrame:
+        return read(self.spark, self.d, "data_sources").select(page_key("id").alias("source_id"), "database_id", "title", "schema_json", "in_trash", "watermark")
+
+    def _versions(self) -> DataFrame:
+        return read(self.spark, self.d, "pages").select(
+            page_key("id").alias("page_id"), page_key("data_source_id").alias("data_source_id"), page_key("parent_id").alias("parent_id"),
+            "title", "url", "created_time", "last_edited_time", "synced_at", "in_trash",
+        )
+
+    def changes(self, marks: DataFrame) -> DataFrame:
+        own = F.broadcast(marks.withColumnRenamed("source_id", "data_source_id"))  # a row per source
+        return self._versions().join(own, "data_source_id").filter("last_edited_time >= since").drop("since")
+
+    def loose(self, since: str) -> DataFrame:
+        return self._versions().filter("data_source_id = ''").filter(F.col("last_edited_time") >= since)
+
+
+def synced(spark: SparkSession, d: str) -> passes.Workspace:
+    """A workspace with the stored sources and watermarks after one incremental pass over the pages."""
+    api, w = TableApi(spark, d), passes.Workspace(spark, f"{Scratch(spark).root}/workspace")
+    w.upsert("sources", api.sources())
+    w.upsert("watermarks", api.sources().select(F.col("source_id").alias("data_source_id"), "watermark"))
+    w.set(passes.LOOSE, read(spark, d, "meta").filter(F.col("meta_key") == passes.LOOSE).first()["meta_value"])
+    w.changes(api)
+    w.loose(api)
+    if w.failed:
+        raise RuntimeError(str(w.failed))
+    return w
+
+
+def sync_pass(spark, d):
+    """Pages a pass from the stored watermarks takes up, in their latest version."""
+    return synced(spark, d).pages.pages().select("page_id", "last_edited_time", "in_trash")
+
+
+def sync_watermarks(spark, d):
+    """Watermarks after that pass."""
+    return synced(spark, d).read("watermarks").select(F.col("data_source_id").alias("source_id"), "watermark")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_scores, bm25_filtered, knn_int8, hybrid_search, keyword_only, rrf_fusion, page_collapse, relation_expand, related_out,
         recall_linked, catalog_counts, eav_pivot_view, props_flatten, props_edges, digest_lines, section_chunks, chunk_hash, hash_reuse, pending_vectors, stale_pages,
         known_minus_live, upsert_latest, watermark_slack, canonical_id, accent_fold, json_props_extract, eav_flatten, log_tail, mirror_status,
-        knn_exact, quantize_vectors, hit_mrr, markdown_render, stream_upsert,
+        knn_exact, quantize_vectors, hit_mrr, markdown_render, stream_upsert, sync_pass, sync_watermarks,
     )
 }

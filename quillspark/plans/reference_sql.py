@@ -87,7 +87,19 @@ FIXED = " UNION ALL ".join(
     for c in ("id", "url", "title", "icon", "created_time", "last_edited_time", "content_markdown", "parent_id")
 )
 
+def slack(c: str) -> str:
+    return f"coalesce(strftime(make_timestamp({us(c)}) - INTERVAL 2 MINUTE, '%Y-%m-%dT%H:%M:%SZ'), {c}, '')"
+
+
+ARRIVED = f"""marks AS (SELECT {key('id')} AS sid, coalesce(in_trash,0) AS gone, watermark, {slack('watermark')} AS since FROM data_sources
+  UNION ALL SELECT '', 0, meta_value, {slack('meta_value')} FROM meta WHERE meta_key = 'loose_watermark'),
+arrived AS (SELECT {key('pages.id')} AS page_id, sid, last_edited_time, synced_at, in_trash FROM pages JOIN marks ON sid = {key('data_source_id')} WHERE gone = 0 AND last_edited_time >= since)"""
+
 SQL = {
+    "sync_pass": f"""WITH {ARRIVED} SELECT page_id, last_edited_time, in_trash FROM arrived
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY {us('last_edited_time')} DESC NULLS LAST, last_edited_time DESC, {us('synced_at')} DESC NULLS LAST, synced_at DESC NULLS LAST) = 1""",
+    "sync_watermarks": f"""WITH {ARRIVED}, seen AS (SELECT sid, max(last_edited_time) AS m FROM arrived GROUP BY sid)
+SELECT marks.sid AS source_id, CASE WHEN m IS NULL THEN watermark ELSE greatest(m, coalesce(watermark,'')) END AS watermark FROM marks LEFT JOIN seen USING (sid) WHERE sid <> ''""",
     "eav_pivot_view": f"""WITH {CURRENT}, {DECLARED},
 live AS (SELECT *, {DS} AS sid FROM cur WHERE coalesce(in_trash,0) = 0 AND coalesce(archived,0) = 0 AND {DS} IN (SELECT sid FROM sj)),
 cells AS (SELECT live.sid, live.pid, decl.col, max(CASE WHEN decl.t <> 'number' THEN value END) AS value, max(CASE WHEN decl.t = 'number' THEN try_cast(value AS double) END) AS number

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import encoder, scalars, unigram
 from quillspark.operators import blocks, chunking, evaluate, flatten, postings, search, sqltool
 from quillspark.sources import dump
-from quillspark.streaming import sync
+from quillspark.streaming import passes, sync
 
 from .conftest import SMALL, rows
 
@@ -314,6 +314,72 @@ def test_mirror_stream(spark, tmp_path):
     assert rows(m.pages(), "page_id", "in_trash") == [("a", 0), ("b", 0), ("c", 0)] and m.table.version() == 2
 
 
+class FakeApi:
+    """A workspace in lists: pages ``id, source, title, edited, text``; ``broken`` names what can't be read."""
+
+    def __init__(self, spark, pages, broken=()):
+        self.spark, self.pages, self.broken, self.asked = spark, pages, set(broken), []
+
+    def sources(self):
+        if "sources" in self.broken:
+            raise RuntimeError("no such endpoint")
+        return self.spark.createDataFrame([("s1", "d", "One", "{}", 0), ("s2", "d", "Two", "{}", 0), ("s3", "d", "Gone", "{}", 1)], passes.TABLES["sources"][1])
+
+    def databases(self):
+        return self.spark.createDataFrame([("d", "D", "u", "", 0)], passes.TABLES["databases"][1])
+
+    def sources_of(self, databases):
+        return self.spark.createDataFrame([("s1", databases.first()["id"], "One", "{}", 0)], passes.TABLES["sources"][1])
+
+    def users(self):
+        return self.spark.createDataFrame([("u", "Ida", "person", "i@x"), ("u", "Ida", "person", "i@x")], passes.TABLES["users"][1])
+
+    def rows(self, keep):
+        return self.spark.createDataFrame([(i, s, "", t, "", e, e, "1", 0) for i, s, t, e, _ in self.pages if keep(s, e)], passes.PAGES)
+
+    def changes(self, marks):
+        since = {r["source_id"]: r["since"] for r in marks.collect()}
+        self.asked.append(since)
+        if self.broken & set(since):
+            raise RuntimeError("timeout")
+        return self.rows(lambda s, e: s in since and e >= since[s])
+
+    def loose(self, since):
+        return self.rows(lambda s, e: s == "" and e >= since)
+
+    def contents(self, pages):
+        own = self.spark.createDataFrame([(i, x) for i, _, _, _, x in self.pages if x is not None], "page_id string, content_markdown string")
+        return own.join(pages, "page_id")
+
+
+def test_workspace(spark, tmp_path):
+    api = FakeApi(spark, [("a", "s1", "A", "2025-01-01T10:00:00Z", "# H\n\none\n\n## I\n\ntwo"), ("b", "s2", "B", "2025-01-02T10:00:00Z", "bee"), ("l", "", "L", "2025-01-03T10:00:00Z", None)], broken={"sources"})
+    w = passes.Workspace(spark, f"file://{tmp_path}/w")
+    # discovery falls back to the databases; a failure leaves the flag unset, so the next start begins again
+    assert w.bootstrap(api) and w.get(passes.BOOTSTRAPPED) is None and [r["source_id"] for r in w.read("sources").collect()] == ["s1"]
+    api.broken, w.failed = {"s2"}, []
+    assert w.bootstrap(api) and w.failed[0][0] == "s2" and rows(w.pages.pages(), "page_id") == [("a",), ("l",)]
+    api.broken, w.failed = set(), []
+    assert w.bootstrap(api) and not w.bootstrap(api) and rows(w.read("users"), "name") == [("Ida",)]
+    assert rows(w.read("watermarks")) == [("s1", "2025-01-01T10:00:00Z"), ("s2", "2025-01-02T10:00:00Z")] and w.get(passes.LOOSE) == "2025-01-03T10:00:00Z"
+    chunks = {(r["page_id"], r["ord"]): r["chunk_id"] for r in w.read("chunks").collect()}
+    assert set(chunks) == {("a", 0), ("a", 1), ("b", 0)} and rows(w.stale(), "page_id") == [("l",)]
+    e = encoder.HashEmbedder(16)
+    assert [w.embed(e, 2), w.embed(e, 2), w.embed(e, 2)] == [2, 1, 0]
+    # an edit: read from two minutes before the watermark; the chunk that stayed keeps its id and vector
+    api.pages[0] = ("a", "s1", "A", "2025-01-01T10:01:00Z", "# H\n\none\n\n## I\n\nthree")
+    assert w.run(api) == {"sources": 2, "buried": 0, "contents": 1} and api.asked[-1] == {"s1": "2025-01-01T09:58:00Z", "s2": "2025-01-02T09:58:00Z"}
+    after = {(r["page_id"], r["ord"]): r["chunk_id"] for r in w.read("chunks").collect()}
+    assert after["a", 0] == chunks["a", 0] and after["a", 1] != chunks["a", 1] and w.embed(e) == 1
+    # a full pass buries what is gone, inside sources only, and drops it from the index
+    del api.pages[1:]
+    assert w.run(api, full=True)["buried"] == 1 and not w.failed
+    assert rows(w.pages.pages().filter("in_trash = 1"), "page_id") == [("b",)] and {r["page_id"] for r in w.read("chunks").collect()} == {"a"}
+    w.set("k", "1")
+    w.set("k", "2")
+    assert w.get("k") == "2" and w.get("none") is None
+
+
 def test_block_trees(spark):
     b = spark.createDataFrame(
         [("p", "1", "", 0, "toggle"), ("p", "2", "1", 0, "paragraph"), ("p", "3", "2", 0, "paragraph"), ("p", "4", "", 1, "child_page"), ("p", "5", "4", 0, "paragraph"), ("p", "6", "", 2, "paragraph")],
