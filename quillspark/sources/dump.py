@@ -14,10 +14,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 OBJECT = "id string, object string, created_time string, last_edited_time string, archived boolean, in_trash boolean, url string, parent string, properties string, raw string"
 
 
+def as_row(o: dict) -> tuple:
+    """An API object in the columns of OBJECT."""
+    return (
+        o.get("id"), o.get("object"), o.get("created_time"), o.get("last_edited_time"), bool(o.get("archived")), bool(o.get("in_trash")),
+        o.get("url"), json.dumps(o.get("parent")), json.dumps(o.get("properties") or {}, ensure_ascii=False), json.dumps(o, ensure_ascii=False),
+    )
+
+
 class PagedListing(DataSource):
     """``format("paged_listing")``: a folder of list envelopes ``{results, has_more, next_cursor}``, one JSON file each.
 
-    Options: ``path``; ``since`` keeps objects edited at or after an instant (inclusive, as strings);
+    Options: ``path``, a folder that all executors see; ``since`` keeps objects edited at or after an instant (inclusive, as strings);
     ``object`` keeps one kind. One file is one partition, so a listing of any length is read in parallel.
     """
 
@@ -44,10 +52,7 @@ class PagedListingReader(DataSourceReader):
             results = json.load(f).get("results") or []
         for o in results:
             if (not self.kind or o.get("object") == self.kind) and (o.get("last_edited_time") or "") >= self.since:
-                yield (
-                    o.get("id"), o.get("object"), o.get("created_time"), o.get("last_edited_time"), bool(o.get("archived")), bool(o.get("in_trash")),
-                    o.get("url"), json.dumps(o.get("parent")), json.dumps(o.get("properties") or {}, ensure_ascii=False), json.dumps(o, ensure_ascii=False),
-                )
+                yield as_row(o)
 
 
 def listing(spark: SparkSession, path: str, **options: str) -> DataFrame:

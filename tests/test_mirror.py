@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import encoder, scalars, unigram
 from quillspark.operators import blocks, chunking, evaluate, flatten, postings, search, sqltool
-from quillspark.sources import dump
+from quillspark.session import sql_session
+from quillspark.sources import api, dump
 from quillspark.streaming import passes, sync
 
+from . import fake_service
 from .conftest import SMALL, rows
 
 
@@ -395,6 +397,65 @@ def test_listing(spark, tmp_path):
     assert rows(dump.listing(spark, str(tmp_path), since="2021", object="page"), "id") == [("p1",)]
 
 
+def test_api_source(spark):
+    opts = {"base": "http://x", "token": "t", "transport": "tests.fake_service:call", "rate": "100000"}
+    assert api.read(spark, kind="source", ids="s0,s1", since="2025-01-01T01:40:00Z", **opts).selectExpr("count(*)", "count(DISTINCT id)", "min(last_edited_time)").first()[:] == (150, 150, "2025-01-01T01:40:00Z")
+    assert api.read(spark, kind="search", since="2025-01-01T04:00:00Z", **opts).count() == 10 and api.read(spark, kind="users", **opts).count() == 120
+    with pytest.raises(Exception, match="401"):
+        api.read(spark, kind="users", **(opts | {"token": ""})).count()
+
+
+def test_api_stops_early_and_waits():
+    fake_service.SEEN.clear()
+    waits, now = [], [0.0]
+
+    def sleep(s):
+        waits.append(s)
+        now[0] += s
+
+    client = api.Client("http://x", "t", fake_service.call, rate=2.5, sleep=sleep, clock=lambda: now[0])
+    assert len(list(api.objects(client, "search", "", "2025-01-01T04:00:00Z"))) == 10 and len(fake_service.SEEN) == 1  # of three pages
+    assert [o["id"] for o in api.objects(client, "source", "s1", "")][:2] == ["p1", "p3"] and waits == pytest.approx([0.4] * 2)
+    waits.clear()
+    dead = api.Client("http://x", "t", lambda *a: (500, {}, "no"), sleep=sleep, clock=lambda: now[0])
+    with pytest.raises(api.ApiError):
+        dead.call("GET", "users")
+    assert [w for w in waits if w != 0.4] == [0.5, 1.0, 2.0, 4.0, 8.0]
+    asked = iter([(429, {"Retry-After": "90"}, ""), (200, {}, "{}")])
+    waits.clear()
+    assert api.Client("http://x", "", lambda *a: next(asked), sleep=sleep, clock=lambda: now[0]).call("GET", "users") == {} and waits == [30.0]
+
+
+def test_api_stream():
+    s = api.PagedApiStream({"ids": "s0", "since": "2025-01-01T04:00:00Z", "base": "http://x", "token": "t", "transport": "tests.fake_service:call", "rate": "100000"})
+    batch, end = s.read(s.initialOffset())
+    assert len(list(batch)) == 5 and end == {"s0": "2025-01-01T04:08:00Z"}
+    again, same = s.read(end)
+    assert [r[0] for r in again] == ["p248"] and same == end and len(list(s.readBetweenOffsets(s.initialOffset(), {"s0": "2025-01-01T04:02:00Z"}))) == 2
+
+
+def test_dialect(spark):
+    own = sql_session(spark)
+    sqltool.register_shims(own)
+    got = sqltool.fetch(own, "SELECT group_concat(x) AS a, total(n) AS b, json_group_array(iif(n > 1, n * 2, 0)) AS c, strftime('%Y-%m-%dT%H', '2025-03-04T05:06:07Z') AS d, 'total(1)' AS e FROM (VALUES ('p', 1), ('q', 2)) AS v(x, n)")
+    assert got["rows"] == [["p,q", 3.0, "[0,4]", "2025-03-04T05", "total(1)"]]
+    assert sqltool.fetch(own, "SELECT total(n) AS t, group_concat(x, ' - ') AS g FROM (SELECT 1 AS n, 'a' AS x) WHERE n > 5")["rows"] == [[0.0, None]]
+    assert sqltool.translate("SELECT \"iif(\", iif(a, ')', iif(b, 1, 2)) FROM t") == "SELECT \"iif(\", if(a, ')', if(b, 1, 2)) FROM t" and sqltool.translate("total(") == "total("
+
+
+def test_views_made_again(spark):
+    source = "11111111-1111-1111-1111-111111111111"
+    own = sql_session(spark)
+    pages = own.createDataFrame([("p", source, "t", 0, 0, None, None, None, None, None, None)], "page_id string, data_source_id string, title string, in_trash int, archived int, url string, icon string, created_time string, last_edited_time string, content_markdown string, parent_id string")
+    props = own.createDataFrame([("p", "N", "1"), ("p", "M", "x")], "page_id string, col string, value string")
+    make = lambda text: own.createDataFrame([(source, text)], "source_id string, schema_json string")
+    known = {}
+    assert flatten.register_views(own, pages, props, make('{"N": {"type": "number"}}'), known) == [f"collection://{source}"]
+    assert flatten.register_views(own, pages, props, make('{"N": {"type": "number"}}'), known) == []
+    assert flatten.register_views(own, pages, props, make('{"N": {"type": "number"}, "M": {"type": "select"}}'), known) == [f"collection://{source}"]
+    assert own.sql(f'SELECT N, M FROM "collection://{source}"').first()[:] == (1.0, "x")
+
+
 def test_weights(tmp_path):
     t = {"a": np.arange(6, dtype=np.float32).reshape(2, 3), "b": np.arange(5, dtype=np.int8)}
     dump.write_blob(f"{tmp_path}/w", {"dim": 3}, t)
@@ -445,5 +506,10 @@ def test_engine(spark):
     text = eng.fetch(page["page_id"].replace("-", "").upper(), include_relations=True)
     assert text.startswith(f'<page id="{page["page_id"]}"') and "<properties>" in text
     got = eng.query(f'SELECT count(*) AS n FROM "collection://{page["data_source_id"]}" WHERE id = ?', [page["page_id"]])
-    assert got["rows"] == [[1]]
+    assert got["rows"] == [[1]] and eng.refresh_views() == []
+    # two views joined through the relations
+    edge = eng.relations.join(eng.pages.selectExpr("page_id AS from_id", "data_source_id AS a", "in_trash AS x", "archived AS y"), "from_id").join(eng.pages.selectExpr("page_id AS to_id", "data_source_id AS b", "in_trash AS z", "archived AS w"), "to_id")
+    e = edge.filter("a <> '' AND b <> '' AND coalesce(x, 0) + coalesce(y, 0) + coalesce(z, 0) + coalesce(w, 0) = 0").first()
+    got = eng.query(f'SELECT p.id, r.prop, q.id FROM "collection://{e["a"]}" p JOIN relations r ON replace(lower(r.from_id), \'-\', \'\') = replace(p.id, \'-\', \'\') JOIN "collection://{e["b"]}" q ON replace(lower(r.to_id), \'-\', \'\') = replace(q.id, \'-\', \'\') WHERE p.id = ?', [e["from_id"]])
+    assert [e["from_id"], e["prop"], e["to_id"]] in got["rows"]
     assert eng.recall("watering plan")["entity"] and eng.status().first()["n_pages"] == 200 and eng.catalog().count() > 40
