@@ -223,13 +223,13 @@ def scan(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int,
     return pd.concat(out) if out else _best(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), k, floor)
 
 
-def search_bucket(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, floor: float, recall: float, sample: int = 512, leaf_rows: int = LEAF_ROWS) -> pd.DataFrame:
+def search_bucket(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, floor: float, recall: float, sample: int = 384, leaf_rows: int = LEAF_ROWS) -> pd.DataFrame:
     """:func:`scan` by the tree of the bucket, of as many leaves a query as bring ``recall`` on ``sample`` of its queries.
 
     The width is one step above the first that does, as the queries are a sample.
     """
     ux, uq = unit(x), unit(q)
-    tree, home = fit(ux, max(len(x) / leaf_rows, 1))
+    tree, home = fit(ux, max(len(x) / leaf_rows, 1), rounds=3, most=2048)
     if not len(q) or not len(x):
         return scan(q[:0], qid[:0], x, xid, k, floor)
     rng = np.random.default_rng(11)
@@ -417,7 +417,7 @@ FLOOR, ASKED = 0.90, "id % 100 = 0"
 
 def _near_found(index: Index) -> DataFrame:
     visits, _ = calibrate(index, 5, FLOOR, recall=0.99, mutual=True)
-    return search(index, None, 5, FLOOR, visits)
+    return search(index, None, 5, FLOOR, visits, recall=0.96)  # of each side; a pair has two
 
 
 def _asked(index: Index) -> DataFrame:
