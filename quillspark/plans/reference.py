@@ -339,8 +339,8 @@ def knn_exact(spark, d):
     import pandas as pd
 
     e = read(spark, d, "embeddings").filter("embedding IS NOT NULL").select("vec_id", "embedding")
-    parts = 32
-    size = 4096
+    size, part_rows = 4096, 20_000
+    parts = max(1, -(-e.count() // part_rows))
     asked = e.filter("vec_id % 100 = 0")
     blocks_ = max(1, -(-asked.count() // size))
     q = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks_)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "embedding")
@@ -383,12 +383,38 @@ def hit_mrr(spark, d):
     return evaluate.metrics(evaluate.rank_of(results, cases)).select("mode", "cases", "hit1", "hit3", "hit5", "missed", "hit1_percent", "mrr")
 
 
+#: How a line of Markdown is told to be a block: type, pattern whose first group is its text (of images the second its address).
+LINES = (
+    ("heading_1", r"^# +(.*)$"), ("heading_2", r"^## +(.*)$"), ("heading_3", r"^### +(.*)$"), ("to_do", r"^[-*+] \[[ xX]\] +(.*)$"),
+    ("divider", r"^(-{3,})$"), ("bulleted_list_item", r"^[-*+] +(.*)$"), ("numbered_list_item", r"^[0-9]+[.)] +(.*)$"), ("quote", r"^> ?(.*)$"),
+    ("equation", r"^\$\$(.+)\$\$$"), ("image", r"^!\[(.*)\]\((.*)\)$"), ("paragraph", r"^(.*)$"),
+)
+
+
+def line_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """``page_id, block_id, parent_id, ord, type, raw``: every line of every page that isn't blank as a block of its type."""
+    lines = pages(spark, d).select("page_id", F.posexplode(F.split(F.coalesce("content_markdown", F.lit("")), "\n")).alias("ord", "line")).filter(F.col("line").rlike(r"\S"))
+    kind, text, line = F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("line")
+    for name, pattern in reversed(LINES):
+        kind = F.when(line.rlike(pattern), name).otherwise(kind)
+        text = F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 1)).otherwise(text)
+    rows = lines.withColumns({"type": kind, "text": text})
+    rich = F.array(F.struct(F.col("text").alias("plain_text")))
+    is_ = lambda t: F.col("type") == t
+    body = (
+        F.when(is_("to_do"), F.to_json(F.struct(rich.alias("rich_text"), line.rlike(r"^[-*+] \[[xX]\]").alias("checked"))))
+        .when(is_("divider"), "{}")
+        .when(is_("equation"), F.to_json(F.struct(F.col("text").alias("expression"))))
+        .when(is_("image"), F.to_json(F.struct(rich.alias("caption"), F.struct(F.regexp_extract(line, LINES[-2][1], 2).alias("url")).alias("external"))))
+        .otherwise(F.to_json(F.struct(rich.alias("rich_text"))))
+    )
+    raw = F.concat(F.lit('{"'), F.col("type"), F.lit('":'), body, F.lit("}"))
+    return rows.select("page_id", F.concat_ws("-", "page_id", "ord").alias("block_id"), F.lit("").alias("parent_id"), "ord", "type", raw.alias("raw"))
+
+
 def markdown_render(spark, d):
-    """Pages rendered from block trees: every page's lines as paragraph blocks."""
-    lines = pages(spark, d).select("page_id", F.posexplode(F.split(F.coalesce("content_markdown", F.lit("")), "\n\n")).alias("ord", "line"))
-    raw = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("line").alias("plain_text"))).alias("rich_text")).alias("paragraph")))
-    rows = lines.select("page_id", F.concat_ws("-", "page_id", "ord").alias("block_id"), F.lit("").alias("parent_id"), "ord", F.lit("paragraph").alias("type"), raw.alias("raw"))
-    return blocks.render_pages(rows)
+    """Pages rendered from block trees: headings, lists, quotes, formulas, images, rules and paragraphs of every page."""
+    return blocks.render_pages(line_blocks(spark, d))
 
 
 def stream_upsert(spark, d):

@@ -96,6 +96,15 @@ ARRIVED = f"""marks AS (SELECT {key('id')} AS sid, coalesce(in_trash,0) AS gone,
 arrived AS (SELECT {key('pages.id')} AS page_id, sid, last_edited_time, synced_at, in_trash FROM pages JOIN marks ON sid = {key('data_source_id')} WHERE gone = 0 AND last_edited_time >= since)"""
 
 SQL = {
+    "markdown_render": rf"""WITH {CURRENT},
+lines AS (SELECT pid, unnest(ls) AS line, generate_subscripts(ls, 1) AS ord FROM (SELECT pid, string_split(coalesce(content_markdown,''), chr(10)) AS ls FROM cur)),
+kinds AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,3}} +') THEN 'h' WHEN regexp_matches(line, '^[-*+] \[[ xX]\] +') THEN 't' WHEN regexp_matches(line, '^-{{3,}}$') THEN 'd' WHEN regexp_matches(line, '^[-*+] +') THEN 'b'
+  WHEN regexp_matches(line, '^[0-9]+[.)] +') THEN 'n' WHEN regexp_matches(line, '^> ?') THEN 'q' WHEN regexp_matches(line, '^!\[.*\]\(.*\)$') THEN 'i' ELSE 'p' END AS kind FROM lines WHERE regexp_matches(line, '\S')),
+runs AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY ord) - row_number() OVER (PARTITION BY pid, kind ORDER BY ord) AS run FROM kinds),
+shown AS (SELECT pid, ord, CASE kind WHEN 'h' THEN regexp_replace(line, '^(#+) +', '\1 ') WHEN 't' THEN CASE WHEN regexp_matches(line, '^[-*+] \[[xX]\]') THEN '- [x] ' ELSE '- [ ] ' END || regexp_replace(line, '^[-*+] \[[ xX]\] +', '')
+    WHEN 'd' THEN '---' WHEN 'b' THEN regexp_replace(line, '^[-*+] +', '- ') WHEN 'n' THEN row_number() OVER (PARTITION BY pid, kind, run ORDER BY ord) || regexp_replace(line, '^[0-9]+[.)] +', '. ')
+    WHEN 'q' THEN regexp_replace(line, '^> ?', '> ') WHEN 'i' THEN regexp_replace(line, '^!\[\]', '![image]') ELSE line END || CASE WHEN kind IN ('t','b','n') THEN '' ELSE chr(10) END AS text FROM runs)
+SELECT pid AS page_id, rtrim(string_agg(text, chr(10) ORDER BY ord), chr(10)) || chr(10) AS markdown FROM shown GROUP BY pid""",
     "sync_pass": f"""WITH {ARRIVED} SELECT page_id, last_edited_time, in_trash FROM arrived
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY {us('last_edited_time')} DESC NULLS LAST, last_edited_time DESC, {us('synced_at')} DESC NULLS LAST, synced_at DESC NULLS LAST) = 1""",
     "sync_watermarks": f"""WITH {ARRIVED}, seen AS (SELECT sid, max(last_edited_time) AS m FROM arrived GROUP BY sid)

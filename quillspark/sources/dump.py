@@ -1,15 +1,13 @@
-"""Sources and sinks: API dumps as a Python data source, JSON files, safetensors and weight files, JSON output."""
+"""Sources and sinks: saved API listings, JSON files, safetensors and weight files, JSON output."""
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 OBJECT = "id string, object string, created_time string, last_edited_time string, archived boolean, in_trash boolean, url string, parent string, properties string, raw string"
 
@@ -22,42 +20,22 @@ def as_row(o: dict) -> tuple:
     )
 
 
-class PagedListing(DataSource):
-    """``format("paged_listing")``: a folder of list envelopes ``{results, has_more, next_cursor}``, one JSON file each.
+def listing(spark: SparkSession, path: str, since: str = "", object: str = "") -> DataFrame:
+    """A folder of saved list envelopes ``{results, has_more, next_cursor}``, one JSON file each, as rows of OBJECT.
 
-    Options: ``path``, a folder that all executors see; ``since`` keeps objects edited at or after an instant (inclusive, as strings);
-    ``object`` keeps one kind. One file is one partition, so a listing of any length is read in parallel.
+    ``since`` keeps objects edited at or after an instant (inclusive, as strings), ``object`` one kind. Files are read by Spark from
+    whatever file system ``path`` names, in parallel; unreadable ones give no rows.
     """
-
-    @classmethod
-    def name(cls):
-        return "paged_listing"
-
-    def schema(self):
-        return OBJECT
-
-    def reader(self, schema):
-        return PagedListingReader(self.options)
-
-
-class PagedListingReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.since, self.kind = options["path"], options.get("since", ""), options.get("object", "")
-
-    def partitions(self):
-        return [InputPartition(p) for p in sorted(glob.glob(os.path.join(self.path, "*.json")))]
-
-    def read(self, partition):
-        with open(partition.value, encoding="utf-8") as f:
-            results = json.load(f).get("results") or []
-        for o in results:
-            if (not self.kind or o.get("object") == self.kind) and (o.get("last_edited_time") or "") >= self.since:
-                yield as_row(o)
-
-
-def listing(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    spark.dataSource.register(PagedListing)
-    return spark.read.format("paged_listing").options(path=path, **options).load()
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    raw = files.select(F.explode(F.from_json("value", "struct<results:array<string>>")["results"]).alias("raw"))
+    at = lambda k: F.get_json_object("raw", f"$.{k}")
+    rows = raw.select(
+        at("id").alias("id"), at("object").alias("object"), at("created_time").alias("created_time"), at("last_edited_time").alias("last_edited_time"),
+        *[F.coalesce(at(k) == "true", F.lit(False)).alias(k) for k in ("archived", "in_trash")],
+        at("url").alias("url"), at("parent").alias("parent"), F.coalesce(at("properties"), F.lit("{}")).alias("properties"), "raw",
+    )
+    rows = rows.filter(F.coalesce("last_edited_time", F.lit("")) >= since) if since else rows
+    return rows.filter(F.col("object") == object) if object else rows
 
 
 def objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
