@@ -96,12 +96,12 @@ class Encoder:
     """Transformer encoder with int8 weights; attention products stay in float.
 
     ``tensors``: ``words, positions, types`` and per layer ``k`` the matrices ``k.query, k.key, k.value, k.out, k.up,
-    k.down`` as float arrays (quantised here) with ``.bias``, norms ``emb, k.attn, k.ffn`` with ``.gain`` and ``.bias``.
+    k.down`` as float arrays (quantised here) or quantised ones with ``.bias``, norms ``emb, k.attn, k.ffn`` with ``.gain`` and ``.bias``.
     """
 
     def __init__(self, tensors: dict[str, np.ndarray], vocabulary: Unigram, layers: int, heads: int, name: str = "encoder",
                  dim: int | None = None, eps: float = 1e-12, longest: int = 512, prefixes: tuple[str, str] = ("query: ", "passage: ")):
-        self.t = {k: Quantized.of(v) if v.ndim == 2 else np.asarray(v, np.float32) for k, v in tensors.items()}
+        self.t = {k: v if isinstance(v, Quantized) else Quantized.of(v) if v.ndim == 2 else np.asarray(v, np.float32) for k, v in tensors.items()}
         self.vocabulary, self.layers, self.heads, self.eps = vocabulary, layers, heads, eps
         self.hidden = self.t["words"].data.shape[1]
         self.longest = min(longest, len(self.t["positions"].data))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from dataclasses import dataclass, field
@@ -44,31 +45,32 @@ class Unigram:
         self.cut = re.compile("(" + "|".join(map(re.escape, words)) + ")") if words else None
 
     def segment(self, s: str) -> list[int]:
-        """Ids of the best path through normalised text; an unknown piece only where no piece starts."""
-        n = len(s)
-        best: list[tuple[float, int, int] | None] = [(0.0, -1, -1)] + [None] * n
-        for i in range(n):
-            if best[i] is None:
-                continue
-            here, none = best[i][0], True
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                found = self.pieces.get(s[i:j])
-                if found:
-                    none = False
-                    score = here + found[1]
-                    if best[j] is None or score > best[j][0]:
-                        best[j] = (score, i, found[0])
-            if none and (best[i + 1] is None or here + self.penalty > best[i + 1][0]):
-                best[i + 1] = (here + self.penalty, i, self.unk)
-        if n and best[n] is None:
-            return [self.unk]
-        out, at = [], n
+        """Ids of the best path through normalised text; an unknown piece only where no piece starts.
+
+        Every position takes the best way into it; of equally good ones that with the longest last piece.
+        """
+        total, token, back = [0.0], [-1], [0]  # score of the best way into a position, its last piece, where that begins
+        for end in range(1, len(s) + 1):
+            ways = [
+                (total[begin] + piece[1], -begin, piece[0])
+                for begin in range(max(0, end - self.longest), end)
+                if (piece := self.pieces.get(s[begin:end]))
+            ]
+            if not self._starts_piece(s, end - 1):
+                ways.append((total[end - 1] + self.penalty, 1 - end, self.unk))
+            score, begin, found = max(ways, default=(-math.inf, 1 - end, self.unk))
+            total.append(score)
+            back.append(-begin)
+            token.append(found)
+        out, at = [], len(s)
         while at > 0:
-            _, back, token = best[at]
-            out.append(token)
-            at = back
+            out.append(token[at])
+            at = back[at]
         return out[::-1]
 
+    def _starts_piece(self, s: str, at: int) -> bool:
+        return any(s[at : at + n] in self.pieces for n in range(1, self.longest + 1))
+
     def tokens(self, text: str) -> list[int]:
         if not self.cut:
             return self.segment(normalize(text))

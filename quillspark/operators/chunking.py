@@ -42,19 +42,19 @@ def by_size(body: str) -> list[str]:
     """A body of up to 800 code points whole; longer ones packed from paragraphs up to 500, long paragraphs cut every 500."""
     if len(body) <= MOST:
         return [body]
-    out, cur = [], ""
+    out, takes = [""], True  # whether the last piece takes another paragraph
     for p in body.split("\n\n"):
-        if cur and len(cur) + len(p) > TARGET:
-            out.append(cur)
-            cur = ""
         if len(p) > MOST:
-            if cur:
-                out.append(cur)
-                cur = ""
             out += [p[i : i + TARGET] for i in range(0, len(p), TARGET)]
+            takes = False
+        elif takes and not out[-1]:
+            out[-1] = p
+        elif takes and len(out[-1]) + len(p) <= TARGET:
+            out[-1] = f"{out[-1]}\n\n{p}"
         else:
-            cur = f"{cur}\n\n{p}" if cur else p
-    return out + [cur] if cur else out
+            out.append(p)
+            takes = True
+    return [x for x in out if x]
 
 
 def units(title: str | None, digest: str | None, markdown: str | None) -> list[tuple[str, str]]:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import encoder, scalars, unigram
+from quillspark.functions import convert, encoder, scalars, unigram
 from quillspark.operators import blocks, chunking, evaluate, flatten, postings, search, sqltool
 from quillspark.session import sql_session
 from quillspark.sources import api, dump
@@ -497,6 +497,38 @@ def test_encoder_close_to_float():
         encoder.linear = kept
 
 
+def write_safetensors(path, tensors):
+    header, at = {}, 0
+    for k, v in tensors.items():
+        header[k] = {"dtype": "F32", "shape": list(v.shape), "data_offsets": [at, at + v.nbytes]}
+        at += v.nbytes
+    raw = json.dumps(header).encode()
+    path.write_bytes(len(raw).to_bytes(8, "little") + raw + b"".join(v.tobytes() for v in tensors.values()))
+
+
+def test_convert(tmp_path):
+    rng, h = np.random.default_rng(7), 8
+    make = lambda *shape: rng.normal(size=shape).astype(np.float32)
+    pieces = [("<s>", 0.0), ("</s>", 0.0), ("<unk>", 0.0), (unigram.MARK, -2.0), (unigram.MARK + "a", -1.0), ("b", -3.0), ("é", -4.0)]
+    t = {"embeddings.word_embeddings.weight": make(7, h), "embeddings.position_embeddings.weight": make(16, h), "embeddings.token_type_embeddings.weight": make(2, h)}
+    norm = lambda k: {f"{k}.weight": np.ones(h, np.float32), f"{k}.bias": np.zeros(h, np.float32)}
+    t |= norm("embeddings.LayerNorm") | norm("encoder.layer.0.attention.output.LayerNorm") | norm("encoder.layer.0.output.LayerNorm")
+    for k, o, i in (("attention.self.query", h, h), ("attention.self.key", h, h), ("attention.self.value", h, h), ("attention.output.dense", h, h), ("intermediate.dense", 16, h), ("output.dense", h, 16)):
+        t |= {f"encoder.layer.0.{k}.weight": make(o, i), f"encoder.layer.0.{k}.bias": make(o)}
+    write_safetensors(tmp_path / "model.safetensors", {f"bert.{k}": v for k, v in t.items()})
+    config = {"model_type": "bert", "hidden_act": "gelu", "num_hidden_layers": 1, "num_attention_heads": 2, "max_position_embeddings": 16}
+    (tmp_path / "config.json").write_text(json.dumps(config))
+    tokenizer = {"model": {"type": "Unigram", "unk_id": 2, "vocab": pieces}, "added_tokens": [{"id": i, "content": p} for i, (p, _) in enumerate(pieces[:3])]}
+    (tmp_path / "tokenizer.json").write_text(json.dumps(tokenizer))
+    made = convert.convert(str(tmp_path), str(tmp_path / "w"), "tiny")
+    again = convert.load(str(tmp_path / "w"))
+    assert again.vocabulary.encode("ab é") == [0, 4, 5, 3, 6, 1] and again.vocabulary.encode("z<unk>") == [0, 3, 2, 2, 1] and again.name == "tiny" and again.dim == h
+    assert np.array_equal(made.embed_query("ab"), again.embed_query("ab")) and not np.allclose(again.embed_query("ab"), again.embed_query("é"))
+    (tmp_path / "config.json").write_text(json.dumps(config | {"hidden_act": "relu"}))
+    with pytest.raises(ValueError, match="gelu"):
+        convert.convert(str(tmp_path), str(tmp_path / "w"), "tiny")
+
+
 def test_engine(spark):
     from quillspark.engine import Engine
 
