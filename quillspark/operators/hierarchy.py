@@ -52,15 +52,15 @@ def _pairs(tree: DataFrame, of: DataFrame | None, bits: int) -> DataFrame:
     return points.join(blocks, "block").filter("pre > a_pre AND pre < a_end").select("ancestor", "a_pre", "id")
 
 
-def _sizes_upward(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``n, gain``: descendants of each node; ``n``: nodes on or below a cycle) of ``links`` (``n, up``, both set).
+def _sizes_upward(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(``n, gain``: descendants of each node; ``n``: nodes on or below a cycle; what was written) of ``links`` (``n, up``, both set).
 
     In round k a node's pointer is its 2^k-th ancestor and its size counts the descendants nearer
     than 2^k; it adds its size to the pointer's. A node whose pointer has none is finished. If a
     round finishes no node, no tree node is left, as depths have no gaps: the rest is cyclic.
     """
     active, left = scratch.put_counted(links.withColumn("size", F.lit(1).cast("long")))
-    gains = []
+    gains, used = [], [active]
     while left:
         gain = active.groupBy(F.col("up").alias("n")).agg(F.sum("size").alias("gain"))
         gains.append(gain)
@@ -71,12 +71,13 @@ def _sizes_upward(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFr
             .select("n", F.col("j_up").alias("up"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
         )
         active, before, left = nxt, left, still
+        used.append(active)
         if left == before:
             break
     total = active.select("n", F.lit(0).cast("long").alias("gain"))
     for g in gains:
         total = total.unionByName(g)
-    return total.groupBy("n").agg(F.sum("gain").alias("gain")), active.select("n")
+    return total.groupBy("n").agg(F.sum("gain").alias("gain")), active.select("n"), used
 
 
 def _sums_downward(scratch: Scratch, start: DataFrame, value: str, keep: list[str]) -> DataFrame:
@@ -154,13 +155,15 @@ def build(links: DataFrame, node: str = "id", parent: str = "parent", with_path:
     )
 
     # upward; a node that neither gains nor is cyclic has no child
-    gains, cyclic = _sizes_upward(scratch, linked.filter("up IS NOT NULL"))
+    gains, cyclic, used = _sizes_upward(scratch, linked.filter("up IS NOT NULL"))
     tree, total = scratch.put_counted(
         linked.join(cyclic, "n", "left_anti")
         .join(gains, "n", "left")
         .select("n", F.col("up").alias("parent_n"), (F.coalesce("gain", F.lit(0)) + 1).alias("size"), F.when(F.col("up").isNull(), F.col("id")).alias("root_id"))
     )
 
+    scratch.drop(linked, *used)
+
     # downward: offset among the siblings by exact prefix sums, in (parent, salt) blocks;
     # the roots are the children of one imaginary node
     salted = tree.withColumn("salt", salt_of("n", salts=pieces)).withColumn("p", F.coalesce("parent_n", F.lit(-1)))

@@ -236,9 +236,15 @@ def props_edges(spark, d):
 
 
 def digest_lines(spark, d):
-    """Property digest of every page."""
-    p = props(spark, d).filter("col IS NOT NULL").groupBy("page_id", "col").agg(F.max("value").alias("value_str")).withColumn("value_num", F.lit(None).cast("double"))
-    return chunking.digests(p, slim(spark, d).select("page_id", "title"))
+    """Property digest of every page; finite values of columns its source declares as numbers are shown as numbers."""
+    rows = [(s, c) for s, text in schemas(spark, d).items() for c, k in flatten.schema_columns(text) if k == "number"]
+    numbers = spark.createDataFrame(rows, "data_source_id string, col string").withColumn("number", F.lit(True))
+    own = slim(spark, d).select("page_id", "title", "data_source_id")
+    p = props(spark, d).filter("col IS NOT NULL").groupBy("page_id", "col").agg(F.max("value").alias("value_str"))
+    p = p.join(own.select("page_id", "data_source_id"), "page_id", "left").join(F.broadcast(numbers), ["data_source_id", "col"], "left")
+    number = F.when(F.col("number"), F.col("value_str").try_cast("double"))
+    typed = p.select("page_id", "col", "value_str", F.when(F.abs(number) < float("inf"), number).alias("value_num"))
+    return chunking.digests(typed, own.select("page_id", "title"))
 
 
 def section_chunks(spark, d):

@@ -57,8 +57,12 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ch
 
 BEST = f"""best AS (SELECT query_id AS qid, {key('page_id')} AS page_id, max(CASE WHEN NOT isnan(keyword_score) THEN keyword_score END) AS k,
   max(CASE WHEN NOT isnan(vector_score) THEN vector_score END) AS v FROM search_results GROUP BY 1, 2)"""
+DECLARED = f"""sj AS (SELECT {key('id')} AS sid, max(schema_json) AS j FROM data_sources GROUP BY 1),
+ds AS (SELECT sid, name, json_extract_string(j, '$."' || name || '".type') AS t FROM (SELECT sid, unnest(json_keys(j)) AS name, j FROM sj)),
+decl AS (SELECT sid, name, t AS type, unnest(CASE WHEN t = 'date' THEN ['date:'||name||':start','date:'||name||':end','date:'||name||':is_datetime'] WHEN lower(name) IN ('id','url') THEN ['userDefined:'||name] ELSE [name] END) AS col,
+  unnest(CASE WHEN t = 'date' THEN ['date','date','number'] ELSE [t] END) AS t FROM ds)"""
 DIGEST = f"""pv AS (SELECT {key('page_id')} AS page_id, col, max(value) AS value FROM page_props WHERE col IS NOT NULL GROUP BY 1, 2),
-shown AS (SELECT page_id, col, CASE WHEN value = '__YES__' THEN 'да' WHEN value IN ('__NO__','[]','{{}}') THEN '' ELSE coalesce(value,'') END AS s FROM pv),
+shown AS (SELECT page_id, pv.col, CASE WHEN decl.t = 'number' AND coalesce(isfinite(try_cast(value AS double)), false) THEN regexp_replace(printf('%.4f', try_cast(value AS double)), '[.]?0+$', '') WHEN value = '__YES__' THEN 'да' WHEN value IN ('__NO__','[]','{{}}') THEN '' ELSE coalesce(value,'') END AS s FROM pv LEFT JOIN cur ON cur.pid = pv.page_id LEFT JOIN decl ON decl.sid = {DS} AND decl.col = pv.col),
 lines AS (SELECT shown.page_id, col, CASE WHEN regexp_full_match(col,'date:.*:start') THEN regexp_replace(col,'^date:(.*):start$','\\1')
     WHEN regexp_full_match(col,'date:.*:end') THEN regexp_replace(col,'^date:(.*):end$','\\1 (до)') WHEN starts_with(col,'userDefined:') THEN substr(col,13) ELSE col END || ': ' || s AS line
   FROM shown LEFT JOIN cur ON cur.pid = shown.page_id
@@ -75,10 +79,6 @@ vs AS (SELECT vq, page_id, vx.chunk_id, round(list_dot_product(q, x) * scale::DO
 vbest AS (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY vq, page_id ORDER BY score DESC, chunk_id) = 1),
 vranked AS (SELECT *, row_number() OVER (PARTITION BY vq ORDER BY score DESC, chunk_id) AS rank FROM vbest)"""
 
-DECLARED = f"""sj AS (SELECT {key('id')} AS sid, max(schema_json) AS j FROM data_sources GROUP BY 1),
-ds AS (SELECT sid, name, json_extract_string(j, '$."' || name || '".type') AS t FROM (SELECT sid, unnest(json_keys(j)) AS name, j FROM sj)),
-decl AS (SELECT sid, name, t AS type, unnest(CASE WHEN t = 'date' THEN ['date:'||name||':start','date:'||name||':end','date:'||name||':is_datetime'] WHEN lower(name) IN ('id','url') THEN ['userDefined:'||name] ELSE [name] END) AS col,
-  unnest(CASE WHEN t = 'date' THEN ['date','date','number'] ELSE [t] END) AS t FROM ds)"""
 STORED = f"""pv AS (SELECT {key('page_id')} AS pid, col, max(value) AS v FROM page_props WHERE value <> '' GROUP BY 1, 2),
 typed AS (SELECT pv.pid, pv.col, pv.v, decl.name, decl.type FROM pv JOIN cur USING (pid) JOIN decl ON decl.sid = {DS} AND decl.col = pv.col),
 items AS (SELECT * FROM typed WHERE type NOT IN ('multi_select','relation','people') OR regexp_full_match(v, '{LIST}'))"""
@@ -168,7 +168,7 @@ WHERE coalesce(cur.in_trash,0) = 0
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY coalesce(source, 'вне базы'), last_edited_time DESC, other_id, prop, o) <= 200""",
     "catalog_counts": f"""WITH {CURRENT} SELECT {key('s.id')} AS source_id, any_value(s.title) AS title, 'collection://' || {key('s.id')} AS view, count(cur.pid) AS rows
 FROM data_sources s LEFT JOIN cur ON {key('cur.data_source_id')} = {key('s.id')} AND coalesce(cur.in_trash,0) = 0 WHERE coalesce(s.in_trash,0) = 0 GROUP BY {key('s.id')}""",
-    "digest_lines": f"WITH {CURRENT}, {DIGEST} SELECT page_id, string_agg(line, chr(10) ORDER BY encode(col)) AS digest FROM lines GROUP BY page_id",
+    "digest_lines": f"WITH {CURRENT}, {DECLARED}, {DIGEST} SELECT page_id, string_agg(line, chr(10) ORDER BY encode(col)) AS digest FROM lines GROUP BY page_id",
     "chunk_hash": f"WITH {CHUNKS} SELECT DISTINCT chunk_id, substr(sha256(coalesce(heading,'') || chr(0) || coalesce(text,'')),1,16) AS hash, length(text) AS runes FROM ch",
     "hash_reuse": f"""WITH {CHUNKS}, old AS (SELECT page_id, hash, row_number() OVER (PARTITION BY page_id, hash ORDER BY ord) AS k FROM ch),
 edited AS (SELECT page_id, ord, heading, CASE WHEN ord = max(ord) OVER (PARTITION BY page_id) THEN coalesce(text,'') || ' *' ELSE text END AS text FROM ch),

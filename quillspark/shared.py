@@ -36,7 +36,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_root(spark).rstrip('/')}/quillspark-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.tables: list[str] = []
         atexit.register(self.clear)
 
@@ -51,7 +51,7 @@ class Scratch:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (out, path)
         return out
 
     def put_counted(self, df: DataFrame) -> tuple[DataFrame, int]:
@@ -71,9 +71,11 @@ class Scratch:
         self.tables.append(name)
         return self.spark.table(name)
 
-    def drop(self, df: DataFrame | None) -> None:
-        if df is not None and (path := self.paths.pop(id(df), None)):
-            self._delete(path)
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete written frames that nothing reads any more."""
+        for df in frames:
+            if known := self.paths.pop(id(df), None):
+                self._delete(known[1])
 
     def clear(self) -> None:
         try:
