@@ -465,10 +465,15 @@ def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BYTES = "list_transform(range(64), lambda i: (CASE WHEN h[2*i+1] >= '8' THEN -256 ELSE 0 END + ('0x' || h[2*i+1:2*i+2])::INT)::DOUBLE)"
-P3_SQL = f"""WITH v AS (SELECT DISTINCT chunk_id, model, hex(vec) AS h FROM vectors WHERE dim = 64 AND octet_length(vec) = 64 AND chunk_id IS NOT NULL AND model IS NOT NULL),
+_VECTORS = f"""WITH v AS (SELECT DISTINCT chunk_id, model, hex(vec) AS h FROM vectors WHERE dim = 64 AND octet_length(vec) = 64 AND chunk_id IS NOT NULL AND model IS NOT NULL),
 u AS (SELECT chunk_id, model, {_BYTES} AS x FROM v),
-w AS (SELECT *, sqrt(list_dot_product(x, x)) AS n FROM u WHERE list_dot_product(x, x) > 0),
+w AS (SELECT *, sqrt(list_dot_product(x, x)) AS n FROM u WHERE list_dot_product(x, x) > 0)"""
+P3_SQL = f"""{_VECTORS},
 p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, max(list_dot_product(a.x, b.x) / (a.n * b.n)) AS c FROM w a JOIN w b ON a.model = b.model AND a.chunk_id <> b.chunk_id
   WHERE list_dot_product(a.x, b.x) >= 0.8999999 * a.n * b.n GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS k FROM p WHERE round(c, 12) >= 0.9)
 SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE k <= 5"""
+P3_KNN_SQL = f"""{_VECTORS},
+p AS (SELECT a.model, a.chunk_id AS a, b.chunk_id AS b, max(list_dot_product(a.x, b.x) / (a.n * b.n)) AS c FROM w a JOIN w b ON a.model = b.model AND a.chunk_id <> b.chunk_id WHERE a.chunk_id % 100 = 0 GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY model, a ORDER BY round(c, 12) DESC, b) AS k FROM p)
+SELECT a AS chunk_id, b AS neighbour_id, round(c, 6) AS cosine FROM r WHERE k <= 5"""

@@ -8,4 +8,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"p3_found": neighbours.P3_SQL, "p4_found": outranking.P4_SQL, "p4_ranking": outranking.P4_RANKING_SQL, "p10_found": lookalike.P10_SQL, "p10_classes": lookalike.P10_CLASSES_SQL}
+    return {"p3_found": neighbours.P3_SQL, "p3_knn": neighbours.P3_KNN_SQL, "p4_found": outranking.P4_SQL, "p4_ranking": outranking.P4_RANKING_SQL, "p10_found": lookalike.P10_SQL, "p10_classes": lookalike.P10_CLASSES_SQL}
