@@ -60,13 +60,8 @@ def cell(t: Column, low: float, high: float) -> Column:
     return F.when(F.col("_parts") > 1, at).otherwise(0).cast("int")
 
 
-def percentiles(counts: DataFrame) -> DataFrame:
-    """``g, k, v, n, _parts`` (distinct values with ``n`` items) with ``all``, ``rank`` (1 = highest, ties share the best) and ``pct``.
-
-    The percentile is the share of the other items below, ties counting half: (below + (n - 1) / 2) / (all - 1),
-    and 0.5 for a single item. Heavy groups are cut at approximate quantiles, which affect only the balance;
-    equal values never part. ``counts`` should be a written table, it is read more than once.
-    """
+def value_ranges(counts: DataFrame) -> DataFrame:
+    """``g, k, v, n, _parts`` with ``_range``: heavy groups cut at approximate quantiles, which affect only the balance; equal values never part."""
     marks = [i / MARKS for i in range(1, MARKS)]
     heavy = counts.filter("_parts > 1").groupBy("g", "k", "_parts").agg(F.percentile_approx("v", marks, 10_000).alias("c"))
     step = F.greatest(F.floor(F.lit(MARKS) / F.col("_parts")), F.lit(1)).cast("int")
@@ -74,7 +69,16 @@ def percentiles(counts: DataFrame) -> DataFrame:
     ranged = counts.join(F.broadcast(cuts), (F.col("g") == F.col("_g")) & (F.col("k") == F.col("_k")), "left").withColumn(
         "_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("v"))), F.lit(0))
     )
-    ranked = prefix_sums(ranged.select("g", "k", "v", "n", "_parts", "_range"), ["g", "k"], "v", ["n"], totals=True)
+    return ranged.select("g", "k", "v", "n", "_parts", "_range")
+
+
+def percentiles(counts: DataFrame) -> DataFrame:
+    """``g, k, v, n, _parts`` (distinct values with ``n`` items) with ``all``, ``rank`` (1 = highest, ties share the best) and ``pct``.
+
+    The percentile is the share of the other items below, ties counting half: (below + (n - 1) / 2) / (all - 1),
+    and 0.5 for a single item. ``counts`` should be a written table, it is read more than once.
+    """
+    ranked = prefix_sums(value_ranges(counts), ["g", "k"], "v", ["n"], totals=True)
     below = F.col("upto_n") - F.col("n")
     return ranked.select(
         "g", "k", "v", "n", "_parts", F.col("all_n").alias("all"),

@@ -158,6 +158,19 @@ def test_outranking(spark, pieces):
     assert outranking.rank_items(df.limit(0), "q", "item", {"a": 1.0}).count() == 0
 
 
+def test_hot_query_is_cut(spark):
+    """A query of a third of all rows: its values lie in ranges of about 1 / pieces of them, and a light query in one."""
+    rng = random.Random(5)
+    data = [(1, 0, rng.random() ** 6, 1, 16) for _ in range(3000)] + [(q, 0, float(i), 1, 1) for q in range(2, 602) for i in range(10)]
+    df = spark.createDataFrame(data, "g long, k int, v double, n long, _parts int")
+    sizes = outranking.value_ranges(df).groupBy("g", "_range").count()
+    assert sizes.filter("g = 1").count() >= 14 and sizes.agg({"count": "max"}).collect()[0][0] < 2 * 3000 / 16
+    spread = outranking.percentiles(df).withColumn("_range", outranking.cell(F.col("pct"), 0.0, 1.0)).groupBy("g", "_range").count()
+    assert spread.filter("g = 1").count() >= 15 and spread.agg({"count": "max"}).collect()[0][0] < 2 * 3000 / 16
+    got = {r["v"]: r for r in outranking.percentiles(df).filter("g = 1").collect()}
+    assert [got[v]["rank"] for v in sorted(got, reverse=True)] == list(range(1, 3001)) and {r["all"] for r in got.values()} == {3000}
+
+
 # -- p7 -----------------------------------------------------------------------------------------
 
 
