@@ -39,6 +39,19 @@ def label_of(name: str):
     return F.lower(F.trim(F.coalesce(F.col(name), F.lit(""))))
 
 
+class _Buckets(dict):
+    """Buckets of words met before; emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = xxhash.xxh32_intdigest(word) % BUCKETS
+        return out
+
+
+_bucket = _Buckets().__getitem__
+
+
 def features(text: str | None) -> np.ndarray:
     """Hashed features of a whole text: words (numbers as one), how lines begin, and its length by powers of two."""
     if not text:
@@ -47,7 +60,7 @@ def features(text: str | None) -> np.ndarray:
     lines = text.split("\n")
     names += ["^" + line[:2] for line in lines if line[:1] and not line[0].isalnum()]
     names += [f"#{len(text).bit_length()}"] * 8 + [f"/{len(lines).bit_length()}"] * 4
-    return np.fromiter((xxhash.xxh32_intdigest(n) % BUCKETS for n in names), np.int64, len(names))
+    return np.fromiter(map(_bucket, names), np.int64, len(names))
 
 
 @dataclass
@@ -73,8 +86,7 @@ def train(labelled: DataFrame) -> Classifier:
         for pdf in batches:
             for label, text in zip(pdf["label"], pdf["text"]):
                 own = seen.setdefault(label, np.zeros(BUCKETS, np.int64))
-                x, n = np.unique(features(text), return_counts=True)
-                own[x] += n
+                np.add.at(own, features(text), 1)
                 docs[label] = docs.get(label, 0) + 1
         for label, own in seen.items():
             at = np.flatnonzero(own)
