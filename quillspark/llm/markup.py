@@ -481,8 +481,8 @@ def union_of(families: str, start: str | Column) -> Column:
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All versions of all pages; a page's host is that of its address."""
-    early = F.lit(-(2**62))
-    version = F.struct(F.coalesce(instant_us("last_edited_time"), early).alias("edited"), F.coalesce(instant_us("synced_at"), early).alias("synced"))
+    when = lambda c: F.coalesce(instant_us(c), F.lit(-(2**62))) + F.lit(2**62)
+    version = F.format_string("%020d%020d", when("last_edited_time"), when("synced_at"))  # orders as both numbers do
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z]+://([^/:?#]+)", 1))
     rows = read(spark, sf_dir, "pages").select(page_key("id").alias("page_id"), host.alias("host"), version.alias("version"), F.col("content_markdown").alias("text"))
     return rows.filter("page_id <> ''")
