@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.shared import Scratch, heavy_keys, salt_of, salts_for, spread_join
+from quillspark.shared import Scratch, heavy_list, salt_of, salts_for, spread_join
 from quillspark.tables import current_pages, page_key, read
 
 
@@ -66,7 +66,7 @@ def _sizes_upward(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, DataFr
         gains.append(gain)
         jump = active.select(F.col("n").alias("up"), F.col("up").alias("j_up"))
         nxt, still = scratch.put_counted(
-            spread_join(active, jump, "up", heavy_keys(active, "up", left))
+            spread_join(active, jump, "up", heavy_list(active, "up", left))
             .join(gain, "n", "left")
             .select("n", F.col("j_up").alias("up"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"))
         )
@@ -91,7 +91,7 @@ def _sums_downward(scratch: Scratch, start: DataFrame, value: str, keep: list[st
             known = known.unionByName(part.select("n", "up", value))
         above = known.select(F.col("n").alias("up"), F.col("up").alias("t_up"), F.col(value).alias("t_value"))
         moved = scratch.put(
-            spread_join(active, above, "up", heavy_keys(active, "up", left)).select(
+            spread_join(active, above, "up", heavy_list(active, "up", left)).select(
                 "n", F.col("t_up").alias("up"), (F.col(value) + F.col("t_value")).alias(value), *keep
             )
         )
@@ -149,7 +149,7 @@ def build(links: DataFrame, node: str = "id", parent: str = "parent", with_path:
     keys = nodes.select(F.col("id").alias("parent"), F.col("n").alias("up"))
     named = nodes.filter("parent <> ''")
     linked = scratch.put(
-        spread_join(named, keys, "parent", heavy_keys(named, "parent", count), "left").select("id", "n", "up").unionByName(
+        spread_join(named, keys, "parent", heavy_list(named, "parent", count), "left").select("id", "n", "up").unionByName(
             nodes.filter("coalesce(parent, '') = ''").select("id", "n", F.lit(None).cast("long").alias("up"))
         )
     )

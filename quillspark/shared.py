@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -127,12 +127,27 @@ def heavy_keys(df: DataFrame, key: str, total: int, pieces: int | None = None) -
     return counts.filter("_hot IS NOT NULL").select("_hot", F.ceil(F.col("_n") / size).cast("int").alias("_parts"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, how: str = "inner", hint: str | None = None) -> DataFrame:
+def heavy_list(df: DataFrame, key: str, total: int, pieces: int | None = None, least: int = 50_000) -> list[Row]:
+    """:func:`heavy_keys` on the driver, for plans that are made round by round: where there are none, nothing has to be spread.
+
+    A key of at most ``least`` rows (of a few numbers each) is no load for a task, so it isn't heavy; neither is any key of so few
+    rows in all, and they aren't counted.
+    """
+    if total <= least:
+        return []
+    return [r for r in heavy_keys(df, key, total, max(min(pieces or salts_for(df.sparkSession), total // least), 1)).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame | list[Row], how: str = "inner", hint: str | None = None) -> DataFrame:
     """``left`` joined with ``right`` (one row per ``key``, no other column in common) on ``key``, heavy keys in parts.
 
-    ``heavy`` is what :func:`heavy_keys` says of ``left``. The rows of a heavy key spread over its parts by their
+    ``heavy`` is what :func:`heavy_keys` or :func:`heavy_list` says of ``left``. The rows of a heavy key spread over its parts by their
     other columns, and the one right row is copied to each part, so no task gets a whole hot key.
     """
+    if isinstance(heavy, list):
+        if not heavy:
+            return left.join(right, key, how)
+        heavy = left.sparkSession.createDataFrame([tuple(r) for r in heavy], f"_hot {left.schema[key].dataType.simpleString()}, _parts int")
     h = F.broadcast(heavy)
     rest = [c for c in left.columns if c != key] or [key]
     spread = left.join(h, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*rest), "_parts"), F.lit(0)).cast("int"))

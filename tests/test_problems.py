@@ -207,7 +207,7 @@ def test_salted_merge(spark):
     got = orphans.merge_parents(refs, parents, "key", heavy, "p_")
     assert got.count() == 61 and got.filter("p_w IS NULL").count() == 20
     inner = spread_join(refs, parents, "key", heavy)
-    assert inner.count() == 41
+    assert inner.count() == 41 and rows(spread_join(refs, parents, "key", heavy.collect())) == rows(inner) == rows(spread_join(refs, parents, "key", []))
     # a key of two thirds of the rows is spread over its parts
     parts = inner.select("ref", "key").filter("key = 'hot'").count() / 7
     salted = refs.join(heavy, refs["key"] == heavy["_hot"]).selectExpr("pmod(xxhash64(ref), _parts) AS p").groupBy("p").count()
