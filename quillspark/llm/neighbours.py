@@ -22,6 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +151,19 @@ def _matrix(vecs) -> np.ndarray:
     return np.frombuffer(b"".join(vecs), np.int8).reshape(-1, DIM)
 
 
+def _arrow_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of int8 of an Arrow column of DIM bytes each, without a Python object per row."""
+    if isinstance(column, pa.ChunkedArray):
+        parts = [_arrow_matrix(c) for c in column.chunks]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros((0, DIM), np.int8)
+    if not len(column):
+        return np.zeros((0, DIM), np.int8)
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, ends, data = column.buffers()
+    start = int(np.frombuffer(ends, kind, 1, column.offset * np.dtype(kind).itemsize)[0])
+    return np.frombuffer(data, np.int8, len(column) * DIM, start).reshape(-1, DIM)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``id, model, vec`` of comparable vectors: a dimension of 64, 64 bytes, not all zero, no nulls; repeated rows stay."""
     v = vectors.filter(
@@ -281,12 +296,15 @@ def search_bucket(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray
 def _searched(records: DataFrame, groups: list[str], compare) -> DataFrame:
     """``vid, nid, cosine`` of groups of ``vid, vec, is_row, is_query`` rows; a pair may come from several groups."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw, vid = _matrix(pdf["vec"]), pdf["vid"].to_numpy()
-        asks, rows = pdf["is_query"].to_numpy(bool), pdf["is_row"].to_numpy(bool)
-        return compare(raw[asks], vid[asks], raw[rows], vid[rows])
+    def one(table: pa.Table) -> pa.Table:
+        raw, vid = _arrow_matrix(table.column("vec")), table.column("vid").to_numpy()
+        asks, rows = (np.asarray(table.column(c).to_numpy(), bool) for c in ("is_query", "is_row"))
+        return pa.Table.from_pandas(compare(raw[asks], vid[asks], raw[rows], vid[rows]), FOUND, preserve_index=False)
+
+    return records.groupBy(*groups).applyInArrow(one, "vid long, nid long, cosine double")
+
 
-    return records.groupBy(*groups).applyInPandas(one, "vid long, nid long, cosine double")
+FOUND = pa.schema([("vid", pa.int64()), ("nid", pa.int64()), ("cosine", pa.float64())])
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -301,17 +319,20 @@ def brute_force(index: Index, queries: pd.DataFrame, k: int, floor: float) -> pd
 
     def run(batches):
         kept = None
-        for pdf in batches:
-            for m, own in pdf.groupby("model"):
-                if m in asked:
-                    found = scan(*asked[m], _matrix(own["vec"]), own["vid"].to_numpy(), k, floor).merge(own[["vid", "vec"]].rename(columns={"vid": "nid"}), on="nid")
-                    kept = found if kept is None else pd.concat([kept, found])
-                    if len(kept) > 8 * k * len(queries):
-                        kept = kept.sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)
-        if kept is not None:
-            yield kept.sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)[["vid", "nid", "cosine", "vec"]]
-
-    part = index.items.select("vid", "model", "vec").mapInPandas(run, "vid long, nid long, cosine double, vec binary")
+        for batch in batches:
+            raw, vid, model = _arrow_matrix(batch.column("vec")), batch.column("vid").to_numpy(), batch.column("model")
+            for m, own in asked.items():
+                at = np.asarray(pc.equal(model, m).to_numpy(zero_copy_only=False), bool)
+                found = scan(*own, raw[at], vid[at], k, floor)
+                found["vec"] = [x.tobytes() for x in raw[pd.Series(np.arange(len(vid)), index=vid)[found["nid"]].to_numpy()]]
+                kept = found if kept is None else pd.concat([kept, found])
+                if len(kept) > 8 * k * len(queries):
+                    kept = kept.sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)
+        if kept is not None and len(kept):
+            best = kept.sort_values(["cosine", "nid"], ascending=[False, True]).groupby("vid").head(k)[["vid", "nid", "cosine", "vec"]]
+            yield pa.RecordBatch.from_pandas(best, FOUND.append(pa.field("vec", pa.binary())), preserve_index=False)
+
+    part = index.items.select("vid", "model", "vec").mapInArrow(run, "vid long, nid long, cosine double, vec binary")
     w = Window.partitionBy("vid").orderBy(F.desc("cosine"), "nid")
     return part.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r").toPandas()
 
@@ -348,25 +369,23 @@ def search(index: Index, asked: DataFrame | None, k: int, floor: float, visits:
     tree = index.tree
 
     def place(batches):
-        for pdf in batches:
-            near = tree.visit(unit(_matrix(pdf["vec"])), visits)
+        for batch in batches:
+            near = tree.visit(unit(_arrow_matrix(batch.column("vec"))), visits)
             n = near.shape[1]
-            first = np.tile(np.arange(n), len(pdf)) == 0
-            asks = np.repeat(pdf["asked"].to_numpy(bool), n)
+            first = np.tile(np.arange(n), len(near)) == 0
+            asks = np.repeat(np.asarray(batch.column("asked").to_numpy(zero_copy_only=False), bool), n)
             keep = (near.ravel() >= 0) & (asks | first)
-            at = np.repeat(np.arange(len(pdf)), n)[keep]
-            yield pd.DataFrame(
-                {
-                    "bucket": near.ravel()[keep], "model": pdf["model"].to_numpy()[at], "vid": pdf["vid"].to_numpy()[at],
-                    "vec": pdf["vec"].to_numpy()[at], "is_row": first[keep], "is_query": asks[keep],
-                }
-            )
+            at = pa.array(np.repeat(np.arange(len(near)), n)[keep])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(near.ravel()[keep]), *[batch.column(c).take(at) for c in ("model", "vid", "vec")], pa.array(first[keep]), pa.array(asks[keep])],
+                names=["bucket", "model", "vid", "vec", "is_row", "is_query"],
+            )
 
     if asked is None:
         items = index.items.select("vid", "model", "vec", F.lit(True).alias("asked"))
     else:
         items = index.items.select("vid", "model", "vec").join(asked.select("vid", F.lit(True).alias("asked")).distinct(), "vid", "left").fillna({"asked": False})
-    records = items.mapInPandas(place, "bucket int, model string, vid long, vec binary, is_row boolean, is_query boolean")
+    records = items.mapInArrow(place, "bucket int, model string, vid long, vec binary, is_row boolean, is_query boolean")
     found = _searched(records, ["model", "bucket"], lambda q, qid, x, xid: search_bucket(q, qid, x, xid, k, floor, recall))
     if asked is None:
         pair = F.struct("vid", "nid", "cosine")
