@@ -111,13 +111,14 @@ def cell_stats(props: DataFrame, entity: str, attribute: str, value: str, may: D
 
 @dataclass
 class WideTable:
-    """``rows``: ``entity, source_id, c0 .. cN, f0 .. fN, strays``; ``columns``: the (col, class) of each ``c``.
+    """``rows``: ``entity, source_id, c0 .. cN, f0 .. fN``; ``columns``: the (col, class) of each ``c``; ``strays``: ``entity, col`` undeclared.
 
     ``f``: 1 if some value of the cell didn't fit, 2 if values that do differ, 3 if both; null or 0 if neither.
     """
 
     rows: DataFrame
     columns: list[tuple[str, str]]
+    strays: DataFrame
 
     def issues(self) -> DataFrame:
         """``entity, col, kind`` of the cells with a flag and of the attributes the source doesn't declare."""
@@ -125,7 +126,7 @@ class WideTable:
         kinds = F.array(F.struct(F.lit(1).alias("bit"), F.lit("mistyped").alias("kind")), F.struct(F.lit(2).alias("bit"), F.lit("conflict").alias("kind")))
         cells = self.rows.select("entity", F.explode(F.filter(flagged, lambda x: x["flag"] > 0)).alias("x")).select("entity", "x.col", "x.flag", F.explode(kinds).alias("k"))
         found = cells.filter(F.col("flag").bitwiseAND(F.col("k.bit")) != 0).select("entity", "col", F.col("k.kind").alias("kind"))
-        strays = self.rows.select("entity", F.explode("strays").alias("col"), F.lit("undeclared").alias("kind"))
+        strays = self.strays.select("entity", "col", F.lit("undeclared").alias("kind"))
         return found.unionByName(strays) if self.columns else strays
 
     def of_source(self, source_id: str, names: list[tuple[str, str]]) -> DataFrame:
@@ -152,8 +153,8 @@ def widen(
     ``schema``: ``source_id, col, class`` (its distinct (col, class) pairs are the columns of
     the wide table and must fit the driver, as they must fit one row). A cell holds the
     greatest value that fits, as double for numbers and as text else, and its flag tells values
-    that don't fit and values that differ (:class:`WideTable`). ``strays`` lists the attributes the source
-    doesn't declare; these never become columns, however many there are. Rows of unknown entities, null
+    that don't fit and values that differ (:class:`WideTable`). ``strays`` has a row for each attribute the source
+    doesn't declare; these never become columns nor lists, however many an entity has. Rows of unknown entities, null
     attributes, null and empty values give no cell; empty tables give an empty result; other columns of the
     inputs are ignored.
     """
@@ -196,7 +197,7 @@ def widen(
         "entity", "source_id", *[F.lit(None).cast(t).alias(c) for c, t in (("slot", "int"), ("num", "double"), ("txt", "string"), ("flag", "int"), ("stray", "string"))], F.lit(-1).alias("block")
     )
     kept = Scratch(spark).bucket(filled.unionByName(own).repartition(n, "entity"), "entity", n, by="block")
-    wide = kept.filter("block = -1").groupBy("entity").agg(F.max("source_id").alias("source_id"), F.collect_list("stray").alias("strays"))
+    wide = kept.filter("block = -1").groupBy("entity").agg(F.max("source_id").alias("source_id"))
     for at in range(0, len(columns), block):
         names = columns[at : at + block]
         aggs = []
@@ -204,7 +205,8 @@ def widen(
             here = F.col("slot") == at + i
             aggs += [F.max(F.when(here, F.col("num" if kind == "number" else "txt"))).alias(f"c{at + i}"), F.max(F.when(here, F.col("flag"))).alias(f"f{at + i}")]
         wide = wide.join(kept.filter(F.col("block") == at // block).groupBy("entity").agg(*aggs), "entity", "left")
-    return WideTable(wide.select("entity", "source_id", *[f"{x}{i}" for x in "cf" for i in range(len(columns))], "strays"), columns)
+    strays = kept.filter("block = -1 AND stray IS NOT NULL").select("entity", F.col("stray").alias("col"))
+    return WideTable(wide.select("entity", "source_id", *[f"{x}{i}" for x in "cf" for i in range(len(columns))]), columns, strays)
 
 
 def wide_pages(spark: SparkSession, sf_dir: str, block: int = 16) -> WideTable:
