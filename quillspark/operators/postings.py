@@ -36,32 +36,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return out.withColumn("prefix", F.col("prefix") & (F.col("j") == F.col("m") - 1))
 
 
-def occurrences(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """``qid, tno, chunk_id, field, pos``: where a whole query term starts.
+def resolved(index: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``token, prefix, term``: the terms of the dictionary that distinct tokens (``token, prefix``) stand for.
 
-    Tokens are first resolved against the dictionary of distinct terms, so the postings are joined by equality. So are
-    the prefixes: each term of the dictionary offers all of its beginnings, and the distinct tokens are looked up among them. The
-    tokens of a phrase are brought together by their common start.
+    Prefixes are resolved by equality too: each term of the dictionary offers all of its beginnings.
     """
-    exact = asked.filter("NOT prefix").select("qid", "tno", "j", "m", F.col("token").alias("term"))
-    begun = asked.filter("prefix").select("qid", "tno", "j", "m", "token")
     dictionary = index.select("term").distinct()
+    exact = tokens.filter("NOT prefix").join(dictionary, F.col("token") == F.col("term"))
     beginnings = dictionary.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("term")), lambda n: F.left("term", n))).alias("token"))
-    known = beginnings.join(begun.select("token").distinct(), "token", "left_semi")
-    grown = begun.join(known, "token").select("qid", "tno", "j", "m", "term")
-    hits = index.join(exact.unionByName(grown), "term")
-    start = hits.select("qid", "tno", "chunk_id", "field", (F.col("pos") - F.col("j")).alias("pos"), "j", "m")
-    single = start.filter("m = 1").select("qid", "tno", "chunk_id", "field", "pos")
-    phrase = (
-        start.filter("m > 1").groupBy("qid", "tno", "chunk_id", "field", "pos", "m").agg(F.count_distinct("j").alias("n")).filter("n = m")
-    ).select("qid", "tno", "chunk_id", "field", "pos")
-    return single.unionByName(phrase)
+    return exact.select("token", "prefix", "term").unionByName(tokens.filter("prefix").join(beginnings, "token").select("token", "prefix", "term"))
+
+
+def phrases(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """``qid, tno, chunk_id, field, pos``: where a query term of several tokens starts; its tokens are brought together by their common start."""
+    several = asked.filter("m > 1")
+    terms_ = several.join(resolved(index, several.select("token", "prefix").distinct()), ["token", "prefix"])
+    start = index.join(terms_, "term").select("qid", "tno", "chunk_id", "field", (F.col("pos") - F.col("j")).alias("pos"), "j", "m")
+    whole = start.groupBy("qid", "tno", "chunk_id", "field", "pos", "m").agg(F.count_distinct("j").alias("n")).filter("n = m")
+    return whole.select("qid", "tno", "chunk_id", "field", "pos")
 
 
 def bm25(index: DataFrame, asked: DataFrame, weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
     """``qid, chunk_id, score``; statistics are those of the whole index, filters come after.
 
-    A prefix term is one term with a joint frequency: a chunk counts once however many expansions it has.
+    A prefix term is one term with a joint frequency: a chunk counts once however many expansions it has. A token that many
+    queries ask for is scored once, and its scores are joined to the queries.
     """
     size = lengths(index)
     n_all = size.agg(F.count(F.lit(1)).alias("n_all")).scalar()
@@ -69,10 +68,17 @@ def bm25(index: DataFrame, asked: DataFrame, weights: dict[str, float] = FIELD_W
     weight: Column = F.lit(0.0)
     for f, w in weights.items():
         weight = F.when(F.col("field") == f, F.lit(float(w))).otherwise(weight)
-    tf = occurrences(index, asked).groupBy("qid", "tno", "chunk_id").agg(F.sum(weight).alias("f"))
-    df = tf.groupBy("qid", "tno").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(df, ["qid", "tno"]).join(size, "chunk_id").withColumns({"n_all": n_all, "avg_len": avg_len})
     idf = F.greatest(F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return joined.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
+    def scored(tf: DataFrame, *of: str) -> DataFrame:
+        """``tf`` (``of, chunk_id, f``) with the share ``part`` each chunk gets from it."""
+        df = tf.groupBy(*of).agg(F.count(F.lit(1)).alias("df"))
+        return tf.join(df, [*of]).join(size, "chunk_id").withColumns({"n_all": n_all, "avg_len": avg_len}).select(*of, "chunk_id", part.alias("part"))
+
+    single = asked.filter("m = 1").select("qid", "token", "prefix")
+    known = resolved(index, single.select("token", "prefix").distinct())
+    tf = index.groupBy("term", "chunk_id").agg(F.sum(weight).alias("w")).join(known, "term").groupBy("token", "prefix", "chunk_id").agg(F.sum("w").alias("f"))
+    shares = single.join(scored(tf, "token", "prefix"), ["token", "prefix"]).select("qid", "chunk_id", "part")
+    several = scored(phrases(index, asked).groupBy("qid", "tno", "chunk_id").agg(F.sum(weight).alias("f")), "qid", "tno").select("qid", "chunk_id", "part")
+    return shares.unionByName(several).groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
