@@ -45,9 +45,12 @@ def collapse(hits: DataFrame, candidates: int | None = None) -> DataFrame:
 
 
 def keyword_ranking(index: DataFrame, chunks: DataFrame, pages: DataFrame, asked: DataFrame, candidates: int | None = None) -> DataFrame:
-    scores = postings.bm25(index, asked)
-    owned = scores.join(chunks.select("chunk_id", "page_id"), "chunk_id").join(pages.select("page_id"), "page_id")
-    return collapse(owned.select("qid", "page_id", "chunk_id", "score"), candidates)
+    """Pages by their best chunk; where ranks are cut at ``candidates``, only so many pages of each part of the chunks are brought together."""
+    owners = chunks.select("chunk_id", "page_id").join(pages.select("page_id"), "page_id")
+    found = postings.Matches(index, asked)
+    if candidates:
+        return collapse(found.best_pages(owners, candidates), candidates)
+    return collapse(found.scores().join(owners, "chunk_id").select("qid", "page_id", "chunk_id", "score"))
 
 
 def quantize_query(v: list[float]) -> tuple[float, np.ndarray]:
