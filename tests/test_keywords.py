@@ -55,3 +55,14 @@ def test_filtered_ranking(library, monkeypatch, share):
     assert close({tuple(r) for r in got}, ranked(scores, lambda i: i % 3 and i % 7, 3)) and len(got) > 80
     found = postings.Matches(index, postings.query_terms(queries)).best_pages(c.join(allowed, "page_id"), 3)
     assert found.count() <= found.rdd.getNumPartitions() * 3 * len(scores) < sum(s > 0 for x in scores.values() for s in x)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topk(library):
+    """All pages' ranking; scores of (query, chunk) aren't summed up over a shuffle."""
+    index, c, p, queries, scores = library
+    got = search.keyword_ranking(index, c, p, postings.query_terms(queries), 10).select("qid", "page_id", "chunk_id", "rank", "score")
+    assert "sum(part" not in plan(got) and close({tuple(r) for r in got.collect()}, ranked(scores, lambda i: True, 10))
