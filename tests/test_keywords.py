@@ -66,3 +66,13 @@ def test_topk(library):
     index, c, p, queries, scores = library
     got = search.keyword_ranking(index, c, p, postings.query_terms(queries), 10).select("qid", "page_id", "chunk_id", "rank", "score")
     assert "sum(part" not in plan(got) and close({tuple(r) for r in got.collect()}, ranked(scores, lambda i: True, 10))
+
+
+def test_all_scores(library):
+    """All scores are made where the chunks are: nothing is exchanged."""
+    index, _, _, queries, scores = library
+    got = postings.bm25(index, postings.query_terms(queries))
+    assert "Exchange" not in plan(got)
+    got = {(r["qid"], r["chunk_id"]): r["score"] for r in got.collect()}
+    want = {(q, i): s for q, own in scores.items() for i, s in enumerate(own) if s}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
