@@ -76,3 +76,14 @@ def test_all_scores(library):
     got = {(r["qid"], r["chunk_id"]): r["score"] for r in got.collect()}
     want = {(q, i): s for q, own in scores.items() for i, s in enumerate(own) if s}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_hybrid(library, spark):
+    """The keyword branch of a hybrid search sums up no scores over a shuffle; a query with a vector gets pages by either branch."""
+    index, c, p, queries, scores = library
+    vectors = spark.createDataFrame([(i, 2, 1.0, bytes([1 + i, 1])) for i in range(N)], "chunk_id long, dim int, scale double, vec binary")
+    got = search.search(queries, spark.createDataFrame([(1, [1.0, 0.0])], "qid long, query array<double>"), index, c, p, vectors, dim=2)
+    assert "sum(part" not in plan(got)
+    found = {tuple(r) for r in got.select("qid", "position", "page_id", "chunk_id").collect()}
+    assert {x for x in found if x[0] != 1} == {(q, rank, page, i) for q, page, i, rank, _ in ranked(scores, lambda i: i % 7, 10) if q != 1}
+    assert len({x[2] for x in found if x[0] == 1}) == 10
