@@ -68,6 +68,14 @@ def test_topk(library):
     assert "sum(part" not in plan(got) and close({tuple(r) for r in got.collect()}, ranked(scores, lambda i: True, 10))
 
 
+def test_keyword_only(library):
+    """A search without vectors has the positions of the keyword ranking of live pages, from one pass over the chunks."""
+    index, c, p, queries, scores = library
+    got = search.search(queries, None, index, c, p, None)
+    want = {(q, rank, page, i) for q, page, i, rank, _ in ranked(scores, lambda i: i % 7, 10)}
+    assert "sum(part" not in plan(got) and {tuple(r) for r in got.select("qid", "position", "page_id", "chunk_id").collect()} == want
+
+
 def test_all_scores(library):
     """All scores are made where the chunks are: nothing is exchanged."""
     index, _, _, queries, scores = library
