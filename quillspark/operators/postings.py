@@ -53,6 +53,13 @@ def phrases(index: DataFrame, words: DataFrame) -> DataFrame:
     return whole.select("tid", "chunk_id", "field", "pos")
 
 
+def numbered(owners: DataFrame) -> DataFrame:
+    """``chunk_id, nth, page_id``: the pages of each chunk (mostly one), numbered from 0."""
+    if "nth" in owners.columns:
+        return owners
+    return owners.groupBy("chunk_id").agg(F.sort_array(F.collect_set("page_id")).alias("pages")).select("chunk_id", F.posexplode("pages").alias("nth", "page_id"))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` to be broadcast, unless it has too many rows for that."""
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
@@ -61,13 +68,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 class Matches:
     """Queries numbered by their distinct terms, and for each chunk which of these it has how often; statistics are those of the whole index.
 
-    ``docs``: ``chunk_id, len, tids, fs``, a row per chunk of the index (a term may recur in ``tids``; its frequencies add up).
+    ``found``: ``chunk_id, len, tids, fs``, a row per chunk of the index (a term may recur in ``tids``; its frequencies add up).
     A prefix or phrase is one term with a joint frequency: a chunk counts once however many expansions it has. The driver holds two
     numbers per query term and one per distinct term; postings are grouped by chunk and stay where they are.
     """
 
     def __init__(self, index: DataFrame, asked: DataFrame, weights: dict[str, float] = FIELD_WEIGHTS):
-        scratch = Scratch(index.sparkSession)
+        self.scratch = scratch = Scratch(index.sparkSession)
         weight: Column = F.lit(0.0)
         for f, w in weights.items():
             weight = F.when(F.col("field") == f, F.lit(float(w))).otherwise(weight)
@@ -88,11 +95,11 @@ class Matches:
             where = phrases(index, small(several, n_several)).select("chunk_id", F.lit(0).cast("long").alias("len"), F.array("tid").alias("tids"), F.array(weight).alias("fs"))
             rows = rows.unionByName(where)
         docs = rows.groupBy("chunk_id").agg(F.sum("len").alias("len"), F.collect_list(F.struct("tids", "fs")).alias("x"))
-        self.docs = scratch.put(docs.select("chunk_id", "len", F.flatten("x.tids").alias("tids"), F.flatten("x.fs").alias("fs")))
+        self.found = docs.select("chunk_id", "len", F.flatten("x.tids").alias("tids"), F.flatten("x.fs").alias("fs"))
 
-    def asked(self) -> scoring.Asked:
-        n_all, avg_len = self.docs.agg(F.count(F.lit(1)), F.avg("len")).first()
-        counts = self.docs.select(F.explode(F.array_distinct("tids")).alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    def asked(self, docs: DataFrame) -> scoring.Asked:
+        n_all, avg_len = docs.agg(F.count(F.lit(1)), F.avg("len")).first()
+        counts = docs.select(F.explode(F.array_distinct("tids")).alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("df")).toArrow()
         df = np.zeros(self.n_terms)
         df[counts["tid"].to_numpy()] = counts["df"].to_numpy()
         pairs = self.pairs.toArrow()
@@ -100,14 +107,20 @@ class Matches:
 
     def scores(self) -> DataFrame:
         """``qid, chunk_id, score`` of all matching chunks."""
-        asked = self.docs.sparkSession.sparkContext.broadcast(self.asked())
-        return self.docs.filter("chunk_id IS NOT NULL").mapInArrow(lambda b: scoring.all_scores(b, asked.value), "qid long, chunk_id long, score double")
+        docs = self.scratch.put(self.found)
+        asked = docs.sparkSession.sparkContext.broadcast(self.asked(docs))
+        return docs.filter("chunk_id IS NOT NULL").mapInArrow(lambda b: scoring.all_scores(b, asked.value), "qid long, chunk_id long, score double")
 
     def best_pages(self, owners: DataFrame, most: int) -> DataFrame:
-        """``qid, page_id, chunk_id, score``: at least the ``most`` best pages of every query, with their best chunks; ``owners``: ``chunk_id, page_id``."""
-        asked = self.docs.sparkSession.sparkContext.broadcast(self.asked())
-        owned = self.docs.join(owners.select("chunk_id", "page_id").distinct(), "chunk_id")
-        return owned.mapInArrow(lambda b: scoring.best_pages(b, asked.value, most), "qid long, page_id string, chunk_id long, score double")
+        """``qid, chunk_id, nth, score``: the ``most`` best pages of every query in each part of the chunks, each by its best chunk.
+
+        ``owners``: ``chunk_id, page_id``, see :func:`numbered`. The chunks of a page are brought together, so a page has one row
+        per query at most and its id needn't go along.
+        """
+        docs = self.scratch.put(self.found.join(numbered(owners), "chunk_id", "left").select("chunk_id", "nth", "page_id", "len", "tids", "fs"))
+        asked = docs.sparkSession.sparkContext.broadcast(self.asked(docs.filter("coalesce(nth, 0) = 0")))
+        paged = docs.filter("page_id IS NOT NULL").repartition("page_id").sortWithinPartitions("page_id")
+        return paged.mapInArrow(lambda b: scoring.best_pages(b, asked.value, most), "qid long, chunk_id long, nth int, score double")
 
 
 def bm25(index: DataFrame, asked: DataFrame, weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:

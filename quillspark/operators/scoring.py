@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 # The ranking function's constants, and the share of all documents above which a term counts as frequent; answers don't depend on the latter.
 K1, B, LEAST_IDF, FREQUENT = 1.2, 0.75, 1e-6, 0.03
 # Documents of a part, rows of a batch of results, and what a match adds at least, so that it isn't mistaken for none.
-PART_ROWS, BATCH_ROWS, LEAST_SHARE = 32_768, 500_000, 1e-300
+PART_ROWS, BATCH_ROWS, LEAST_SHARE = 32_768, 100_000, 1e-300
 
 
 class Asked:
@@ -67,11 +67,19 @@ class Part:
         doc, share = self.of(tids)
         return np.bincount(doc, share, minlength=self.n).astype(float)  # of nothing it has integers
 
-    def with_rare(self, base: np.ndarray, tids) -> tuple[np.ndarray, np.ndarray]:
-        """The documents that have any of the terms, and their whole scores."""
-        doc, share = self.of(tids)
-        docs, back = np.unique(doc, return_inverse=True)
-        return docs, (base[docs] + np.bincount(back, share, minlength=len(docs))).round(6)
+    def with_rare(self, base: np.ndarray, tids, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """The documents that have any of the terms, and their whole scores, if these are ``least`` or more; ``base`` is as before afterwards."""
+        cut = [slice(self.at[t], self.at[t + 1]) for t in tids]
+        doc = np.concatenate([self.doc[c] for c in cut]) if cut else self.doc[:0]
+        before = base[doc]
+        for c in cut:
+            base[self.doc[c]] += self.share[c]  # a term has a document once
+        docs = doc[base[doc] >= least - 1e-6]
+        docs = np.unique(docs) if len(cut) > 1 else docs
+        scores = base[docs].round(6)
+        base[doc] = before
+        keep = scores >= least
+        return docs[keep], scores[keep]
 
     def best(self, docs: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """The best document of each of the ``most`` best pages; ties go to the smaller chunk id."""
@@ -92,12 +100,17 @@ class Part:
         return *self.best(docs, base[docs].round(6), most), least if n == most else 0.0
 
 
-def parts(batches: Iterator[pa.RecordBatch], asked: Asked, rows: int = PART_ROWS) -> Iterator[Part]:
+def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows. With a ``page_id`` by which the rows are sorted, no page is divided."""
     held: list[pa.RecordBatch] = []
     for batch in chain(batches, [None]):
         if held and (batch is None or sum(map(len, held)) >= rows):
-            yield Part(pa.Table.from_batches(held), asked)
-            held = []
+            table, last = pa.Table.from_batches(held), 0
+            if batch is not None and "page_id" in table.column_names:
+                last = pc.sum(pc.equal(table["page_id"], table["page_id"][-1])).as_py()
+            if last < len(table):
+                yield table.slice(0, len(table) - last)
+                held = table.slice(len(table) - last).to_batches() if last else []
         if batch is not None and len(batch):
             held.append(batch)
 
@@ -135,12 +148,12 @@ def all_scores(batches: Iterator[pa.RecordBatch], asked: Asked) -> Iterator[pa.R
                 else:
                     yield q, docs, common
 
-    for part in parts(batches, asked):
+    for part in (Part(table, asked) for table in parts(batches, PART_ROWS)):
         yield from _batches(part, rows(part), ("chunk_id",))
 
 
 def best_pages(batches: Iterator[pa.RecordBatch], asked: Asked, most: int) -> Iterator[pa.RecordBatch]:
-    """``qid, page_id, chunk_id, score``: the ``most`` best pages of each query in each part.
+    """``qid, chunk_id, nth, score``: the ``most`` best pages of each query in each part, each by its best document.
 
     Shares are never negative, so a page that is among the best of a query either has a document with one of its rare terms, or is
     among the best by the frequent terms alone; the latter are the same for all queries with these.
@@ -151,15 +164,14 @@ def best_pages(batches: Iterator[pa.RecordBatch], asked: Asked, most: int) -> It
             base = part.summed(frequent)
             docs, scores, least = part.best_of_all(base, most)
             for q, rare in queries:
-                more, whole = part.with_rare(base, rare)
+                more, whole = part.with_rare(base, rare, least)
                 if len(more):
-                    keep = whole >= least
-                    yield q, *part.best(np.concatenate([docs, more[keep]]), np.concatenate([scores, whole[keep]]), most)
+                    yield q, *part.best(np.concatenate([docs, more]), np.concatenate([scores, whole]), most)
                 else:
                     yield q, docs, scores
 
-    for part in parts(batches, asked):
-        yield from _batches(part, rows(part), ("page_id", "chunk_id"))
+    for part in (Part(table, asked) for table in parts(batches, PART_ROWS)):
+        yield from _batches(part, rows(part), ("chunk_id", "nth"))
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

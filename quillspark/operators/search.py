@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.scalars import literal_weight
-from quillspark.operators import postings
+from quillspark.operators import postings, scoring
+from quillspark.shared import Scratch
 
 # The fusion constant, defaults of a search and the share of a related page's score.
 RRF_K, LIMIT, LEAST_CANDIDATES, PER_RESULT, RELATED_SHARE = 60, 10, 40, 5, 3.0
@@ -44,13 +47,29 @@ def collapse(hits: DataFrame, candidates: int | None = None) -> DataFrame:
     return ranked.filter(F.col("rank") <= candidates) if candidates else ranked
 
 
-def keyword_ranking(index: DataFrame, chunks: DataFrame, pages: DataFrame, asked: DataFrame, candidates: int | None = None) -> DataFrame:
-    """Pages by their best chunk; where ranks are cut at ``candidates``, only so many pages of each part of the chunks are brought together."""
+def owners_of(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """``chunk_id, nth, page_id`` of the chunks of the given pages, written once for those who rank them and those who look pages up."""
     owners = chunks.select("chunk_id", "page_id").join(pages.select("page_id"), "page_id")
+    return Scratch(chunks.sparkSession).put(postings.numbered(owners))
+
+
+def cut(hits: DataFrame, owners: DataFrame, candidates: int) -> DataFrame:
+    """:func:`collapse` of ``qid, chunk_id, nth, score`` where each page has one row per query at most: only the best get their page's id."""
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id", "nth")))
+    return ranked.filter(F.col("rank") <= candidates).join(owners, ["chunk_id", "nth"]).select("qid", "page_id", "chunk_id", "score", "rank")
+
+
+def keyword_ranking(index: DataFrame, chunks: DataFrame, pages: DataFrame, asked: DataFrame, candidates: int | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """Pages by their best chunk; where ranks are cut at ``candidates``, only so many pages of each part of the chunks are brought together.
+
+    ``owners``: :func:`owners_of` ``chunks`` and ``pages``, if they are at hand.
+    """
     found = postings.Matches(index, asked)
     if candidates:
-        return collapse(found.best_pages(owners, candidates), candidates)
-    return collapse(found.scores().join(owners, "chunk_id").select("qid", "page_id", "chunk_id", "score"))
+        owners = owners_of(chunks, pages) if owners is None else owners
+        return cut(found.best_pages(owners, candidates), owners, candidates)
+    owned = chunks.select("chunk_id", "page_id").join(pages.select("page_id"), "page_id")
+    return collapse(found.scores().join(owned, "chunk_id").select("qid", "page_id", "chunk_id", "score"))
 
 
 def quantize_query(v: list[float]) -> tuple[float, np.ndarray]:
@@ -96,12 +115,13 @@ def vector_ranking(
 
 
 def block_ranking(
-    vectors: DataFrame, chunks: DataFrame, pages: DataFrame, asked: DataFrame, dim: int, candidates: int, size: int = 1024, part_rows: int = 16384
+    vectors: DataFrame, chunks: DataFrame, pages: DataFrame, asked: DataFrame, dim: int, candidates: int, size: int = 64, part_rows: int = 16384,
+    owners: DataFrame | None = None,
 ) -> DataFrame:
     """:func:`vector_ranking` for a table of queries (``qid, query``: array of numbers) that grows with the data.
 
-    The stored vectors are divided by page, so that a page's best chunk is found within one part; each block of
-    ``size`` queries meets each part once and keeps its ``candidates`` best pages there.
+    The stored vectors of a page are brought together and searched there, in parts of whole pages: every block of ``size``
+    queries meets each part once and keeps its ``candidates`` best pages of it. All tasks have the quantised queries.
     """
 
     def prepare(batches):
@@ -109,42 +129,45 @@ def block_ranking(
             kept = [(q, *quantize_query(v)) for q, v in zip(pdf["qid"], pdf["query"]) if len(v) == dim]
             yield pd.DataFrame([(q, s, x.astype(np.int8).tobytes()) for q, s, x in kept], columns=["qid", "q_scale", "q_vec"])
 
-    owners = chunks.select("chunk_id", "page_id").distinct().join(pages.select("page_id").distinct(), "page_id")
+    owners = owners_of(chunks, pages) if owners is None else owners
     stored = vectors.filter((F.col("dim") == dim) & (F.octet_length("vec") == dim) & F.col("scale").isNotNull()).select("chunk_id", "scale", "vec")
-    blocks, parts = max(1, -(-asked.count() // size)), max(1, -(-stored.count() // part_rows))
-    queries = asked.mapInPandas(prepare, "qid long, q_scale double, q_vec binary").select(
-        F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "qid", "q_scale", "q_vec"
-    )
-    rows = stored.join(owners, "chunk_id").select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("page_id"), F.lit(parts)).alias("part"),
-        "page_id", "chunk_id", "scale", "vec",
-    )
-
-    def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(x):
-            x = x.sort_values(["page_id", "chunk_id"], ignore_index=True)
-            page, chunk, scale = x["page_id"].to_numpy(), x["chunk_id"].to_numpy(), x["scale"].to_numpy().astype(float)
+    queries = asked.mapInPandas(prepare, "qid long, q_scale double, q_vec binary").toArrow()
+    shared = vectors.sparkSession.sparkContext.broadcast((queries["qid"].to_numpy(), queries["q_scale"].to_numpy(), b"".join(queries["q_vec"].to_pylist())))
+    paged = stored.join(owners, "chunk_id").repartition("page_id").sortWithinPartitions("page_id", "chunk_id").select("page_id", "chunk_id", "nth", "scale", "vec")
+    exact = np.float32 if dim << 14 <= 1 << 24 else np.float64  # sums of products of int8 are exact
+
+    def best(batches):
+        qid, q_scale, q_vec = shared.value
+        if not len(qid):
+            return
+        q_vec = np.frombuffer(q_vec, np.int8).reshape(-1, dim)
+        for x in scoring.parts(batches, part_rows):
+            page, chunk = pc.dictionary_encode(x["page_id"].combine_chunks()).indices.to_numpy(), x["chunk_id"].to_numpy()
+            nth, scale = x["nth"].to_numpy(), x["scale"].to_numpy().astype(float)
             starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
-            ends = np.r_[starts[1:], len(page)]
-            # products of int8 are exact as doubles
-            matrix = np.frombuffer(b"".join(x["vec"]), np.int8).reshape(-1, dim).astype(float).T
+            sizes = np.diff(np.r_[starts, len(page)])
+            matrix = np.frombuffer(b"".join(x["vec"].to_pylist()), np.int8).reshape(-1, dim).astype(exact).T
             n = min(candidates, len(starts))
-            for at in range(0, len(q), 64):
-                own = q.iloc[at : at + 64]
-                s = np.frombuffer(b"".join(own["q_vec"]), np.int8).reshape(-1, dim).astype(float) @ matrix
-                s = (s * scale[None, :] * own["q_scale"].to_numpy()[:, None]).round(6)
-                top = np.maximum.reduceat(s, starts, axis=1)
+            for at in range(0, len(qid), size):
+                s = (q_vec[at : at + size].astype(exact) @ matrix).astype(float)
+                s *= scale[None, :]
+                s *= q_scale[at : at + size, None]
+                top = np.maximum.reduceat(s, starts, axis=1).round(6)
                 least = np.partition(top, len(starts) - n, axis=1)[:, len(starts) - n]
-                for i, qid in enumerate(own["qid"]):
-                    pages_ = np.flatnonzero(top[i] >= least[i])
-                    chunks_ = np.array([chunk[starts[p] + s[i, starts[p] : ends[p]].argmax()] for p in pages_])
-                    pick = np.lexsort((chunks_, -top[i, pages_]))[:n]
-                    out.append(pd.DataFrame({"qid": qid, "page_id": page[starts[pages_[pick]]], "chunk_id": chunks_[pick], "score": top[i, pages_[pick]]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": np.zeros(0, np.int64), "page_id": np.zeros(0, str), "chunk_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    found = queries.groupBy("b", "part").cogroup(rows.groupBy("b", "part")).applyInPandas(best, "qid long, page_id string, chunk_id long, score double")
-    return collapse(found, candidates)
+                i, p = np.nonzero(top >= least[:, None])
+                # of each such page, the first of its best vectors, which are sorted by chunk
+                begin = np.r_[0, np.cumsum(sizes[p])[:-1]]
+                rows = np.arange(sizes[p].sum()) - np.repeat(begin - starts[p], sizes[p])
+                same = s[np.repeat(i, sizes[p]), rows].round(6) == np.repeat(top[i, p], sizes[p])
+                first = np.minimum.reduceat(np.where(same, rows, len(page)), begin)
+                order = np.lexsort((chunk[first], -top[i, p], i))
+                order = order[np.arange(len(i)) - np.searchsorted(i, i) < n]
+                first = first[order]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qid[at + i[order]]), pa.array(chunk[first]), pa.array(nth[first]), pa.array(top[i, p][order])], ["qid", "chunk_id", "nth", "score"]
+                )
+
+    return cut(paged.mapInArrow(best, "qid long, chunk_id long, nth int, score double"), owners, candidates)
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, weights: DataFrame) -> DataFrame:

@@ -31,9 +31,14 @@ def slim(spark: SparkSession, d: str) -> DataFrame:
     return current_pages(read(spark, d, "pages"), cols | {"data_source_id": page_key("data_source_id")})
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as stored, full duplicates included; a search needs only some columns of them."""
     c = read(spark, d, "chunks")
-    return c.select(F.col("id").alias("chunk_id"), page_key("page_id").alias("page_id"), "ord", "heading", "text", "hash").distinct()
+    return c.select(F.col("id").alias("chunk_id"), page_key("page_id").alias("page_id"), "ord", "heading", "text", "hash")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_rows(spark, d).distinct()
 
 
 def titled(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +76,7 @@ def query_texts(spark: SparkSession, d: str) -> DataFrame:
 def bm25_topk(spark, d):
     """Ten best pages of every stored query by keyword."""
     index = keyword_index(spark, d)
-    ranked = search.keyword_ranking(index, chunks(spark, d), search.page_filter(slim(spark, d)), postings.query_terms(query_texts(spark, d)), 10)
+    ranked = search.keyword_ranking(index, chunk_rows(spark, d), search.page_filter(slim(spark, d)), postings.query_terms(query_texts(spark, d)), 10)
     return ranked.select("qid", "page_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -84,7 +89,7 @@ def bm25_filtered(spark, d):
     """Keyword ranking with a time range; statistics stay those of the whole index."""
     allowed = search.page_filter(slim(spark, d), since="2025-01-01", until="2026-01-01")
     index = keyword_index(spark, d)
-    return search.keyword_ranking(index, chunks(spark, d), allowed, postings.query_terms(query_texts(spark, d)), 10).select("qid", "page_id", "chunk_id", "score")
+    return search.keyword_ranking(index, chunk_rows(spark, d), allowed, postings.query_terms(query_texts(spark, d)), 10).select("qid", "page_id", "chunk_id", "score")
 
 
 def paired_vectors(spark: SparkSession, d: str) -> DataFrame:

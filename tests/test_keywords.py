@@ -1,7 +1,9 @@
 """Keyword searches of many queries at once, against BM25 in plain Python."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 
 from quillspark.operators import postings, scoring, search
@@ -68,6 +70,22 @@ def test_topk(library):
     assert "sum(part" not in plan(got) and close({tuple(r) for r in got.collect()}, ranked(scores, lambda i: True, 10))
 
 
+def test_pages_stay_whole(library):
+    """A page's chunks are scored together, so no ids of pages go along with the scores; a chunk on two pages counts once in the statistics."""
+    index, c, p, queries, scores = library
+    shared = c.filter("chunk_id = 1").selectExpr("chunk_id", "'p2' AS page_id", "ord", "heading", "text")
+    got = search.keyword_ranking(index, c.union(shared).union(shared), p, postings.query_terms(queries), 10)
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, page_id", plan(got))
+    want = set()
+    for q, own in scores.items():
+        pages = {f"p{k}": [(-own[i], i) for i in [*range(k, N, 40), *[1] * (k == 2)] if own[i]] for k in range(40)}
+        best = sorted((*min(x), page) for page, x in pages.items() if x)[:10]
+        want |= {(q, rank, i, round(-s, 4)) for rank, (s, i, _) in enumerate(best, 1)}
+    assert {(r["qid"], r["rank"], r["chunk_id"], round(r["score"], 4)) for r in got.collect()} == want
+    rows = pa.RecordBatch.from_pydict({"page_id": ["a"] * 3 + ["b"] * 4 + ["c"]})
+    assert ["".join(t["page_id"].to_pylist()) for t in scoring.parts((rows.slice(i, 2) for i in range(0, 8, 2)), 2)] == ["aaa", "bbbbc"]
+
+
 def test_keyword_only(library):
     """A search without vectors has the positions of the keyword ranking of live pages, from one pass over the chunks."""
     index, c, p, queries, scores = library
