@@ -243,14 +243,16 @@ def search(
     mode = "keyword" if mode in ("hybrid", "vector") and vectors_of is None else mode
     allowed = page_filter(pages, **(filters or {}))
     nothing = queries.sparkSession.createDataFrame([], "qid long, page_id string, chunk_id long, score double, rank int")
-    kw = keyword_ranking(index, chunks, allowed, postings.query_terms(queries), candidates) if mode in ("hybrid", "keyword") else nothing
+    owners = owners_of(chunks, allowed) if mode in MODES else None
+    kw = keyword_ranking(index, chunks, allowed, postings.query_terms(queries), candidates, owners) if mode in ("hybrid", "keyword") else nothing
     vec = nothing
     if mode in ("hybrid", "vector"):
-        vec = block_ranking(vectors, chunks, allowed, vectors_of, dim, candidates)
+        vec = block_ranking(vectors, chunks, allowed, vectors_of, dim, candidates, owners=owners)
     weights = queries.select("qid", literal_weight("text").alias("w"))
     fused = fuse(kw, vec, weights).filter(F.col("position") <= limit)
-    texts = chunks.select("chunk_id", F.col("text").alias("snippet"))
-    direct = fused.join(texts, "chunk_id").join(pages.select("page_id", "title"), "page_id").select(
+    # a row per key, so where the caller wants neither text nor title, Spark leaves the join out
+    texts = chunks.groupBy("page_id", "chunk_id").agg(F.min("text").alias("snippet"))
+    direct = fused.join(texts, ["page_id", "chunk_id"], "left").join(pages.select("page_id", "title"), "page_id", "left").select(
         "qid", "position", "page_id", "title", "chunk_id", "snippet", "score", "via"
     )
     if not (expand_relations and relations is not None):

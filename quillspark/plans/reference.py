@@ -134,7 +134,7 @@ def hybrid_search(spark, d):
 def keyword_only(spark, d):
     """Hybrid search without a model falls back to keywords, for every stored query."""
     index = keyword_index(spark, d)
-    return search.search(query_texts(spark, d), None, index, chunks(spark, d), pages(spark, d), vectors(spark, d)).select(
+    return search.search(query_texts(spark, d), None, index, chunk_rows(spark, d), slim(spark, d), vectors(spark, d)).select(
         "qid", F.col("position").cast("long").alias("position"), "page_id", "via", F.round("score", 6).alias("score")
     )
 

@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 
 from quillspark.operators import postings, scoring, search
+from quillspark.plans import reference
 
+from .conftest import SMALL
 from .test_mirror import asked, bm25_by_hand
 
 N, LIVE = 120, "2025-01-01"
@@ -94,6 +96,16 @@ def test_keyword_only(library):
     assert "sum(part" not in plan(got) and {tuple(r) for r in got.select("qid", "position", "page_id", "chunk_id").collect()} == want
 
 
+def test_texts_stay_out(library, spark):
+    """Where neither text nor title is asked for, they aren't read; chunks stored twice don't double results."""
+    index, c, p, queries, scores = library
+    read = plan(reference.keyword_only(spark, SMALL))
+    assert "content_markdown" not in read and "heading" not in read
+    got = search.search(queries, None, index, c.union(c), p, None)
+    want = {(q, rank, page, i) for q, page, i, rank, _ in ranked(scores, lambda i: i % 7, 10)}
+    assert sorted(tuple(r) for r in got.select("qid", "position", "page_id", "chunk_id").collect()) == sorted(want)
+
+
 def test_all_scores(library):
     """All scores are made where the chunks are: nothing is exchanged."""
     index, _, _, queries, scores = library
