@@ -250,6 +250,8 @@ def search(
         vec = block_ranking(vectors, chunks, allowed, vectors_of, dim, candidates, owners=owners)
     weights = queries.select("qid", literal_weight("text").alias("w"))
     fused = fuse(kw, vec, weights).filter(F.col("position") <= limit)
+    if expand_relations and relations is not None:
+        fused = Scratch(queries.sparkSession).put(fused)  # read as results, as seeds and as pages known already
     # a row per key, so where the caller wants neither text nor title, Spark leaves the join out
     texts = chunks.groupBy("page_id", "chunk_id").agg(F.min("text").alias("snippet"))
     direct = fused.join(texts, ["page_id", "chunk_id"], "left").join(pages.select("page_id", "title"), "page_id", "left").select(

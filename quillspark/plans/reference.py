@@ -119,7 +119,7 @@ def asked_vectors(stored: DataFrame) -> DataFrame:
 def knn_int8(spark, d):
     """Ten best pages, by quantised dot product, of the vector of every chunk whose id is divisible by 100."""
     stored = vectors(spark, d)
-    r = search.block_ranking(stored, chunks(spark, d), search.page_filter(slim(spark, d)), asked_vectors(stored), DIM, 10)
+    r = search.block_ranking(stored, chunk_rows(spark, d), search.page_filter(slim(spark, d)), asked_vectors(stored), DIM, 10)
     return r.select("qid", "page_id", "chunk_id", "score")
 
 
@@ -127,7 +127,7 @@ def hybrid_search(spark, d):
     """Fused search of every stored query, with relation expansion."""
     index = keyword_index(spark, d)
     return search.search(
-        query_texts(spark, d), paired_vectors(spark, d), index, chunks(spark, d), pages(spark, d), vectors(spark, d), relations(spark, d), expand_relations=True
+        query_texts(spark, d), paired_vectors(spark, d), index, chunk_rows(spark, d), slim(spark, d), vectors(spark, d), relations(spark, d), expand_relations=True
     ).select("qid", F.col("position").cast("long").alias("position"), "page_id", "via", "score")
 
 

@@ -125,3 +125,17 @@ def test_hybrid(library, spark):
     found = {tuple(r) for r in got.select("qid", "position", "page_id", "chunk_id").collect()}
     assert {x for x in found if x[0] != 1} == {(q, rank, page, i) for q, page, i, rank, _ in ranked(scores, lambda i: i % 7, 10) if q != 1}
     assert len({x[2] for x in found if x[0] == 1}) == 10
+
+
+def test_vectors_stay_single(library, spark):
+    """Stored vectors aren't copied for blocks of queries; of a query for which all vectors are equal, the smallest chunks count."""
+    _, c, p, _, _ = library
+    vectors = spark.createDataFrame([(i, 2, 1.0, bytes([1 + i, 1])) for i in range(N)], "chunk_id long, dim int, scale double, vec binary")
+    table = spark.createDataFrame([(q, [float(q % 7), float(q % 3)]) for q in range(150)], "qid long, query array<double>")
+    got = search.block_ranking(vectors, c, p, table, 2, 10)
+    assert "CoGroups" not in plan(got) and "Generate" not in plan(got)
+    want = search.vector_ranking(vectors, c, p, {r["qid"]: r["query"] for r in table.collect()}, 2, 10)
+    names = ("qid", "page_id", "chunk_id", "score", "rank")
+    assert {tuple(r) for r in got.select(*names).collect()} == {tuple(r) for r in want.select(*names).collect()}
+    read = plan(reference.hybrid_search(spark, SMALL))
+    assert "content_markdown" not in read and "MapInArrow" not in read
